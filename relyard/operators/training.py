@@ -12,7 +12,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, functions as F
 
 from relyard import constants as c
-from relyard.functions.scoring import sigmoid
+from relyard.functions.scoring import decision_value, sigmoid
 from relyard.operators.features import apply_scaler, fit_scaler, with_class_weights
 from relyard.operators.ordered import salted_lookup, small_map
 from relyard.session import shared_root
@@ -52,12 +52,10 @@ def train_logreg(train: DataFrame, features: Sequence[str], label: str) -> DataF
     )
 
 
-def linear_score(df: DataFrame, coefs: dict[str, float], intercept: float) -> Column:
-    """P(class 1) of already scaled columns under fixed coefficients."""
-    z = F.lit(float(intercept))
-    for feature, weight in coefs.items():
-        z = z + F.lit(float(weight)) * F.col(feature)
-    return sigmoid(z)
+def score_columns(df: DataFrame, model: Column, features: Sequence[str]) -> DataFrame:
+    """Add ``score`` = P(class 1) from plain feature columns and a model struct."""
+    row = F.create_map(*[part for f in features for part in (F.lit(f), F.col(f).cast("double"))])
+    return df.withColumn("score", sigmoid(decision_value(model, row)))
 
 
 def predictor_udf(model: Any):
