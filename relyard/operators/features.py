@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from relyard.functions.scoring import standardise
 from relyard.operators.ordered import small_map
@@ -50,15 +50,18 @@ def apply_scaler(df: DataFrame, scaler: DataFrame, features: Sequence[str]) -> D
     """Standardise with fitted values that reach the rows as a one-row scalar subquery."""
     wide = scaler.agg(F.map_from_entries(F.collect_list(F.struct("feature", F.struct("mean", "std")))).alias("m"))
     fitted = wide.select(F.struct(*[F.col("m")[f].alias(f) for f in features]).alias("s")).scalar()
-    scaled = {f: standardise(F.col(f), fitted[f]["mean"], fitted[f]["std"]) for f in features}
-    return df.withColumns(scaled)
+    known = F.col("_fitted")
+    scaled = {f: standardise(F.col(f), known[f]["mean"], known[f]["std"]) for f in features}
+    return df.withColumn("_fitted", fitted).withColumns(scaled).drop("_fitted")
 
 
 def class_weights(df: DataFrame, label: str) -> DataFrame:
     """Balanced weights n / (k * n_c)."""
     counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("n_class"))
-    totals = counts.agg(F.struct(F.sum("n_class").alias("n"), F.count(F.lit(1)).alias("k")).alias("t")).scalar()
-    return counts.withColumn("weight", totals["n"] / (totals["k"] * F.col("n_class")))
+    everything = Window.partitionBy()  # one row per class
+    return counts.withColumn(
+        "weight", F.sum("n_class").over(everything) / (F.count(F.lit(1)).over(everything) * F.col("n_class"))
+    )
 
 
 def with_class_weights(df: DataFrame, label: str) -> DataFrame:
@@ -103,11 +106,11 @@ def psi(df: DataFrame, split: str, left: str, right: str, features: Sequence[str
     ).scalar()
 
     def bin_of(f: str) -> Column:
-        lo, hi = ranges[f]["lo"], ranges[f]["hi"]
+        lo, hi = F.col("_ranges")[f]["lo"], F.col("_ranges")[f]["hi"]
         width = F.when(hi > lo, (hi - lo) / bins)
         return F.coalesce(F.least(F.lit(bins - 1), F.floor((F.col(f) - lo) / width).cast("int")), F.lit(0))
 
-    cells = df.select(
+    cells = df.withColumn("_ranges", ranges).select(
         F.col(split).alias("side"), F.inline(F.array(*[F.struct(F.lit(f).alias("feature"), bin_of(f).alias("bin")) for f in features]))
     )
     counted = cells.groupBy("feature", "bin").agg(

@@ -75,14 +75,17 @@ def duplicate_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1)
 
 
-def dataset_fingerprint(train: DataFrame, test: DataFrame, uri: str, git_sha: str | None) -> DataFrame:
-    """Contract row over train and test together; the two content states are added, not unioned."""
-    both = content_sums(train).unionByName(content_sums(test.select(*train.columns)))
-    return combine_sums(both).select(
+def dataset_fingerprint(parts: DataFrame, side: str, uri: str, git_sha: str | None) -> DataFrame:
+    """Contract row over all parts (train and test, told apart by column ``side``).
+
+    Content states per part are added up, so parts hashed earlier need not be read again.
+    """
+    data = parts.drop(side)
+    return combine_sums(content_sums(parts, [side])).select(
         F.lit(c.DATASET_FINGERPRINT_VERSION).alias("schema_version"),
         default_git_sha(F.lit(git_sha).cast("string")).alias("git_sha"),
         finish_digest().alias("dataset_content_hash"),
-        sha256_text(F.lit(schema_text(train))).alias("dataset_schema_hash"),
+        sha256_text(F.lit(schema_text(data))).alias("dataset_schema_hash"),
         "row_count",
         F.lit(uri).alias("data_source_uri"),
     )

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from relyard import constants as c
+from relyard.functions.columns import with_once
 from relyard.functions.hashing import bucket_of
 from relyard.functions.scoring import mean_abs_diff, probabilities
 from relyard.functions.text import strip_or_null
@@ -23,7 +24,7 @@ def assign_request_ids(requests: DataFrame) -> DataFrame:
 
 def parse_bodies(requests: DataFrame) -> DataFrame:
     """Add ``rows`` (variant) and ``body_error``: null when the body is an object with a list of objects."""
-    parsed = requests.withColumn("_doc", F.try_parse_json("body")).withColumn(
+    parsed = with_once(requests, _doc=F.try_parse_json("body")).withColumn(
         "rows", F.try_variant_get("_doc", "$.rows", "variant")
     )
     items = F.try_variant_get("rows", "$", "array<variant>")
@@ -34,7 +35,7 @@ def parse_bodies(requests: DataFrame) -> DataFrame:
         .when(~F.startswith(F.schema_of_variant("rows"), F.lit("ARRAY")), F.lit("rows_not_list"))
         .when(~F.forall(items, is_object), F.lit("row_not_object"))
     )
-    return parsed.withColumn("body_error", error).drop("_doc")
+    return with_once(parsed, body_error=error).drop("_doc")
 
 
 def canonical_rows() -> Column:
@@ -96,7 +97,7 @@ def prepare(requests: DataFrame, canary_pct: int = c.CANARY_PCT) -> DataFrame:
     predict = requests.filter(F.col("endpoint") == "/predict")
     seeded = canary_seed(parse_bodies(assign_request_ids(predict)))
     is_canary = F.col("mode") == c.CANARY
-    bucketed = seeded.withColumn("bucket", F.when(is_canary, bucket_of(F.col("seed")))).withColumn(
+    bucketed = with_once(seeded, bucket=F.when(is_canary, bucket_of(F.col("seed")))).withColumn(
         "seed_source", F.when(is_canary, F.col("seed_source"))
     )
     routed = route(bucketed, canary_pct).withColumn("features", feature_rows())
@@ -132,8 +133,10 @@ def serve(requests: DataFrame, serving: DataFrame, canary_pct: int = c.CANARY_PC
     valid = F.col("body_error").isNull() & F.col("route_error").isNull()
     primary = F.when(is_prod, F.col("prod_model")).otherwise(F.col("candidate_model"))
     other = F.when(is_prod, F.col("candidate_model")).otherwise(F.col("prod_model"))
-    scored = joined.withColumn("proba", F.when(valid, probabilities(primary, F.col("features")))).withColumn(
-        "shadow_proba", F.when(valid & F.col("run_shadow"), probabilities(other, F.col("features")))
+    scored = with_once(
+        joined,
+        proba=F.when(valid, probabilities(primary, F.col("features"))),
+        shadow_proba=F.when(valid & F.col("run_shadow"), probabilities(other, F.col("features"))),
     )
     failed = F.exists("proba", lambda p: p.isNull())
     status = (

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from relyard import constants as c
+from relyard.functions.columns import with_once
 from relyard.functions.hashing import sha256_text
 from relyard.operators.ordered import salted_lookup, small_map
 
@@ -93,7 +94,7 @@ def stratified_split(
     else:
         found = df.withColumn("cut", F.try_element_at(small_map(cuts, label, F.col("cut"), MAX_MAPPED_CLASSES), F.col(label)))
     side = F.when(F.col("cut").isNotNull() & (here <= F.col("cut")), F.lit("test")).otherwise(F.lit("train"))
-    return found.withColumn("split", side).drop("cut")
+    return with_once(found, split=side).drop("cut")
 
 
 def write_split(split: DataFrame, path: str) -> None:

@@ -12,8 +12,8 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, functions as F
 
 from relyard import constants as c
-from relyard.functions.scoring import decision_value, sigmoid
-from relyard.operators.features import apply_scaler, fit_scaler, with_class_weights
+from relyard.functions.scoring import decision_value, sigmoid, standardise
+from relyard.operators.features import class_weights, fit_scaler
 from relyard.operators.ordered import salted_lookup, small_map
 from relyard.session import shared_root
 
@@ -26,9 +26,18 @@ def train_logreg(train: DataFrame, features: Sequence[str], label: str) -> DataF
     Returns the model as data: position, feature, mean, std, coef, intercept. Balanced weights sum to
     the row count, hence the penalty 1/n in Spark's averaged objective.
     """
-    scaler = fit_scaler(train, features)
+    # The fit runs right here, so the fitted values may as well be plain numbers: one row per feature
+    # and one per class come back to the driver, which LogisticRegression does with its coefficients too.
+    scaler = {row["feature"]: row for row in fit_scaler(train, features).collect()}
+    weights = {row[label]: row["weight"] for row in class_weights(train, label).limit(3).collect()}
+    if sorted(weights) != [0, 1]:
+        raise ValueError(f"labels must be 0 and 1, found {sorted(weights)}")
     n = train.count()
-    scaled = with_class_weights(apply_scaler(train, scaler, features), label)
+    scaled = train.select(
+        label,
+        F.when(F.col(label) == 1, weights[1]).otherwise(weights[0]).alias("weight"),
+        *[standardise(F.col(f), F.lit(scaler[f]["mean"]), F.lit(scaler[f]["std"])).alias(f) for f in features],
+    )
     assembled = VectorAssembler(inputCols=list(features), outputCol="features").transform(scaled)
     fitted = LogisticRegression(
         labelCol=label,
@@ -39,16 +48,12 @@ def train_logreg(train: DataFrame, features: Sequence[str], label: str) -> DataF
         standardization=False,
         tol=1e-9,
     ).fit(assembled.select("features", label, "weight"))
-    coefs = [float(x) for x in fitted.coefficients]
-    entries = F.create_map(*[x for f, w in zip(features, coefs) for x in (F.lit(f), F.lit(w))])
-    positions = F.create_map(*[x for i, f in enumerate(features) for x in (F.lit(f), F.lit(i))])
-    return scaler.select(
-        positions[F.col("feature")].alias("feature_pos"),
-        "feature",
-        "mean",
-        "std",
-        entries[F.col("feature")].alias("coef"),
-        F.lit(float(fitted.intercept)).alias("intercept"),
+    rows = [
+        (i, f, scaler[f]["mean"], scaler[f]["std"], float(w), float(fitted.intercept))
+        for i, (f, w) in enumerate(zip(features, fitted.coefficients))
+    ]
+    return train.sparkSession.createDataFrame(
+        rows, "feature_pos int, feature string, mean double, std double, coef double, intercept double"
     )
 
 

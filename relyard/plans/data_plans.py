@@ -41,7 +41,7 @@ def dataset_shape(spark: SparkSession, sf: str) -> DataFrame:
 
 _RUN_LOG_SQL = """
 SELECT experiment, run_id, kind, t.key, CASE WHEN kind <> 'metric' THEN t.value END AS value,
-  CASE WHEN kind = 'metric' THEN round(eval_roc_auc, 6) END AS metric_value
+  CASE WHEN kind = 'metric' THEN eval_roc_auc END AS metric_value
 FROM (SELECT experiment, run_id, eval_roc_auc, 'tag' AS kind, unnest([
     {'key': 'step', 'value': step}, {'key': 'model_name', 'value': model_name}, {'key': 'git_sha', 'value': tag_git_sha},
     {'key': 'dataset_fingerprint', 'value': tag_dataset_fingerprint}, {'key': 'row_count', 'value': tag_row_count},
@@ -58,14 +58,14 @@ def run_log_long(spark: SparkSession, sf: str) -> DataFrame:
     long_runs = tables.run_log_long(views.runs(spark, sf))
     tables.append_run_log(long_runs, path)
     stored = spark.read.schema(long_runs.schema).parquet(path)
-    return stored.withColumn("metric_value", F.round("metric_value", 6))
+    return stored
 
 
 @query(
     "run_log_maps",
     sql(
         """SELECT experiment, run_id, 6 AS n_tags, 5 AS n_params, tag_training_run_id AS training_run_id, p_max_iter AS max_iter,
-        round(eval_roc_auc, 6) AS eval_roc_auc FROM rn""",
+        eval_roc_auc FROM rn""",
         "rn",
     ),
 )
@@ -78,7 +78,7 @@ def run_log_maps(spark: SparkSession, sf: str) -> DataFrame:
         F.size("params").alias("n_params"),
         F.col("tags")["training_run_id"].alias("training_run_id"),
         F.col("params")["max_iter"].alias("max_iter"),
-        F.round(F.col("metrics")["eval_roc_auc"], 6).alias("eval_roc_auc"),
+        F.col("metrics")["eval_roc_auc"].alias("eval_roc_auc"),
     )
 
 
@@ -202,11 +202,6 @@ def content_hash_daily(spark: SparkSession, sf: str) -> DataFrame:
     return monthly.select("month", "row_count", fingerprint.finish_digest().alias("content_hash"))
 
 
-def _parts(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    both = split.stratified_split(views.dataset(spark, sf), "target", "row_id")
-    return tuple(both.filter(F.col("split") == side).drop("split") for side in ("train", "test"))
-
-
 URI = "file:///app/data"
 _DS_SCHEMA = '[["row_id","int64"],["target","int32"],["f0","float64"],["f1","float64"],["f2","float64"]]'
 _FINGERPRINT_SQL = f"""SELECT 'dataset_fingerprint/v1' AS schema_version, 'unknown' AS git_sha, content_hash AS dataset_content_hash,
@@ -214,7 +209,7 @@ _FINGERPRINT_SQL = f"""SELECT 'dataset_fingerprint/v1' AS schema_version, 'unkno
 
 
 def _fingerprint(spark: SparkSession, sf: str) -> DataFrame:
-    return fingerprint.dataset_fingerprint(*_parts(spark, sf), URI, None)
+    return fingerprint.dataset_fingerprint(_split(spark, sf), "split", URI, None)
 
 
 @query("dataset_fingerprint", sql(_FINGERPRINT_SQL, "ds"))
@@ -448,8 +443,13 @@ def train_logreg(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("train_evaluate")
 def train_evaluate(spark: SparkSession, sf: str) -> DataFrame:
-    """Split, train, score the held-out rows with the coefficients as data, evaluate and gate."""
-    both = _split(spark, sf)
+    """Split, train, score the held-out rows with the coefficients as data, evaluate and gate.
+
+    The split is stored first, as every later step reads it again.
+    """
+    parts, path = _split(spark, sf), new_location(spark, "split")
+    split.write_split(parts, path)
+    both = spark.read.schema(parts.schema).parquet(path)
     train = both.filter(F.col("split") == "train")
     model = training.train_logreg(train, DATASET_FEATURES, "target")
     terms = F.struct(
