@@ -29,7 +29,7 @@ def schema_columns(spark: SparkSession, tables: dict[str, DataFrame]) -> DataFra
 def schema_hash(columns: DataFrame) -> DataFrame:
     """sha256 of the compact JSON list of [name, type] pairs; column order matters."""
     pair = F.concat(F.lit('["'), F.col("column_name"), F.lit('","'), F.col("data_type"), F.lit('"]'))
-    ordered = F.sort_array(F.collect_list(F.struct(F.col("pos"), pair.alias("pair"))))
+    ordered = F.sort_array(F.collect_set(F.struct(F.col("pos"), pair.alias("pair"))))
     text = F.concat(F.lit("["), F.array_join(F.transform(ordered, lambda x: x["pair"]), ","), F.lit("]"))
     return columns.groupBy("table_name").agg(F.count(F.lit(1)).alias("n_columns"), sha256_text(text).alias("schema_hash"))
 
@@ -139,7 +139,7 @@ def config_hash(long_params: DataFrame) -> DataFrame:
         .otherwise(F.concat(F.lit('"'), F.col("value"), F.lit('"')))
     )
     pair = F.struct(F.col("key"), F.concat(F.lit('"'), F.col("key"), F.lit('":'), shown).alias("text"))
-    pairs = F.transform(F.sort_array(F.collect_list(pair)), lambda x: x["text"])
+    pairs = F.transform(F.sort_array(F.collect_set(pair)), lambda x: x["text"])
     text = F.concat(F.lit("{"), F.array_join(pairs, ","), F.lit("}"))
     return long_params.groupBy("run_id").agg(sha256_text(text).alias("config_hash"))
 

@@ -2,9 +2,11 @@
 
 A plain window over a group sorts that whole group in one task, which breaks once one group holds a
 third of the rows. Every operator here takes *bins*: columns that never decrease along the wanted order
-(a day, a hash prefix, a score band). Rows are sorted only inside (group, bin); what happened in earlier
-bins of the group comes from a table with one row per (group, bin), aggregated before it is shuffled.
-The row side is shuffled once, by (group, bin), and the join back uses that same distribution.
+(a day, a hash prefix, a score band), coarse to fine. Rows are sorted only inside (group, bins); what
+happened in earlier bins comes from a table with one row per (group, bins), aggregated before it is
+shuffled and worked through the same way one bin level up. So no window ever sees more than one bin of
+rows, or one coarse bin of finer bins. The row side is shuffled once, by (group, bins), and the join back
+uses that same distribution. Group and bin columns hold no nulls.
 """
 
 from __future__ import annotations
@@ -13,42 +15,33 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-Order = Sequence[Column]
-
-
-def _names(columns: Sequence[str]) -> list[str]:
-    return list(columns)
-
 
 def running_sums(
     df: DataFrame,
     group: Sequence[str],
     bins: Sequence[str],
-    order: Order,
+    order: Sequence[str | Column],
     sums: dict[str, Column],
 ) -> DataFrame:
     """Add, for each output name, the sum of its expression over all *earlier* rows of the group.
 
     ``order`` must be a total order inside a bin, or rows that tie must carry equal meaning.
     """
-    keys = [*_names(group), *_names(bins)]
-    totals = df.groupBy(*keys).agg(*[F.sum(expr).alias(f"_bin_{name}") for name, expr in sums.items()])
-    across = Window.partitionBy(*group).orderBy(*bins).rowsBetween(Window.unboundedPreceding, -1)
-    before = totals.select(
-        *keys,
-        *[F.coalesce(F.sum(f"_bin_{name}").over(across), F.lit(0)).alias(f"_before_{name}") for name in sums],
-    )
+    keys = [*group, *bins]
     inside = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    local = df.select(
-        "*", *[F.coalesce(F.sum(expr).over(inside), F.lit(0)).alias(f"_local_{name}") for name, expr in sums.items()]
-    )
+    if not bins:
+        return df.select("*", *[F.coalesce(F.sum(x).over(inside), F.lit(0)).alias(n) for n, x in sums.items()])
+    local = df.select("*", *[F.coalesce(F.sum(x).over(inside), F.lit(0)).alias(f"_in_{n}") for n, x in sums.items()])
+    totals = df.groupBy(*keys).agg(*[F.sum(x).alias(f"_of_{n}") for n, x in sums.items()])
+    before = running_sums(totals, group, bins[:-1], [bins[-1]], {f"_to_{n}": F.col(f"_of_{n}") for n in sums})
+    before = before.drop(*[f"_of_{n}" for n in sums])
     return local.join(before, keys).select(
-        *df.columns, *[(F.col(f"_before_{name}") + F.col(f"_local_{name}")).alias(name) for name in sums]
+        *df.columns, *[(F.col(f"_to_{n}") + F.col(f"_in_{n}")).alias(n) for n in sums]
     )
 
 
 def exact_rank(
-    df: DataFrame, group: Sequence[str], bins: Sequence[str], order: Order, name: str = "rank"
+    df: DataFrame, group: Sequence[str], bins: Sequence[str], order: Sequence[str | Column], name: str = "rank"
 ) -> DataFrame:
     """1-based row number of every row inside its group."""
     ranked = running_sums(df, group, bins, order, {name: F.lit(1).cast("bigint")})
@@ -63,15 +56,16 @@ def previous_values(
     values: dict[str, str],
 ) -> DataFrame:
     """``lag`` over a group: output name -> column of the row just before; null for the first row."""
-    keys = [*_names(group), *_names(bins)]
+    keys = [*group, *bins]
     held = F.struct(*[F.col(source).alias(name) for name, source in values.items()])
-    last_in_bin = df.groupBy(*keys).agg(F.max_by(held, F.struct(*order)).alias("_last"))
-    across = Window.partitionBy(*group).orderBy(*bins)
-    earlier = last_in_bin.select(*keys, F.lag("_last").over(across).alias("_earlier"))
-    inside = Window.partitionBy(*keys).orderBy(*order)
-    local = df.select("*", F.lag(held).over(inside).alias("_near"))
-    found = F.coalesce(F.col("_near"), F.col("_earlier"))
-    return local.join(earlier, keys).select(*df.columns, *[found[name].alias(name) for name in values])
+    local = df.select("*", F.lag(held).over(Window.partitionBy(*keys).orderBy(*order)).alias("_near"))
+    found = F.col("_near")
+    if bins:
+        last_in_bin = df.groupBy(*keys).agg(F.max_by(held, F.struct(*order)).alias("_last"))
+        earlier = previous_values(last_in_bin, group, bins[:-1], [bins[-1]], {"_earlier": "_last"}).drop("_last")
+        local = local.join(earlier, keys)
+        found = F.coalesce(found, F.col("_earlier"))
+    return local.select(*df.columns, *[found[name].alias(name) for name in values])
 
 
 def latest_before(
@@ -81,19 +75,23 @@ def latest_before(
     order: Sequence[str],
     value: str,
     name: str,
+    strict: bool = False,
 ) -> DataFrame:
-    """Carry the last non-null ``value`` at or before each row: the union form of an as-of join."""
-    keys = [*_names(group), *_names(bins)]
-    last_in_bin = df.groupBy(*keys).agg(
-        F.max_by(F.col(value), F.when(F.col(value).isNotNull(), F.struct(*order))).alias("_last")
-    )
-    across = Window.partitionBy(*group).orderBy(*bins).rowsBetween(Window.unboundedPreceding, -1)
-    carried = last_in_bin.select(*keys, F.last("_last", ignorenulls=True).over(across).alias("_carried"))
-    inside = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    """Carry the last non-null ``value`` at or before each row: the union form of an as-of join.
+
+    ``strict`` leaves the row itself out.
+    """
+    keys = [*group, *bins]
+    inside = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1 if strict else 0)
     local = df.select("*", F.last(value, ignorenulls=True).over(inside).alias("_near"))
-    return local.join(carried, keys).select(
-        *df.columns, F.coalesce(F.col("_near"), F.col("_carried")).alias(name)
-    )
+    found = F.col("_near")
+    if bins:
+        at = F.when(F.col(value).isNotNull(), F.struct(*order))
+        last_in_bin = df.groupBy(*keys).agg(F.max_by(value, at).alias("_last"))
+        carried = latest_before(last_in_bin, group, bins[:-1], [bins[-1]], "_last", "_carried", strict=True)
+        local = local.join(carried.drop("_last"), keys)
+        found = F.coalesce(found, F.col("_carried"))
+    return local.select(*df.columns, found.alias(name))
 
 
 def score_band(score: Column) -> Column:
@@ -127,9 +125,10 @@ def salted_lookup(
 def small_map(df: DataFrame, key: str, value: Column, limit: int) -> Column:
     """A reduced table as one map value (scalar subquery), for lookups without a join.
 
-    The size is checked where the map is built: more than ``limit`` keys stop the job instead of
-    growing a broadcast.
+    The size is checked where the map is built: at most ``limit + 1`` rows are ever gathered, and more
+    than ``limit`` keys stop the job with a hint to take the salted join.
     """
-    too_many = F.raise_error(F.lit(f"more than {limit} keys in a map meant for a small table"))
-    built = F.when(F.count(F.lit(1)) <= limit, F.map_from_entries(F.collect_list(F.struct(F.col(key), value))))
-    return df.agg(built.otherwise(too_many).alias("m")).scalar()
+    too_many = F.raise_error(F.lit(f"more than {limit} keys in a map meant for a small table; use the salted join"))
+    built = F.when(F.count(F.lit(1)) <= limit, F.map_from_entries(F.collect_list(F.struct("_key", "_value"))))
+    entries = df.select(F.col(key).alias("_key"), value.alias("_value")).limit(limit + 1)
+    return entries.agg(built.otherwise(too_many).alias("m")).scalar()

@@ -104,8 +104,8 @@ def resolve_refs(refs: DataFrame, aliases: DataFrame, versions: DataFrame, runs:
 def alias_intervals(events: DataFrame) -> DataFrame:
     """Alias events (model_name, alias, version, ts, seq) -> validity intervals; the last is open."""
     # Walking the events backwards turns "next event" into "previous row".
-    binned = events.withColumn("_bin", -day_of("ts")).withColumn("_back", -F.unix_micros(F.col("ts").cast("timestamp")))
-    binned = binned.withColumn("_back_seq", -F.col("seq"))
+    since = F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast("timestamp_ntz"), F.col("ts"))
+    binned = events.withColumns({"_bin": -day_of("ts"), "_back": -since, "_back_seq": -F.col("seq")})
     following = previous_values(
         binned, ["model_name", "alias"], ["_bin"], ["_back", "_back_seq"], {"valid_to": "ts"}
     )
@@ -157,7 +157,11 @@ def not_ready(models: DataFrame, aliases: DataFrame, versions: DataFrame, loadab
 
 
 def lineage(versions: DataFrame, runs: DataFrame) -> DataFrame:
-    """Version -> source run -> fingerprint and config, with orphans marked."""
+    """Version -> source run -> fingerprint and config, with orphans marked.
+
+    Both sides grow with the registry, so neither is repeated or broadcast; a run that very many versions
+    point at is left to the adaptive skew join.
+    """
     own_key = F.concat_ws("/", F.lit("\x00"), "model_name", F.col("version").cast("string"))
     described = runs.select(
         F.col("run_id").alias("_run_key"),
@@ -187,11 +191,12 @@ def fingerprint_diff(versions: DataFrame) -> DataFrame:
     flat = versions.select(
         "model_name",
         "version",
-        F.floor(F.col("version") / 1024).cast("bigint").alias("_bin"),
+        F.shiftright("version", 20).alias("_million"),
+        F.shiftright("version", 10).alias("_thousand"),
         *[strip_or_empty(F.try_element_at("tags", F.lit(k))).alias(k) for k in watched],
     )
     before = previous_values(
-        flat, ["model_name"], ["_bin"], ["version"],
+        flat, ["model_name"], ["_million", "_thousand"], ["version"],
         {"previous_version": "version", **{f"_old_{k}": k for k in watched}},
     )
     changed = [F.when(F.col(k) != F.col(f"_old_{k}"), F.lit(k)) for k in watched]

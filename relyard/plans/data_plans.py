@@ -164,7 +164,7 @@ def content_hash_multiset(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _key_bins(key: str) -> list[Column]:
-    return [F.floor(F.col(key) / 4096).cast("bigint")]
+    return [F.shiftright(key, 24), F.shiftright(key, 12)]
 
 
 @query(
@@ -181,7 +181,7 @@ def content_hash_ordered(spark: SparkSession, sf: str) -> DataFrame:
 )
 def content_hash_keyed(spark: SparkSession, sf: str) -> DataFrame:
     """Sorted by label, then price, then id; the bin follows the leading keys."""
-    bins = [F.col("target"), F.floor(F.col("f0") / 16).cast("bigint")]
+    bins = [F.col("target"), F.floor(F.col("f0") / 4096), F.floor(F.col("f0") / 16)]
     return fingerprint.content_hash_ordered(views.dataset(spark, sf), ["target", "f0", "row_id"], bins)
 
 

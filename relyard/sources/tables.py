@@ -4,12 +4,19 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
 
+_SCHEMAS: dict[str, StructType] = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    """A stored table; its schema is read from the files once per path, not once per query."""
+    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
+    if path not in _SCHEMAS:
+        _SCHEMAS[path] = spark.read.parquet(path).schema
+    return spark.read.schema(_SCHEMAS[path]).parquet(path)
 
 
 def require_columns(df: DataFrame, columns: Sequence[str], source: str) -> DataFrame:
@@ -40,30 +47,41 @@ def shape(df: DataFrame) -> DataFrame:
 
 
 def run_log_long(runs: DataFrame) -> DataFrame:
-    """Tags, params and metrics of every run as one long key-value table."""
-    head = ["experiment", "run_id"]
-    texts = [
-        runs.select(*head, F.lit(kind).alias("kind"), F.explode(F.col(column)).alias("key", "value"))
-        .withColumn("metric_value", F.lit(None).cast("double"))
-        for kind, column in (("tag", "tags"), ("param", "params"))
-    ]
-    metrics = runs.select(
-        *head, F.lit("metric").alias("kind"), F.explode("metrics").alias("key", "metric_value")
-    ).select(*head, "kind", "key", F.lit(None).cast("string").alias("value"), "metric_value")
-    return texts[0].unionByName(texts[1]).unionByName(metrics)
+    """Tags, params and metrics of every run as one long key-value table, in one pass over the runs."""
+    text, number = F.lit(None).cast("string"), F.lit(None).cast("double")
+
+    def entries(kind: str, column: str, is_text: bool) -> Column:
+        return F.transform(
+            F.map_entries(column),
+            lambda e: F.struct(
+                F.lit(kind).alias("kind"),
+                e["key"].alias("key"),
+                (e["value"] if is_text else text).alias("value"),
+                (number if is_text else e["value"]).alias("metric_value"),
+            ),
+        )
+
+    every = F.concat(entries("tag", "tags", True), entries("param", "params", True), entries("metric", "metrics", False))
+    return runs.select("experiment", "run_id", F.inline(every))
 
 
 def append_run_log(long_runs: DataFrame, path: str) -> None:
-    """Append-only log with one folder per experiment, so that a lookup reads one folder."""
-    long_runs.write.mode("append").partitionBy("experiment").parquet(path)
+    """Append-only log with one folder per experiment, so that a lookup reads one folder.
+
+    Rebalancing by experiment keeps the number of files low and still splits a very large experiment.
+    """
+    long_runs.hint("rebalance", "experiment").write.mode("append").partitionBy("experiment").parquet(path)
 
 
 def run_log_maps(long_runs: DataFrame) -> DataFrame:
-    """The long table back to one row per run; a run has a handful of keys, so each map is small."""
+    """The long table back to one row per run.
+
+    Sets drop repeated entries before the shuffle, so a map is as small as the number of its keys.
+    """
 
     def entries(kind: str, value: str):
         pair = F.when(F.col("kind") == kind, F.struct("key", value))
-        return F.map_from_entries(F.sort_array(F.collect_list(pair)))
+        return F.map_from_entries(F.sort_array(F.collect_set(pair)))
 
     return long_runs.groupBy("experiment", "run_id").agg(
         entries("tag", "value").alias("tags"),

@@ -7,32 +7,11 @@ every row of the base table is kept.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from relyard.operators.ordered import exact_rank
 from relyard.sources.tables import table
 
-MODEL_FEATURES = ("k", "v")
-
-
-def _case(value: Column, branches: dict, default: Column) -> Column:
-    expr = None
-    for key, result in branches.items():
-        expr = F.when(value == key, result) if expr is None else expr.when(value == key, result)
-    return expr.otherwise(default)
-
-
-def _model_name(key: str) -> Column:
-    return F.concat(F.lit("m"), F.col(key))
-
-
-def _prefixed(prefix: str, key: str = "o_orderkey") -> Column:
-    return F.concat(F.lit(prefix), F.col(key))
-
-
-def _day(ts: str) -> Column:
-    return F.datediff(F.col(ts), F.lit("1970-01-01"))
-
 
 def orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders")
@@ -40,64 +19,56 @@ def orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def model_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """model_name, version, source_run_id, tags, created_at, o_orderkey: one row per order."""
-    key = F.col("o_orderkey")
     numbered = exact_rank(
-        orders(spark, sf_dir).withColumn("_day", _day("o_orderdate")),
+        orders(spark, sf_dir).selectExpr("*", "datediff(o_orderdate, '1970-01-01') AS _day"),
         ["o_custkey"],
         ["_day"],
         ["o_orderdate", "o_orderkey"],
         "version",
     )
-    tag_values = {
-        "source_run_id": F.when(key % 9 == 0, F.lit("")).otherwise(_prefixed("run-")),
-        "dataset_fingerprint": F.when(key % 11 == 0, F.lit("")).otherwise(_prefixed("fp-")),
-        "git_sha": F.when(key % 13 == 0, F.lit("  ")).otherwise(_prefixed("sha-")),
-        "config_hash": F.when(key % 17 != 0, _prefixed("cfg-")),
-        "training_run_id": F.when(key % 19 == 0, F.lit("")).otherwise(_prefixed("run-")),
-        "gate": _case(F.col("o_orderstatus"), {"F": F.lit("passed"), "O": F.lit(" passed ")}, F.lit("failed")),
-        "release_status": _case(
-            F.col("o_orderpriority"), {"1-URGENT": F.lit("prod"), "5-LOW": F.lit("")}, F.lit("candidate")
-        ),
-    }
-    pairs = [part for name, value in tag_values.items() for part in (F.lit(name), value)]
-    return numbered.select(
-        _model_name("o_custkey").alias("model_name"),
+    with_source = numbered.selectExpr(
+        "*", "CASE WHEN o_orderkey % 9 = 0 THEN '' ELSE concat('run-', o_orderkey) END AS source_run_id"
+    )
+    return with_source.selectExpr(
+        "concat('m', o_custkey) AS model_name",
         "version",
-        tag_values["source_run_id"].alias("source_run_id"),
-        F.create_map(*pairs).alias("tags"),
-        F.col("o_orderdate").alias("created_at"),
+        "source_run_id",
+        """map('source_run_id', source_run_id,
+               'dataset_fingerprint', CASE WHEN o_orderkey % 11 = 0 THEN '' ELSE concat('fp-', o_orderkey) END,
+               'git_sha', CASE WHEN o_orderkey % 13 = 0 THEN '  ' ELSE concat('sha-', o_orderkey) END,
+               'config_hash', CASE WHEN o_orderkey % 17 <> 0 THEN concat('cfg-', o_orderkey) END,
+               'training_run_id', CASE WHEN o_orderkey % 19 = 0 THEN '' ELSE concat('run-', o_orderkey) END,
+               'gate', CASE o_orderstatus WHEN 'F' THEN 'passed' WHEN 'O' THEN ' passed ' ELSE 'failed' END,
+               'release_status', CASE o_orderpriority WHEN '1-URGENT' THEN 'prod' WHEN '5-LOW' THEN '' ELSE 'candidate' END
+        ) AS tags""",
+        "o_orderdate AS created_at",
         "o_orderkey",
     )
 
 
 def models(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per model with its newest version number: versions count up from 1."""
-    return (
-        orders(spark, sf_dir)
-        .groupBy("o_custkey")
-        .agg(F.count(F.lit(1)).alias("newest"))
-        .select(_model_name("o_custkey").alias("model_name"), "o_custkey", "newest")
-    )
+    counted = orders(spark, sf_dir).groupBy("o_custkey").count()
+    return counted.selectExpr("concat('m', o_custkey) AS model_name", "o_custkey", "count AS newest")
 
 
 def aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """model_name, alias, version. Account balance, segment and nation decide which aliases exist."""
-    owner = table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal", "c_mktsegment", "c_nationkey")
-    known = models(spark, sf_dir).join(owner, F.col("o_custkey") == F.col("c_custkey"))
-    newest = F.col("newest")
-    same = F.col("c_nationkey") < 2
-    behind = ~same & (F.col("c_mktsegment") != "HOUSEHOLD") & (newest > 1)
-    entry = "struct<alias: string, version: bigint>"
-
-    def alias_entry(name: str, version: Column, keep: Column) -> Column:
-        return F.when(keep, F.struct(F.lit(name).alias("alias"), version.cast("bigint").alias("version"))).cast(entry)
-
-    entries = F.array(
-        alias_entry("candidate", newest, F.col("c_acctbal") >= 500),
-        alias_entry("prod", F.when(same, newest).otherwise(newest - 1), same | behind),
-        alias_entry("champion", F.when(F.col("c_acctbal") > 9000, F.lit(1)).otherwise(newest - 1), behind),
+    owner = table(spark, sf_dir, "customer").selectExpr(
+        "c_custkey AS o_custkey",
+        "c_acctbal",
+        "c_nationkey < 2 AS same",
+        "c_nationkey >= 2 AND c_mktsegment <> 'HOUSEHOLD' AS behind",
+    )
+    return models(spark, sf_dir).join(owner, "o_custkey").selectExpr(
+        "model_name",
+        """inline(filter(array(
+             CASE WHEN c_acctbal >= 500 THEN named_struct('alias', 'candidate', 'version', newest) END,
+             CASE WHEN same THEN named_struct('alias', 'prod', 'version', newest)
+                  WHEN behind AND newest > 1 THEN named_struct('alias', 'prod', 'version', newest - 1) END,
+             CASE WHEN behind AND newest > 1 THEN named_struct('alias', 'champion',
+                  'version', CASE WHEN c_acctbal > 9000 THEN 1L ELSE newest - 1 END) END), a -> a IS NOT NULL))""",
     )
-    return known.select("model_name", F.inline(F.array_compact(entries)))
 
 
 def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -105,113 +76,71 @@ def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     Orders with priority 4 have no run, so some versions point at a run that is not there.
     """
-    key = F.col("o_orderkey")
-    auc = F.col("o_totalprice") / F.lit(5e5)
-    tag_values = {
-        "step": F.when(F.col("o_orderpriority") == "2-HIGH", F.lit("evaluate")).otherwise(F.lit("train")),
-        "model_name": _model_name("o_custkey"),
-        "git_sha": F.when(key % 13 == 0, F.lit("  ")).otherwise(F.concat(F.lit(" "), _prefixed("sha-"))),
-        "dataset_fingerprint": F.when(key % 11 != 0, _prefixed("fp-")),
-        "row_count": F.col("o_custkey").cast("string"),
-        "training_run_id": _prefixed("run-"),
-    }
-    params = {
-        "class_weight": F.when(F.col("o_orderstatus") != "P", F.lit("balanced")),
-        "max_iter": (F.lit(1000) + (key % 3) * 500).cast("string"),
-        "model_type": F.lit("logreg"),
-        "random_state": F.lit("42"),
-        "solver": F.lit("lbfgs"),
-    }
-    gate = (
-        F.when(auc < 0.95, F.lit("false"))
-        .when(F.col("o_orderstatus") == "F", F.lit("true"))
-        .when(F.col("o_orderstatus") == "O", F.lit(" TRUE\n"))
-        .otherwise(F.lit("yes"))
+    base = orders(spark, sf_dir).filter("o_orderpriority <> '4-NOT SPECIFIED'").selectExpr(
+        "*",
+        "CASE WHEN o_orderpriority = '2-HIGH' THEN 'evaluate' ELSE 'train' END AS step",
+        "o_totalprice / 5e5 AS eval_roc_auc",
     )
-
-    def as_map(values: dict[str, Column]) -> Column:
-        return F.create_map(*[part for name, value in values.items() for part in (F.lit(name), value)])
-
-    return (
-        orders(spark, sf_dir)
-        .filter(F.col("o_orderpriority") != "4-NOT SPECIFIED")
-        .select(
-            _prefixed("run-").alias("run_id"),
-            F.concat(F.lit("e"), F.col("o_custkey") % 20).alias("experiment"),
-            _model_name("o_custkey").alias("model_name"),
-            tag_values["step"].alias("step"),
-            F.col("o_orderdate").alias("start_time"),
-            as_map(tag_values).alias("tags"),
-            as_map(params).alias("params"),
-            F.create_map(F.lit("eval_roc_auc"), auc).alias("metrics"),
-            gate.alias("gate_ok"),
-        )
+    return base.selectExpr(
+        "concat('run-', o_orderkey) AS run_id",
+        "concat('e', o_custkey % 20) AS experiment",
+        "concat('m', o_custkey) AS model_name",
+        "step",
+        "o_orderdate AS start_time",
+        """map('step', step,
+               'model_name', concat('m', o_custkey),
+               'git_sha', CASE WHEN o_orderkey % 13 = 0 THEN '  ' ELSE concat(' sha-', o_orderkey) END,
+               'dataset_fingerprint', CASE WHEN o_orderkey % 11 <> 0 THEN concat('fp-', o_orderkey) END,
+               'row_count', CAST(o_custkey AS STRING),
+               'training_run_id', concat('run-', o_orderkey)) AS tags""",
+        """map('class_weight', CASE WHEN o_orderstatus <> 'P' THEN 'balanced' END,
+               'max_iter', CAST(1000 + (o_orderkey % 3) * 500 AS STRING),
+               'model_type', 'logreg',
+               'random_state', '42',
+               'solver', 'lbfgs') AS params""",
+        "map('eval_roc_auc', eval_roc_auc) AS metrics",
+        """CASE WHEN eval_roc_auc < 0.95 THEN 'false' WHEN o_orderstatus = 'F' THEN 'true'
+                WHEN o_orderstatus = 'O' THEN concat(' TRUE', char(10)) ELSE 'yes' END AS gate_ok""",
     )
 
 
 def coefficients(spark: SparkSession, sf_dir: str) -> DataFrame:
     """model_name, version, model: a linear model per version, as data."""
-    key = F.col("o_orderkey")
-
-    def term(feature: str, mean: float, std: Column, coef: Column) -> Column:
-        return F.struct(
-            F.lit(feature).alias("feature"), F.lit(mean).alias("mean"), std.alias("std"), coef.alias("coef")
-        )
-
-    model = F.struct(
-        ((key % 7 - 3) / F.lit(1e1)).alias("intercept"),
-        F.array(
-            term("k", 50.0, F.lit(25.0), (key % 11 - 5) / F.lit(1e1)),
-            term("v", 25.0, F.when(key % 10 == 0, F.lit(0.0)).otherwise(F.lit(20.0)), (key % 5 - 2) / F.lit(1e1)),
-        ).alias("terms"),
+    return model_versions(spark, sf_dir).selectExpr(
+        "model_name",
+        "version",
+        """named_struct('intercept', (o_orderkey % 7 - 3) / 1e1, 'terms', array(
+             named_struct('feature', 'k', 'mean', 50e0, 'std', 25e0, 'coef', (o_orderkey % 11 - 5) / 1e1),
+             named_struct('feature', 'v', 'mean', 25e0, 'std', CASE WHEN o_orderkey % 10 = 0 THEN 0e0 ELSE 20e0 END,
+                          'coef', (o_orderkey % 5 - 2) / 1e1))) AS model""",
     )
-    return model_versions(spark, sf_dir).select("model_name", "version", model.alias("model"))
 
 
 def requests_from(events: DataFrame) -> DataFrame:
     """The request log as columns over events; works on a batch table and on a stream."""
-    event, user = F.col("event_id"), F.col("user_id")
-    k = F.get_json_object("props", "$.k")
-    v = F.floor("value").cast("bigint")
-    body = _case(
-        event % 20,
-        {
-            9: F.col("props"),
-            19: F.lit('{"rows": [{"k": 1'),
-            13: F.lit('{"rows": {"k": 1}}'),
-            14: F.lit('{"rows": []}'),
-            7: F.lit('{"rows": [{"k": 1, "v": 2}, 5]}'),
-            3: F.concat(F.lit('{"rows": [{"k": '), k, F.lit("}]}")),
-        },
-        F.concat(
-            F.lit('{"rows": [{"v": '), v, F.lit(', "k": '), k, F.lit('}, {"v": '), event % 50,
-            F.lit(', "k": '), k, F.lit("}]}"),
-        ),
-    )
-    return events.select(
+    parsed = events.selectExpr("*", "get_json_object(props, '$.k') AS k", "CAST(floor(value) AS BIGINT) AS v")
+    return parsed.selectExpr(
         "event_id",
         "ts",
         "user_id",
-        _model_name("user_id").alias("model_name"),
-        _case(
-            event % 3,
-            {1: F.concat(F.lit(" req-"), event % 4000, F.lit(" ")), 2: F.concat(F.lit("req-"), event)},
-            F.lit(None).cast("string"),
-        ).alias("client_request_id"),
-        _case(
-            user % 6,
-            {0: F.lit("prod"), 1: F.lit("candidate"), 2: F.lit("shadow"), 5: F.lit("bogus")},
-            F.lit("canary"),
-        ).alias("mode"),
-        _case(
-            F.col("event_type"), {"view": F.lit("/health"), "signup": F.lit("/metrics")}, F.lit("/predict")
-        ).alias("endpoint"),
-        body.alias("body"),
-        (F.col("value") / F.lit(1e2)).alias("latency_s"),
-        F.when((F.col("event_type") == "error") & (event % 2 == 0), F.lit(503))
-        .when(F.col("event_type") == "error", F.lit(500))
-        .otherwise(F.lit(200))
-        .alias("status"),
+        "concat('m', user_id) AS model_name",
+        """CASE event_id % 3 WHEN 1 THEN concat(' req-', event_id % 4000, ' ')
+                             WHEN 2 THEN concat('req-', event_id) END AS client_request_id""",
+        """CASE user_id % 6 WHEN 0 THEN 'prod' WHEN 1 THEN 'candidate' WHEN 2 THEN 'shadow' WHEN 5 THEN 'bogus'
+                            ELSE 'canary' END AS mode""",
+        "CASE event_type WHEN 'view' THEN '/health' WHEN 'signup' THEN '/metrics' ELSE '/predict' END AS endpoint",
+        """CASE event_id % 20
+             WHEN 9 THEN props
+             WHEN 19 THEN '{"rows": [{"k": 1'
+             WHEN 13 THEN '{"rows": {"k": 1}}'
+             WHEN 14 THEN '{"rows": []}'
+             WHEN 7 THEN '{"rows": [{"k": 1, "v": 2}, 5]}'
+             WHEN 3 THEN concat('{"rows": [{"k": ', k, '}]}')
+             ELSE concat('{"rows": [{"v": ', v, ', "k": ', k, '}, {"v": ', event_id % 50, ', "k": ', k, '}]}')
+           END AS body""",
+        "value / 1e2 AS latency_s",
+        """CASE WHEN event_type = 'error' AND event_id % 2 = 0 THEN 503 WHEN event_type = 'error' THEN 500
+                ELSE 200 END AS status""",
     )
 
 
@@ -221,38 +150,31 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """row_id, slice, label, score from labelled documents."""
-    labels, documents = table(spark, sf_dir, "labels"), table(spark, sf_dir, "documents")
-    return labels.join(documents.select("doc_id", "lang", "n_chars"), "doc_id").select(
-        F.col("doc_id").alias("row_id"),
-        F.col("lang").alias("slice"),
-        F.col("quality").alias("label"),
-        ((F.col("n_chars") % 1000) / F.lit(1e3)).alias("score"),
+    documents = table(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars")
+    return table(spark, sf_dir, "labels").join(documents, "doc_id").selectExpr(
+        "doc_id AS row_id", "lang AS slice", "quality AS label", "(n_chars % 1000) / 1e3 AS score"
     )
 
 
 def scores_big(spark: SparkSession, sf_dir: str) -> DataFrame:
     """model_name, slice, label, score from all line items; a supplier stands for a model."""
-    return table(spark, sf_dir, "lineitem").select(
-        F.concat(F.lit("s"), F.col("l_suppkey")).alias("model_name"),
-        F.col("l_returnflag").alias("slice"),
-        F.when(F.col("l_linestatus") == "F", F.lit(1)).otherwise(F.lit(0)).alias("label"),
-        ((F.col("l_partkey") % 1000) / F.lit(1e3)).alias("score"),
+    return table(spark, sf_dir, "lineitem").selectExpr(
+        "concat('s', l_suppkey) AS model_name",
+        "l_returnflag AS slice",
+        "CASE WHEN l_linestatus = 'F' THEN 1 ELSE 0 END AS label",
+        "(l_partkey % 1000) / 1e3 AS score",
     )
 
 
 def dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
     """row_id, target, f0, f1, f2: the tabular training set."""
-    owner = table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal", "c_nationkey")
-    return (
-        orders(spark, sf_dir)
-        .join(owner, F.col("o_custkey") == F.col("c_custkey"))
-        .select(
-            F.col("o_orderkey").alias("row_id"),
-            F.when(F.col("o_orderstatus") == "F", F.lit(1)).otherwise(F.lit(0)).alias("target"),
-            F.col("o_totalprice").alias("f0"),
-            F.col("c_acctbal").alias("f1"),
-            (F.col("c_nationkey") * F.lit(1e0)).alias("f2"),
-        )
+    owner = table(spark, sf_dir, "customer").selectExpr("c_custkey AS o_custkey", "c_acctbal", "c_nationkey")
+    return orders(spark, sf_dir).join(owner, "o_custkey").selectExpr(
+        "o_orderkey AS row_id",
+        "CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END AS target",
+        "o_totalprice AS f0",
+        "c_acctbal AS f1",
+        "c_nationkey * 1e0 AS f2",
     )
 
 

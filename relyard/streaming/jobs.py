@@ -125,7 +125,12 @@ def deduplicated(requests: DataFrame, delay: str) -> DataFrame:
 
 
 def sessions(requests: DataFrame, gap: str = "30 minutes") -> DataFrame:
-    """Closed client sessions."""
+    """Closed client sessions.
+
+    Rows of one client are merged to sessions before the shuffle, so a busy client does not send all
+    its rows to one task.
+    """
+    requests.sparkSession.conf.set("spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition", "true")
     return (
         requests.withWatermark("ts", WATERMARK)
         .groupBy(F.session_window("ts", gap).alias("session"), "user_id")
