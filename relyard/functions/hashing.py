@@ -8,8 +8,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 SEPARATOR = "\x1f"
-DIGEST_CHUNKS = 4
-CHUNK_DIGITS = 15
+DIGEST_PIECES = 4
+PIECE_DIGITS = 15
+LIMB_BITS = 20
+DIGEST_SUMS = tuple(f"s{i}" for i in range(12))
 
 
 def sha256_text(text: Column) -> Column:
@@ -54,20 +56,28 @@ def row_text(df: DataFrame, columns: Sequence[str] | None = None) -> Column:
 
 
 def digest_sums(digest: Column) -> list[Column]:
-    """Order-free aggregates of row digests; add them up across partitions, days or tables."""
-    sums = [
-        F.coalesce(
-            F.sum(_hex_number(digest, 1 + i * CHUNK_DIGITS, CHUNK_DIGITS).cast("decimal(28,0)")),
-            F.lit(0).cast("decimal(38,0)"),
-        ).alias(f"s{i}")
-        for i in range(DIGEST_CHUNKS)
-    ]
+    """Order-free aggregates of row digests; add them up across partitions, days or tables.
+
+    The first 60 hex digits are read as four 60-bit numbers and summed as twelve 20-bit limbs: plain
+    bigint sums are much cheaper than wide decimals and hold 8.8e12 rows before they would overflow,
+    which raises an error.
+    """
+    mask = (1 << LIMB_BITS) - 1
+    limbs = []
+    for i in range(DIGEST_PIECES):
+        piece = _hex_number(digest, 1 + i * PIECE_DIGITS, PIECE_DIGITS).cast("bigint")
+        limbs += [
+            F.shiftright(piece, 2 * LIMB_BITS),
+            F.shiftright(piece, LIMB_BITS).bitwiseAND(mask),
+            piece.bitwiseAND(mask),
+        ]
+    sums = [F.coalesce(F.sum(limb), F.lit(0)).alias(name) for limb, name in zip(limbs, DIGEST_SUMS)]
     return [F.count(F.lit(1)).alias("row_count"), *sums]
 
 
 def finish_digest() -> Column:
     """Final hash of the columns made by :func:`digest_sums`."""
-    parts = [F.col("row_count").cast("string"), *[F.col(f"s{i}").cast("string") for i in range(DIGEST_CHUNKS)]]
+    parts = [F.col(name).cast("string") for name in ("row_count", *DIGEST_SUMS)]
     return sha256_text(F.concat_ws("|", *parts))
 
 

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from relyard import constants as c
-from relyard.functions.hashing import digest_sums, finish_digest, row_text, sha256_text
+from relyard.functions.hashing import DIGEST_SUMS, digest_sums, finish_digest, row_text, sha256_text
 from relyard.functions.text import strip_or_null
 from relyard.operators.ordered import exact_rank
 
@@ -45,7 +45,7 @@ def content_sums(df: DataFrame, group: Sequence[str] = (), columns: Sequence[str
 
 
 def combine_sums(sums: DataFrame, group: Sequence[str] = ()) -> DataFrame:
-    return sums.groupBy(*group).agg(*[F.sum(n).alias(n) for n in ("row_count", "s0", "s1", "s2", "s3")])
+    return sums.groupBy(*group).agg(*[F.sum(n).alias(n) for n in ("row_count", *DIGEST_SUMS)])
 
 
 def content_hash_multiset(df: DataFrame, group: Sequence[str] = ()) -> DataFrame:

@@ -1,12 +1,14 @@
 """Exact ordered operators (rank, running sums, neighbours, as-of) that survive hot groups.
 
-A plain window over a group sorts that whole group in one task, which breaks once one group holds a
-third of the rows. Every operator here takes *bins*: columns that never decrease along the wanted order
-(a day, a hash prefix, a score band), coarse to fine. Rows are sorted only inside (group, bins); what
-happened in earlier bins comes from a table with one row per (group, bins), aggregated before it is
-shuffled and worked through the same way one bin level up. So no window ever sees more than one bin of
-rows, or one coarse bin of finer bins. The row side is shuffled once, by (group, bins), and the join back
-uses that same distribution. Group and bin columns hold no nulls.
+A plain window over a group sorts that whole group in one task. That is the cheapest plan while every
+group is small, so it is taken only after measuring the largest group; once one group holds more than
+``MAX_ROWS_PER_TASK`` rows (a third of a big table, say) the rows are split into *bins*: columns that
+never decrease along the wanted order (a day, a hash prefix, a score band), coarse to fine. Rows are then
+sorted only inside (group, bins); what happened in earlier bins comes from a table with one row per
+(group, bins), aggregated before it is shuffled and worked through the same way one bin level up. The row
+side is shuffled once, by (group, bins), and the join back uses that same distribution.
+
+Both ways give the same rows. Group and bin columns hold no nulls.
 """
 
 from __future__ import annotations
@@ -16,6 +18,29 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
+MAX_ROWS_PER_TASK = 4_000_000
+
+_LARGEST: dict[tuple, int] = {}
+
+
+def largest_group(df: DataFrame, group: Sequence[str]) -> int:
+    """Rows of the largest group: one pass over the key columns, remembered per plan.
+
+    A remembered value that has gone stale can cost speed, never rows.
+    """
+    key = (df.sparkSession.sparkContext.applicationId, df.semanticHash(), tuple(group))
+    if key not in _LARGEST:
+        _LARGEST[key] = df.groupBy(*group).count().agg(F.max("count")).first()[0] or 0
+    return _LARGEST[key]
+
+
+def needed_bins(
+    df: DataFrame, group: Sequence[str], bins: Sequence[str], max_rows: int = MAX_ROWS_PER_TASK
+) -> list[str]:
+    """The bins if some group is too large for one task, else none."""
+    return list(bins) if not group or largest_group(df, group) > max_rows else []
+
+
 def running_sums(
     df: DataFrame,
     group: Sequence[str],

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from relyard import constants as c
 from relyard.functions.text import gate_is_true, parse_model_uri, strip_or_empty, strip_or_null
-from relyard.operators.ordered import exact_rank, latest_before, previous_values, salted_lookup
+from relyard.operators.ordered import exact_rank, latest_before, needed_bins, previous_values, salted_lookup
 from relyard.operators.policy import alias_versions
 
 
@@ -45,7 +45,8 @@ def register_versions(runs: DataFrame, versions: DataFrame) -> DataFrame:
     passed = runs.filter((F.col("step") == "train") & gate_is_true(F.col("gate_ok"))).select(
         "model_name", "run_id", "start_time", "tags", day_of("start_time").alias("_day")
     )
-    ranked = exact_rank(passed, ["model_name"], ["_day"], ["start_time", "run_id"], "_n")
+    bins = needed_bins(passed, ["model_name"], ["_day"])
+    ranked = exact_rank(passed, ["model_name"], bins, ["start_time", "run_id"], "_n")
     newest = versions.groupBy("model_name").agg(F.max("version").alias("_newest"))
     fixed = F.create_map(
         F.lit("source_run_id"), F.col("run_id"),
@@ -106,8 +107,9 @@ def alias_intervals(events: DataFrame) -> DataFrame:
     # Walking the events backwards turns "next event" into "previous row".
     since = F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast("timestamp_ntz"), F.col("ts"))
     binned = events.withColumns({"_bin": -day_of("ts"), "_back": -since, "_back_seq": -F.col("seq")})
+    bins = needed_bins(binned, ["model_name", "alias"], ["_bin"])
     following = previous_values(
-        binned, ["model_name", "alias"], ["_bin"], ["_back", "_back_seq"], {"valid_to": "ts"}
+        binned, ["model_name", "alias"], bins, ["_back", "_back_seq"], {"valid_to": "ts"}
     )
     return following.select("model_name", "alias", "version", F.col("ts").alias("valid_from"), "valid_to")
 
@@ -128,8 +130,9 @@ def alias_as_of(events: DataFrame, probes: DataFrame) -> DataFrame:
         F.lit(None).cast("bigint").alias("version"), *extra,
     )
     merged = changes.unionByName(asked).withColumn("_bin", day_of("ts"))
+    bins = needed_bins(merged, ["model_name", "alias"], ["_bin"])
     carried = latest_before(
-        merged, ["model_name", "alias"], ["_bin"], ["ts", "_kind", "_seq"], "version", "as_of_version"
+        merged, ["model_name", "alias"], bins, ["ts", "_kind", "_seq"], "version", "as_of_version"
     )
     return carried.filter(F.col("_kind") == 1).select("model_name", "alias", "ts", *extra, "as_of_version")
 
@@ -195,8 +198,9 @@ def fingerprint_diff(versions: DataFrame) -> DataFrame:
         F.shiftright("version", 10).alias("_thousand"),
         *[strip_or_empty(F.try_element_at("tags", F.lit(k))).alias(k) for k in watched],
     )
+    bins = needed_bins(flat, ["model_name"], ["_million", "_thousand"])
     before = previous_values(
-        flat, ["model_name"], ["_million", "_thousand"], ["version"],
+        flat, ["model_name"], bins, ["version"],
         {"previous_version": "version", **{f"_old_{k}": k for k in watched}},
     )
     changed = [F.when(F.col(k) != F.col(f"_old_{k}"), F.lit(k)) for k in watched]

@@ -149,10 +149,16 @@ def schema_hash(spark: SparkSession, sf: str) -> DataFrame:
 _ROW_TEXT = "concat_ws(chr(31), concat('=', f0::VARCHAR), concat('=', f1::VARCHAR), concat('=', f2::VARCHAR), concat('=', row_id), concat('=', target))"
 
 
+def _sums_sql() -> str:
+    """Row count and the twelve 20-bit limb sums of digest h, joined as the final hash expects."""
+    pieces = [f"('0x' || substr(h, {1 + 15 * i}, 15))::BIGINT" for i in range(4)]
+    limbs = [limb for x in pieces for limb in (f"({x} >> 40)", f"(({x} >> 20) & 1048575)", f"({x} & 1048575)")]
+    return "count(*), '|', " + ", '|', ".join(f"sum({limb})" for limb in limbs)
+
+
 def _digest_sql(source: str) -> str:
     """Content hash over a query that yields the row digest as column h."""
-    sums = ", '|', ".join(f"sum(('0x' || substr(h, {1 + 15 * i}, 15))::BIGINT)::VARCHAR" for i in range(4))
-    return f"SELECT count(*) AS row_count, sha256(concat(count(*), '|', {sums})) AS content_hash FROM ({source})"
+    return f"SELECT count(*) AS row_count, sha256(concat({_sums_sql()})) AS content_hash FROM ({source})"
 
 
 _MULTISET_SQL = _digest_sql(f"SELECT sha256({_ROW_TEXT}) AS h FROM ds")
@@ -187,8 +193,7 @@ def content_hash_keyed(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "content_hash_daily",
-    """SELECT strftime(o_orderdate, '%Y-%m') AS month, count(*) AS row_count, sha256(concat(count(*), '|',
-    """ + ", '|', ".join(f"sum(('0x' || substr(h, {1 + 15 * i}, 15))::BIGINT)::VARCHAR" for i in range(4)) + """)) AS content_hash
+    f"""SELECT strftime(o_orderdate, '%Y-%m') AS month, count(*) AS row_count, sha256(concat({_sums_sql()})) AS content_hash
     FROM (SELECT o_orderdate, sha256(concat_ws(chr(31), concat('=', o_custkey), concat('=', strftime(o_orderdate, '%Y-%m-%d %H:%M:%S.%f')), concat('=', o_orderkey),
       concat('=', o_orderpriority), concat('=', o_orderstatus), concat('=', o_totalprice::VARCHAR))) AS h FROM orders) GROUP BY 1""",
 )

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from relyard.operators.ordered import exact_rank
+from relyard.operators.ordered import exact_rank, needed_bins
 from relyard.sources.tables import table
 
 
@@ -19,13 +19,9 @@ def orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def model_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """model_name, version, source_run_id, tags, created_at, o_orderkey: one row per order."""
-    numbered = exact_rank(
-        orders(spark, sf_dir).selectExpr("*", "datediff(o_orderdate, '1970-01-01') AS _day"),
-        ["o_custkey"],
-        ["_day"],
-        ["o_orderdate", "o_orderkey"],
-        "version",
-    )
+    dated = orders(spark, sf_dir).selectExpr("*", "datediff(o_orderdate, '1970-01-01') AS _day")
+    bins = needed_bins(orders(spark, sf_dir).select("o_custkey"), ["o_custkey"], ["_day"])
+    numbered = exact_rank(dated, ["o_custkey"], bins, ["o_orderdate", "o_orderkey"], "version")
     with_source = numbered.selectExpr(
         "*", "CASE WHEN o_orderkey % 9 = 0 THEN '' ELSE concat('run-', o_orderkey) END AS source_run_id"
     )
