@@ -35,10 +35,11 @@ def largest_group(df: DataFrame, group: Sequence[str]) -> int:
 
 
 def needed_bins(
-    df: DataFrame, group: Sequence[str], bins: Sequence[str], max_rows: int = MAX_ROWS_PER_TASK
+    df: DataFrame, group: Sequence[str], bins: Sequence[str], max_rows: int | None = None
 ) -> list[str]:
     """The bins if some group is too large for one task, else none."""
-    return list(bins) if not group or largest_group(df, group) > max_rows else []
+    limit = MAX_ROWS_PER_TASK if max_rows is None else max_rows
+    return list(bins) if not group or largest_group(df, group) > limit else []
 
 
 def running_sums(
@@ -129,19 +130,27 @@ def score_band(score: Column) -> Column:
     return F.floor(F.ln(inside / (F.lit(1.0) - inside)) * 64).cast("int")
 
 
-def salted_lookup(
+MAX_BROADCAST_ROWS = 100_000
+
+
+def lookup_join(
     facts: DataFrame,
     lookup: DataFrame,
     on: Sequence[str],
     spread_by: Sequence[str],
     salts: int = 16,
     how: str = "left",
+    max_broadcast_rows: int | None = None,
 ) -> DataFrame:
     """Equi-join facts to a table with unique keys when single keys may hold much of the facts.
 
-    Facts of one key are spread over ``salts`` partitions and the lookup row is repeated that often.
-    No broadcast is forced: where the measured lookup is small, adaptive execution switches to one.
+    The lookup is counted first. Up to ``MAX_BROADCAST_ROWS`` rows (each a few numbers or one list of
+    coefficients, so some 100 MB at most) it is broadcast and the facts do not move at all. Beyond that
+    the facts of one key are spread over ``salts`` partitions and each lookup row is repeated that often.
     """
+    limit = MAX_BROADCAST_ROWS if max_broadcast_rows is None else max_broadcast_rows
+    if lookup.count() <= limit:
+        return facts.join(F.broadcast(lookup), list(on), how)
     salted = facts.withColumn("_salt", F.pmod(F.xxhash64(*spread_by), F.lit(salts)).cast("int"))
     repeated = lookup.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return salted.join(repeated, [*on, "_salt"], how).drop("_salt")
@@ -151,9 +160,9 @@ def small_map(df: DataFrame, key: str, value: Column, limit: int) -> Column:
     """A reduced table as one map value (scalar subquery), for lookups without a join.
 
     The size is checked where the map is built: at most ``limit + 1`` rows are ever gathered, and more
-    than ``limit`` keys stop the job with a hint to take the salted join.
+    than ``limit`` keys stop the job with a hint to take a join instead.
     """
-    too_many = F.raise_error(F.lit(f"more than {limit} keys in a map meant for a small table; use the salted join"))
+    too_many = F.raise_error(F.lit(f"more than {limit} keys in a map meant for a small table; use a join"))
     built = F.when(F.count(F.lit(1)) <= limit, F.map_from_entries(F.collect_list(F.struct("_key", "_value"))))
     entries = df.select(F.col(key).alias("_key"), value.alias("_value")).limit(limit + 1)
     return entries.agg(built.otherwise(too_many).alias("m")).scalar()

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from relyard import constants as c
 from relyard.functions.text import gate_is_true, parse_model_uri, strip_or_empty, strip_or_null
-from relyard.operators.ordered import exact_rank, latest_before, needed_bins, previous_values, salted_lookup
+from relyard.operators.ordered import exact_rank, latest_before, needed_bins, previous_values, lookup_join
 from relyard.operators.policy import alias_versions
 
 
@@ -53,7 +53,7 @@ def register_versions(runs: DataFrame, versions: DataFrame) -> DataFrame:
         F.lit("gate"), F.lit(c.GATE_PASSED),
         F.lit("release_status"), F.lit(c.CANDIDATE),
     )
-    return salted_lookup(ranked, newest, ["model_name"], ["run_id"]).select(
+    return lookup_join(ranked, newest, ["model_name"], ["run_id"]).select(
         "model_name",
         (F.coalesce("_newest", F.lit(0)) + F.col("_n")).alias("version"),
         F.col("run_id").alias("source_run_id"),
@@ -72,7 +72,7 @@ def candidate_changes(new_versions: DataFrame) -> DataFrame:
 def resolve_refs(refs: DataFrame, aliases: DataFrame, versions: DataFrame, runs: DataFrame) -> DataFrame:
     """Resolve model URIs (column ``uri``) to version and run; what cannot be resolved stays null.
 
-    Each distinct URI is resolved once; a popular one then comes back through a salted lookup.
+    Each distinct URI is resolved once; a popular one then comes back through a lookup join.
     """
     distinct = refs.select("uri").distinct().select("uri", parse_model_uri(F.col("uri")).alias("ref")).select("uri", "ref.*")
     own_key = F.concat(F.lit("\x00"), F.col("uri"))
@@ -99,7 +99,7 @@ def resolve_refs(refs: DataFrame, aliases: DataFrame, versions: DataFrame, runs:
         )
     )
     spread = [name for name in refs.columns if name != "uri"] or ["uri"]
-    return salted_lookup(refs, resolved, ["uri"], spread)
+    return lookup_join(refs, resolved, ["uri"], spread)
 
 
 def alias_intervals(events: DataFrame) -> DataFrame:

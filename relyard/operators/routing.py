@@ -9,7 +9,7 @@ from relyard.functions.columns import with_once
 from relyard.functions.hashing import bucket_of
 from relyard.functions.scoring import mean_abs_diff, probabilities
 from relyard.functions.text import strip_or_null
-from relyard.operators.ordered import salted_lookup
+from relyard.operators.ordered import lookup_join
 
 MODES = (c.PROD, c.CANDIDATE, c.SHADOW, c.CANARY)
 
@@ -125,10 +125,11 @@ def serve(requests: DataFrame, serving: DataFrame, canary_pct: int = c.CANARY_PC
     """Score every prediction request with its chosen model and, where asked, with the other one.
 
     Both scores are computed on the same row, so the log is read once and never joined to itself. The
-    only shuffle is the lookup of the model, salted because one model may get most of the traffic.
+    model lookup moves no request while the table of served models is small, and spreads hot models
+    otherwise.
     """
     prepared = prepare(requests, canary_pct)
-    joined = salted_lookup(prepared, serving, ["model_name"], ["event_id"])
+    joined = lookup_join(prepared, serving, ["model_name"], ["event_id"])
     is_prod = F.col("chosen") == c.PROD
     valid = F.col("body_error").isNull() & F.col("route_error").isNull()
     primary = F.when(is_prod, F.col("prod_model")).otherwise(F.col("candidate_model"))

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from relyard import constants as c
 from relyard.functions.columns import with_once
 from relyard.functions.hashing import sha256_text
-from relyard.operators.ordered import salted_lookup, small_map
+from relyard.operators.ordered import lookup_join, small_map
 
 PREFIX_DIGITS = 4
 MAX_MAPPED_CLASSES = 1_000
@@ -83,14 +83,14 @@ def stratified_split(
     """Add ``split`` ('train' or 'test'). Row ids are unique; class sizes come out exact.
 
     The final pass compares each row with the cut of its class, so wide rows never move. With more
-    classes than fit a checked map, ``many_classes`` takes a salted join instead.
+    classes than fit a checked map, ``many_classes`` takes a join instead.
     """
     cuts = split_cuts(df, label, row_id, share, seed, many_classes)
     here = F.struct(
         sha256_text(F.concat(F.lit(f"{seed}:"), F.col(row_id))).alias("_hash"), F.col(row_id).alias("_id")
     )
     if many_classes:
-        found = salted_lookup(df, cuts, [label], [row_id])
+        found = lookup_join(df, cuts, [label], [row_id])
     else:
         found = df.withColumn("cut", F.try_element_at(small_map(cuts, label, F.col("cut"), MAX_MAPPED_CLASSES), F.col(label)))
     side = F.when(F.col("cut").isNotNull() & (here <= F.col("cut")), F.lit("test")).otherwise(F.lit("train"))

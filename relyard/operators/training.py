@@ -14,11 +14,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 from relyard import constants as c
 from relyard.functions.scoring import decision_value, sigmoid, standardise
 from relyard.operators.features import class_weights, fit_scaler
-from relyard.operators.ordered import salted_lookup, small_map
+from relyard.operators.ordered import lookup_join
 from relyard.session import shared_root
 
-MAX_MAPPED_SEGMENTS = 1_000
-
 
 def train_logreg(train: DataFrame, features: Sequence[str], label: str) -> DataFrame:
     """Balanced, L2-regularised logistic regression (C = 1) on standardised features.
@@ -105,7 +103,6 @@ def train_per_segment(
     label: str,
     max_steps: int = 25,
     tolerance: float = 1e-9,
-    many_segments: bool = False,
 ) -> DataFrame:
     """The same regression for every segment at once, by Newton steps made of grouped sums.
 
@@ -116,12 +113,6 @@ def train_per_segment(
     """
     shared_root(df.sparkSession)
 
-    def attach(facts: DataFrame, lookup: DataFrame, value: Column, name: str) -> DataFrame:
-        if many_segments:
-            return salted_lookup(facts, lookup.select(segment, value.alias(name)), [segment], features)
-        found = small_map(lookup, segment, value, MAX_MAPPED_SEGMENTS)
-        return facts.withColumn(name, F.try_element_at(found, F.col(segment)))
-
     fitted = df.groupBy(segment).agg(
         F.count(F.lit(1)).alias("n"),
         F.count_if(F.col(label) == 1).alias("n1"),
@@ -130,7 +121,9 @@ def train_per_segment(
     )
     fitted = fitted.filter((F.col("n1") > 0) & (F.col("n1") < F.col("n"))).checkpoint()
     stats = F.struct("n", "n1", *[f"mean_{f}" for f in features], *[f"std_{f}" for f in features])
-    known = attach(df.select(segment, label, *features), fitted, stats, "_fit").filter(F.col("_fit").isNotNull())
+    known = lookup_join(
+        df.select(segment, label, *features), fitted.select(segment, stats.alias("_fit")), [segment], features, how="inner"
+    )
     scaled = [
         (F.col(f) - F.col(f"_fit.mean_{f}")) / F.when(F.col(f"_fit.std_{f}") == 0, 1.0).otherwise(F.col(f"_fit.std_{f}"))
         for f in features
@@ -149,7 +142,7 @@ def train_per_segment(
     betas = fitted.select(segment, zeros.alias("beta"))
     step = _solver()
     for _ in range(max_steps):
-        scored = attach(rows, betas, F.col("beta"), "_beta")
+        scored = lookup_join(rows, betas.withColumnRenamed("beta", "_beta"), [segment], features, how="inner")
         z = sum((F.col("_beta")[i] * inputs[i] for i in range(1, size)), F.col("_beta")[0])
         scored = scored.withColumn("_p", sigmoid(z))
         residual = F.col("_w") * (F.col("_y") - F.col("_p"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -82,16 +84,34 @@ def run_log_maps(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-@query("schema_contract_check")
+CONTRACT = {
+    "orders": {"o_orderkey": "bigint", "o_custkey": "bigint", "o_totalprice": "double", "o_orderdate": "timestamp_ntz"},
+    "customer": {"c_custkey": "bigint", "c_acctbal": "double", "c_mktsegment": "string", "c_nationkey": "int"},
+    "events": {"event_id": "bigint", "ts": "timestamp_ntz", "user_id": "bigint", "props": "string", "value": "double"},
+    "lineitem": {"l_orderkey": "bigint", "l_partkey": "bigint", "l_linestatus": "string", "l_shipdate": "timestamp"},
+    "labels": {"doc_id": "bigint", "quality": "int", "target": "int"},
+}
+_SPARK_TYPE_SQL = """CASE data_type WHEN 'BIGINT' THEN 'bigint' WHEN 'INTEGER' THEN 'int' WHEN 'DOUBLE' THEN 'double' WHEN 'VARCHAR' THEN 'string'
+  WHEN 'TIMESTAMP' THEN 'timestamp_ntz' END"""
+_KNOWN_COLUMNS = {"labels": ("doc_id", "quality")}
+
+
+def _contract_sql() -> str:
+    wanted = ", ".join(f"('{t}', '{c_}', '{k}')" for t, columns in CONTRACT.items() for c_, k in columns.items())
+    nulls = " UNION ALL ".join(
+        f"SELECT '{t}' AS t, '{c_}' AS c, count(*) - count({c_}) AS nulls FROM {t}"
+        for t, columns in CONTRACT.items()
+        for c_ in _KNOWN_COLUMNS.get(t, columns)
+    )
+    return f"""SELECT w.t AS table_name, w.c AS column_name, w.k AS expected, i.k AS actual, nulls, coalesce(i.k = w.k AND nulls = 0, false) AS ok
+    FROM (VALUES {wanted}) w(t, c, k) LEFT JOIN ({nulls}) n ON n.t = w.t AND n.c = w.c
+    LEFT JOIN (SELECT DISTINCT table_name AS t, column_name AS c, {_SPARK_TYPE_SQL} AS k FROM information_schema.columns) i ON i.t = w.t AND i.c = w.c"""
+
+
+@query("schema_contract_check", _contract_sql())
 def schema_contract_check(spark: SparkSession, sf: str) -> DataFrame:
-    expected = {
-        "orders": {"o_orderkey": "bigint", "o_custkey": "bigint", "o_totalprice": "double", "o_orderdate": "timestamp_ntz"},
-        "customer": {"c_custkey": "bigint", "c_acctbal": "double", "c_mktsegment": "string", "c_nationkey": "int"},
-        "events": {"event_id": "bigint", "ts": "timestamp_ntz", "user_id": "bigint", "props": "string", "value": "double"},
-        "labels": {"doc_id": "bigint", "quality": "int"},
-        "embeddings": {"vec_id": "bigint", "embedding": "array<float>", "label": "int"},
-    }
-    return tables.contract_report(spark, sf, expected)
+    """One wrong type and one absent column are among the expectations, to be reported."""
+    return tables.contract_report({name: tables.table(spark, sf, name) for name in CONTRACT}, CONTRACT)
 
 
 # --- projection and casts ---------------------------------------------------------------------------
@@ -135,14 +155,17 @@ _HASH_TYPE_SQL = """CASE data_type WHEN 'BIGINT' THEN 'int64' WHEN 'INTEGER' THE
 
 @query(
     "schema_hash",
-    f"""SELECT table_name, count(*) AS n_columns, sha256(concat('[', string_agg(concat('["', column_name, '","', {_HASH_TYPE_SQL}, '"]'), ',' ORDER BY pos), ']')) AS schema_hash
-    FROM (SELECT DISTINCT table_name, column_name, data_type, ordinal_position AS pos FROM information_schema.columns
-          WHERE table_name IN ({', '.join(repr(t) for t in ALL_TABLES)})) GROUP BY table_name""",
+    f"""SELECT table_name, n_columns, row_count, schema_hash FROM (
+      SELECT table_name, count(*) AS n_columns, sha256(concat('[', string_agg(concat('["', column_name, '","', {_HASH_TYPE_SQL}, '"]'), ',' ORDER BY pos), ']')) AS schema_hash
+      FROM (SELECT DISTINCT table_name, column_name, data_type, ordinal_position AS pos FROM information_schema.columns) GROUP BY table_name)
+    JOIN ({' UNION ALL '.join(f"SELECT '{t}' AS t, count(*) AS row_count FROM {t}" for t in ALL_TABLES)}) ON t = table_name""",
 )
 def schema_hash(spark: SparkSession, sf: str) -> DataFrame:
-    return fingerprint.schema_hash(
-        fingerprint.schema_columns(spark, {name: tables.table(spark, sf, name) for name in ALL_TABLES})
-    )
+    """Schema hash of every table, next to its row count."""
+    known = {name: tables.table(spark, sf, name) for name in ALL_TABLES}
+    hashes = fingerprint.schema_hash(fingerprint.schema_columns(spark, known))
+    counts = [df.agg(F.count(F.lit(1)).alias("row_count")).withColumn("table_name", F.lit(name)) for name, df in known.items()]
+    return hashes.join(reduce(DataFrame.unionByName, counts), "table_name").select("table_name", "n_columns", "row_count", "schema_hash")
 
 
 # DuckDB side of the canonical row text: sorted columns f0, f1, f2, row_id, target.

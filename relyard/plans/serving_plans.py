@@ -8,7 +8,7 @@ from relyard import constants as c
 from relyard.functions.hashing import bucket_of, canonical_json
 from relyard.functions.scoring import label_of, probabilities
 from relyard.operators import evaluation, registry, routing, serving_log
-from relyard.operators.ordered import salted_lookup
+from relyard.operators.ordered import lookup_join
 from relyard.plans.catalog import query
 from relyard.plans.oracle_views import sql
 from relyard.plans.policy_plans import decisions
@@ -310,7 +310,7 @@ def score_proba(spark: SparkSession, sf: str) -> DataFrame:
     """Each dataset row scored by the newest version of its model."""
     newest = views.models(spark, sf).select("model_name", F.col("newest").alias("version"))
     models = newest.join(views.coefficients(spark, sf), ["model_name", "version"])
-    rows = salted_lookup(_owned_dataset(spark, sf), models, ["model_name"], ["row_id"], how="inner")
+    rows = lookup_join(_owned_dataset(spark, sf), models, ["model_name"], ["row_id"], how="inner")
     p = probabilities(F.col("model"), F.array(_feature_map()))[0]
     return rows.select("row_id", "model_name", "version", F.round(p, 6).alias("proba"))
 
@@ -338,7 +338,7 @@ def score_by_ref(spark: SparkSession, sf: str) -> DataFrame:
     models = refs.select("uri", "model_name", "version").join(
         views.coefficients(spark, sf), ["model_name", "version"], "left"
     )
-    joined = salted_lookup(rows.drop("model_name"), models, ["uri"], ["row_id"])
+    joined = lookup_join(rows.drop("model_name"), models, ["uri"], ["row_id"])
     p = probabilities(F.col("model"), F.array(_feature_map()))[0]
     return joined.select("row_id", "uri", "version", F.round(p, 6).alias("proba"))
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
@@ -99,14 +100,24 @@ def write_json_report(reports: DataFrame, path: str) -> None:
     reports.select("report").write.mode("errorifexists").text(path)
 
 
-def contract_report(spark: SparkSession, sf_dir: str, contract: Mapping[str, Mapping[str, str]]) -> DataFrame:
-    """Expected against actual column types of each table, from metadata alone."""
-    rows = []
+def contract_report(tables: Mapping[str, DataFrame], contract: Mapping[str, Mapping[str, str]]) -> DataFrame:
+    """Expected against actual column types of each table, with the nulls found in each column."""
+    reports = []
     for name, expected in contract.items():
-        actual = dict(table(spark, sf_dir, name).dtypes)
-        for column, data_type in expected.items():
-            found = actual.get(column)
-            rows.append((name, column, data_type, found, found == data_type))
-    return spark.createDataFrame(
-        rows, "table_name string, column_name string, expected string, actual string, ok boolean"
-    )
+        df = tables[name]
+        actual = dict(df.dtypes)
+        rows = F.array(
+            *[
+                F.struct(
+                    F.lit(name).alias("table_name"),
+                    F.lit(column).alias("column_name"),
+                    F.lit(data_type).alias("expected"),
+                    F.lit(actual.get(column)).cast("string").alias("actual"),
+                    (F.count_if(F.col(column).isNull()) if column in actual else F.lit(None).cast("bigint")).alias("nulls"),
+                )
+                for column, data_type in expected.items()
+            ]
+        )
+        reports.append(df.agg(rows.alias("r")).select(F.inline("r")))
+    every = reduce(DataFrame.unionByName, reports)
+    return every.withColumn("ok", F.col("actual").eqNullSafe(F.col("expected")) & (F.col("nulls") == 0))

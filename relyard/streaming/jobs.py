@@ -27,7 +27,8 @@ def stream_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def with_event_time(df: DataFrame, ts: str = "ts") -> DataFrame:
-    """Watermarks need a timestamp with zone; the session runs in UTC."""
+    """Watermarks need a timestamp with zone. Event time is UTC, so the session must be too."""
+    df.sparkSession.conf.set("spark.sql.session.timeZone", "UTC")
     return df.withColumn(ts, F.col(ts).cast("timestamp"))
 
 

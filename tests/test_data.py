@@ -8,8 +8,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from relyard.functions.hashing import row_text, sha256_text
-from relyard.operators import features, fingerprint, split, training
+from relyard.functions.hashing import row_text
+from relyard.operators import features, fingerprint, ordered, split, training
 from relyard.sources import tables
 
 
@@ -175,10 +175,11 @@ def test_logistic_regression(labelled):
     assert np.allclose([model[0]["intercept"], *[r["coef"] for r in model]], want, atol=1e-5)
 
 
-@pytest.mark.parametrize("many", [False, True])
-def test_per_segment_regression(labelled, many):
+@pytest.mark.parametrize("limit", [100_000, 0])
+def test_per_segment_regression(labelled, limit, monkeypatch):
+    monkeypatch.setattr(ordered, "MAX_BROADCAST_ROWS", limit)
     rows, df = labelled
-    got = {r["seg"]: [r["intercept"], *[r[f"coef_{f}"] for f in FEATURES]] for r in training.train_per_segment(df, "seg", FEATURES, "y", many_segments=many).collect()}
+    got = {r["seg"]: [r["intercept"], *[r[f"coef_{f}"] for f in FEATURES]] for r in training.train_per_segment(df, "seg", FEATURES, "y").collect()}
     assert set(got) == {"hot", "b", "c"}
     for seg in got:
         assert np.allclose(got[seg], newton(*balanced([r for r in rows if r[1] == seg])), atol=1e-7)
@@ -216,4 +217,3 @@ def test_run_log_round_trip(spark, location):
     back = {r["run_id"]: r for r in tables.run_log_maps(spark.read.parquet(location)).collect()}
     assert back["r1"]["tags"] == {"step": "train"} and back["r1"]["metrics"] == {"auc": 0.5}
     assert back["r3"]["tags"] == {"a": "x", "b": ""} and back["r3"]["params"] == {}
-    assert sha256_text is not None

@@ -78,10 +78,11 @@ def test_score_band_never_decreases(spark):
     assert None not in bands and bands == sorted(bands) and len(set(bands)) > 100
 
 
-def test_salted_lookup_keeps_every_row(spark):
+@pytest.mark.parametrize("limit", [None, 1])
+def test_lookup_join_keeps_every_row(spark, limit):
     facts = spark.range(1000).select(F.col("id"), F.when(F.col("id") % 3 > 0, F.lit("hot")).otherwise(F.concat(F.lit("k"), F.col("id") % 7)).alias("k"))
     lookup = spark.createDataFrame([("hot", 1), ("k0", 2), ("k3", 3)], "k string, v int")
-    got = ordered.salted_lookup(facts, lookup, ["k"], ["id"])
+    got = ordered.lookup_join(facts, lookup, ["k"], ["id"], max_broadcast_rows=limit)
     want = facts.join(lookup, "k", "left")
     assert sorted(map(tuple, got.select("id", "k", "v").collect())) == sorted(map(tuple, want.select("id", "k", "v").collect()))
 

@@ -48,3 +48,25 @@ def test_split_never_shuffles_dataset_rows(spark):
 
 def test_entry(spark):
     assert entry(spark).count() > 0
+
+
+BINNED = (
+    "policy_decision", "register_versions", "alias_history", "alias_as_of", "fingerprint_diff", "apply_promotion_tags",
+)
+LOOKUPS = ("predict_log", "shadow_mae", "resolve_model_refs", "score_proba", "score_by_ref", "register_versions", "stream_predict_log")
+
+
+@pytest.mark.parametrize("name", BINNED)
+def test_hot_group_plan_gives_the_same_rows(spark, duck, name, monkeypatch):
+    """As if every group were too large for one task."""
+    monkeypatch.setattr("relyard.operators.ordered.MAX_ROWS_PER_TASK", 0)
+    outcome = compare(spark, duck, name, QUERIES[name], ORACLES[name], SF)
+    assert outcome.startswith("ok"), outcome
+
+
+@pytest.mark.parametrize("name", LOOKUPS)
+def test_salted_plan_gives_the_same_rows(spark, duck, name, monkeypatch):
+    """As if every lookup were too large to broadcast."""
+    monkeypatch.setattr("relyard.operators.ordered.MAX_BROADCAST_ROWS", 0)
+    outcome = compare(spark, duck, name, QUERIES[name], ORACLES[name], SF)
+    assert outcome.startswith("ok"), outcome
