@@ -23,12 +23,16 @@ def _hex_number(digest: Column, start: int, digits: int) -> Column:
 
 
 def bucket_of(seed: Column) -> Column:
-    """sha256(seed) mod 100 without big integers.
+    """Canary bucket of a text seed."""
+    return bucket_of_digest(sha256_text(seed))
+
+
+def bucket_of_digest(digest: Column) -> Column:
+    """A sha256 hex digest mod 100 without big integers.
 
     The digest is read as 4 + 4x15 hex digits. 16^15k leaves 76 modulo 100 for every k >= 1, so the
     remainder of the whole number is a weighted sum of the remainders of the pieces.
     """
-    digest = sha256_text(seed)
     pieces = [(1, 4), (5, 15), (20, 15), (35, 15), (50, 15)]
     rests = [_hex_number(digest, start, size).cast("bigint") % 100 for start, size in pieces]
     return ((F.lit(76) * (rests[0] + rests[1] + rests[2] + rests[3]) + rests[4]) % 100).cast("int")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from relyard import constants as c
 from relyard.functions.columns import with_once
-from relyard.functions.hashing import bucket_of
+from relyard.functions.hashing import bucket_of_digest, sha256_text
 from relyard.functions.scoring import mean_abs_diff, probabilities
 from relyard.functions.text import strip_or_null
 from relyard.operators.ordered import lookup_join
@@ -22,51 +22,46 @@ def assign_request_ids(requests: DataFrame) -> DataFrame:
     )
 
 
+ROWS = "$.rows"
+
+
 def parse_bodies(requests: DataFrame) -> DataFrame:
-    """Add ``rows`` (variant) and ``body_error``: null when the body is an object with a list of objects."""
-    parsed = with_once(requests, _doc=F.try_parse_json("body")).withColumn(
-        "rows", F.try_variant_get("_doc", "$.rows", "variant")
-    )
-    items = F.try_variant_get("rows", "$", "array<variant>")
-    is_object = lambda item: F.startswith(F.schema_of_variant(item), F.lit("OBJECT"))
+    """Add ``document`` (variant), ``features`` and ``body_error``: null when rows is a list of objects.
+
+    One cast does the checking: what is no list becomes null, and so does an item that is no object. The
+    finer reasons are looked up only for bodies that failed it.
+    """
+    parsed = with_once(requests, document=F.try_parse_json("body"))
+    cast = with_once(parsed, features=F.try_variant_get("document", ROWS, "array<map<string,double>>"))
+    bad_item = F.exists("features", lambda item: item.isNull())
     error = (
-        F.when(F.col("_doc").isNull(), F.lit("invalid_json"))
-        .when(F.col("rows").isNull(), F.lit("missing_rows"))
-        .when(~F.startswith(F.schema_of_variant("rows"), F.lit("ARRAY")), F.lit("rows_not_list"))
-        .when(~F.forall(items, is_object), F.lit("row_not_object"))
+        F.when(F.col("features").isNotNull(), F.when(bad_item, F.lit("row_not_object")))
+        .when(F.col("document").isNull(), F.lit("invalid_json"))
+        .when(F.try_variant_get("document", ROWS, "variant").isNull(), F.lit("missing_rows"))
+        .otherwise(F.lit("rows_not_list"))
     )
-    return with_once(parsed, body_error=error).drop("_doc")
+    return with_once(cast, body_error=error)
 
 
 def canonical_rows() -> Column:
-    """Compact JSON of ``rows`` with sorted keys, for integer, boolean and plain text values.
+    """Compact JSON of the rows with sorted keys, for integer, boolean and plain text values.
 
     A variant keeps object keys sorted, so printing it is the canonical form. Payloads with floats
     need :func:`relyard.functions.hashing.canonical_json`.
     """
-    return F.when(F.col("body_error").isNull(), F.to_json("rows"))
-
+    return F.when(F.col("body_error").isNull(), F.to_json(F.try_variant_get("document", ROWS, "variant")))
 
-def feature_rows() -> Column:
-    return F.when(F.col("body_error").isNull(), F.try_variant_get("rows", "$", "array<map<string,double>>"))
 
+def canary_seed(requests: DataFrame, needed: Column | None = None) -> DataFrame:
+    """Seed and its source: client id, else payload, else the assigned id (repeatable, unlike a new uuid).
 
-def canary_seed(requests: DataFrame, payload: Column | None = None) -> DataFrame:
-    """Seed and its source: client id, else payload, else the assigned id (repeatable, unlike a new uuid)."""
-    rows_text = canonical_rows() if payload is None else payload
-    seeded = requests.withColumn("_rows_text", rows_text)
-    by_client, by_payload = F.col("client_provided"), F.col("_rows_text").isNotNull()
-    return (
-        seeded.withColumn(
-            "seed",
-            F.when(by_client, F.col("request_id")).when(by_payload, F.col("_rows_text")).otherwise(F.col("request_id")),
-        )
-        .withColumn(
-            "seed_source",
-            F.when(by_client, F.lit("request_id")).when(by_payload, F.lit("payload_hash")).otherwise(F.lit("random")),
-        )
-        .drop("_rows_text")
-    )
+    Where ``needed`` is false both stay null and the payload is not rendered.
+    """
+    wanted = F.lit(True) if needed is None else needed
+    by_client, by_payload = F.col("client_provided"), F.col("body_error").isNull()
+    seed = F.when(by_client | ~by_payload, F.col("request_id")).otherwise(canonical_rows())
+    source = F.when(by_client, F.lit("request_id")).when(by_payload, F.lit("payload_hash")).otherwise(F.lit("random"))
+    return requests.withColumns({"seed": F.when(wanted, seed), "seed_source": F.when(wanted, source)})
 
 
 def route(requests: DataFrame, canary_pct: int | Column = c.CANARY_PCT) -> DataFrame:
@@ -95,13 +90,11 @@ def route(requests: DataFrame, canary_pct: int | Column = c.CANARY_PCT) -> DataF
 def prepare(requests: DataFrame, canary_pct: int = c.CANARY_PCT) -> DataFrame:
     """Ids, body check, seed, bucket and route of every prediction request; narrow, no shuffle."""
     predict = requests.filter(F.col("endpoint") == "/predict")
-    seeded = canary_seed(parse_bodies(assign_request_ids(predict)))
     is_canary = F.col("mode") == c.CANARY
-    bucketed = with_once(seeded, bucket=F.when(is_canary, bucket_of(F.col("seed")))).withColumn(
-        "seed_source", F.when(is_canary, F.col("seed_source"))
-    )
-    routed = route(bucketed, canary_pct).withColumn("features", feature_rows())
-    return routed.withColumn("canary_pct", F.when(is_canary, F.lit(canary_pct))).drop("rows", "seed")
+    seeded = canary_seed(parse_bodies(assign_request_ids(predict)), needed=is_canary)
+    hashed = with_once(seeded, _digest=sha256_text(F.col("seed")))
+    routed = route(with_once(hashed, bucket=bucket_of_digest(F.col("_digest"))), canary_pct)
+    return routed.withColumn("canary_pct", F.when(is_canary, F.lit(canary_pct))).drop("document", "seed", "_digest")
 
 
 def serving_models(aliases: DataFrame, coefficients: DataFrame) -> DataFrame:
