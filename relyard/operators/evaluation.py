@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from relyard import constants as c
 from relyard.functions.scoring import label_of
-from relyard.operators.ordered import running_sums, score_band
+from relyard.operators.ordered import lookup_join, running_sums, score_band
 
 
 def confusion(scored: DataFrame, group: Sequence[str], threshold: float = c.DECISION_THRESHOLD) -> DataFrame:
@@ -30,12 +30,16 @@ def f1_of() -> Column:
     return F.when(weight == 0, F.lit(0.0)).otherwise(2 * F.col("tp") / F.when(weight != 0, weight))
 
 
+# Coarse and fine score bands; the fine ones split a coarse band that holds very many distinct scores.
+BANDS = {"_band": 64, "_fine": 64 * 1024}
+
+
 def _distinct_scores(scored: DataFrame, group: Sequence[str], sign: int) -> DataFrame:
     """Collapse rows with equal score, so ties and copies never reach the sort."""
     return (
         scored.groupBy(*group, "score")
         .agg(F.count_if(F.col("label") == 1).alias("pos"), F.count_if(F.col("label") != 1).alias("neg"))
-        .withColumn("_band", sign * score_band(F.col("score")))
+        .withColumns({name: sign * score_band(F.col("score"), steps) for name, steps in BANDS.items()})
     )
 
 
@@ -47,7 +51,7 @@ def roc_auc(scored: DataFrame, group: Sequence[str], score_kind: str = "probabil
     if score_kind == "label":
         scored = scored.withColumn("score", label_of(F.col("score"), c.DECISION_THRESHOLD).cast("double"))
     points = running_sums(
-        _distinct_scores(scored, group, 1), group, ["_band"], ["score"], {"neg_below": F.col("neg")}
+        _distinct_scores(scored, group, 1), group, list(BANDS), ["score"], {"neg_below": F.col("neg")}
     )
     # Twice the rank statistic stays a whole number; decimal keeps it exact for any table size.
     wins = (F.col("pos").cast("decimal(18,0)") * (2 * F.col("neg_below") + F.col("neg")).cast("decimal(18,0)"))
@@ -65,7 +69,7 @@ def roc_points(scored: DataFrame, group: Sequence[str]) -> DataFrame:
     points = running_sums(
         _distinct_scores(scored, group, -1),
         group,
-        ["_band"],
+        list(BANDS),
         [F.col("score").desc()],
         {"tp_above": F.col("pos"), "fp_above": F.col("neg")},
     )
@@ -82,7 +86,7 @@ def roc_points(scored: DataFrame, group: Sequence[str]) -> DataFrame:
         (F.col("fp_above") + F.col("neg")).alias("fp"),
     ).unionByName(start)
     rate = lambda n, d: F.when(F.col(d) > 0, F.round(F.col(n) / F.when(F.col(d) > 0, F.col(d)), 6))
-    return counted.join(totals, list(group)).select(
+    return lookup_join(counted, totals, group, ["threshold"], how="inner").select(
         *group, "threshold", rate("fp", "negatives").alias("fpr"), rate("tp", "positives").alias("tpr")
     )
 
@@ -96,10 +100,12 @@ def gate_text(auc: Column, minimum: float = c.GATE_MIN_AUC) -> Column:
     return F.when(gate_passes(auc, minimum), F.lit("true")).otherwise(F.lit("false"))
 
 
-def report(scored: DataFrame, group: Sequence[str], prefix: str = "eval_") -> DataFrame:
+def report(
+    scored: DataFrame, group: Sequence[str], prefix: str = "eval_", score_kind: str = "probability"
+) -> DataFrame:
     """One row per model: accuracy, F1, AUC and the gate."""
     counts = confusion(scored, group)
-    auc = roc_auc(scored, group).select(*group, "auc")
+    auc = roc_auc(scored, group, score_kind).select(*group, "auc")
     return counts.join(auc, list(group)).select(
         *group,
         F.round(accuracy_of(), 6).alias(f"{prefix}accuracy"),

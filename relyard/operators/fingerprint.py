@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from relyard import constants as c
 from relyard.functions.hashing import DIGEST_SUMS, digest_sums, finish_digest, row_text, sha256_text
 from relyard.functions.text import strip_or_null
-from relyard.operators.ordered import exact_rank
+from relyard.operators.ordered import exact_rank, needed_bins
 
 
 def hash_type(spark_type: str) -> str:
@@ -65,7 +65,8 @@ def content_hash_ordered(df: DataFrame, order: Sequence[str], bins: Sequence[Col
     rows = df.select(
         *order, row_text(df).alias("_text"), *[b.alias(f"_bin{i}") for i, b in enumerate(bins)]
     )
-    ranked = exact_rank(rows, [], [f"_bin{i}" for i in range(len(bins))], list(order), "_position")
+    used = needed_bins(rows, [], [f"_bin{i}" for i in range(len(bins))])
+    ranked = exact_rank(rows, [], used, list(order), "_position")
     digest = sha256_text(F.concat_ws(":", (F.col("_position") - 1).cast("string"), "_text"))
     return ranked.agg(*digest_sums(digest)).select("row_count", finish_digest().alias("content_hash"))
 

@@ -37,9 +37,15 @@ def largest_group(df: DataFrame, group: Sequence[str]) -> int:
 def needed_bins(
     df: DataFrame, group: Sequence[str], bins: Sequence[str], max_rows: int | None = None
 ) -> list[str]:
-    """The bins if some group is too large for one task, else none."""
+    """The fewest leading bins that leave no (group, bins) too large for one task; none if groups are small.
+
+    Without group columns at least the first bin is kept, so nothing is ever sorted as a whole.
+    """
     limit = MAX_ROWS_PER_TASK if max_rows is None else max_rows
-    return list(bins) if not group or largest_group(df, group) > limit else []
+    for used in range(0 if group else 1, len(bins)):
+        if largest_group(df, [*group, *bins[:used]]) <= limit:
+            return list(bins[:used])
+    return list(bins)
 
 
 def running_sums(
@@ -120,14 +126,14 @@ def latest_before(
     return local.select(*df.columns, found.alias(name))
 
 
-def score_band(score: Column) -> Column:
-    """Non-decreasing band of a probability on the log-odds scale.
+def score_band(score: Column, steps: int = 64) -> Column:
+    """Non-decreasing band of a probability on the log-odds scale, ``steps`` bands per unit.
 
-    Sigmoid scores pile up near 0 and 1; equal steps of log-odds keep those piles apart, so no band
-    holds more than a small share of the distinct scores. At most about 50,000 bands exist.
+    Sigmoid scores pile up near 0 and 1; equal steps of log-odds keep those piles apart. At 64 steps
+    about 50,000 bands cover every double between 0 and 1.
     """
     inside = F.least(F.greatest(score, F.lit(1e-300)), F.lit(1.0 - 1e-16))
-    return F.floor(F.ln(inside / (F.lit(1.0) - inside)) * 64).cast("int")
+    return F.floor(F.ln(inside / (F.lit(1.0) - inside)) * steps)
 
 
 MAX_BROADCAST_ROWS = 100_000

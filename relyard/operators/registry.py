@@ -45,7 +45,7 @@ def register_versions(runs: DataFrame, versions: DataFrame) -> DataFrame:
     passed = runs.filter((F.col("step") == "train") & gate_is_true(F.col("gate_ok"))).select(
         "model_name", "run_id", "start_time", "tags", day_of("start_time").alias("_day")
     )
-    bins = needed_bins(passed, ["model_name"], ["_day"])
+    bins = needed_bins(passed, ["model_name"], ["_day", "start_time"])
     ranked = exact_rank(passed, ["model_name"], bins, ["start_time", "run_id"], "_n")
     newest = versions.groupBy("model_name").agg(F.max("version").alias("_newest"))
     fixed = F.create_map(
@@ -107,7 +107,7 @@ def alias_intervals(events: DataFrame) -> DataFrame:
     # Walking the events backwards turns "next event" into "previous row".
     since = F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast("timestamp_ntz"), F.col("ts"))
     binned = events.withColumns({"_bin": -day_of("ts"), "_back": -since, "_back_seq": -F.col("seq")})
-    bins = needed_bins(binned, ["model_name", "alias"], ["_bin"])
+    bins = needed_bins(binned, ["model_name", "alias"], ["_bin", "_back"])
     following = previous_values(
         binned, ["model_name", "alias"], bins, ["_back", "_back_seq"], {"valid_to": "ts"}
     )
@@ -129,8 +129,8 @@ def alias_as_of(events: DataFrame, probes: DataFrame) -> DataFrame:
         "model_name", "alias", "ts", F.lit(1).alias("_kind"), F.lit(0).cast("bigint").alias("_seq"),
         F.lit(None).cast("bigint").alias("version"), *extra,
     )
-    merged = changes.unionByName(asked).withColumn("_bin", day_of("ts"))
-    bins = needed_bins(merged, ["model_name", "alias"], ["_bin"])
+    merged = changes.unionByName(asked).withColumns({"_bin": day_of("ts"), "_minute": F.date_trunc("minute", "ts")})
+    bins = needed_bins(merged, ["model_name", "alias"], ["_bin", "_minute"])
     carried = latest_before(
         merged, ["model_name", "alias"], bins, ["ts", "_kind", "_seq"], "version", "as_of_version"
     )

@@ -209,8 +209,8 @@ def content_hash_ordered(spark: SparkSession, sf: str) -> DataFrame:
     sql(_digest_sql(f"SELECT sha256(concat(row_number() OVER (ORDER BY target, f0, row_id) - 1, ':', {_ROW_TEXT})) AS h FROM ds"), "ds"),
 )
 def content_hash_keyed(spark: SparkSession, sf: str) -> DataFrame:
-    """Sorted by label, then price, then id; the bin follows the leading keys."""
-    bins = [F.col("target"), F.floor(F.col("f0") / 4096), F.floor(F.col("f0") / 16)]
+    """Sorted by label, then price, then id. Deeper bins serve a label or a price that many rows share."""
+    bins = [F.col("target"), F.floor(F.col("f0") / 4096), F.floor(F.col("f0") / 16), F.col("f0"), *_key_bins("row_id")]
     return fingerprint.content_hash_ordered(views.dataset(spark, sf), ["target", "f0", "row_id"], bins)
 
 
@@ -628,18 +628,27 @@ def eval_report_json(spark: SparkSession, sf: str) -> DataFrame:
     return tables.json_report(reports, ["model_name"], ["eval_roc_auc", "eval_f1", "eval_accuracy"])
 
 
+_HARD = "(SELECT model_name, label, CASE WHEN score >= 0.5 THEN 1e0 ELSE 0e0 END AS score FROM sb)"
+
+
 @query(
     "metrics_pivot",
     sql(
-        f"SELECT model_name, eval_accuracy, eval_f1, eval_roc_auc FROM ({_REPORT_SQL})",
+        f"""SELECT model_name, eval_accuracy AS test_accuracy, eval_f1 AS test_f1, eval_roc_auc AS test_roc_auc, eval_accuracy, eval_f1, round(auc, 6) AS eval_roc_auc
+        FROM ({_REPORT_SQL}) r JOIN ({_AUC.format(group='model_name', source=_HARD)}) h USING (model_name)""",
         "sb",
     ),
 )
 def metrics_pivot(spark: SparkSession, sf: str) -> DataFrame:
-    names = ("eval_accuracy", "eval_f1", "eval_roc_auc")
-    reports = evaluation.report(views.scores_big(spark, sf), ["model_name"])
-    long = evaluation.metrics_long(reports, ["model_name"], names)
-    return evaluation.metrics_pivot(long, ["model_name"], names)
+    """Both metric sets of a model side by side: test_* on probabilities, eval_* on 0/1 predictions."""
+    scored, keys = views.scores_big(spark, sf), ["model_name"]
+    sets = {"test_": "probability", "eval_": "label"}
+    metrics = {prefix: [f"{prefix}{m}" for m in ("accuracy", "f1", "roc_auc")] for prefix in sets}
+    long = [
+        evaluation.metrics_long(evaluation.report(scored, keys, prefix, kind), keys, metrics[prefix])
+        for prefix, kind in sets.items()
+    ]
+    return evaluation.metrics_pivot(long[0].unionByName(long[1]), keys, metrics["test_"] + metrics["eval_"])
 
 
 @query(

@@ -19,8 +19,11 @@ def orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def model_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """model_name, version, source_run_id, tags, created_at, o_orderkey: one row per order."""
-    dated = orders(spark, sf_dir).selectExpr("*", "datediff(o_orderdate, '1970-01-01') AS _day")
-    bins = needed_bins(orders(spark, sf_dir).select("o_custkey"), ["o_custkey"], ["_day"])
+    # Only a customer with very many orders needs bins: by date, then by ranges of the order key.
+    dated = orders(spark, sf_dir).selectExpr(
+        "*", "shiftright(o_orderkey, 24) AS _coarse_key", "shiftright(o_orderkey, 12) AS _fine_key"
+    )
+    bins = needed_bins(dated, ["o_custkey"], ["o_orderdate", "_coarse_key", "_fine_key"])
     numbered = exact_rank(dated, ["o_custkey"], bins, ["o_orderdate", "o_orderkey"], "version")
     with_source = numbered.selectExpr(
         "*", "CASE WHEN o_orderkey % 9 = 0 THEN '' ELSE concat('run-', o_orderkey) END AS source_run_id"
