@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from relyard import constants as c
+from relyard.functions.columns import with_once
 from relyard.functions.scoring import label_of
 from relyard.operators.ordered import lookup_join, running_sums, score_band
 
@@ -34,29 +35,43 @@ def f1_of() -> Column:
 BANDS = {"_band": 64, "_fine": 64 * 1024}
 
 
-def _distinct_scores(scored: DataFrame, group: Sequence[str], sign: int) -> DataFrame:
-    """Collapse rows with equal score, so ties and copies never reach the sort."""
-    return (
-        scored.groupBy(*group, "score")
-        .agg(F.count_if(F.col("label") == 1).alias("pos"), F.count_if(F.col("label") != 1).alias("neg"))
-        .withColumns({name: sign * score_band(F.col("score"), steps) for name, steps in BANDS.items()})
+def collapse(scored: DataFrame, group: Sequence[str]) -> DataFrame:
+    """One row per distinct score with ``counts`` (pos, neg), so ties and copies never reach a sort.
+
+    Both counts travel as one value: every later use then needs the very same shuffle, and Spark
+    computes it once.
+    """
+    counted = scored.groupBy(*group, "score").agg(
+        F.count_if(F.col("label") == 1).alias("pos"), F.count_if(F.col("label") != 1).alias("neg")
     )
+    return with_once(counted, counts=F.struct("pos", "neg")).select(*group, "score", "counts")
 
 
-def roc_auc(scored: DataFrame, group: Sequence[str], score_kind: str = "probability") -> DataFrame:
-    """Exact AUC per group, ties counting half; null when only one class is present.
+def _banded(collapsed: DataFrame, sign: int) -> DataFrame:
+    # Never null, so that no null filter creeps below one use of the collapsed rows and not the other.
+    bands = {name: F.coalesce(sign * score_band(F.col("score"), steps), F.lit(0)) for name, steps in BANDS.items()}
+    return collapsed.withColumns(bands)
 
-    ``score_kind='label'`` scores the thresholded 0/1 prediction instead.
-    """
+
+def _as_scored(scored: DataFrame, score_kind: str) -> DataFrame:
+    """``score_kind='label'`` replaces the probability by its thresholded 0/1 prediction."""
     if score_kind == "label":
-        scored = scored.withColumn("score", label_of(F.col("score"), c.DECISION_THRESHOLD).cast("double"))
-    points = running_sums(
-        _distinct_scores(scored, group, 1), group, list(BANDS), ["score"], {"neg_below": F.col("neg")}
-    )
+        return scored.withColumn("score", label_of(F.col("score"), c.DECISION_THRESHOLD).cast("double"))
+    return scored
+
+
+def roc_auc(scored: DataFrame, group: Sequence[str], score_kind: str = "probability") -> DataFrame:
+    """Exact AUC per group, ties counting half; null when only one class is present."""
+    return _auc_of(collapse(_as_scored(scored, score_kind), group), group)
+
+
+def _auc_of(collapsed: DataFrame, group: Sequence[str]) -> DataFrame:
+    pos, neg = F.col("counts.pos"), F.col("counts.neg")
+    points = running_sums(_banded(collapsed, 1), group, list(BANDS), ["score"], {"neg_below": neg})
     # Twice the rank statistic stays a whole number; decimal keeps it exact for any table size.
-    wins = (F.col("pos").cast("decimal(18,0)") * (2 * F.col("neg_below") + F.col("neg")).cast("decimal(18,0)"))
+    wins = pos.cast("decimal(18,0)") * (2 * F.col("neg_below") + neg).cast("decimal(18,0)")
     summed = points.groupBy(*group).agg(
-        F.sum("pos").alias("positives"), F.sum("neg").alias("negatives"), F.sum(wins).cast("double").alias("_wins")
+        F.sum(pos).alias("positives"), F.sum(neg).alias("negatives"), F.sum(wins).cast("double").alias("_wins")
     )
     pairs = 2.0 * F.col("positives") * F.col("negatives")
     return summed.select(
@@ -66,26 +81,24 @@ def roc_auc(scored: DataFrame, group: Sequence[str], score_kind: str = "probabil
 
 def roc_points(scored: DataFrame, group: Sequence[str]) -> DataFrame:
     """(fpr, tpr, threshold) for every distinct score, from (0, 0) at an infinite threshold down."""
+    collapsed = collapse(scored, group)
+    pos, neg = F.col("counts.pos"), F.col("counts.neg")
     points = running_sums(
-        _distinct_scores(scored, group, -1),
-        group,
-        list(BANDS),
-        [F.col("score").desc()],
-        {"tp_above": F.col("pos"), "fp_above": F.col("neg")},
-    )
-    totals = scored.groupBy(*group).agg(
-        F.count_if(F.col("label") == 1).alias("positives"), F.count_if(F.col("label") != 1).alias("negatives")
-    )
-    start = totals.select(
-        *group, F.lit(float("inf")).alias("threshold"), F.lit(0).cast("bigint").alias("tp"), F.lit(0).cast("bigint").alias("fp")
+        _banded(collapsed, -1), group, list(BANDS), [F.col("score").desc()], {"tp_above": pos, "fp_above": neg}
     )
+    totals = collapsed.groupBy(*group).agg(F.sum(pos).alias("positives"), F.sum(neg).alias("negatives"))
+    zero = F.lit(0).cast("bigint")
+    start = totals.select(*group, F.lit(float("inf")).alias("threshold"), zero.alias("tp"), zero.alias("fp"))
     counted = points.select(
         *group,
         F.col("score").alias("threshold"),
-        (F.col("tp_above") + F.col("pos")).alias("tp"),
-        (F.col("fp_above") + F.col("neg")).alias("fp"),
+        (F.col("tp_above") + pos).alias("tp"),
+        (F.col("fp_above") + neg).alias("fp"),
     ).unionByName(start)
-    rate = lambda n, d: F.when(F.col(d) > 0, F.round(F.col(n) / F.when(F.col(d) > 0, F.col(d)), 6))
+
+    def rate(n: str, d: str) -> Column:
+        return F.when(F.col(d) > 0, F.round(F.col(n) / F.when(F.col(d) > 0, F.col(d)), 6))
+
     return lookup_join(counted, totals, group, ["threshold"], how="inner").select(
         *group, "threshold", rate("fp", "negatives").alias("fpr"), rate("tp", "positives").alias("tpr")
     )
@@ -104,8 +117,14 @@ def report(
     scored: DataFrame, group: Sequence[str], prefix: str = "eval_", score_kind: str = "probability"
 ) -> DataFrame:
     """One row per model: accuracy, F1, AUC and the gate."""
-    counts = confusion(scored, group)
-    auc = roc_auc(scored, group, score_kind).select(*group, "auc")
+    collapsed = collapse(_as_scored(scored, score_kind), group)
+    pos, neg = F.col("counts.pos"), F.col("counts.neg")
+    hit = label_of(F.col("score"), c.DECISION_THRESHOLD) == 1
+    part = lambda n, at: F.coalesce(F.sum(F.when(at, n)), F.lit(0))
+    counts = collapsed.groupBy(*group).agg(
+        part(pos, hit).alias("tp"), part(neg, hit).alias("fp"), part(neg, ~hit).alias("tn"), part(pos, ~hit).alias("fn")
+    )
+    auc = _auc_of(collapsed, group).select(*group, "auc")
     return counts.join(auc, list(group)).select(
         *group,
         F.round(accuracy_of(), 6).alias(f"{prefix}accuracy"),

@@ -341,17 +341,20 @@ def stratified_split(spark: SparkSession, sf: str) -> DataFrame:
 @query("split_balance", sql("SELECT split, target, count(*) AS n FROM sp GROUP BY ALL", "sp"))
 def split_balance(spark: SparkSession, sf: str) -> DataFrame:
     """Rows per side and class, read back from the stored, split-partitioned table."""
-    path = new_location(spark, "split")
-    parts = _split(spark, sf)
-    split.write_split(parts, path)
-    stored = spark.read.schema(parts.schema).parquet(path)
-    return stored.groupBy("split", "target").agg(F.count(F.lit(1)).alias("n"))
+    return _stored_split(spark, sf).groupBy("split", "target").agg(F.count(F.lit(1)).alias("n"))
 
 
 def _train(spark: SparkSession, sf: str) -> DataFrame:
     return _split(spark, sf).filter(F.col("split") == "train")
 
 
+def _stored_split(spark: SparkSession, sf: str) -> DataFrame:
+    """The split written once, for work that reads it several times."""
+    parts, path = _split(spark, sf), new_location(spark, "split")
+    split.write_split(parts, path)
+    return spark.read.schema(parts.schema).parquet(path)
+
+
 _FIT_SQL = "SELECT " + ", ".join(f"avg({f}) AS m_{f}, stddev_pop({f}) AS s_{f}" for f in DATASET_FEATURES) + " FROM sp WHERE split = 'train'"
 
 
@@ -378,7 +381,7 @@ def scaler_fit(spark: SparkSession, sf: str) -> DataFrame:
     ),
 )
 def scaler_apply(spark: SparkSession, sf: str) -> DataFrame:
-    both = _split(spark, sf)
+    both = _stored_split(spark, sf)
     fitted = features.fit_scaler(both.filter(F.col("split") == "train"), DATASET_FEATURES)
     scaled = features.apply_scaler(both, fitted, DATASET_FEATURES)
     return scaled.select("row_id", "split", *[F.round(f, 6).alias(f) for f in DATASET_FEATURES])
@@ -452,7 +455,7 @@ def _psi_sql() -> str:
     ),
 )
 def feature_drift(spark: SparkSession, sf: str) -> DataFrame:
-    return features.feature_drift(_split(spark, sf), "split", "train", "test", DATASET_FEATURES)
+    return features.feature_drift(_stored_split(spark, sf), "split", "train", "test", DATASET_FEATURES)
 
 
 # --- training ---------------------------------------------------------------------------------------
@@ -475,9 +478,7 @@ def train_evaluate(spark: SparkSession, sf: str) -> DataFrame:
 
     The split is stored first, as every later step reads it again.
     """
-    parts, path = _split(spark, sf), new_location(spark, "split")
-    split.write_split(parts, path)
-    both = spark.read.schema(parts.schema).parquet(path)
+    both = _stored_split(spark, sf)
     train = both.filter(F.col("split") == "train")
     model = training.train_logreg(train, DATASET_FEATURES, "target")
     terms = F.struct(
