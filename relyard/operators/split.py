@@ -16,14 +16,18 @@ MAX_MAPPED_CLASSES = 1_000
 def test_sizes(counts: DataFrame, label: str, share: float) -> DataFrame:
     """Exact test rows per class: ceil(share * n) in all, split by largest remainder, ties by label.
 
-    Works on one row per class.
+    Works on one row per class, in whole numbers wide enough for any table.
     """
     everything = Window.partitionBy()
+    whole = "decimal(18,0)"
     total = F.sum("n").over(everything)
     wanted = F.ceil(F.round(F.lit(share) * total, 9))
-    shared = counts.withColumn("_exact", F.col("n") * wanted / total).withColumn("_wanted", wanted)
-    floored = shared.withColumn("_floor", F.floor("_exact")).withColumn("_left", F.col("_wanted") - F.sum("_floor").over(everything))
-    place = F.row_number().over(everything.orderBy((F.col("_exact") - F.col("_floor")).desc(), label))
+    shared = counts.withColumns(
+        {"_total": total.cast(whole), "_wanted": wanted, "_product": F.col("n").cast(whole) * wanted.cast(whole)}
+    ).withColumn("_rest", F.col("_product") % F.col("_total"))
+    floored = shared.withColumn("_floor", ((F.col("_product") - F.col("_rest")) / F.col("_total")).cast("bigint"))
+    floored = floored.withColumn("_left", F.col("_wanted") - F.sum("_floor").over(everything))
+    place = F.row_number().over(everything.orderBy(F.col("_rest").desc(), label))
     return floored.withColumn("_place", place).select(
         label, "n", (F.col("_floor") + (F.col("_place") <= F.col("_left")).cast("int")).alias("n_test")
     )

@@ -120,9 +120,15 @@ def windowed_shadow_mae(served: DataFrame, length: str, alert_above: float) -> D
     )
 
 
-def deduplicated(requests: DataFrame, delay: str) -> DataFrame:
-    """First arrival of each request id; state is kept for ``delay`` after an id was seen."""
-    return requests.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["request_id"])
+def deduplicated(requests: DataFrame, delay: str, salts: int = 16) -> DataFrame:
+    """First arrival of each request id; state is kept for ``delay`` after an id was seen.
+
+    A storm of retries of one id is first thinned out in ``salts`` places, so that at most that many rows
+    of an id meet in one task.
+    """
+    spread = requests.withWatermark("ts", delay).withColumn("_salt", F.pmod(F.xxhash64("ts"), F.lit(salts)))
+    thinned = spread.dropDuplicatesWithinWatermark(["request_id", "_salt"])
+    return thinned.dropDuplicatesWithinWatermark(["request_id"]).drop("_salt")
 
 
 def sessions(requests: DataFrame, gap: str = "30 minutes") -> DataFrame:

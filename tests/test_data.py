@@ -44,7 +44,7 @@ def test_split_is_exact_disjoint_and_repeatable(labelled):
     assert {r["id"]: r["split"] for r in many.collect()} == side
 
 
-@pytest.mark.parametrize("counts,n_test", [([10], [2]), ([3, 3, 3], [1, 1, 0]), ([1, 1], [1, 0]), ([4933, 10067], [987, 2013])])
+@pytest.mark.parametrize("counts,n_test", [([10], [2]), ([3, 3, 3], [1, 1, 0]), ([1, 1], [1, 0]), ([4933, 10067], [987, 2013]), ([10**11, 3 * 10**11 + 1], [2 * 10**10, 6 * 10**10 + 1])])
 def test_test_sizes(spark, counts, n_test):
     df = spark.createDataFrame(list(enumerate(counts)), "label int, n bigint")
     got = {r["label"]: r["n_test"] for r in split.test_sizes(df, "label", 0.2).collect()}
