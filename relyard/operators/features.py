@@ -26,24 +26,27 @@ def long_features(df: DataFrame, keys: Sequence[str], features: Sequence[str]) -
     return df.unpivot(list(keys), list(features), "feature", "value")
 
 
-def _per_feature(df: DataFrame, group: Sequence[str], features: Sequence[str], aggregates: dict) -> DataFrame:
+def _per_feature(
+    df: DataFrame, group: Sequence[str], features: Sequence[str], aggregates: dict[str, str]
+) -> DataFrame:
     """One pass over the wide rows: every aggregate per feature, then turned into one row per feature.
 
-    Aggregating wide and unfolding the result keeps the scan at one row per input row.
+    ``aggregates`` maps an output name to a SQL aggregate of ``{x}``. Aggregating wide and unfolding the
+    result keeps the scan at one row per input row.
     """
-    wide = [build(F.col(f)).alias(f"{name}__{f}") for f in features for name, build in aggregates.items()]
-    rows = F.array(
-        *[
-            F.struct(F.lit(f).alias("feature"), *[F.col(f"{name}__{f}").alias(name) for name in aggregates])
-            for f in features
-        ]
-    )
-    return df.groupBy(*group).agg(*wide).select(*group, F.inline(rows))
+    wide = [
+        F.expr(text.format(x=f"`{f}`")).alias(f"{name}__{f}") for f in features for name, text in aggregates.items()
+    ]
+    rows = [
+        f"named_struct('feature', '{f}', " + ", ".join(f"'{name}', `{name}__{f}`" for name in aggregates) + ")"
+        for f in features
+    ]
+    return df.groupBy(*group).agg(*wide).select(*group, F.expr(f"inline(array({', '.join(rows)}))"))
 
 
 def fit_scaler(train: DataFrame, features: Sequence[str]) -> DataFrame:
     """Mean and population standard deviation per feature."""
-    return _per_feature(train, [], features, {"mean": F.avg, "std": F.stddev_pop})
+    return _per_feature(train, [], features, {"mean": "avg({x})", "std": "stddev_pop({x})"})
 
 
 def apply_scaler(df: DataFrame, scaler: DataFrame, features: Sequence[str]) -> DataFrame:
@@ -75,18 +78,19 @@ def feature_stats(df: DataFrame, group: Sequence[str], features: Sequence[str])
         group,
         features,
         {
-            "count": F.count,
-            "nulls": lambda x: F.count_if(x.isNull()),
-            "mean": lambda x: F.round(F.avg(x), 6),
-            "std": lambda x: F.round(F.stddev_pop(x), 6),
-            "min": F.min,
-            "max": F.max,
+            "count": "count({x})",
+            "nulls": "count_if({x} IS NULL)",
+            "mean": "round(avg({x}), 6)",
+            "std": "round(stddev_pop({x}), 6)",
+            "min": "min({x})",
+            "max": "max({x})",
         },
     )
 
 
 def feature_quantiles(df: DataFrame, group: Sequence[str], features: Sequence[str], points: Sequence[float]) -> DataFrame:
-    sketch = {"quantiles": lambda x: F.percentile_approx(x, list(points), 10000)}
+    wanted = ", ".join(repr(float(p)) for p in points)
+    sketch = {"quantiles": f"percentile_approx({{x}}, array({wanted}), 10000)"}
     return _per_feature(df, group, features, sketch)
 
 

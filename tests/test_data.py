@@ -217,3 +217,19 @@ def test_run_log_round_trip(spark, location):
     back = {r["run_id"]: r for r in tables.run_log_maps(spark.read.parquet(location)).collect()}
     assert back["r1"]["tags"] == {"step": "train"} and back["r1"]["metrics"] == {"auc": 0.5}
     assert back["r3"]["tags"] == {"a": "x", "b": ""} and back["r3"]["params"] == {}
+
+
+def test_feature_names_with_spaces(labelled):
+    """Real feature names look like 'mean radius'."""
+    rows, df = labelled
+    names = [f"mean radius {f}" for f in FEATURES]
+    spaced = df.select("id", "seg", "y", *[F.col(f).alias(n) for f, n in zip(FEATURES, names)])
+    stats = {r["feature"]: r["count"] for r in features.feature_stats(spaced, [], names).collect()}
+    assert stats == {n: len(rows) for n in names}
+    scaled = features.apply_scaler(spaced, features.fit_scaler(spaced, names), names)
+    assert abs(scaled.agg(F.avg(F.col(names[2]))).first()[0]) < 1e-9
+    model = training.train_logreg(spaced, names, "y").orderBy("feature_pos").collect()
+    assert [r["feature"] for r in model] == names
+    assert np.allclose([model[0]["intercept"], *[r["coef"] for r in model]], newton(*balanced(rows)), atol=1e-5)
+    assert training.train_per_segment(spaced, "seg", names, "y").count() == 3
+    assert fingerprint.content_hash_multiset(spaced).first()["row_count"] == len(rows)
