@@ -65,18 +65,20 @@ def roc_auc(scored: DataFrame, group: Sequence[str], score_kind: str = "probabil
     return _auc_of(collapse(_as_scored(scored, score_kind), group), group)
 
 
-def _auc_of(collapsed: DataFrame, group: Sequence[str]) -> DataFrame:
+def _auc_of(collapsed: DataFrame, group: Sequence[str], more: dict[str, Column] | None = None) -> DataFrame:
+    """AUC per group from collapsed rows, with further aggregates of the same rows."""
+    others = more or {}
     pos, neg = F.col("counts.pos"), F.col("counts.neg")
     points = running_sums(_banded(collapsed, 1), group, list(BANDS), ["score"], {"neg_below": neg})
     # Twice the rank statistic stays a whole number; decimal keeps it exact for any table size.
     wins = pos.cast("decimal(18,0)") * (2 * F.col("neg_below") + neg).cast("decimal(18,0)")
     summed = points.groupBy(*group).agg(
-        F.sum(pos).alias("positives"), F.sum(neg).alias("negatives"), F.sum(wins).cast("double").alias("_wins")
+        F.sum(pos).alias("positives"), F.sum(neg).alias("negatives"), F.sum(wins).cast("double").alias("_wins"),
+        *[value.alias(name) for name, value in others.items()],
     )
     pairs = 2.0 * F.col("positives") * F.col("negatives")
-    return summed.select(
-        *group, "positives", "negatives", F.when(pairs > 0, F.col("_wins") / F.when(pairs > 0, pairs)).alias("auc")
-    )
+    auc = F.when(pairs > 0, F.col("_wins") / F.when(pairs > 0, pairs))
+    return summed.select(*group, "positives", "negatives", auc.alias("auc"), *others)
 
 
 def roc_points(scored: DataFrame, group: Sequence[str]) -> DataFrame:
@@ -121,11 +123,8 @@ def report(
     pos, neg = F.col("counts.pos"), F.col("counts.neg")
     hit = label_of(F.col("score"), c.DECISION_THRESHOLD) == 1
     part = lambda n, at: F.coalesce(F.sum(F.when(at, n)), F.lit(0))
-    counts = collapsed.groupBy(*group).agg(
-        part(pos, hit).alias("tp"), part(neg, hit).alias("fp"), part(neg, ~hit).alias("tn"), part(pos, ~hit).alias("fn")
-    )
-    auc = _auc_of(collapsed, group).select(*group, "auc")
-    return counts.join(auc, list(group)).select(
+    cells = {"tp": part(pos, hit), "fp": part(neg, hit), "tn": part(neg, ~hit), "fn": part(pos, ~hit)}
+    return _auc_of(collapsed, group, cells).select(
         *group,
         F.round(accuracy_of(), 6).alias(f"{prefix}accuracy"),
         F.round(f1_of(), 6).alias(f"{prefix}f1"),
