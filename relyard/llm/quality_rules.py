@@ -2,8 +2,8 @@
 
 Each rule votes 1 (good), -1 (bad) or 0 (abstains) on the counts of a document. Votes are summed up as one row per vote
 pattern over the whole corpus: at most 3 ** rules rows, whatever its size. From that small table the driver estimates the share
-of good documents and each rule's accuracy (a vote agrees with the hidden quality with probability a, independently
-of the other rules), and the posterior of every document is again a column expression.
+of good documents and each rule's accuracies (a vote is right with one probability on good and another on bad documents,
+independently of the other rules), and the posterior of every document is again a column expression.
 
 ``judge(docs)`` returns one row per input row: doc_id, the counts, base_failed, posterior, kept. Hard limits fail a document before
 any vote (``base_failed``). Null or empty text: no words, so base_failed. Repeated rows are judged alike and each counts in
@@ -39,53 +39,60 @@ class VoteRule:
         return F.expr(f"CASE WHEN {self.bad} THEN -1 WHEN {self.good} THEN 1 ELSE 0 END")
 
 
+# Every fault is looked for by at least two rules: a single dissenting vote does not make a document bad.
 RULES = (
     VoteRule("length", "n_words < 50", "n_words >= 100"),
     VoteRule("word_length", "word_chars < 2.5 * n_words OR word_chars > 12 * n_words", "word_chars BETWEEN 3 * n_words AND 10 * n_words"),
     VoteRule("symbols", "n_symbols > 0.3 * n_words", "n_symbols <= 0.02 * n_words"),
+    VoteRule("symbol_share", "n_symbols > 0.08 * word_chars", "n_symbols <= 0.01 * word_chars"),
     VoteRule("repeats", "n_repeat_words > 0.3 * n_words", "n_repeat_words <= 0.1 * n_words"),
     VoteRule("lines", "n_dup_lines > 0.3 * n_lines", "n_dup_lines <= 0.05 * n_lines"),
     VoteRule("capitals", "n_upper > 0.4 * n_letters", "n_upper <= 0.2 * n_letters"),
     VoteRule("variety", "n_distinct < 0.15 * n_words AND n_words >= 100", "n_distinct >= 0.35 * n_words"),
-    VoteRule("letters", "n_letters < 0.6 * word_chars", "n_letters >= 0.85 * word_chars"),
+    VoteRule("letters", "n_letters < 0.8 * word_chars", "n_letters >= 0.9 * word_chars"),
 )
 
 
 @dataclass(frozen=True)
 class VoteModel:
+    """Share of good documents, and for each rule how often its vote is right on good and on bad documents."""
+
     prior: float
-    accuracies: tuple[float, ...]
+    on_good: tuple[float, ...]
+    on_bad: tuple[float, ...]
+
+    def weights(self) -> list[tuple[float, float]]:
+        """Log-odds that a vote for good and a vote for bad add, rule by rule; abstaining adds nothing."""
+        return [(math.log(g / (1 - b)), math.log((1 - g) / b)) for g, b in zip(self.on_good, self.on_bad)]
 
-    def logit(self, votes: Sequence) -> object:
-        """Log-odds of good; votes are numbers, arrays or columns."""
-        total = math.log(self.prior / (1 - self.prior))
-        for vote, a in zip(votes, self.accuracies):
-            total = vote * math.log(a / (1 - a)) + total
+    def logit(self, votes: Sequence[Column]) -> Column:
+        total = F.lit(math.log(self.prior / (1 - self.prior)))
+        for vote, (up, down) in zip(votes, self.weights()):
+            total = total + F.when(vote == 1, up).when(vote == -1, down).otherwise(0.0)
         return total
 
 
 def fit_votes(patterns: np.ndarray, counts: np.ndarray, steps: int = 100, tolerance: float = 1e-9) -> VoteModel:
-    """Expectation-maximisation over distinct vote patterns.
+    """Expectation-maximisation over distinct vote patterns, for two hidden classes.
 
-    Accuracies stay within 0.55 and 0.99: a rule is taken to be better than chance, which names the two hidden classes.
+    Each rule looks for one fault, so its vote for bad says much and its vote for good little: it has an accuracy for
+    either class. Every rule is held better than chance (the two add up to 1.05 at least), which names the classes.
     """
     n_rules = patterns.shape[1]
-    prior, accuracy = 0.7, np.full(n_rules, 0.8)
-    if counts.sum() == 0:
-        return VoteModel(prior, tuple(accuracy))
-    for _ in range(steps):
-        z = math.log(prior / (1 - prior)) + patterns @ np.log(accuracy / (1 - accuracy))
-        good = 1 / (1 + np.exp(-z))
-        new_prior = float(np.clip((good @ counts) / counts.sum(), 0.05, 0.95))
-        right = counts @ (np.where(patterns == 1, good[:, None], 0) + np.where(patterns == -1, 1 - good[:, None], 0))
-        cast = counts @ (patterns != 0)
-        # One right and one wrong vote are added per rule, so that a rule that always abstains keeps a mild weight.
-        new_accuracy = np.clip((right + 1) / (cast + 2), 0.55, 0.99)
-        moved = max(abs(new_prior - prior), float(np.abs(new_accuracy - accuracy).max()))
-        prior, accuracy = new_prior, new_accuracy
-        if moved < tolerance:
+    prior, on_good, on_bad = 0.7, np.full(n_rules, 0.95), np.full(n_rules, 0.3)
+    up, down = patterns == 1, patterns == -1
+    for _ in range(steps if counts.sum() else 0):
+        z = math.log(prior / (1 - prior)) + up @ np.log(on_good / (1 - on_bad)) + down @ np.log((1 - on_good) / on_bad)
+        good = counts / (1 + np.exp(-z))
+        bad = counts - good
+        before = np.r_[prior, on_good, on_bad]
+        prior = float(np.clip(good.sum() / counts.sum(), 0.05, 0.95))
+        # As if 20 votes, right as often as at the start, came first: a rule that hardly votes keeps a mild weight.
+        on_good = np.clip((good @ up + 19) / (good @ (up | down) + 20), 0.6, 0.995)
+        on_bad = np.clip((bad @ down + 6) / (bad @ (up | down) + 20), np.maximum(0.05, 1.05 - on_good), 0.99)
+        if np.abs(np.r_[prior, on_good, on_bad] - before).max() < tolerance:
             break
-    return VoteModel(prior, tuple(float(a) for a in accuracy))
+    return VoteModel(prior, tuple(map(float, on_good)), tuple(map(float, on_bad)))
 
 
 def vote_patterns(stats: DataFrame, rules: Sequence[VoteRule]) -> tuple[np.ndarray, np.ndarray]:
