@@ -85,11 +85,11 @@ def finish_digest() -> Column:
     return sha256_text(F.concat_ws("|", *parts))
 
 
-def canonical_json(payload: Column) -> Column:
-    """Compact JSON with sorted keys and shortest float text; null where the text is not JSON.
+def canonical_json(payload: Column, member: str | None = None) -> Column:
+    """Compact JSON with sorted keys and shortest float text, of the whole text or of one member of an object.
 
-    Only for payloads with floats or non-ASCII text; integers, booleans and plain strings have a
-    built-in form in :func:`relyard.operators.routing.canonical_rows`.
+    Null where the text is not JSON or has no such member. Only for payloads with floats or non-ASCII text; integers,
+    booleans and plain strings have a built-in form in :func:`relyard.operators.routing.canonical_rows`.
     """
 
     @F.pandas_udf("string")
@@ -97,9 +97,12 @@ def canonical_json(payload: Column) -> Column:
         import json
 
         def one(text):
+            if text is None:
+                return None
             try:
-                return json.dumps(json.loads(text), sort_keys=True, separators=(",", ":"))
-            except (TypeError, ValueError):
+                value = json.loads(text)
+                return json.dumps(value if member is None else value[member], sort_keys=True, separators=(",", ":"))
+            except (TypeError, ValueError, KeyError):
                 return None
 
         return texts.map(one)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from relyard import constants as c
 from relyard.functions.columns import with_once
-from relyard.functions.hashing import bucket_of_digest, sha256_text
+from relyard.functions.hashing import bucket_of_digest, canonical_json, sha256_text
 from relyard.functions.scoring import mean_abs_diff, probabilities
 from relyard.functions.text import strip_or_null
 from relyard.operators.ordered import lookup_join
@@ -43,13 +43,21 @@ def parse_bodies(requests: DataFrame) -> DataFrame:
     return with_once(cast, body_error=error)
 
 
-def canonical_rows() -> Column:
-    """Compact JSON of the rows with sorted keys, for integer, boolean and plain text values.
+# Bodies whose canonical text the built-in form could print differently: fractions and exponents, numbers beyond 18 digits,
+# minus zero, escapes, and text beyond ASCII.
+NOT_PLAIN = r"[0-9][.eE]|[0-9]{19}|-0|\\|[^\x00-\x7F]"
 
-    A variant keeps object keys sorted, so printing it is the canonical form. Payloads with floats
-    need :func:`relyard.functions.hashing.canonical_json`.
+
+def canonical_rows(wanted: Column | None = None) -> Column:
+    """Compact JSON of the rows with sorted keys, as Python's ``json.dumps`` prints it; null where not ``wanted``.
+
+    A variant keeps object keys sorted, so printing it is the canonical form of integers, booleans and plain text. The
+    other bodies go through an Arrow function, and only they: it gets null for every other row.
     """
-    return F.when(F.col("body_error").isNull(), F.to_json(F.try_variant_get("document", ROWS, "variant")))
+    here = F.col("body_error").isNull() if wanted is None else wanted & F.col("body_error").isNull()
+    plain = ~F.col("body").rlike(NOT_PLAIN)
+    exact = canonical_json(F.when(here & ~plain, F.col("body")), "rows")
+    return F.when(here, F.when(plain, F.to_json(F.try_variant_get("document", ROWS, "variant"))).otherwise(exact))
 
 
 def canary_seed(requests: DataFrame, needed: Column | None = None) -> DataFrame:
@@ -59,7 +67,7 @@ def canary_seed(requests: DataFrame, needed: Column | None = None) -> DataFrame:
     """
     wanted = F.lit(True) if needed is None else needed
     by_client, by_payload = F.col("client_provided"), F.col("body_error").isNull()
-    seed = F.when(by_client | ~by_payload, F.col("request_id")).otherwise(canonical_rows())
+    seed = F.when(by_client | ~by_payload, F.col("request_id")).otherwise(canonical_rows(wanted & ~by_client))
     source = F.when(by_client, F.lit("request_id")).when(by_payload, F.lit("payload_hash")).otherwise(F.lit("random"))
     return requests.withColumns({"seed": F.when(wanted, seed), "seed_source": F.when(wanted, source)})
 

@@ -46,7 +46,7 @@ SELECT event_id, ts, user_id, concat('m', user_id) AS model_name,
        CASE user_id % 6 WHEN 0 THEN 'prod' WHEN 1 THEN 'candidate' WHEN 2 THEN 'shadow' WHEN 5 THEN 'bogus' ELSE 'canary' END AS mode,
        CASE event_type WHEN 'view' THEN '/health' WHEN 'signup' THEN '/metrics' ELSE '/predict' END AS endpoint,
        CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, CAST(floor(value) AS BIGINT) AS v,
-       event_id % 20 AS kind, value / 1e2 AS latency_s,
+       event_id % 20 AS kind, CASE WHEN event_id % 20 = 4 THEN 0.5e0 ELSE 0e0 END + CAST(json_extract_string(props, '$.k') AS BIGINT) AS kx, value / 1e2 AS latency_s,
        CASE WHEN event_type = 'error' AND event_id % 2 = 0 THEN 503 WHEN event_type = 'error' THEN 500 ELSE 200 END AS status
 FROM events"""),
     "rp": (("rq",), """
@@ -54,6 +54,8 @@ SELECT *, trim(client_request_id) IS NOT NULL AS client_provided,
        coalesce(trim(client_request_id), md5(concat('request:', event_id))) AS request_id,
        CASE kind WHEN 9 THEN 'missing_rows' WHEN 19 THEN 'invalid_json' WHEN 13 THEN 'rows_not_list' WHEN 7 THEN 'row_not_object' END AS body_error,
        CASE WHEN kind IN (9, 19, 13, 7) THEN NULL WHEN kind = 14 THEN '[]' WHEN kind = 3 THEN concat('[{"k":', k, '}]')
+            WHEN kind = 4 THEN concat('[{"k":', k, '.5,"v":', v, '.0,"\\u00e9":1e-05},{"k":', k, '.5,"v":', event_id % 50, '.0}]')
+            WHEN kind = 6 THEN concat('[{"k":', k, ',"v":', v, ',"x":1e+22},{"k":', k, ',"v":', event_id % 50, ',"\\u00fc":0}]')
             ELSE concat('[{"k":', k, ',"v":', v, '},{"k":', k, ',"v":', event_id % 50, '}]') END AS rows_text
 FROM rq WHERE endpoint = '/predict'"""),
     "rb": (("rp",), """
@@ -80,10 +82,10 @@ SELECT *, CASE WHEN status = 200 AND run_shadow AND other_i IS NOT NULL
                THEN CASE WHEN n = 0 THEN 0.0e0 ELSE (abs(p0 - q0) + abs(p1 - q1)) / 2 END END AS shadow_mae
 FROM (SELECT *, CASE WHEN body_error IS NOT NULL OR chosen IS NULL THEN 422 WHEN main_i IS NULL THEN 503 WHEN kind = 3 THEN 500 ELSE 200 END AS status,
         CASE WHEN kind = 14 THEN 0 ELSE 2 END AS n,
-        1 / (1 + exp(-(main_i + main_k * ((k - 50) / 25e0) + main_v * ((v - 25) / main_sd)))) AS p0,
-        1 / (1 + exp(-(main_i + main_k * ((k - 50) / 25e0) + main_v * ((event_id % 50 - 25) / main_sd)))) AS p1,
-        1 / (1 + exp(-(other_i + other_k * ((k - 50) / 25e0) + other_v * ((v - 25) / other_sd)))) AS q0,
-        1 / (1 + exp(-(other_i + other_k * ((k - 50) / 25e0) + other_v * ((event_id % 50 - 25) / other_sd)))) AS q1
+        1 / (1 + exp(-(main_i + main_k * ((kx - 50) / 25e0) + main_v * ((v - 25) / main_sd)))) AS p0,
+        1 / (1 + exp(-(main_i + main_k * ((kx - 50) / 25e0) + main_v * ((event_id % 50 - 25) / main_sd)))) AS p1,
+        1 / (1 + exp(-(other_i + other_k * ((kx - 50) / 25e0) + other_v * ((v - 25) / other_sd)))) AS q0,
+        1 / (1 + exp(-(other_i + other_k * ((kx - 50) / 25e0) + other_v * ((event_id % 50 - 25) / other_sd)))) AS q1
       FROM (SELECT rt.* EXCLUDE (status), prod_version, candidate_version,
               CASE WHEN chosen = 'prod' THEN prod_version ELSE candidate_version END AS version,
               CASE WHEN chosen = 'prod' THEN p_i ELSE c_i END AS main_i, CASE WHEN chosen = 'prod' THEN p_k ELSE c_k END AS main_k,

@@ -135,6 +135,8 @@ def requests_from(events: DataFrame) -> DataFrame:
              WHEN 14 THEN '{"rows": []}'
              WHEN 7 THEN '{"rows": [{"k": 1, "v": 2}, 5]}'
              WHEN 3 THEN concat('{"rows": [{"k": ', k, '}]}')
+             WHEN 4 THEN concat('{"rows": [{"v": ', v, '.0, "k": ', k, '.50, "é": 0.00001}, {"k": ', k, '.5, "v": ', event_id % 50, '.0}]}')
+             WHEN 6 THEN concat('{"rows": [{"v": ', v, ', "k": ', k, ', "x": 1E22}, {"v": ', event_id % 50, ', "k": ', k, ', "ü": -0}]}')
              ELSE concat('{"rows": [{"v": ', v, ', "k": ', k, '}, {"v": ', event_id % 50, ', "k": ', k, '}]}')
            END AS body""",
         "value / 1e2 AS latency_s",
