@@ -11,7 +11,8 @@ SEPARATOR = "\x1f"
 DIGEST_PIECES = 4
 PIECE_DIGITS = 15
 LIMB_BITS = 20
-DIGEST_SUMS = tuple(f"s{i}" for i in range(12))
+DIGEST_SUMS = tuple(f"s{i}" for i in range(13))
+JSON_OPTIONS = {"ignoreNullFields": "false", "timeZone": "UTC", "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSX"}
 
 
 def sha256_text(text: Column) -> Column:
@@ -39,14 +40,22 @@ def bucket_of_digest(digest: Column) -> Column:
 
 
 def cell_text(column: str, data_type: str) -> Column:
-    """Lossless text of one value: null is marked, separators inside text are escaped."""
+    """Lossless text of one value, the same in every session: null is marked, separators inside text are escaped.
+
+    Instants count as microseconds since 1970 and maps as their sorted entries, so neither the time zone nor the order of
+    insertion shows.
+    """
     value = F.col(f"`{column}`")
     if data_type == "string":
         text = F.replace(F.replace(value, F.lit("\\"), F.lit("\\\\")), F.lit(SEPARATOR), F.lit("\\u"))
-    elif data_type in ("timestamp", "timestamp_ntz"):
-        text = F.date_format(value, "yyyy-MM-dd HH:mm:ss.SSSSSS")
-    elif data_type.startswith(("array", "map", "struct")):
-        text = F.to_json(value)
+    elif data_type == "timestamp":
+        text = F.unix_micros(value).cast("string")
+    elif data_type.startswith("map"):
+        text = F.to_json(F.array_sort(F.map_entries(value)), JSON_OPTIONS)
+    elif data_type.startswith(("array", "struct")):
+        if "map<" in data_type:
+            raise ValueError(f"column {column}: a map inside {data_type} has no fixed order; unfold it first")
+        text = F.to_json(value, JSON_OPTIONS)
     else:
         text = value.cast("string")
     return F.coalesce(F.concat(F.lit("="), text), F.lit("~"))
@@ -62,8 +71,8 @@ def row_text(df: DataFrame, columns: Sequence[str] | None = None) -> Column:
 def digest_sums(digest: Column) -> list[Column]:
     """Order-free aggregates of row digests; add them up across partitions, days or tables.
 
-    The first 60 hex digits are read as four 60-bit numbers and summed as twelve 20-bit limbs: plain
-    bigint sums are much cheaper than wide decimals and hold 8.8e12 rows before they would overflow,
+    The 64 hex digits are read as four 60-bit numbers and one of 16 bits, and summed as thirteen limbs of at most 20
+    bits: plain bigint sums are much cheaper than wide decimals and hold 8.8e12 rows before they would overflow,
     which raises an error.
     """
     mask = (1 << LIMB_BITS) - 1
@@ -75,6 +84,7 @@ def digest_sums(digest: Column) -> list[Column]:
             F.shiftright(piece, LIMB_BITS).bitwiseAND(mask),
             piece.bitwiseAND(mask),
         ]
+    limbs.append(_hex_number(digest, 1 + DIGEST_PIECES * PIECE_DIGITS, 4).cast("bigint"))
     sums = [F.coalesce(F.sum(limb), F.lit(0)).alias(name) for limb, name in zip(limbs, DIGEST_SUMS)]
     return [F.count(F.lit(1)).alias("row_count"), *sums]
 
@@ -85,6 +95,14 @@ def finish_digest() -> Column:
     return sha256_text(F.concat_ws("|", *parts))
 
 
+def json_quoted(text: Column) -> Column:
+    """A text as a JSON string the way Python prints it. Only text beyond printable ASCII leaves the built-in form."""
+    array = F.to_json(F.array(text))
+    quoted = F.substring(array, F.lit(2), F.length(array) - 2)
+    plain = ~text.rlike(r"[^\x20-\x7e]")
+    return F.when(plain, quoted).otherwise(canonical_json(F.when(~plain, quoted)))
+
+
 def canonical_json(payload: Column, member: str | None = None) -> Column:
     """Compact JSON with sorted keys and shortest float text, of the whole text or of one member of an object.
 

@@ -42,6 +42,6 @@ def parse_model_uri(uri: Column) -> Column:
     return F.struct(
         part(r"^models:/([^@/]+)[@/].+$").alias("model_name"),
         part(r"^models:/[^@/]+@(.+)$").alias("alias"),
-        part(r"^models:/[^@/]+/(\d+)$").cast("bigint").alias("version"),
+        part(r"^models:/[^@/]+/(\d+)$").try_cast("bigint").alias("version"),
         part(r"^runs:/([^/]+)/.+$").alias("run_id"),
     )

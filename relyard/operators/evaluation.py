@@ -13,22 +13,32 @@ from relyard.operators.ordered import lookup_join, running_sums, score_band
 
 
 def confusion(scored: DataFrame, group: Sequence[str], threshold: float = c.DECISION_THRESHOLD) -> DataFrame:
-    predicted, actual = label_of(F.col("score"), threshold) == 1, F.col("label") == 1
+    """The four cells of each group, and ``invalid``: rows without a label or a usable score, which belong to none."""
+    predicted, actual, ok = label_of(F.col("score"), threshold) == 1, F.col("label") == 1, usable()
     return scored.groupBy(*group).agg(
-        F.count_if(predicted & actual).alias("tp"),
-        F.count_if(predicted & ~actual).alias("fp"),
-        F.count_if(~predicted & ~actual).alias("tn"),
-        F.count_if(~predicted & actual).alias("fn"),
+        F.count_if(ok & predicted & actual).alias("tp"),
+        F.count_if(ok & predicted & ~actual).alias("fp"),
+        F.count_if(ok & ~predicted & ~actual).alias("tn"),
+        F.count_if(ok & ~predicted & actual).alias("fn"),
+        F.count_if(~ok).alias("invalid"),
     )
 
 
+def usable() -> Column:
+    """Never null: the row has a label and a score that is a number."""
+    return F.col("label").isNotNull() & F.col("score").isNotNull() & ~F.coalesce(F.isnan("score"), F.lit(True))
+
+
 def accuracy_of() -> Column:
-    return (F.col("tp") + F.col("tn")) / (F.col("tp") + F.col("fp") + F.col("tn") + F.col("fn"))
+    """Null for a group with invalid rows, or with no rows at all."""
+    share = F.try_divide(F.col("tp") + F.col("tn"), F.col("tp") + F.col("fp") + F.col("tn") + F.col("fn"))
+    return F.when(F.col("invalid") == 0, share)
 
 
 def f1_of() -> Column:
+    """Zero where nothing is or should be positive; null for a group with invalid rows."""
     weight = 2 * F.col("tp") + F.col("fp") + F.col("fn")
-    return F.when(weight == 0, F.lit(0.0)).otherwise(2 * F.col("tp") / F.when(weight != 0, weight))
+    return F.when(F.col("invalid") == 0, F.coalesce(F.try_divide(2 * F.col("tp"), weight), F.lit(0.0)))
 
 
 # Coarse and fine score bands; the fine ones split a coarse band that holds very many distinct scores.
@@ -36,15 +46,17 @@ BANDS = {"_band": 64, "_fine": 64 * 1024}
 
 
 def collapse(scored: DataFrame, group: Sequence[str]) -> DataFrame:
-    """One row per distinct score with ``counts`` (pos, neg), so ties and copies never reach a sort.
+    """One row per distinct score with ``counts`` (pos, neg, invalid), so ties and copies never reach a sort.
 
-    Both counts travel as one value: every later use then needs the very same shuffle, and Spark
+    The counts travel as one value: every later use then needs the very same shuffle, and Spark
     computes it once.
     """
     counted = scored.groupBy(*group, "score").agg(
-        F.count_if(F.col("label") == 1).alias("pos"), F.count_if(F.col("label") != 1).alias("neg")
+        F.count_if(usable() & (F.col("label") == 1)).alias("pos"),
+        F.count_if(usable() & (F.col("label") != 1)).alias("neg"),
+        F.count_if(~usable()).alias("invalid"),
     )
-    return with_once(counted, counts=F.struct("pos", "neg")).select(*group, "score", "counts")
+    return with_once(counted, counts=F.struct("pos", "neg", "invalid")).select(*group, "score", "counts")
 
 
 def _banded(collapsed: DataFrame, sign: int) -> DataFrame:
@@ -56,12 +68,13 @@ def _banded(collapsed: DataFrame, sign: int) -> DataFrame:
 def _as_scored(scored: DataFrame, score_kind: str) -> DataFrame:
     """``score_kind='label'`` replaces the probability by its thresholded 0/1 prediction."""
     if score_kind == "label":
-        return scored.withColumn("score", label_of(F.col("score"), c.DECISION_THRESHOLD).cast("double"))
+        hard = F.when(~F.isnan("score"), label_of(F.col("score"), c.DECISION_THRESHOLD).cast("double"))
+        return scored.withColumn("score", hard)
     return scored
 
 
 def roc_auc(scored: DataFrame, group: Sequence[str], score_kind: str = "probability") -> DataFrame:
-    """Exact AUC per group, ties counting half; null when only one class is present."""
+    """Exact AUC per group, ties counting half; null when only one class is present or a row is invalid."""
     return _auc_of(collapse(_as_scored(scored, score_kind), group), group)
 
 
@@ -73,17 +86,21 @@ def _auc_of(collapsed: DataFrame, group: Sequence[str], more: dict[str, Column]
     # Twice the rank statistic stays a whole number; decimal keeps it exact for any table size.
     wins = pos.cast("decimal(18,0)") * (2 * F.col("neg_below") + neg).cast("decimal(18,0)")
     summed = points.groupBy(*group).agg(
-        F.sum(pos).alias("positives"), F.sum(neg).alias("negatives"), F.sum(wins).cast("double").alias("_wins"),
+        F.sum(pos).alias("positives"), F.sum(neg).alias("negatives"), F.sum("counts.invalid").alias("invalid"),
+        F.sum(wins).cast("double").alias("_wins"),
         *[value.alias(name) for name, value in others.items()],
     )
     pairs = 2.0 * F.col("positives") * F.col("negatives")
-    auc = F.when(pairs > 0, F.col("_wins") / F.when(pairs > 0, pairs))
-    return summed.select(*group, "positives", "negatives", auc.alias("auc"), *others)
+    auc = F.when(F.col("invalid") == 0, F.try_divide(F.col("_wins"), F.nullif(pairs, F.lit(0.0))))
+    return summed.select(*group, "positives", "negatives", "invalid", auc.alias("auc"), *others)
 
 
 def roc_points(scored: DataFrame, group: Sequence[str]) -> DataFrame:
-    """(fpr, tpr, threshold) for every distinct score, from (0, 0) at an infinite threshold down."""
-    collapsed = collapse(scored, group)
+    """(fpr, tpr, threshold) for every distinct score, from (0, 0) at an infinite threshold down.
+
+    A curve is drawn over usable rows; :func:`confusion` counts the others.
+    """
+    collapsed = collapse(scored.filter(usable()), group)
     pos, neg = F.col("counts.pos"), F.col("counts.neg")
     points = running_sums(
         _banded(collapsed, -1), group, list(BANDS), [F.col("score").desc()], {"tp_above": pos, "fp_above": neg}
@@ -118,7 +135,7 @@ def gate_text(auc: Column, minimum: float = c.GATE_MIN_AUC) -> Column:
 def report(
     scored: DataFrame, group: Sequence[str], prefix: str = "eval_", score_kind: str = "probability"
 ) -> DataFrame:
-    """One row per model: accuracy, F1, AUC and the gate."""
+    """One row per model: accuracy, F1, AUC and the gate. With an invalid row the metrics are null and the gate is false."""
     collapsed = collapse(_as_scored(scored, score_kind), group)
     pos, neg = F.col("counts.pos"), F.col("counts.neg")
     hit = label_of(F.col("score"), c.DECISION_THRESHOLD) == 1

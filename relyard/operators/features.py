@@ -4,12 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from relyard.functions.scoring import standardise
-from relyard.operators.ordered import small_map
-
-MAX_MAPPED_CLASSES = 1_000
 
 
 def feature_label_split(df: DataFrame, label: str) -> tuple[DataFrame, DataFrame]:
@@ -22,10 +19,6 @@ def label_cast(label: Column) -> Column:
     return F.when(label.isNotNull(), whole.cast("int")).otherwise(F.raise_error(F.lit("null label")).cast("int"))
 
 
-def long_features(df: DataFrame, keys: Sequence[str], features: Sequence[str]) -> DataFrame:
-    return df.unpivot(list(keys), list(features), "feature", "value")
-
-
 def _per_feature(
     df: DataFrame, group: Sequence[str], features: Sequence[str], aggregates: dict[str, str]
 ) -> DataFrame:
@@ -61,15 +54,8 @@ def apply_scaler(df: DataFrame, scaler: DataFrame, features: Sequence[str]) -> D
 def class_weights(df: DataFrame, label: str) -> DataFrame:
     """Balanced weights n / (k * n_c)."""
     counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("n_class"))
-    everything = Window.partitionBy()  # one row per class
-    return counts.withColumn(
-        "weight", F.sum("n_class").over(everything) / (F.count(F.lit(1)).over(everything) * F.col("n_class"))
-    )
-
-
-def with_class_weights(df: DataFrame, label: str) -> DataFrame:
-    weights = small_map(class_weights(df, label), label, F.col("weight"), MAX_MAPPED_CLASSES)
-    return df.withColumn("weight", F.try_element_at(weights, F.col(label)))
+    mean = counts.agg(F.avg("n_class")).scalar()
+    return counts.withColumn("weight", mean / F.col("n_class"))
 
 
 def feature_stats(df: DataFrame, group: Sequence[str], features: Sequence[str]) -> DataFrame:
@@ -104,7 +90,10 @@ def feature_stats_json(stats: DataFrame, version: str) -> DataFrame:
 
 
 def psi(df: DataFrame, split: str, left: str, right: str, features: Sequence[str], bins: int = 10, floor: float = 1e-6) -> DataFrame:
-    """Population stability index between two sides of a table over equal-width bins of the joint range."""
+    """Population stability index between two sides of a table over equal-width bins of the joint range.
+
+    Missing values have a bin of their own. A side without rows counts as empty bins.
+    """
     ranges = df.agg(
         F.struct(*[F.struct(F.min(f).alias("lo"), F.max(f).alias("hi")).alias(f) for f in features]).alias("r")
     ).scalar()
@@ -112,7 +101,8 @@ def psi(df: DataFrame, split: str, left: str, right: str, features: Sequence[str
     def bin_of(f: str) -> Column:
         lo, hi = F.col("_ranges")[f]["lo"], F.col("_ranges")[f]["hi"]
         width = F.when(hi > lo, (hi - lo) / bins)
-        return F.coalesce(F.least(F.lit(bins - 1), F.floor((F.col(f) - lo) / width).cast("int")), F.lit(0))
+        inside = F.coalesce(F.least(F.lit(bins - 1), F.floor((F.col(f) - lo) / width).cast("int")), F.lit(0))
+        return F.when(F.col(f).isNull(), F.lit(-1)).otherwise(inside)
 
     cells = df.withColumn("_ranges", ranges).select(
         F.col(split).alias("side"), F.inline(F.array(*[F.struct(F.lit(f).alias("feature"), bin_of(f).alias("bin")) for f in features]))
@@ -121,8 +111,8 @@ def psi(df: DataFrame, split: str, left: str, right: str, features: Sequence[str
         F.count_if(F.col("side") == left).alias("l"), F.count_if(F.col("side") == right).alias("r")
     )
     totals = counted.groupBy("feature").agg(F.sum("l").alias("tl"), F.sum("r").alias("tr"))
-    p = F.greatest(F.col("l") / F.col("tl"), F.lit(floor))
-    q = F.greatest(F.col("r") / F.col("tr"), F.lit(floor))
+    p = F.greatest(F.coalesce(F.try_divide("l", "tl"), F.lit(0.0)), F.lit(floor))
+    q = F.greatest(F.coalesce(F.try_divide("r", "tr"), F.lit(0.0)), F.lit(floor))
     return (
         counted.join(totals, "feature")
         .groupBy("feature")

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from relyard import constants as c
-from relyard.functions.hashing import DIGEST_SUMS, digest_sums, finish_digest, row_text, sha256_text
+from relyard.functions.hashing import DIGEST_SUMS, digest_sums, finish_digest, json_quoted, row_text, sha256_text
 from relyard.functions.text import strip_or_null
 from relyard.operators.ordered import exact_rank, needed_bins
 
@@ -28,14 +29,14 @@ def schema_columns(spark: SparkSession, tables: dict[str, DataFrame]) -> DataFra
 
 def schema_hash(columns: DataFrame) -> DataFrame:
     """sha256 of the compact JSON list of [name, type] pairs; column order matters."""
-    pair = F.concat(F.lit('["'), F.col("column_name"), F.lit('","'), F.col("data_type"), F.lit('"]'))
+    pair = F.concat(F.lit("["), json_quoted(F.col("column_name")), F.lit(","), json_quoted(F.col("data_type")), F.lit("]"))
     ordered = F.sort_array(F.collect_set(F.struct(F.col("pos"), pair.alias("pair"))))
     text = F.concat(F.lit("["), F.array_join(F.transform(ordered, lambda x: x["pair"]), ","), F.lit("]"))
     return columns.groupBy("table_name").agg(F.count(F.lit(1)).alias("n_columns"), sha256_text(text).alias("schema_hash"))
 
 
 def schema_text(df: DataFrame) -> str:
-    return "[" + ",".join(f'["{name}","{hash_type(t)}"]' for name, t in df.dtypes) + "]"
+    return json.dumps([[name, hash_type(t)] for name, t in df.dtypes], separators=(",", ":"))
 
 
 def content_sums(df: DataFrame, group: Sequence[str] = (), columns: Sequence[str] | None = None) -> DataFrame:
@@ -54,28 +55,24 @@ def content_hash_multiset(df: DataFrame, group: Sequence[str] = ()) -> DataFrame
 
 
 def content_hash_ordered(df: DataFrame, order: Sequence[str], bins: Sequence[Column]) -> DataFrame:
-    """Hash that depends on row order, given by unique ``order`` columns, and not on column order.
+    """Hash that depends on row order, given by the ``order`` columns, and not on column order.
 
-    Each row is hashed with its exact 0-based position; positions come from a two-level rank over
-    ``bins``, so there is no global sort. Unknown columns are an error that lists them.
+    Each row's digest is hashed with its exact 0-based position; positions come from a two-level rank over
+    ``bins``, so there is no global sort and only keys and digests are shuffled. Rows that share a key follow the order of
+    their digests, so the hash never depends on how the rows arrive. Unknown columns are an error that lists them.
     """
     missing = [name for name in order if name not in df.columns]
     if missing:
-        raise ValueError(f"index_cols not in DataFrame: {missing}")
+        raise ValueError(f"unknown order columns: {missing}")
     rows = df.select(
-        *order, row_text(df).alias("_text"), *[b.alias(f"_bin{i}") for i, b in enumerate(bins)]
+        *order, sha256_text(row_text(df)).alias("_digest"), *[b.alias(f"_bin{i}") for i, b in enumerate(bins)]
     )
     used = needed_bins(rows, [], [f"_bin{i}" for i in range(len(bins))])
-    ranked = exact_rank(rows, [], used, list(order), "_position")
-    digest = sha256_text(F.concat_ws(":", (F.col("_position") - 1).cast("string"), "_text"))
+    ranked = exact_rank(rows, [], used, [*order, "_digest"], "_position")
+    digest = sha256_text(F.concat_ws(":", (F.col("_position") - 1).cast("string"), "_digest"))
     return ranked.agg(*digest_sums(digest)).select("row_count", finish_digest().alias("content_hash"))
 
 
-def duplicate_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Keys that occur more than once: an ordered hash needs this to be empty."""
-    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1)
-
-
 def dataset_fingerprint(parts: DataFrame, side: str, uri: str, git_sha: str | None) -> DataFrame:
     """Contract row over all parts (train and test, told apart by column ``side``).
 
@@ -110,8 +107,8 @@ def fingerprint_json() -> Column:
     """Contract as JSON with two-space indent and sorted keys."""
 
     def field(name: str, quoted: bool = True) -> Column:
-        mark = '"' if quoted else ""
-        return F.concat(F.lit(f'  "{name}": {mark}'), F.col(name).cast("string"), F.lit(mark))
+        text = F.col(name).cast("string")
+        return F.concat(F.lit(f'  "{name}": '), json_quoted(text) if quoted else text)
 
     lines = [
         field("data_source_uri"),
@@ -129,20 +126,18 @@ def fingerprint_tag(fingerprints: DataFrame) -> DataFrame:
     return fingerprints.select(sha256_text(fingerprint_json()).alias("dataset_fingerprint"))
 
 
-NUMERIC_PARAMS = ("max_iter", "random_state")
-
-
 def config_hash(long_params: DataFrame) -> DataFrame:
-    """sha256 of each run's params as compact sorted JSON: numbers bare, nulls as null."""
-    shown = (
-        F.when(F.col("value").isNull(), F.lit("null"))
-        .when(F.col("key").isin(*NUMERIC_PARAMS), F.col("value"))
-        .otherwise(F.concat(F.lit('"'), F.col("value"), F.lit('"')))
-    )
-    pair = F.struct(F.col("key"), F.concat(F.lit('"'), F.col("key"), F.lit('":'), shown).alias("text"))
+    """sha256 of each run's params (run_id, key, value, value_type) as compact sorted JSON.
+
+    ``value_type`` 'number' and 'bool' print the value bare, any other as a JSON string; a null value is null.
+    """
+    bare = F.col("value_type").isin("number", "bool")
+    shown = F.when(F.col("value").isNull(), F.lit("null")).when(bare, F.col("value")).otherwise(json_quoted(F.col("value")))
+    named = long_params.select("run_id", "key", F.concat(json_quoted(F.col("key")), F.lit(":"), shown).alias("text"))
+    pair = F.struct("key", "text")
     pairs = F.transform(F.sort_array(F.collect_set(pair)), lambda x: x["text"])
     text = F.concat(F.lit("{"), F.array_join(pairs, ","), F.lit("}"))
-    return long_params.groupBy("run_id").agg(sha256_text(text).alias("config_hash"))
+    return named.groupBy("run_id").agg(sha256_text(text).alias("config_hash"))
 
 
 # Keys a stored contract must hold, by contract version.

@@ -20,18 +20,9 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 MAX_ROWS_PER_TASK = 4_000_000
 
-_LARGEST: dict[tuple, int] = {}
-
-
 def largest_group(df: DataFrame, group: Sequence[str]) -> int:
-    """Rows of the largest group: one pass over the key columns, remembered per plan.
-
-    A remembered value that has gone stale can cost speed, never rows.
-    """
-    key = (df.sparkSession.sparkContext.applicationId, df.semanticHash(), tuple(group))
-    if key not in _LARGEST:
-        _LARGEST[key] = df.groupBy(*group).count().agg(F.max("count")).first()[0] or 0
-    return _LARGEST[key]
+    """Rows of the largest group: one pass over the key columns, taken anew each time, as tables grow."""
+    return df.groupBy(*group).count().agg(F.max("count")).first()[0] or 0
 
 
 def needed_bins(
@@ -136,7 +127,16 @@ def score_band(score: Column, steps: int = 64) -> Column:
     return F.floor(F.ln(inside / (F.lit(1.0) - inside)) * steps)
 
 
-MAX_BROADCAST_ROWS = 100_000
+#: Largest lookup that is broadcast, in estimated bytes, and rows of one key that one task joins beyond that.
+MAX_BROADCAST_BYTES = 64 << 20
+ROWS_PER_SALT = 1_000_000
+STREAM_SALTS = 16
+
+
+def estimated_bytes(df: DataFrame) -> int:
+    """Rows of a table as text, added up: an upper guess of what a broadcast of it takes, in one pass."""
+    size = F.sum(F.octet_length(F.to_json(F.struct("*"))) + 32)
+    return df.agg(size).first()[0] or 0
 
 
 def lookup_join(
@@ -144,31 +144,29 @@ def lookup_join(
     lookup: DataFrame,
     on: Sequence[str],
     spread_by: Sequence[str],
-    salts: int = 16,
     how: str = "left",
-    max_broadcast_rows: int | None = None,
+    max_broadcast_bytes: int | None = None,
+    rows_per_salt: int | None = None,
 ) -> DataFrame:
     """Equi-join facts to a table with unique keys when single keys may hold much of the facts.
 
-    The lookup is counted first. Up to ``MAX_BROADCAST_ROWS`` rows (each a few numbers or one list of
-    coefficients, so some 100 MB at most) it is broadcast and the facts do not move at all. Beyond that
-    the facts of one key are spread over ``salts`` partitions and each lookup row is repeated that often.
+    The lookup is measured first. Up to ``MAX_BROADCAST_BYTES`` it is broadcast and the facts do not move at all. Beyond that
+    the facts are counted by key, and only keys with more than ``ROWS_PER_SALT`` rows are spread, each over as many
+    partitions as its rows ask for; their lookup rows are repeated that often.
     """
-    limit = MAX_BROADCAST_ROWS if max_broadcast_rows is None else max_broadcast_rows
-    if lookup.count() <= limit:
+    limit = MAX_BROADCAST_BYTES if max_broadcast_bytes is None else max_broadcast_bytes
+    if estimated_bytes(lookup) <= limit:
         return facts.join(F.broadcast(lookup), list(on), how)
-    salted = facts.withColumn("_salt", F.pmod(F.xxhash64(*spread_by), F.lit(salts)).cast("int"))
-    repeated = lookup.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    per_salt = ROWS_PER_SALT if rows_per_salt is None else rows_per_salt
+    if facts.isStreaming:  # a stream cannot be counted beforehand; a micro-batch is small
+        salted = facts.withColumn("_salt", F.pmod(F.xxhash64(*spread_by), F.lit(STREAM_SALTS)).cast("int"))
+        repeated = lookup.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(STREAM_SALTS - 1))))
+        return salted.join(repeated, [*on, "_salt"], how).drop("_salt")
+    counted = facts.groupBy(*on).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > per_salt)
+    # At most one row per ``per_salt`` facts, and again measured before it is broadcast.
+    hot = counted.select(*on, F.ceil(F.col("_n") / per_salt).cast("int").alias("_salts"))
+    small = F.broadcast(hot) if estimated_bytes(hot) <= MAX_BROADCAST_BYTES else hot
+    salts = F.coalesce("_salts", F.lit(1))
+    salted = facts.join(small, list(on), "left").withColumn("_salt", F.pmod(F.xxhash64(*spread_by), salts).cast("int")).drop("_salts")
+    repeated = lookup.join(small, list(on), "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("_salts")
     return salted.join(repeated, [*on, "_salt"], how).drop("_salt")
-
-
-def small_map(df: DataFrame, key: str, value: Column, limit: int) -> Column:
-    """A reduced table as one map value (scalar subquery), for lookups without a join.
-
-    The size is checked where the map is built: at most ``limit + 1`` rows are ever gathered, and more
-    than ``limit`` keys stop the job with a hint to take a join instead.
-    """
-    too_many = F.raise_error(F.lit(f"more than {limit} keys in a map meant for a small table; use a join"))
-    built = F.when(F.count(F.lit(1)) <= limit, F.map_from_entries(F.collect_list(F.struct("_key", "_value"))))
-    entries = df.select(F.col(key).alias("_key"), value.alias("_value")).limit(limit + 1)
-    return entries.agg(built.otherwise(too_many).alias("m")).scalar()

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from functools import reduce
 from typing import Any
 
+import numpy as np
 import pandas as pd
 from pyspark import StorageLevel
 from pyspark.ml.classification import LogisticRegression
@@ -13,7 +15,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from relyard import constants as c
 from relyard.functions.scoring import decision_value, sigmoid, standardise
-from relyard.operators.features import class_weights, fit_scaler
 from relyard.operators.ordered import lookup_join
 from relyard.session import shared_root
 
@@ -26,11 +27,14 @@ def train_logreg(train: DataFrame, features: Sequence[str], label: str) -> DataF
     """
     # The fit runs right here, so the fitted values may as well be plain numbers: one row per feature
     # and one per class come back to the driver, which LogisticRegression does with its coefficients too.
-    scaler = {row["feature"]: row for row in fit_scaler(train, features).collect()}
-    weights = {row[label]: row["weight"] for row in class_weights(train, label).limit(3).collect()}
-    if sorted(weights) != [0, 1]:
-        raise ValueError(f"labels must be 0 and 1, found {sorted(weights)}")
-    n = train.count()
+    # One pass gives them all.
+    ones, zeros = F.count_if(F.col(label) == 1), F.count_if(F.col(label) == 0)
+    moments = [x for f in features for x in (F.avg(F.col(f"`{f}`")), F.stddev_pop(F.col(f"`{f}`")))]
+    n, n1, n0, *fitted_moments = train.agg(F.count(F.lit(1)), ones, zeros, *moments).first()
+    if n1 + n0 != n or not n1 or not n0:
+        raise ValueError(f"labels must be 0 and 1: of {n} rows {n0} are 0 and {n1} are 1")
+    scaler = {f: {"mean": fitted_moments[2 * i], "std": fitted_moments[2 * i + 1]} for i, f in enumerate(features)}
+    weights = {1: n / (2 * n1), 0: n / (2 * n0)}
     scaled = train.select(
         label,
         F.when(F.col(label) == 1, weights[1]).otherwise(weights[0]).alias("weight"),
@@ -71,7 +75,7 @@ def predictor_udf(model: Any):
     @F.pandas_udf("double")
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.Series]:
         for batch in batches:
-            yield pd.Series([float(x) for x in model.predict(batch)])
+            yield pd.Series(np.asarray(model.predict(batch), dtype=float))
 
     return score
 
@@ -79,8 +83,6 @@ def predictor_udf(model: Any):
 def _solver():
     @F.pandas_udf("array<double>")
     def newton_step(beta: pd.Series, gradient: pd.Series, hessian: pd.Series) -> pd.Series:
-        import numpy as np
-
         def one(b, g, h):
             size = len(b)
             matrix = np.zeros((size, size))
@@ -101,7 +103,7 @@ def train_per_segment(
     segment: str,
     features: Sequence[str],
     label: str,
-    max_steps: int = 25,
+    max_steps: int = c.MAX_ITER,
     tolerance: float = 1e-9,
 ) -> DataFrame:
     """The same regression for every segment at once, by Newton steps made of grouped sums.
@@ -110,16 +112,29 @@ def train_per_segment(
     map-side partial sums, so a segment with a third of all rows costs no more than its rows. Only one
     small row per segment meets numpy. Coefficients are checkpointed after each step, which keeps the
     plan short and survives lost executors.
+
+    Every segment has a row: coefficients, ``steps`` taken and whether it ``converged`` within ``max_steps``. A segment that
+    cannot be fitted has null coefficients and a ``reason`` ('one class', 'null label' or 'null feature'). A segment that has
+    converged takes no further step.
     """
     shared_root(df.sparkSession)
 
-    fitted = df.groupBy(segment).agg(
+    gap = reduce(lambda a, b: a | b, [F.col(f"`{f}`").isNull() for f in features])
+    everything = df.groupBy(segment).agg(
         F.count(F.lit(1)).alias("n"),
         F.count_if(F.col(label) == 1).alias("n1"),
-        *[F.avg(f).alias(f"mean_{f}") for f in features],
+        F.count_if(F.col(label).isNull()).alias("_unlabelled"),
+        F.count_if(gap).alias("_gaps"),
+        *[F.avg(F.col(f"`{f}`")).alias(f"mean_{f}") for f in features],
         *[F.stddev_pop(f).alias(f"std_{f}") for f in features],
     )
-    fitted = fitted.filter((F.col("n1") > 0) & (F.col("n1") < F.col("n"))).checkpoint()
+    reason = (
+        F.when(F.col("_unlabelled") > 0, F.lit("null label"))
+        .when(F.col("_gaps") > 0, F.lit("null feature"))
+        .when((F.col("n1") == 0) | (F.col("n1") == F.col("n")), F.lit("one class"))
+    )
+    everything = everything.withColumn("reason", reason).checkpoint()
+    fitted = everything.filter(F.col("reason").isNull())
     stats = F.struct("n", "n1", *[f"mean_{f}" for f in features], *[f"std_{f}" for f in features])
     known = lookup_join(
         df.select(segment, label, *features), fitted.select(segment, stats.alias("_fit")), [segment], features, how="inner"
@@ -139,10 +154,11 @@ def train_per_segment(
     inputs = [F.lit(1.0), *[F.col(f) for f in features]]
     size = len(inputs)
     zeros = F.array(*[F.lit(0.0)] * size)
-    betas = fitted.select(segment, zeros.alias("beta"))
+    betas = fitted.select(segment, zeros.alias("beta"), F.lit(0).alias("steps"), F.lit(False).alias("converged"))
     step = _solver()
     for _ in range(max_steps):
-        scored = lookup_join(rows, betas.withColumnRenamed("beta", "_beta"), [segment], features, how="inner")
+        moving = betas.filter(~F.col("converged"))
+        scored = lookup_join(rows, moving.select(segment, F.col("beta").alias("_beta")), [segment], features, how="inner")
         z = sum((F.col("_beta")[i] * inputs[i] for i in range(1, size)), F.col("_beta")[0])
         scored = scored.withColumn("_p", sigmoid(z))
         residual = F.col("_w") * (F.col("_y") - F.col("_p"))
@@ -150,17 +166,20 @@ def train_per_segment(
         gradient = [F.sum(residual * inputs[i]) for i in range(size)]
         hessian = [F.sum(curve * inputs[i] * inputs[j]) for i in range(size) for j in range(i, size)]
         sums = scored.groupBy(segment).agg(F.array(*gradient).alias("g"), F.array(*hessian).alias("h"))
-        moved = betas.join(sums, segment).select(
-            segment, F.col("beta").alias("old"), step("beta", "g", "h").alias("beta")
-        ).checkpoint()
-        change = F.max(F.array_max(F.zip_with("old", "beta", lambda a, b: F.abs(a - b))))
-        furthest = moved.agg(change).first()[0]
-        betas = moved.select(segment, "beta")
-        if furthest is None or furthest < tolerance:
+        moved = moving.join(sums, segment).select(
+            segment, F.col("beta").alias("old"), step("beta", "g", "h").alias("beta"), (F.col("steps") + 1).alias("steps")
+        )
+        change = F.array_max(F.zip_with("old", "beta", lambda a, b: F.abs(a - b)))
+        moved = moved.select(segment, "beta", "steps", (change < tolerance).alias("converged"))
+        betas = betas.filter("converged").unionByName(moved).checkpoint()
+        if betas.filter(~F.col("converged")).isEmpty():
             break
     rows.unpersist()
-    return betas.select(
+    return everything.select(segment, "reason").join(betas, segment, "left").select(
         segment,
-        F.col("beta")[0].alias("intercept"),
-        *[F.col("beta")[i + 1].alias(f"coef_{f}") for i, f in enumerate(features)],
+        F.get("beta", F.lit(0)).alias("intercept"),
+        *[F.get("beta", F.lit(i + 1)).alias(f"coef_{f}") for i, f in enumerate(features)],
+        "steps",
+        F.coalesce("converged", F.lit(False)).alias("converged"),
+        "reason",
     )

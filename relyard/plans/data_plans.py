@@ -72,7 +72,10 @@ def run_log_long(spark: SparkSession, sf: str) -> DataFrame:
     ),
 )
 def run_log_maps(spark: SparkSession, sf: str) -> DataFrame:
-    maps = tables.run_log_maps(tables.run_log_long(views.runs(spark, sf)))
+    """A metric that was logged earlier with another value is among the rows."""
+    long_runs = tables.run_log_long(views.runs(spark, sf)).withColumn("logged_at", F.lit(2))
+    early = long_runs.filter("kind = 'metric'").withColumns({"logged_at": F.lit(1), "metric_value": F.col("metric_value") + 1})
+    maps = tables.run_log_maps(long_runs.unionByName(early))
     return maps.select(
         "experiment",
         "run_id",
@@ -173,9 +176,10 @@ _ROW_TEXT = "concat_ws(chr(31), concat('=', f0::VARCHAR), concat('=', f1::VARCHA
 
 
 def _sums_sql() -> str:
-    """Row count and the twelve 20-bit limb sums of digest h, joined as the final hash expects."""
+    """Row count and the thirteen limb sums of digest h, joined as the final hash expects."""
     pieces = [f"('0x' || substr(h, {1 + 15 * i}, 15))::BIGINT" for i in range(4)]
     limbs = [limb for x in pieces for limb in (f"({x} >> 40)", f"(({x} >> 20) & 1048575)", f"({x} & 1048575)")]
+    limbs.append("('0x' || substr(h, 61, 4))::BIGINT")
     return "count(*), '|', " + ", '|', ".join(f"sum({limb})" for limb in limbs)
 
 
@@ -198,7 +202,7 @@ def _key_bins(key: str) -> list[Column]:
 
 @query(
     "content_hash_ordered",
-    sql(_digest_sql(f"SELECT sha256(concat(row_number() OVER (ORDER BY row_id) - 1, ':', {_ROW_TEXT})) AS h FROM ds"), "ds"),
+    sql(_digest_sql(f"SELECT sha256(concat(row_number() OVER (ORDER BY row_id) - 1, ':', sha256({_ROW_TEXT}))) AS h FROM ds"), "ds"),
 )
 def content_hash_ordered(spark: SparkSession, sf: str) -> DataFrame:
     return fingerprint.content_hash_ordered(views.dataset(spark, sf), ["row_id"], _key_bins("row_id"))
@@ -206,18 +210,18 @@ def content_hash_ordered(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "content_hash_keyed",
-    sql(_digest_sql(f"SELECT sha256(concat(row_number() OVER (ORDER BY target, f0, row_id) - 1, ':', {_ROW_TEXT})) AS h FROM ds"), "ds"),
+    sql(_digest_sql(f"SELECT sha256(concat(row_number() OVER (ORDER BY target, f0, sha256({_ROW_TEXT})) - 1, ':', sha256({_ROW_TEXT}))) AS h FROM ds"), "ds"),
 )
 def content_hash_keyed(spark: SparkSession, sf: str) -> DataFrame:
-    """Sorted by label, then price, then id. Deeper bins serve a label or a price that many rows share."""
-    bins = [F.col("target"), F.floor(F.col("f0") / 4096), F.floor(F.col("f0") / 16), F.col("f0"), *_key_bins("row_id")]
-    return fingerprint.content_hash_ordered(views.dataset(spark, sf), ["target", "f0", "row_id"], bins)
+    """Sorted by label, then price; rows that share both follow their digests. Deeper bins serve a label that many rows share."""
+    bins = [F.col("target"), F.floor(F.col("f0") / 4096), F.floor(F.col("f0") / 16), F.col("f0")]
+    return fingerprint.content_hash_ordered(views.dataset(spark, sf), ["target", "f0"], bins)
 
 
 @query(
     "content_hash_daily",
     f"""SELECT strftime(o_orderdate, '%Y-%m') AS month, count(*) AS row_count, sha256(concat({_sums_sql()})) AS content_hash
-    FROM (SELECT o_orderdate, sha256(concat_ws(chr(31), concat('=', o_custkey), concat('=', strftime(o_orderdate, '%Y-%m-%d %H:%M:%S.%f')), concat('=', o_orderkey),
+    FROM (SELECT o_orderdate, sha256(concat_ws(chr(31), concat('=', o_custkey), concat('=', o_orderdate::VARCHAR), concat('=', o_orderkey),
       concat('=', o_orderpriority), concat('=', o_orderstatus), concat('=', o_totalprice::VARCHAR))) AS h FROM orders) GROUP BY 1""",
 )
 def content_hash_daily(spark: SparkSession, sf: str) -> DataFrame:
@@ -230,7 +234,19 @@ def content_hash_daily(spark: SparkSession, sf: str) -> DataFrame:
     return monthly.select("month", "row_count", fingerprint.finish_digest().alias("content_hash"))
 
 
-URI = "file:///app/data"
+@query(
+    "content_hash_instants",
+    f"""SELECT event_type, count(*) AS row_count, sha256(concat({_sums_sql()})) AS content_hash
+    FROM (SELECT event_type, sha256(concat_ws(chr(31), concat('=', event_id), concat('=', epoch_us(ts)))) AS h FROM events) GROUP BY 1""",
+)
+def content_hash_instants(spark: SparkSession, sf: str) -> DataFrame:
+    """Hash of a table with instants: they count as microseconds, so every session time zone gives the same hash."""
+    instant = F.concat(F.col("ts").cast("string"), F.lit("Z")).cast("timestamp").alias("ts")
+    events = tables.table(spark, sf, "events").select("event_type", "event_id", instant)
+    return fingerprint.content_hash_multiset(events, ["event_type"])
+
+
+URI = "file:///data/table"
 _DS_SCHEMA = '[["row_id","int64"],["target","int32"],["f0","float64"],["f1","float64"],["f2","float64"]]'
 _FINGERPRINT_SQL = f"""SELECT 'dataset_fingerprint/v1' AS schema_version, 'unknown' AS git_sha, content_hash AS dataset_content_hash,
  sha256('{_DS_SCHEMA}') AS dataset_schema_hash, row_count, '{URI}' AS data_source_uri FROM ({_MULTISET_SQL})"""
@@ -274,14 +290,19 @@ def fingerprint_tag(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     "config_hash",
     sql(
-        """SELECT run_id, sha256(concat('{"class_weight":', CASE WHEN p_class_weight IS NULL THEN 'null' ELSE '"balanced"' END, ',"max_iter":', p_max_iter,
-        ',"model_type":"logreg","random_state":42,"solver":"lbfgs"}')) AS config_hash FROM rn""",
+        """SELECT run_id, sha256(concat('{"C":0.5,"class_weight":', CASE WHEN p_class_weight IS NULL THEN 'null' ELSE '"balanced"' END,
+        ',"fit_intercept":true,"max_iter":', p_max_iter, ',"model_type":"logreg","note":"say \\"', model_name,
+        '\\"\\n\\u00e9","random_state":42,"solver":"lbfgs"}')) AS config_hash FROM rn""",
         "rn",
     ),
 )
 def config_hash(spark: SparkSession, sf: str) -> DataFrame:
-    params = views.runs(spark, sf).select("run_id", F.explode("params").alias("key", "value"))
-    return fingerprint.config_hash(params)
+    """The recorded params with a float, a flag and a note that needs escaping."""
+    note = F.concat(F.lit('say "'), F.col("model_name"), F.lit('"\né'))
+    more = F.create_map(F.lit("C"), F.lit("0.5"), F.lit("fit_intercept"), F.lit("true"), F.lit("note"), note)
+    params = views.runs(spark, sf).select("run_id", F.explode(F.map_concat("params", more)).alias("key", "value"))
+    kind = F.when(F.col("key").isin("C", "max_iter", "random_state"), "number").when(F.col("key") == "fit_intercept", "bool").otherwise("text")
+    return fingerprint.config_hash(params.withColumn("value_type", kind))
 
 
 @query(
@@ -411,19 +432,17 @@ def feature_stats(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     "feature_stats_json",
     sql(
-        "SELECT 'feature_stats/v1' AS schema_version, count(*) AS n_features, sum(count) AS n_values FROM (" + _stats_sql("ds") + ")", "ds"
-    ).replace("sum(count)", "CAST(sum(count) AS DOUBLE)"),
+        "SELECT 'feature_stats/v1' AS schema_version, feature, " + ", ".join(f"CAST({v} AS DOUBLE) AS {v}" for v in ("count", "max", "mean", "min", "nulls", "std"))
+        + " FROM (" + _stats_sql("ds") + ")", "ds"
+    ),
 )
 def feature_stats_json(spark: SparkSession, sf: str) -> DataFrame:
-    """The statistics contract written as JSON and read back."""
+    """The statistics contract written as JSON and read back, value by value."""
     stats = features.feature_stats(views.dataset(spark, sf), [], DATASET_FEATURES)
     document = features.feature_stats_json(stats, c.FEATURE_STATS_VERSION)
     parsed = F.from_json("document", "schema_version string, stats map<string, map<string, double>>")
-    values = F.map_values("d.stats")
-    total = F.aggregate(values, F.lit(0.0), lambda acc, m: acc + m["count"])
-    return document.select(parsed.alias("d")).select(
-        "d.schema_version", F.size("d.stats").cast("bigint").alias("n_features"), total.alias("n_values")
-    )
+    read = document.select(parsed.alias("d")).select("d.schema_version", F.explode("d.stats").alias("feature", "s"))
+    return read.select("schema_version", "feature", *[F.col("s")[v].alias(v) for v in ("count", "max", "mean", "min", "nulls", "std")])
 
 
 @query("feature_quantiles")
@@ -464,11 +483,11 @@ def feature_drift(spark: SparkSession, sf: str) -> DataFrame:
 @query("train_logreg")
 def train_logreg(spark: SparkSession, sf: str) -> DataFrame:
     """Balanced logistic regression on all embedding dimensions; the positive class is a label below 3."""
-    width = 64
-    rows = tables.table(spark, sf, "embeddings").select(
-        F.when(F.col("label") < 3, F.lit(1)).otherwise(F.lit(0)).alias("target"),
-        *[F.col("embedding")[i].cast("double").alias(f"e{i}") for i in range(width)],
-    )
+    embeddings = tables.table(spark, sf, "embeddings")
+    width = embeddings.agg(F.max(F.size("embedding"))).first()[0]
+    # A shorter vector counts as zero in the dimensions it lacks.
+    dimensions = [F.coalesce(F.get("embedding", F.lit(i)).cast("double"), F.lit(0.0)).alias(f"e{i}") for i in range(width)]
+    rows = embeddings.select(F.when(F.col("label") < 3, F.lit(1)).otherwise(F.lit(0)).alias("target"), *dimensions)
     return training.train_logreg(rows, [f"e{i}" for i in range(width)], "target")
 
 
@@ -494,15 +513,7 @@ def train_evaluate(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("train_per_segment")
 def train_per_segment(spark: SparkSession, sf: str) -> DataFrame:
-    segment = table_segment(spark, sf)
-    return training.train_per_segment(segment, "segment", DATASET_FEATURES, "target")
-
-
-def table_segment(spark: SparkSession, sf: str) -> DataFrame:
-    """The dataset with the market segment of its customer."""
-    orders = views.orders(spark, sf).select(F.col("o_orderkey").alias("row_id"), "o_custkey")
-    owner = tables.table(spark, sf, "customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_mktsegment").alias("segment"))
-    return views.dataset(spark, sf).join(orders, "row_id").join(owner, "o_custkey").drop("o_custkey")
+    return training.train_per_segment(views.owned_dataset(spark, sf), "segment", DATASET_FEATURES, "target")
 
 
 @query(
@@ -526,11 +537,13 @@ def score_pandas_udf(spark: SparkSession, sf: str) -> DataFrame:
 # --- evaluation -------------------------------------------------------------------------------------
 
 _CONFUSION = """SELECT {group}, count(*) FILTER (score >= 0.5 AND label = 1) AS tp, count(*) FILTER (score >= 0.5 AND label <> 1) AS fp,
- count(*) FILTER (score < 0.5 AND label <> 1) AS tn, count(*) FILTER (score < 0.5 AND label = 1) AS fn FROM {source} GROUP BY {group}"""
-_AUC = """SELECT {group}, sum(pos) AS positives, sum(neg) AS negatives,
- CASE WHEN sum(pos) > 0 AND sum(neg) > 0 THEN sum(pos * (below + neg / 2)) / (CAST(sum(pos) AS DOUBLE) * sum(neg)) END AS auc
+ count(*) FILTER (score < 0.5 AND label <> 1) AS tn, count(*) FILTER (score < 0.5 AND label = 1) AS fn,
+ count(*) FILTER (score IS NULL OR label IS NULL) AS invalid FROM {source} GROUP BY {group}"""
+_AUC = """SELECT {group}, sum(pos) AS positives, sum(neg) AS negatives, sum(bad) AS invalid,
+ CASE WHEN sum(pos) > 0 AND sum(neg) > 0 AND sum(bad) = 0 THEN sum(pos * (below + neg / 2)) / (CAST(sum(pos) AS DOUBLE) * sum(neg)) END AS auc
  FROM (SELECT *, coalesce(sum(neg) OVER (PARTITION BY {group} ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below
-   FROM (SELECT {group}, score, count(*) FILTER (label = 1) AS pos, count(*) FILTER (label <> 1) AS neg FROM {source} GROUP BY {group}, score))
+   FROM (SELECT {group}, score, count(*) FILTER (label = 1 AND score IS NOT NULL) AS pos, count(*) FILTER (label <> 1 AND score IS NOT NULL) AS neg,
+     count(*) FILTER (label IS NULL OR score IS NULL) AS bad FROM {source} GROUP BY {group}, score))
  GROUP BY {group}"""
 
 
@@ -541,7 +554,7 @@ def confusion_counts(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "accuracy",
-    sql(f"SELECT model_name, round((tp + tn) / (tp + fp + tn + fn), 6) AS accuracy FROM ({_CONFUSION.format(group='model_name', source='sb')})", "sb"),
+    sql(f"SELECT model_name, CASE WHEN invalid = 0 THEN round((tp + tn) / (tp + fp + tn + fn), 6) END AS accuracy FROM ({_CONFUSION.format(group='model_name', source='sb')})", "sb"),
 )
 def accuracy(spark: SparkSession, sf: str) -> DataFrame:
     counts = evaluation.confusion(views.scores_big(spark, sf), ["model_name"])
@@ -562,7 +575,7 @@ def f1(spark: SparkSession, sf: str) -> DataFrame:
 
 def _auc_sql(group: str, source: str) -> str:
     return (
-        f"SELECT {group}, CAST(positives AS BIGINT) AS positives, CAST(negatives AS BIGINT) AS negatives, round(auc, 9) AS auc "
+        f"SELECT {group}, CAST(positives AS BIGINT) AS positives, CAST(negatives AS BIGINT) AS negatives, CAST(invalid AS BIGINT) AS invalid, round(auc, 9) AS auc "
         f"FROM ({_AUC.format(group=group, source=source)})"
     )
 
@@ -580,12 +593,12 @@ def roc_auc_by_slice(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     "auc_hard_label",
     sql(
-        _auc_sql("slice", "(SELECT slice, label, CASE WHEN score >= 0.5 THEN 1e0 ELSE 0e0 END AS score FROM sb)"), "sb"
+        _auc_sql("slice", "(SELECT slice, label, CASE WHEN score >= 0.5 THEN 1e0 ELSE 0e0 END AS score FROM sb WHERE score IS NOT NULL AND label IS NOT NULL)"), "sb"
     ),
 )
 def auc_hard_label(spark: SparkSession, sf: str) -> DataFrame:
     """AUC of thresholded predictions, which is the balanced accuracy."""
-    hard = evaluation.roc_auc(views.scores_big(spark, sf), ["slice"], "label")
+    hard = evaluation.roc_auc(views.scores_big(spark, sf).filter(evaluation.usable()), ["slice"], "label")
     return hard.withColumn("auc", F.round("auc", 9))
 
 
@@ -593,7 +606,8 @@ def auc_hard_label(spark: SparkSession, sf: str) -> DataFrame:
     "roc_curve_points",
     sql(
         """SELECT slice, score AS threshold, round(sum(neg) OVER w / sum(neg) OVER g, 6) AS fpr, round(sum(pos) OVER w / sum(pos) OVER g, 6) AS tpr
-        FROM (SELECT slice, score, count(*) FILTER (label = 1) AS pos, count(*) FILTER (label <> 1) AS neg FROM sb GROUP BY slice, score
+        FROM (SELECT slice, score, count(*) FILTER (label = 1) AS pos, count(*) FILTER (label <> 1) AS neg FROM sb
+              WHERE score IS NOT NULL AND label IS NOT NULL GROUP BY slice, score
               UNION ALL SELECT slice, CAST('inf' AS DOUBLE), 0, 0 FROM sb GROUP BY slice)
         WINDOW w AS (PARTITION BY slice ORDER BY score DESC), g AS (PARTITION BY slice)""",
         "sb",
@@ -603,8 +617,8 @@ def roc_curve_points(spark: SparkSession, sf: str) -> DataFrame:
     return evaluation.roc_points(views.scores_big(spark, sf), ["slice"])
 
 
-_REPORT = """SELECT c.model_name, round((tp + tn) / (tp + fp + tn + fn), 6) AS {p}accuracy,
- round(CASE WHEN 2 * tp + fp + fn = 0 THEN 0 ELSE 2 * tp / (2 * tp + fp + fn) END, 6) AS {p}f1, round(auc, 6) AS {p}roc_auc,
+_REPORT = """SELECT c.model_name, CASE WHEN c.invalid = 0 THEN round((tp + tn) / (tp + fp + tn + fn), 6) END AS {p}accuracy,
+ CASE WHEN c.invalid = 0 THEN round(CASE WHEN 2 * tp + fp + fn = 0 THEN 0 ELSE 2 * tp / (2 * tp + fp + fn) END, 6) END AS {p}f1, round(auc, 6) AS {p}roc_auc,
  CASE WHEN coalesce(auc >= 0.95, false) THEN 'true' ELSE 'false' END AS gate_ok
  FROM ({confusion}) c JOIN ({auc}) a ON a.model_name = c.model_name"""
 _REPORT_SQL = _REPORT.format(
@@ -620,7 +634,8 @@ def evaluation_report(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     "eval_report_json",
     sql(
-        f"""SELECT model_name, concat('{{"eval_accuracy":', eval_accuracy, ',"eval_f1":', eval_f1, ',"eval_roc_auc":', eval_roc_auc, '}}') AS report FROM ({_REPORT_SQL})""",
+        f"""SELECT model_name, concat('{{"eval_accuracy":', coalesce(eval_accuracy::VARCHAR, 'null'), ',"eval_f1":', coalesce(eval_f1::VARCHAR, 'null'),
+        ',"eval_roc_auc":', coalesce(eval_roc_auc::VARCHAR, 'null'), '}}') AS report FROM ({_REPORT_SQL})""",
         "sb",
     ),
 )
@@ -629,7 +644,7 @@ def eval_report_json(spark: SparkSession, sf: str) -> DataFrame:
     return tables.json_report(reports, ["model_name"], ["eval_roc_auc", "eval_f1", "eval_accuracy"])
 
 
-_HARD = "(SELECT model_name, label, CASE WHEN score >= 0.5 THEN 1e0 ELSE 0e0 END AS score FROM sb)"
+_HARD = "(SELECT model_name, label, CASE WHEN score >= 0.5 THEN 1e0 WHEN score < 0.5 THEN 0e0 END AS score FROM sb)"
 
 
 @query(

@@ -6,7 +6,8 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
     "mv": ((), """
 SELECT concat('m', o_custkey) AS model_name, o_custkey, o_orderkey,
        CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS BIGINT) AS version,
-       CASE WHEN o_orderkey % 9 = 0 THEN '' ELSE concat('run-', o_orderkey) END AS source_run_id,
+       CASE WHEN o_orderkey % 9 = 0 THEN '' WHEN o_orderpriority = '4-NOT SPECIFIED' THEN concat('lost-', o_orderkey)
+            ELSE concat('run-', o_orderkey) END AS source_run_id,
        CASE WHEN o_orderkey % 11 = 0 THEN '' ELSE concat('fp-', o_orderkey) END AS dataset_fingerprint,
        CASE WHEN o_orderkey % 13 = 0 THEN '  ' ELSE concat('sha-', o_orderkey) END AS git_sha,
        CASE WHEN o_orderkey % 17 = 0 THEN NULL ELSE concat('cfg-', o_orderkey) END AS config_hash,
@@ -35,7 +36,7 @@ SELECT concat('run-', o_orderkey) AS run_id, concat('e', o_custkey % 20) AS expe
        o_totalprice / 5e5 AS eval_roc_auc,
        CASE WHEN o_totalprice / 5e5 < 0.95 THEN 'false' WHEN o_orderstatus = 'F' THEN 'true'
             WHEN o_orderstatus = 'O' THEN concat(' TRUE', chr(10)) ELSE 'yes' END AS gate_ok
-FROM orders WHERE o_orderpriority <> '4-NOT SPECIFIED'"""),
+FROM orders"""),
     "co": (("mv",), """
 SELECT model_name, version, (o_orderkey % 7 - 3) / 1e1 AS intercept, (o_orderkey % 11 - 5) / 1e1 AS w_k,
        (o_orderkey % 5 - 2) / 1e1 AS w_v, CASE WHEN o_orderkey % 10 = 0 THEN 1.0e0 ELSE 20.0e0 END AS sd_v
@@ -97,8 +98,9 @@ FROM (SELECT *, CASE WHEN body_error IS NOT NULL OR chosen IS NULL THEN 422 WHEN
 SELECT l.doc_id AS row_id, d.lang AS slice, l.quality AS label, (d.n_chars % 1000) / 1e3 AS score
 FROM labels l JOIN documents d ON l.doc_id = d.doc_id"""),
     "sb": ((), """
-SELECT concat('s', l_suppkey) AS model_name, l_returnflag AS slice, CASE WHEN l_linestatus = 'F' THEN 1 ELSE 0 END AS label,
-       (l_partkey % 1000) / 1e3 AS score
+SELECT concat('s', l_suppkey) AS model_name, l_returnflag AS slice,
+       CASE WHEN l_suppkey % 10 = 3 AND l_linenumber = 4 THEN NULL WHEN l_linestatus = 'F' THEN 1 ELSE 0 END AS label,
+       CASE WHEN l_suppkey % 10 = 7 OR (l_suppkey % 10 = 5 AND l_linenumber = 2) THEN NULL ELSE (l_partkey % 1000) / 1e3 END AS score
 FROM lineitem"""),
     "ds": ((), """
 SELECT o_orderkey AS row_id, CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END AS target,

@@ -289,13 +289,6 @@ FROM ds JOIN (SELECT o_orderkey, concat('m', o_custkey) AS model_name FROM order
 {join}"""
 
 
-def _owned_dataset(spark: SparkSession, sf: str) -> DataFrame:
-    owner = views.orders(spark, sf).select(
-        F.col("o_orderkey").alias("row_id"), F.concat(F.lit("m"), F.col("o_custkey")).alias("model_name")
-    )
-    return views.dataset(spark, sf).join(owner, "row_id")
-
-
 @query(
     "score_proba",
     sql(
@@ -309,7 +302,7 @@ def score_proba(spark: SparkSession, sf: str) -> DataFrame:
     """Each dataset row scored by the newest version of its model."""
     newest = views.models(spark, sf).select("model_name", F.col("newest").alias("version"))
     models = newest.join(views.coefficients(spark, sf), ["model_name", "version"])
-    rows = lookup_join(_owned_dataset(spark, sf), models, ["model_name"], ["row_id"], how="inner")
+    rows = lookup_join(views.owned_dataset(spark, sf), models, ["model_name"], ["row_id"], how="inner")
     p = probabilities(F.col("model"), F.array(_feature_map()))[0]
     return rows.select("row_id", "model_name", "version", F.round(p, 6).alias("proba"))
 
@@ -331,7 +324,7 @@ LEFT JOIN co ON co.model_name = al.model_name AND co.version = al.version"""
 def score_by_ref(spark: SparkSession, sf: str) -> DataFrame:
     """Rows name their model by URI; references are resolved once each, then scored in one pass."""
     alias = F.when(F.col("target") == 1, F.lit("@prod")).otherwise(F.lit("@candidate"))
-    rows = _owned_dataset(spark, sf).withColumn("uri", F.concat(F.lit("models:/"), F.col("model_name"), alias))
+    rows = views.owned_dataset(spark, sf).withColumn("uri", F.concat(F.lit("models:/"), F.col("model_name"), alias))
     versions = views.model_versions(spark, sf).select("model_name", "version", "source_run_id")
     refs = registry.resolve_refs(rows.select("uri").distinct(), views.aliases(spark, sf), versions, views.runs(spark, sf))
     models = refs.select("uri", "model_name", "version").join(
@@ -344,7 +337,7 @@ def score_by_ref(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "threshold_label",
-    sql("SELECT model_name, CASE WHEN score >= 0.5e0 THEN 1 ELSE 0 END AS predicted, count(*) AS n FROM sb GROUP BY ALL", "sb"),
+    sql("SELECT model_name, CASE WHEN score >= 0.5e0 THEN 1 WHEN score < 0.5e0 THEN 0 END AS predicted, count(*) AS n FROM sb GROUP BY ALL", "sb"),
 )
 def threshold_label(spark: SparkSession, sf: str) -> DataFrame:
     predicted = label_of(F.col("score"), c.DECISION_THRESHOLD).alias("predicted")

@@ -32,7 +32,7 @@ def served_stream(spark: SparkSession, sf: str) -> DataFrame:
 )
 def stream_requests_total(spark: SparkSession, sf: str) -> DataFrame:
     counts = jobs.windowed_requests(jobs.request_stream(spark, sf), "1 day")
-    return jobs.snapshot_to(counts, new_location(spark, "stream-requests"))
+    return jobs.merge_to(counts, new_location(spark, "stream-requests"), ["window_start", "endpoint", "mode", "status"])
 
 
 @query(
@@ -46,21 +46,22 @@ def stream_requests_total(spark: SparkSession, sf: str) -> DataFrame:
 )
 def stream_requests_sliding(spark: SparkSession, sf: str) -> DataFrame:
     counts = jobs.windowed_requests(jobs.request_stream(spark, sf), "24 hours", "12 hours")
-    return jobs.snapshot_to(counts, new_location(spark, "stream-requests"))
+    return jobs.merge_to(counts, new_location(spark, "stream-requests"), ["window_start", "endpoint", "mode", "status"])
 
 
 @query(
     "stream_latency_histogram",
     sql(
-        f"""SELECT strftime(date_trunc('day', ts), '%Y-%m-%d %H:%M') AS window_start, mode, chosen, pos, le, count(*) FILTER (latency_s <= bound) AS cumulative_count
+        f"""SELECT strftime(date_trunc('day', ts), '%Y-%m-%d %H:%M') AS window_start, mode, status, chosen, pos, le, count(*) FILTER (latency_s <= bound) AS cumulative_count
         FROM sv, {BOUNDS_SQL} WHERE status <> 422 GROUP BY ALL""",
         "sv",
     ),
 )
 def stream_latency_histogram(spark: SparkSession, sf: str) -> DataFrame:
     cells = jobs.windowed_latency(served_stream(spark, sf), "1 day")
-    stored = jobs.snapshot_to(cells, new_location(spark, "stream-latency"))
-    return serving_log.accumulate(stored, ["window_start", "mode", "chosen"])
+    keys = ["window_start", "mode", "status", "chosen"]
+    stored = jobs.merge_to(cells, new_location(spark, "stream-latency"), [*keys, "bucket"])
+    return serving_log.accumulate(stored, keys)
 
 
 @query(
@@ -73,7 +74,7 @@ def stream_latency_histogram(spark: SparkSession, sf: str) -> DataFrame:
 )
 def stream_shadow_mae(spark: SparkSession, sf: str) -> DataFrame:
     compared = jobs.windowed_shadow_mae(served_stream(spark, sf), "1 day", 0.3)
-    return jobs.snapshot_to(compared, new_location(spark, "stream-mae"))
+    return jobs.merge_to(compared, new_location(spark, "stream-mae"), ["window_start", "mode"])
 
 
 @query("stream_dedup_requests", sql("SELECT DISTINCT request_id FROM rp WHERE client_provided", "rp"))

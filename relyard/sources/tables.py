@@ -9,15 +9,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
 
-_SCHEMAS: dict[str, StructType] = {}
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A stored table; its schema is read from the files once per path, not once per query."""
-    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
-    if path not in _SCHEMAS:
-        _SCHEMAS[path] = spark.read.parquet(path).schema
-    return spark.read.schema(_SCHEMAS[path]).parquet(path)
+    """A stored table, with the schema its files have now."""
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
 def require_columns(df: DataFrame, columns: Sequence[str], source: str) -> DataFrame:
@@ -75,14 +69,18 @@ def append_run_log(long_runs: DataFrame, path: str) -> None:
 
 
 def run_log_maps(long_runs: DataFrame) -> DataFrame:
-    """The long table back to one row per run.
+    """The long table back to one row per run. Of a key that was logged more than once the last value stands.
 
-    Sets drop repeated entries before the shuffle, so a map is as small as the number of its keys.
+    Last means the largest ``logged_at`` where there is such a column, and the largest value otherwise. Entries are reduced to
+    one per key before they are gathered, so a map is as small as the number of its keys.
     """
+    order = F.struct(*[c for c in ("logged_at", "value", "metric_value") if c in long_runs.columns])
+    last = F.max_by(F.struct("value", "metric_value"), order).alias("last")
+    long_runs = long_runs.groupBy("experiment", "run_id", "kind", "key").agg(last).select("experiment", "run_id", "kind", "key", "last.*")
 
     def entries(kind: str, value: str):
         pair = F.when(F.col("kind") == kind, F.struct("key", value))
-        return F.map_from_entries(F.sort_array(F.collect_set(pair)))
+        return F.map_from_entries(F.sort_array(F.collect_list(pair)))
 
     return long_runs.groupBy("experiment", "run_id").agg(
         entries("tag", "value").alias("tags"),

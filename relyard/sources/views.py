@@ -26,7 +26,10 @@ def model_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     bins = needed_bins(dated, ["o_custkey"], ["o_orderdate", "_coarse_key", "_fine_key"])
     numbered = exact_rank(dated, ["o_custkey"], bins, ["o_orderdate", "o_orderkey"], "version")
     with_source = numbered.selectExpr(
-        "*", "CASE WHEN o_orderkey % 9 = 0 THEN '' ELSE concat('run-', o_orderkey) END AS source_run_id"
+        "*",
+        # Versions of priority 4 name a run that never was.
+        """CASE WHEN o_orderkey % 9 = 0 THEN '' WHEN o_orderpriority = '4-NOT SPECIFIED' THEN concat('lost-', o_orderkey)
+                ELSE concat('run-', o_orderkey) END AS source_run_id""",
     )
     return with_source.selectExpr(
         "concat('m', o_custkey) AS model_name",
@@ -71,11 +74,8 @@ def aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """run_id, experiment, model_name, step, start_time, tags, params, metrics, gate_ok.
-
-    Orders with priority 4 have no run, so some versions point at a run that is not there.
-    """
-    base = orders(spark, sf_dir).filter("o_orderpriority <> '4-NOT SPECIFIED'").selectExpr(
+    """run_id, experiment, model_name, step, start_time, tags, params, metrics, gate_ok: one run per order."""
+    base = orders(spark, sf_dir).selectExpr(
         "*",
         "CASE WHEN o_orderpriority = '2-HIGH' THEN 'evaluate' ELSE 'train' END AS step",
         "o_totalprice / 5e5 AS eval_roc_auc",
@@ -162,8 +162,9 @@ def scores_big(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").selectExpr(
         "concat('s', l_suppkey) AS model_name",
         "l_returnflag AS slice",
-        "CASE WHEN l_linestatus = 'F' THEN 1 ELSE 0 END AS label",
-        "(l_partkey % 1000) / 1e3 AS score",
+        "CASE WHEN l_suppkey % 10 = 3 AND l_linenumber = 4 THEN NULL WHEN l_linestatus = 'F' THEN 1 ELSE 0 END AS label",
+        # Some suppliers lack a score here and there, one in ten has none at all.
+        "CASE WHEN l_suppkey % 10 = 7 OR (l_suppkey % 10 = 5 AND l_linenumber = 2) THEN NULL ELSE (l_partkey % 1000) / 1e3 END AS score",
     )
 
 
@@ -179,4 +180,18 @@ def dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def owned_dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The training set with the model and the market segment that each row belongs to."""
+    owner = table(spark, sf_dir, "customer").selectExpr("c_custkey AS o_custkey", "c_acctbal", "c_nationkey", "c_mktsegment AS segment")
+    return orders(spark, sf_dir).join(owner, "o_custkey").selectExpr(
+        "o_orderkey AS row_id",
+        "concat('m', o_custkey) AS model_name",
+        "segment",
+        "CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END AS target",
+        "o_totalprice AS f0",
+        "c_acctbal AS f1",
+        "c_nationkey * 1e0 AS f2",
+    )
+
+
 DATASET_FEATURES = ("f0", "f1", "f2")

@@ -2,14 +2,15 @@
 
 Each job runs to the end of what is there (``availableNow``) and starts again from its checkpoint, so the
 same code serves a scheduled catch-up and, with another trigger, a live stream. Sinks are idempotent:
-parquet with a checkpoint in append mode, one folder per batch id otherwise.
+parquet with a checkpoint in append mode, one folder per batch id otherwise. A run that finds nothing new returns what is there.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from relyard import constants as c
 from relyard.functions.histogram import bucket_index
@@ -50,37 +51,63 @@ def append_to(stream: DataFrame, path: str) -> DataFrame:
     return stream.sparkSession.read.schema(stream.schema).parquet(f"{path}/rows")
 
 
-def run_batches(stream: DataFrame, path: str, mode: str, handle: Callable[[DataFrame, int], None]) -> list[int]:
-    """Run a stream through a batch handler; returns the batch ids of this run."""
-    done: list[int] = []
-
-    def each(batch: DataFrame, batch_id: int) -> None:
-        handle(batch, batch_id)
-        done.append(batch_id)
-
+def run_batches(stream: DataFrame, path: str, mode: str, handle: Callable[[DataFrame, int], None]) -> None:
+    """Run a stream through a batch handler that must be idempotent per batch id."""
     job = (
         stream.writeStream.outputMode(mode)
         .option("checkpointLocation", f"{path}/checkpoint")
-        .foreachBatch(each)
+        .foreachBatch(handle)
         .trigger(availableNow=True)
         .start()
     )
     job.awaitTermination()
-    return done
 
 
 def batch_path(path: str, batch_id: int) -> str:
     return f"{path}/snapshots/batch={batch_id}"
 
 
-def snapshot_to(stream: DataFrame, path: str) -> DataFrame:
-    """Run a complete-mode aggregation; each batch writes a full snapshot, the last one is returned."""
+def batch_ids(spark: SparkSession, path: str) -> list[int]:
+    """Batches whose folder is complete, oldest first. The store is asked, so an idle restart finds what earlier runs wrote."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    folder = hadoop.Path(f"{path}/snapshots")
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(folder):
+        return []
+    done = [s.getPath() for s in files.listStatus(folder) if files.exists(hadoop.Path(s.getPath(), "_SUCCESS"))]
+    return sorted(int(p.getName().removeprefix("batch=")) for p in done)
+
+
+def drop_batches(spark: SparkSession, path: str, before: int) -> None:
+    """Remove superseded snapshots: those of batches below ``before``."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    for batch_id in batch_ids(spark, path):
+        if batch_id < before:
+            folder = hadoop.Path(batch_path(path, batch_id))
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def merge_to(stream: DataFrame, path: str, keys: Sequence[str]) -> DataFrame:
+    """Run an update-mode aggregation and return its newest rows per key.
+
+    Each micro-batch adds only the rows that changed, in a folder of its own; state behind the watermark is dropped by the
+    engine. A key's newest row is that of its last batch. A batch that is replayed overwrites its own folder.
+    """
+    spark = stream.sparkSession
 
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(batch_path(path, batch_id))
 
-    done = run_batches(stream, path, "complete", write)
-    return stream.sparkSession.read.schema(stream.schema).parquet(batch_path(path, done[-1]))
+    run_batches(stream, path, "update", write)
+    names = stream.columns
+    done = [batch_path(path, i) for i in batch_ids(spark, path)]
+    if not done:
+        return spark.createDataFrame([], stream.schema)
+    schema = StructType([*stream.schema.fields, StructField("batch", LongType())])
+    every = spark.read.schema(schema).option("basePath", f"{path}/snapshots").parquet(*done)
+    values = [n for n in names if n not in keys]
+    newest = every.groupBy(*keys).agg(F.max_by(F.struct(*values), "batch").alias("last"))
+    return newest.select(*[F.col("last")[n].alias(n) if n in values else F.col(n) for n in names])
 
 
 def window_start(name: str = "window") -> Column:
@@ -103,9 +130,9 @@ def windowed_latency(served: DataFrame, length: str) -> DataFrame:
     observed = served.filter(F.col("status") != 422).withWatermark("ts", WATERMARK)
     bucket = bucket_index(F.col("latency_s"), c.HISTOGRAM_BOUNDS).alias("bucket")
     return (
-        observed.groupBy(F.window("ts", length).alias("window"), "mode", "chosen", bucket)
+        observed.groupBy(F.window("ts", length).alias("window"), "mode", "status", "chosen", bucket)
         .agg(F.count(F.lit(1)).alias("n"))
-        .select(window_start(), "mode", "chosen", "bucket", "n")
+        .select(window_start(), "mode", "status", "chosen", "bucket", "n")
     )
 
 
@@ -120,15 +147,12 @@ def windowed_shadow_mae(served: DataFrame, length: str, alert_above: float) -> D
     )
 
 
-def deduplicated(requests: DataFrame, delay: str, salts: int = 16) -> DataFrame:
+def deduplicated(requests: DataFrame, delay: str) -> DataFrame:
     """First arrival of each request id; state is kept for ``delay`` after an id was seen.
 
-    A storm of retries of one id is first thinned out in ``salts`` places, so that at most that many rows
-    of an id meet in one task.
+    State depends on the id alone: a row that is suppressed never renews it, so a retry after the delay comes through.
     """
-    spread = requests.withWatermark("ts", delay).withColumn("_salt", F.pmod(F.xxhash64("ts"), F.lit(salts)))
-    thinned = spread.dropDuplicatesWithinWatermark(["request_id", "_salt"])
-    return thinned.dropDuplicatesWithinWatermark(["request_id"]).drop("_salt")
+    return requests.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["request_id"])
 
 
 def sessions(requests: DataFrame, gap: str = "30 minutes") -> DataFrame:
@@ -160,23 +184,28 @@ def serve_with_refresh(
     own folder.
     """
     spark = requests.sparkSession
-    written: dict[str, object] = {}
+    # Once for all batches, not anew for each.
+    models = coefficients.persist()
 
     def serve(batch: DataFrame, batch_id: int) -> None:
-        serving = routing.serving_models(read_aliases(), coefficients)
+        serving = routing.serving_models(read_aliases(), models)
         log = serving_log.predict_log(routing.serve(batch, serving))
-        written["schema"] = log.schema
         log.write.mode("overwrite").parquet(batch_path(path, batch_id))
 
     run_batches(requests, path, "append", serve)
-    return spark.read.schema(written["schema"]).parquet(f"{path}/snapshots/*")
+    models.unpersist()
+    done = [batch_path(path, i) for i in batch_ids(spark, path)]
+    if done:
+        return spark.read.parquet(*done)
+    nothing = spark.createDataFrame([], requests.schema)
+    return serving_log.predict_log(routing.serve(nothing, routing.serving_models(read_aliases(), coefficients)))
 
 
 def alias_state(events: DataFrame, path: str) -> DataFrame:
     """Latest version per (model_name, alias) from a stream of alias events, by (ts, seq).
 
-    Every batch is reduced first, then merged with the snapshot of the batch before it. The previous
-    snapshot is found by batch id, so a replayed batch starts from the same state.
+    Every batch is reduced first, then merged with the newest complete snapshot of an earlier batch, so a replayed batch starts
+    from the same state. Snapshots that two later ones have superseded are removed.
     """
     spark = events.sparkSession
     order = F.struct("ts", "seq")
@@ -187,12 +216,18 @@ def alias_state(events: DataFrame, path: str) -> DataFrame:
             F.max(order).alias("_at"),
         ).select("model_name", "alias", "version", "_at.*")
 
+    schema = latest(spark.createDataFrame([], events.schema)).schema
+
     def merge(batch: DataFrame, batch_id: int) -> None:
+        earlier = [i for i in batch_ids(spark, path) if i < batch_id]
         state = latest(batch)
-        if batch_id > 0:
-            previous = spark.read.schema(state.schema).parquet(batch_path(path, batch_id - 1))
+        if earlier:
+            previous = spark.read.schema(schema).parquet(batch_path(path, earlier[-1]))
             state = latest(previous.unionByName(state))
         state.write.mode("overwrite").parquet(batch_path(path, batch_id))
+        drop_batches(spark, path, batch_id - 1)
 
-    done = run_batches(events, path, "append", merge)
-    return spark.read.parquet(batch_path(path, done[-1])).select("model_name", "alias", "version")
+    run_batches(events, path, "append", merge)
+    done = batch_ids(spark, path)
+    kept = spark.read.schema(schema).parquet(batch_path(path, done[-1])) if done else spark.createDataFrame([], schema)
+    return kept.select("model_name", "alias", "version")

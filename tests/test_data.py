@@ -40,8 +40,18 @@ def test_split_is_exact_disjoint_and_repeatable(labelled):
         assert set(taken) == set(ordered[: len(taken)])
     again = split.stratified_split(df.repartition(7, "f0"), "y", "id")
     assert {r["id"]: r["split"] for r in again.collect()} == side
-    many = split.stratified_split(df, "y", "id", many_classes=True)
-    assert {r["id"]: r["split"] for r in many.collect()} == side
+    cuts = split.split_cuts(df, "y", "id", prefix_digits=1)
+    assert sorted(map(tuple, cuts.collect())) == sorted(map(tuple, split.split_cuts(df, "y", "id").collect()))
+
+
+def test_split_of_many_classes_and_missing_labels(spark):
+    df = spark.range(20_000).select("id", F.when(F.col("id") % 4 > 0, F.col("id") % 5000).alias("y"))
+    parts = split.stratified_split(df, "y", "id")
+    assert parts.columns == ["id", "y", "split"] and parts.count() == 20_000
+    sides = {r["split"]: r["count"] for r in parts.groupBy("split").count().collect()}
+    assert sides == {"test": 4_000, "train": 16_000}
+    lost = parts.filter("y IS NULL").groupBy("split").count().collect()
+    assert {r["split"]: r["count"] for r in lost} == {"test": 1_000, "train": 4_000}
 
 
 @pytest.mark.parametrize("counts,n_test", [([10], [2]), ([3, 3, 3], [1, 1, 0]), ([1, 1], [1, 0]), ([4933, 10067], [987, 2013]), ([10**11, 3 * 10**11 + 1], [2 * 10**10, 6 * 10**10 + 1])])
@@ -80,6 +90,15 @@ def test_feature_stats_nulls(spark):
     assert (got["b"]["count"], got["b"]["nulls"]) == (1, 1)
 
 
+def test_psi_with_missing_values_and_an_empty_side(spark):
+    rows = [(float(i), "l") for i in range(10)] + [(0.0, "r")] * 5 + [(None, "r")] * 5
+    df = spark.createDataFrame(rows, "a double, s string")
+    zeroed = df.fillna(0.0)
+    assert features.psi(df, "s", "l", "r", ["a"]).first()["psi"] != features.psi(zeroed, "s", "l", "r", ["a"]).first()["psi"]
+    assert features.feature_drift(df.filter("s = 'l'"), "s", "l", "r", ["a"]).first()["psi"] > 1
+    assert features.psi(df.limit(0), "s", "l", "r", ["a"]).count() == 0
+
+
 def test_psi_of_equal_sides_is_zero(spark):
     df = spark.range(200).select((F.col("id") % 100).cast("double").alias("a"), F.when(F.col("id") < 100, "l").otherwise("r").alias("s"))
     assert features.psi(df, "s", "l", "r", ["a"]).first()["psi"] == 0.0
@@ -111,14 +130,33 @@ def test_ordered_hash(labelled):
     assert h(df, ("f0", "id"), [F.floor("f0")]) != base
     with pytest.raises(ValueError, match="nope"):
         h(df, ("nope",))
-    assert fingerprint.duplicate_keys(df, ["id"]).count() == 0 and fingerprint.duplicate_keys(df, ["seg"]).count() > 0
+    # A key that rows share still gives one hash, however the rows arrive.
+    seg = [F.length("seg")]
+    assert h(df, ("seg",), seg) == h(df.repartition(5, "f1"), ("seg",), seg) != base
+
+
+def test_hash_ignores_time_zone_and_map_order(spark):
+    def hashed(zone, text):
+        spark.conf.set("spark.sql.session.timeZone", zone)
+        try:
+            df = spark.sql(f"SELECT CAST(s AS TIMESTAMP) AS t, {text} AS m FROM VALUES ('2024-11-03T05:30:00Z'), ('2024-11-03T06:30:00Z') v(s)")
+            return fingerprint.content_hash_multiset(df).first()["content_hash"], df.select(row_text(df).alias("t")).distinct().count()
+        finally:
+            spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+    one = hashed("UTC", "map('a', 1, 'b', 2)")
+    assert one == hashed("America/New_York", "map('b', 2, 'a', 1)") and one[1] == 2
+    with pytest.raises(ValueError, match="no fixed order"):
+        fingerprint.content_hash_multiset(spark.sql("SELECT array(map('a', 1)) AS x"))
 
 
 def test_ordered_hash_against_python(spark):
     df = spark.createDataFrame([(i, i % 3) for i in range(50)], "id bigint, v int")
-    limbs, mask = [0] * 12, (1 << 20) - 1
+    limbs, mask = [0] * 13, (1 << 20) - 1
     for i in range(50):
-        digest = hashlib.sha256(f"{i}:={i}\x1f={i % 3}".encode()).hexdigest()
+        inner = hashlib.sha256(f"={i}\x1f={i % 3}".encode()).hexdigest()
+        digest = hashlib.sha256(f"{i}:{inner}".encode()).hexdigest()
+        limbs[12] += int(digest[60:], 16)
         for k in range(4):
             piece = int(digest[15 * k : 15 * k + 15], 16)
             for j, limb in enumerate((piece >> 40, (piece >> 20) & mask, piece & mask)):
@@ -137,12 +175,20 @@ def test_schema_config_and_contract_hashes(spark, labelled):
     assert fingerprint.schema_text(df.select("y", "id")) != fingerprint.schema_text(df.select("id", "y"))
 
     params = {"model_type": "logreg", "max_iter": 2000, "solver": "lbfgs", "class_weight": "balanced", "random_state": 42}
-    long = spark.createDataFrame([("r", k, str(v)) for k, v in params.items()], "run_id string, key string, value string")
+    params |= {"C": 0.5, "flag": True, "none": None, 'quo"te': 'a "b"\\ \n\té', "empty": ""}
+    kinds = {int: "number", float: "number", bool: "bool"}
+    texts = [("r", k, None if v is None else json.dumps(v) if type(v) in kinds else v, kinds.get(type(v), "text")) for k, v in params.items()]
+    long = spark.createDataFrame(texts, "run_id string, key string, value string, value_type string")
     want = hashlib.sha256(json.dumps(params, sort_keys=True, separators=(",", ":")).encode()).hexdigest()
     assert fingerprint.config_hash(long).first()["config_hash"] == want
 
+    odd = df.withColumnRenamed("seg", 'se"g é')
+    text = json.dumps([[n, "object" if t == "string" else fingerprint.hash_type(t)] for n, t in odd.dtypes], separators=(",", ":"))
+    assert fingerprint.schema_text(odd) == text
+    assert fingerprint.schema_hash(fingerprint.schema_columns(spark, {"t": odd})).first()["schema_hash"] == hashlib.sha256(text.encode()).hexdigest()
+
     contract = df.withColumn("part", F.lit("train"))
-    row = fingerprint.dataset_fingerprint(contract, "part", "file:///d", " ")
+    row = fingerprint.dataset_fingerprint(contract, "part", 'file:///d "é"', " ")
     values = row.first().asDict()
     assert values["git_sha"] == "unknown" and values["row_count"] == 700
     assert row.select(fingerprint.fingerprint_json().alias("j")).first()["j"] == json.dumps(values, indent=2, sort_keys=True)
@@ -175,9 +221,9 @@ def test_logistic_regression(labelled):
     assert np.allclose([model[0]["intercept"], *[r["coef"] for r in model]], want, atol=1e-5)
 
 
-@pytest.mark.parametrize("limit", [100_000, 0])
+@pytest.mark.parametrize("limit", [1 << 26, 0])
 def test_per_segment_regression(labelled, limit, monkeypatch):
-    monkeypatch.setattr(ordered, "MAX_BROADCAST_ROWS", limit)
+    monkeypatch.setattr(ordered, "MAX_BROADCAST_BYTES", limit)
     rows, df = labelled
     got = {r["seg"]: [r["intercept"], *[r[f"coef_{f}"] for f in FEATURES]] for r in training.train_per_segment(df, "seg", FEATURES, "y").collect()}
     assert set(got) == {"hot", "b", "c"}
@@ -185,6 +231,19 @@ def test_per_segment_regression(labelled, limit, monkeypatch):
         assert np.allclose(got[seg], newton(*balanced([r for r in rows if r[1] == seg])), atol=1e-7)
 
 
+def test_segments_that_cannot_be_fitted_are_reported(spark, labelled):
+    _, df = labelled
+    odd = df.unionByName(df.limit(3).withColumns({"seg": F.lit("same"), "y": F.lit(1)}))
+    odd = odd.unionByName(df.limit(4).withColumns({"seg": F.lit("gap"), "f1": F.lit(None).cast("double")}))
+    odd = odd.unionByName(df.limit(4).withColumns({"seg": F.lit("open"), "y": F.lit(None).cast("int")}))
+    got = {r["seg"]: r for r in training.train_per_segment(odd, "seg", FEATURES, "y").collect()}
+    assert {s: r["reason"] for s, r in got.items() if r["reason"]} == {"same": "one class", "gap": "null feature", "open": "null label"}
+    assert got["same"]["intercept"] is None and not got["same"]["converged"]
+    assert all(got[s]["converged"] and got[s]["steps"] > 2 for s in ("hot", "b", "c"))
+    short = {r["seg"]: r for r in training.train_per_segment(df, "seg", FEATURES, "y", max_steps=2).collect()}
+    assert all(r["steps"] == 2 and not r["converged"] and r["intercept"] is not None for r in short.values())
+
+
 def test_opaque_model(labelled):
     rows, df = labelled
 
@@ -217,6 +276,10 @@ def test_run_log_round_trip(spark, location):
     back = {r["run_id"]: r for r in tables.run_log_maps(spark.read.parquet(location)).collect()}
     assert back["r1"]["tags"] == {"step": "train"} and back["r1"]["metrics"] == {"auc": 0.5}
     assert back["r3"]["tags"] == {"a": "x", "b": ""} and back["r3"]["params"] == {}
+    again = long.withColumn("logged_at", F.lit(1)).unionByName(
+        long.filter("kind = 'metric'").withColumns({"logged_at": F.lit(2), "metric_value": F.lit(0.25)})
+    )
+    assert {r["run_id"]: r["metrics"] for r in tables.run_log_maps(again).collect()} == {"r1": {"auc": 0.25}, "r3": {"m": 0.25}}
 
 
 def test_feature_names_with_spaces(labelled):

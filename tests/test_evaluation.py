@@ -73,6 +73,20 @@ def test_threshold_is_inclusive_and_f1_zero(spark):
     assert got["b"]["f1"] == 0.0
 
 
+def test_invalid_rows_void_the_metrics_of_their_group(spark):
+    nan = float("nan")
+    rows = [("a", 1, 0.9), ("a", 0, None), ("a", None, 0.1), ("b", 1, None), ("c", 1, 0.9), ("c", 0, 0.2), ("d", 1, nan), ("d", 0, 0.1)]
+    df = spark.createDataFrame(rows, "g string, label int, score double")
+    cells = {r["g"]: r for r in evaluation.confusion(df, ["g"]).withColumn("f1", evaluation.f1_of()).withColumn("acc", evaluation.accuracy_of()).collect()}
+    assert {g: r["invalid"] for g, r in cells.items()} == {"a": 2, "b": 1, "c": 0, "d": 1}
+    assert [(cells[g]["f1"], cells[g]["acc"]) for g in "abcd"] == [(None, None), (None, None), (1.0, 1.0), (None, None)]
+    for kind in ("probability", "label"):
+        auc = {r["g"]: (r["invalid"], r["auc"]) for r in evaluation.roc_auc(df, ["g"], kind).collect()}
+        assert auc == {"a": (2, None), "b": (1, None), "c": (0, 1.0), "d": (1, None)}
+        report = {r["g"]: (r["eval_accuracy"], r["eval_roc_auc"], r["gate_ok"]) for r in evaluation.report(df, ["g"], score_kind=kind).collect()}
+        assert report == {"a": (None, None, "false"), "b": (None, None, "false"), "c": (1.0, 1.0, "true"), "d": (None, None, "false")}
+
+
 def test_gate(spark):
     df = spark.createDataFrame([(0.95,), (0.9499,), (float("nan"),), (None,)], "auc double")
     assert [r["g"] for r in df.select(evaluation.gate_text(F.col("auc")).alias("g")).collect()] == ["true", "false", "false", "false"]

@@ -79,16 +79,16 @@ def test_score_band_never_decreases(spark):
 
 
 @pytest.mark.parametrize("limit", [None, 1])
-def test_lookup_join_keeps_every_row(spark, limit):
+@pytest.mark.parametrize("per_salt", [10, 10**6])
+def test_lookup_join_keeps_every_row(spark, limit, per_salt):
     facts = spark.range(1000).select(F.col("id"), F.when(F.col("id") % 3 > 0, F.lit("hot")).otherwise(F.concat(F.lit("k"), F.col("id") % 7)).alias("k"))
     lookup = spark.createDataFrame([("hot", 1), ("k0", 2), ("k3", 3)], "k string, v int")
-    got = ordered.lookup_join(facts, lookup, ["k"], ["id"], max_broadcast_rows=limit)
+    got = ordered.lookup_join(facts, lookup, ["k"], ["id"], max_broadcast_bytes=limit, rows_per_salt=per_salt)
     want = facts.join(lookup, "k", "left")
     assert sorted(map(tuple, got.select("id", "k", "v").collect())) == sorted(map(tuple, want.select("id", "k", "v").collect()))
 
 
-def test_small_map_checks_its_size(spark):
-    df = spark.range(5)
-    assert df.select(ordered.small_map(spark.range(3), "id", F.col("id") * 2, 3).alias("m")).first()["m"] == {0: 0, 1: 2, 2: 4}
-    with pytest.raises(Exception, match="more than 2 keys"):
-        df.select(ordered.small_map(spark.range(3), "id", F.col("id"), 2).alias("m")).collect()
+def test_estimated_bytes_follow_the_width_of_rows(spark):
+    thin, wide = (spark.range(100).select("id", F.repeat(F.lit("x"), n).alias("s")) for n in (1, 1000))
+    assert ordered.estimated_bytes(wide) > 100 * 1000 > ordered.estimated_bytes(thin)
+    assert ordered.estimated_bytes(thin.limit(0)) == 0

@@ -36,8 +36,13 @@ def test_alias_state_keeps_the_last_event(spark, location):
     state = {(r["model_name"], r["alias"]): r["version"] for r in jobs.alias_state(source(spark, schema, folder), location).collect()}
     assert state == {("m", "prod"): 2, ("n", "prod"): 1}
     arrive(spark, [("m", "prod", 9, START - timedelta(days=1), 9), ("n", "prod", 5, START + timedelta(days=1), 0)], schema, folder)
-    state = {(r["model_name"], r["alias"]): r["version"] for r in jobs.alias_state(source(spark, schema, folder), location).collect()}
-    assert state == {("m", "prod"): 2, ("n", "prod"): 5}
+    for _ in range(2):  # the second run finds nothing new
+        state = {(r["model_name"], r["alias"]): r["version"] for r in jobs.alias_state(source(spark, schema, folder), location).collect()}
+        assert state == {("m", "prod"): 2, ("n", "prod"): 5}
+    for day in range(2, 6):
+        arrive(spark, [("m", "prod", 10 + day, START + timedelta(days=day), 1)], schema, folder)
+    assert jobs.alias_state(source(spark, schema, folder), location).count() == 2
+    assert len(jobs.batch_ids(spark, location)) == 2
 
 
 def test_promotion_is_served_from_the_next_batch(spark, location):
@@ -56,6 +61,8 @@ def test_promotion_is_served_from_the_next_batch(spark, location):
 
     log = jobs.serve_with_refresh(source(spark, schema, folder), location, read_aliases, coefficients)
     assert sorted(r["prod_version"] for r in log.collect()) == [1, 2]
+    idle = jobs.serve_with_refresh(source(spark, schema, folder), location, read_aliases, coefficients)
+    assert sorted(r["prod_version"] for r in idle.collect()) == [1, 2]
 
 
 def test_sessions_merge_across_the_gap(spark, location):
@@ -74,9 +81,38 @@ def test_windowed_counts_equal_batch(spark, location, length, slide):
     rows = [(START + timedelta(minutes=7 * i), "/predict", "prod" if i % 3 else "odd", 200) for i in range(60)]
     arrive(spark, rows[:30], schema, folder)
     arrive(spark, rows[30:], schema, folder)
-    streamed = jobs.snapshot_to(jobs.windowed_requests(source(spark, schema, folder), length, slide), location)
+    keys = ["window_start", "endpoint", "mode", "status"]
+    streamed = jobs.merge_to(jobs.windowed_requests(source(spark, schema, folder), length, slide), location, keys)
     batch = jobs.windowed_requests(spark.read.schema(schema).parquet(folder), length, slide)
     assert sorted(map(tuple, streamed.collect())) == sorted(map(tuple, batch.collect()))
+    idle = jobs.merge_to(jobs.windowed_requests(source(spark, schema, folder), length, slide), location, keys)
+    assert sorted(map(tuple, idle.collect())) == sorted(map(tuple, batch.collect()))
+
+
+def test_window_state_shrinks_behind_the_watermark(spark, location):
+    schema, folder = "ts timestamp, endpoint string, mode string, status int", f"{location}/in"
+    for day in range(6):
+        arrive(spark, [(START + timedelta(days=day, minutes=m), "/predict", "prod", 200) for m in range(0, 600, 60)], schema, folder)
+    counts = jobs.windowed_requests(source(spark, schema, folder), "1 hour")
+    held = []
+    job = counts.writeStream.outputMode("update").option("checkpointLocation", f"{location}/c").format("noop").trigger(availableNow=True).start()
+    job.awaitTermination()
+    held = [p["stateOperators"][0]["numRowsTotal"] for p in job.recentProgress if p["stateOperators"]]
+    assert max(held) <= 20 and len(held) >= 6
+
+
+def test_retry_after_the_delay_comes_through(spark, location):
+    """A suppressed retry in between does not renew the state of an id."""
+    schema, folder = "request_id string, ts timestamp", f"{location}/in"
+    for minutes in (0, 40, 61, 89):
+        name = "x" if minutes != 61 else "other"
+        arrive(spark, [(name, START + timedelta(minutes=minutes))], schema, folder)
+        if name == "other":
+            # The first moves the watermark past the delay, the second lets the state go.
+            arrive(spark, [("later", START + timedelta(minutes=125))], schema, folder)
+            arrive(spark, [("later", START + timedelta(minutes=126))], schema, folder)
+    got = [r["request_id"] for r in jobs.append_to(jobs.deduplicated(source(spark, schema, folder), "1 hour"), location).collect()]
+    assert got.count("x") == 2 and sorted(set(got)) == ["later", "other", "x"]
 
 
 def test_stable_ids_make_a_replay_equal(spark):
