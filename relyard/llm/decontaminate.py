@@ -83,14 +83,16 @@ def verified_hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     skipped = F.greatest(F.lit(0), F.col("before") - F.col("at"))  # words of the item that lie before the document
     length = F.size("around") - skipped
     beside = F.slice("words", F.greatest(F.lit(0), F.col("at") - F.col("before")) + 1, length)
-    same = F.zip_with(F.slice("around", skipped + 1, length), beside, lambda a, b: a == b)
+    same = F.zip_with(F.col("of_item"), F.col("of_document"), lambda a, b: a == b)
     found = []
     for block in range(n_blocks):
         part = seeds.where(F.pmod(F.xxhash64("item_id", "seed"), F.lit(n_blocks)) == block)
-        hits = seeded.join(F.broadcast(part), "seed").select(
-            "doc_id", "row_key", "item_id", "at", F.size(F.filter(same, lambda x: x)).alias("matched"), F.size("around").alias("compared")
-        )
-        found.append(hits.where(F.col("matched") >= F.ceil(F.col("compared") * SHARE)))
+        # Up to here everything is one generated loop over the words of a document; only hits leave it, with the few words
+        # to compare instead of the whole document. The comparison is unfolded apart, so that it cannot move into the join.
+        sides = (F.slice("around", skipped + 1, length).alias("of_item"), beside.alias("of_document"))
+        hits = seeded.join(F.broadcast(part), "seed").select("doc_id", "row_key", "item_id", "at", F.size("around").alias("compared"), *sides)
+        checked = with_once(hits, matched=F.size(F.filter(same, lambda x: x)))
+        found.append(checked.where(F.col("matched") >= F.ceil(F.col("compared") * SHARE)).drop("of_item", "of_document"))
     return reduce(DataFrame.union, found)
 
 
