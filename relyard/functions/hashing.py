@@ -103,8 +103,8 @@ def json_quoted(text: Column) -> Column:
     return F.when(plain, quoted).otherwise(canonical_json(F.when(~plain, quoted)))
 
 
-def canonical_json(payload: Column, member: str | None = None) -> Column:
-    """Compact JSON with sorted keys and shortest float text, of the whole text or of one member of an object.
+def canonical_json(payload: Column, member: str | None = None, indent: int | None = None) -> Column:
+    """JSON with sorted keys and shortest float text, of the whole text or of one member of an object; compact or indented.
 
     Null where the text is not JSON or has no such member. Only for payloads with floats or non-ASCII text; integers,
     booleans and plain strings have a built-in form in :func:`relyard.operators.routing.canonical_rows`.
@@ -119,7 +119,8 @@ def canonical_json(payload: Column, member: str | None = None) -> Column:
                 return None
             try:
                 value = json.loads(text)
-                return json.dumps(value if member is None else value[member], sort_keys=True, separators=(",", ":"))
+                marks = (",", ":") if indent is None else None
+                return json.dumps(value if member is None else value[member], sort_keys=True, separators=marks, indent=indent)
             except (TypeError, ValueError, KeyError):
                 return None
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from relyard import constants as c
+from relyard.functions.hashing import canonical_json
 from relyard.functions.text import blank, strip_or_empty, strip_or_null, tag
 
 DETAIL_FIELDS = {
@@ -142,8 +143,8 @@ def violations(decisions: DataFrame, kind: str = "errors") -> DataFrame:
     )
 
 
-def as_json(decisions: DataFrame) -> DataFrame:
-    """Decision as compact JSON with sorted keys; context keeps its nulls, details only what they hold."""
+def as_json(decisions: DataFrame, indent: int | None = None) -> DataFrame:
+    """Decision as JSON with sorted keys, compact or indented; context keeps its nulls, details only what they hold."""
     base = ["candidate_version", "current_prod_version", "from_alias", "model_name", "to_alias"]
     subset = F.struct(*[F.col(f"candidate_tags_subset.{k}").alias(k) for k in sorted(c.CONTEXT_TAGS)])
     sorted_subset = F.when(F.col("candidate_tags_subset").isNotNull(), subset)
@@ -166,14 +167,21 @@ def as_json(decisions: DataFrame) -> DataFrame:
         F.lit(',"errors":'), listed("errors"),
         F.lit(',"warnings":'), listed("warnings"), F.lit("}"),
     )
-    return decisions.select("model_name", text.alias("decision"))
+    shown = text if indent is None else canonical_json(text, indent=indent)
+    return decisions.select("model_name", shown.alias("decision"))
 
 
 def as_text(decisions: DataFrame) -> DataFrame:
     """Decision as numbered text lines: allowed, errors, warnings, context."""
 
     def quoted(value: Column) -> Column:
-        return F.coalesce(F.concat(F.lit("'"), value, F.lit("'")), F.lit("None"))
+        escaped = value
+        for plain, shown in (("\\", "\\\\"), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t")):
+            escaped = F.replace(escaped, F.lit(plain), F.lit(shown))
+        single, double = F.contains(value, F.lit("'")), F.contains(value, F.lit('"'))
+        in_single = F.concat(F.lit("'"), F.replace(escaped, F.lit("'"), F.lit("\\'")), F.lit("'"))
+        shown = F.when(single & ~double, F.concat(F.lit('"'), escaped, F.lit('"'))).otherwise(in_single)
+        return F.when(value.isNull(), F.lit("None")).otherwise(shown)
 
     def literal(detail: Column) -> Column:
         pairs = []

@@ -38,11 +38,13 @@ def copied_tags(tags: Column) -> Column:
 
 
 def register_versions(runs: DataFrame, versions: DataFrame) -> DataFrame:
-    """New versions for the train runs whose gate says true; failed gates leave no version.
+    """New versions for the train runs whose gate says true; failed gates leave no version, and neither does a run that has one.
 
-    Numbers go on after the newest version of the model, in order of run start.
+    Numbers go on after the newest version of the model, in order of run start. Running it again adds nothing.
     """
-    passed = runs.filter((F.col("step") == "train") & gate_is_true(F.col("gate_ok"))).select(
+    source = strip_or_null(F.try_element_at(F.col("tags"), F.lit("source_run_id")))
+    registered = versions.select(source.alias("run_id")).filter("run_id IS NOT NULL")
+    passed = runs.join(registered, "run_id", "left_anti").filter((F.col("step") == "train") & gate_is_true(F.col("gate_ok"))).select(
         "model_name", "run_id", "start_time", "tags", day_of("start_time").alias("_day")
     )
     bins = needed_bins(passed, ["model_name"], ["_day", "start_time"])

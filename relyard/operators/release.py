@@ -31,34 +31,38 @@ def upsert_tags(versions: DataFrame, changes: DataFrame) -> DataFrame:
     return joined.withColumn("tags", F.coalesce(merged, F.col("tags"))).select(*versions.columns)
 
 
-def promotion_changes(decisions: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Alias and tag changes of every allowed decision towards prod."""
-    allowed = decisions.filter(F.col("allowed") & (F.col("to_alias") == c.PROD)).select(
-        "model_name",
-        "from_alias",
-        F.col("candidate_version").cast("bigint").alias("version"),
-        F.col("current_prod_version").cast("bigint").alias("previous"),
+def promotion_changes(decisions: DataFrame, aliases: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Alias and tag changes of every allowed decision.
+
+    Whatever alias was decided about, prod and champion move, and the version that is prod now becomes the previous one.
+    """
+    prod = alias_versions(aliases, {"previous": c.PROD})
+    allowed = (
+        decisions.filter("allowed")
+        .select("model_name", "from_alias", F.col("candidate_version").cast("bigint").alias("version"))
+        .join(prod, "model_name", "left")
     )
     alias_changes = allowed.select(
         "model_name", F.explode(F.array(F.lit(c.PROD), F.lit(c.CHAMPION))).alias("alias"), "version"
     )
-    evidence = F.create_map(
-        F.lit("release_status"), F.lit(c.PROD), F.lit("promoted_from_alias"), F.col("from_alias")
-    )
+    # A version that is prod already is marked as its own predecessor, the last of the marks it would get one by one.
+    again = F.col("version") == F.col("previous")
+    status = F.when(again, F.lit(c.PREVIOUS_PROD)).otherwise(F.lit(c.PROD))
+    evidence = F.create_map(F.lit("release_status"), status, F.lit("promoted_from_alias"), F.col("from_alias"))
     pointer = F.create_map(F.lit("previous_prod_version"), F.col("previous").cast("string"))
     no_pointer = F.create_map().cast("map<string,string>")
     promoted = F.map_concat(evidence, F.when(F.col("previous").isNotNull(), pointer).otherwise(no_pointer))
     retired = F.create_map(F.lit("release_status"), F.lit(c.PREVIOUS_PROD))
     entry = F.array(
         F.struct(F.col("version").alias("version"), promoted.alias("updates")),
-        F.struct(F.col("previous").alias("version"), retired.alias("updates")),
+        F.struct(F.when(~again, F.col("previous")).alias("version"), retired.alias("updates")),
     )
     tag_changes = allowed.select("model_name", F.inline(entry)).filter(F.col("version").isNotNull())
     return alias_changes, tag_changes
 
 
 def apply_promotion(decisions: DataFrame, aliases: DataFrame, versions: DataFrame) -> tuple[DataFrame, DataFrame]:
-    alias_changes, tag_changes = promotion_changes(decisions)
+    alias_changes, tag_changes = promotion_changes(decisions, aliases)
     return upsert_aliases(aliases, alias_changes), upsert_tags(versions, tag_changes)
 
 
@@ -67,15 +71,19 @@ def rollback_plan(models: DataFrame, aliases: DataFrame, versions: DataFrame) ->
     prod = alias_versions(aliases, {"current_version": c.PROD})
     tagged = versions.select("model_name", F.col("version").alias("current_version"), "tags")
     previous = strip_or_null(tag(F.col("tags"), "previous_prod_version"))
+    known = versions.select("model_name", F.col("version").alias("previous_version"), F.lit(True).alias("_known"))
     reason = (
         F.when(F.col("current_version").isNull(), F.lit("MISSING_PROD_ALIAS"))
-        .when(F.col("previous_version").isNull(), F.lit("MISSING_PREVIOUS_PROD_VERSION"))
+        .when(F.col("_pointer").isNull(), F.lit("MISSING_PREVIOUS_PROD_VERSION"))
+        .when(F.col("_known").isNull(), F.lit("VERSION_NOT_FOUND"))
     )
     return (
         models.select("model_name")
         .join(prod, "model_name", "left")
         .join(tagged, ["model_name", "current_version"], "left")
+        .withColumn("_pointer", previous)
         .withColumn("previous_version", previous.try_cast("bigint"))
+        .join(known, ["model_name", "previous_version"], "left")
         .select("model_name", "current_version", "previous_version", reason.alias("reason"))
     )
 

@@ -26,7 +26,7 @@ ALL_TABLES = (
 
 @query("ingest_raw", sql("SELECT * FROM ds", "ds"))
 def ingest_raw(spark: SparkSession, sf: str) -> DataFrame:
-    return tables.write_raw(views.dataset(spark, sf), new_location(spark, "raw"))
+    return tables.write_raw(views.dataset(spark, sf), new_location(spark, "raw"), ["target", *DATASET_FEATURES])
 
 
 @query("csv_roundtrip", sql("SELECT * FROM ds", "ds"))
@@ -516,6 +516,60 @@ def train_per_segment(spark: SparkSession, sf: str) -> DataFrame:
     return training.train_per_segment(views.owned_dataset(spark, sf), "segment", DATASET_FEATURES, "target")
 
 
+def _gradient(rows: DataFrame, group: list[str], label: str, scaled: dict[str, Column], coefs: dict[str, Column], intercept: Column, weight: Column) -> DataFrame:
+    """Largest entry per group of the gradient of the penalised loss, per row: zero at the optimum."""
+    z = intercept + reduce(lambda a, b: a + b, [coefs[f] * scaled[f] for f in scaled])
+    rest = weight * (1 / (1 + F.exp(-z)) - F.col(label))
+    slopes = [F.abs(F.sum(rest * scaled[f]) + F.first(coefs[f])) for f in scaled]
+    worst = F.greatest(F.abs(F.sum(rest)), *slopes) / F.count(F.lit(1))
+    return rows.groupBy(*group).agg(worst.alias("gradient"))
+
+
+@query("train_optimum", "SELECT true AS at_optimum")
+def train_optimum(spark: SparkSession, sf: str) -> DataFrame:
+    """The regression's gradient, summed over all rows again with the coefficients it returned, is zero."""
+    rows = views.dataset(spark, sf)
+    model = {r["feature"]: r for r in training.train_logreg(rows, DATASET_FEATURES, "target").collect()}
+    balance = {r["target"]: r["weight"] for r in features.class_weights(rows, "target").collect()}
+    scaled = {f: (F.col(f) - m["mean"]) / (m["std"] or 1.0) for f, m in model.items()}
+    weight = F.when(F.col("target") == 1, balance[1]).otherwise(balance[0])
+    coefs = {f: F.lit(m["coef"]) for f, m in model.items()}
+    found = _gradient(rows, [], "target", scaled, coefs, F.lit(model["f0"]["intercept"]), weight)
+    return found.select((F.col("gradient") < 1e-5).alias("at_optimum"))
+
+
+@query("segment_optimum", "SELECT DISTINCT c_mktsegment AS segment, true AS converged, true AS at_optimum FROM customer JOIN orders ON c_custkey = o_custkey")
+def segment_optimum(spark: SparkSession, sf: str) -> DataFrame:
+    """The same for each segment's own regression."""
+    rows = views.owned_dataset(spark, sf)
+    fitted = training.train_per_segment(rows, "segment", DATASET_FEATURES, "target")
+    moments = [x for f in DATASET_FEATURES for x in (F.avg(f).alias(f"mean_{f}"), F.stddev_pop(f).alias(f"std_{f}"))]
+    known = rows.groupBy("segment").agg(F.count(F.lit(1)).alias("n"), F.sum("target").alias("n1"), *moments)
+    joined = rows.join(F.broadcast(known.join(fitted, "segment")), "segment")  # one row per market segment
+    scaled = {f: (F.col(f) - F.col(f"mean_{f}")) / F.when(F.col(f"std_{f}") == 0, 1.0).otherwise(F.col(f"std_{f}")) for f in DATASET_FEATURES}
+    weight = F.col("n") / (2.0 * F.when(F.col("target") == 1, F.col("n1")).otherwise(F.col("n") - F.col("n1")))
+    coefs = {f: F.col(f"coef_{f}") for f in DATASET_FEATURES}
+    found = _gradient(joined, ["segment", "converged"], "target", scaled, coefs, F.col("intercept"), weight)
+    return found.select("segment", "converged", (F.col("gradient") < 1e-7).alias("at_optimum"))
+
+
+@query("feature_quantile_ranks", " UNION ALL ".join(f"SELECT '{f}' AS feature, {q} AS quantile, true AS within_bound" for f in DATASET_FEATURES for q in ("0.25e0", "0.5e0", "0.75e0")))
+def feature_quantile_ranks(spark: SparkSession, sf: str) -> DataFrame:
+    """Each approximate quantile lies among values whose exact rank is off by at most a thousandth of the rows."""
+    rows, points = views.dataset(spark, sf), (0.25, 0.5, 0.75)
+    found = {r["feature"]: r for r in features.feature_quantiles(rows, [], DATASET_FEATURES, points).collect()}
+    checks = [
+        F.struct(
+            F.lit(f).alias("feature"),
+            F.lit(q).alias("quantile"),
+            ((F.avg((F.col(f) < value).cast("double")) <= q + 1e-3) & (F.avg((F.col(f) <= value).cast("double")) >= q - 1e-3)).alias("within_bound"),
+        )
+        for f in DATASET_FEATURES
+        for q, value in zip(points, found[f]["quantiles"])
+    ]
+    return rows.agg(F.array(*checks).alias("c")).select(F.inline("c"))
+
+
 @query(
     "score_pandas_udf",
     sql("SELECT row_id, round(1 / (1 + exp(-(f0 / 5e5 - f1 / 1e4 + f2 / 25e0))), 6) AS proba FROM ds", "ds"),

@@ -9,7 +9,8 @@ from relyard.functions.text import strip_or_null, tag
 from relyard.operators import policy, registry, release
 from relyard.plans.catalog import query
 from relyard.plans.oracle_views import sql
-from relyard.sources import views
+from relyard.session import new_location
+from relyard.sources import release_state, views
 from relyard.sources.tables import table
 
 
@@ -277,10 +278,10 @@ SELECT r.model_name, coalesce(newest, 0) + row_number() OVER (PARTITION BY r.mod
   run_id AS source_run_id, coalesce(nullif(trim(tag_git_sha), ''), '') AS git_sha, coalesce(tag_dataset_fingerprint, '') AS dataset_fingerprint,
   'passed' AS gate, 'candidate' AS release_status
 FROM rn r LEFT JOIN md ON md.model_name = r.model_name
-WHERE step = 'train' AND lower(trim(gate_ok, concat(' ', chr(9), chr(10), chr(13)))) = 'true'"""
+WHERE run_id NOT IN (SELECT trim(source_run_id) FROM mv) AND step = 'train' AND lower(trim(gate_ok, concat(' ', chr(9), chr(10), chr(13)))) = 'true'"""
 
 
-@query("register_versions", sql(_REGISTERED_SQL, "rn", "md"))
+@query("register_versions", sql(_REGISTERED_SQL, "rn", "md", "mv"))
 def register_versions(spark: SparkSession, sf: str) -> DataFrame:
     new = registry.register_versions(views.runs(spark, sf), views.model_versions(spark, sf))
     keys = ("git_sha", "dataset_fingerprint", "gate", "release_status")
@@ -293,7 +294,7 @@ def register_versions(spark: SparkSession, sf: str) -> DataFrame:
         f"""SELECT coalesce(a.model_name, n.model_name) AS model_name, coalesce(a.alias, 'candidate') AS alias, coalesce(n.version, a.version) AS version
         FROM al a FULL OUTER JOIN (SELECT model_name, max(version) AS version FROM ({_REGISTERED_SQL}) GROUP BY model_name) n
         ON n.model_name = a.model_name AND a.alias = 'candidate'""",
-        "al", "rn", "md",
+        "al", "rn", "md", "mv",
     ),
 )
 def register_candidate_alias(spark: SparkSession, sf: str) -> DataFrame:
@@ -441,8 +442,9 @@ def promoted_state(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame,
     """Models, aliases and versions after promotion; stored once, as later steps read them several times."""
     models, aliases, versions = _state(spark, sf)
     decided = policy.evaluate(models, aliases, versions, views.runs(spark, sf))
-    new_aliases, new_versions = release.apply_promotion(decided, aliases, versions)
-    return models, new_aliases, new_versions
+    root = new_location(spark, "release-state")
+    release_state.write(*release.apply_promotion(decided, aliases, versions), root)
+    return models, *release_state.read(spark, root)
 
 
 @query("apply_promotion_aliases", sql("SELECT * FROM pr", "pr"))
@@ -500,13 +502,10 @@ def rollback_blocked(spark: SparkSession, sf: str) -> DataFrame:
 )
 def rollback_undo(spark: SparkSession, sf: str) -> DataFrame:
     """Prod version after promotion, after rollback, and after rolling back again."""
-    from relyard.session import shared_root
-
-    shared_root(spark)
-    models, aliases, versions = promoted_state(spark, sf)
-    promoted, versions = aliases.checkpoint(), versions.checkpoint()
-    once, versions_once, _ = release.rollback(models, promoted, versions)
-    once, versions_once = once.checkpoint(), versions_once.checkpoint()
+    models, promoted, versions = promoted_state(spark, sf)
+    root = new_location(spark, "release-state")
+    release_state.write(*release.rollback(models, promoted, versions)[:2], root)
+    once, versions_once = release_state.read(spark, root)
     twice, _, _ = release.rollback(models, once, versions_once)
 
     def prod(df: DataFrame, name: str) -> DataFrame:

@@ -1,0 +1,53 @@
+"""Stored release state: alias and version tables that change together.
+
+Every write is a new numbered snapshot of both tables. A snapshot counts once its marker exists; the marker is created last and in
+one step, so readers see either the old pair or the new one, and of two writers of one number only one succeeds.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+
+def _path(spark: SparkSession, path: str):
+    """A path with its store."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop, hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def current(spark: SparkSession, root: str) -> int:
+    """Number of the newest complete snapshot; 0 where there is none."""
+    folder, store = _path(spark, f"{root}/committed")
+    return max((int(s.getPath().getName()) for s in store.listStatus(folder)), default=0) if store.exists(folder) else 0
+
+
+def read(spark: SparkSession, root: str, number: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Aliases and versions of one snapshot, the newest by default."""
+    at = current(spark, root) if number is None else number
+    if at == 0:
+        raise ValueError(f"no release state in {root}")
+    return spark.read.parquet(f"{root}/snapshots/{at}/aliases"), spark.read.parquet(f"{root}/snapshots/{at}/versions")
+
+
+def write(aliases: DataFrame, versions: DataFrame, root: str) -> int:
+    """Store the next snapshot and return its number. What a failed writer left under that number is replaced."""
+    spark = aliases.sparkSession
+    number = current(spark, root) + 1
+    aliases.write.mode("overwrite").parquet(f"{root}/snapshots/{number}/aliases")
+    versions.write.mode("overwrite").parquet(f"{root}/snapshots/{number}/versions")
+    marker, store = _path(spark, f"{root}/committed/{number}")
+    if not store.createNewFile(marker):
+        raise RuntimeError(f"another writer has stored snapshot {number} of {root}")
+    return number
+
+
+def change(
+    spark: SparkSession, root: str, step: Callable[[DataFrame, DataFrame], tuple[DataFrame, DataFrame]], dry_run: bool = False
+) -> tuple[DataFrame, DataFrame]:
+    """Apply ``step`` to the newest state and store the result; a dry run returns it and writes nothing."""
+    changed = step(*read(spark, root))
+    if dry_run:
+        return changed
+    return read(spark, root, write(*changed, root))

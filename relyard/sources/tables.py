@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
+from relyard.functions.hashing import canonical_json
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A stored table, with the schema its files have now."""
@@ -22,9 +24,9 @@ def require_columns(df: DataFrame, columns: Sequence[str], source: str) -> DataF
     return df
 
 
-def write_raw(df: DataFrame, path: str) -> DataFrame:
-    """Keep the ingested dataset as it came and go on from the stored copy."""
-    df.write.mode("errorifexists").parquet(path)
+def write_raw(df: DataFrame, path: str, required: Sequence[str] = ()) -> DataFrame:
+    """Keep the ingested dataset as it came and go on from the stored copy; without the required columns nothing is written."""
+    require_columns(df, required, path).write.mode("errorifexists").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -94,8 +96,10 @@ def json_report(df: DataFrame, keys: Sequence[str], fields: Sequence[str]) -> Da
     return df.select(*keys, F.to_json(F.struct(*sorted(fields)), {"ignoreNullFields": "false"}).alias("report"))
 
 
-def write_json_report(reports: DataFrame, path: str) -> None:
-    reports.select("report").write.mode("errorifexists").text(path)
+def write_json_report(reports: DataFrame, path: str, indent: int | None = None) -> None:
+    """One report per line; indented reports span lines."""
+    text = F.col("report") if indent is None else canonical_json(F.col("report"), indent=indent)
+    reports.select(text.alias("report")).write.mode("errorifexists").text(path)
 
 
 def contract_report(tables: Mapping[str, DataFrame], contract: Mapping[str, Mapping[str, str]]) -> DataFrame:

@@ -265,6 +265,11 @@ def test_required_columns_and_text_sinks(spark, labelled, location):
     texts = [r["value"] for r in spark.read.text(location).collect()]
     assert sorted(texts) == sorted(r["report"] for r in reports.collect())
     assert list(json.loads(texts[0])) == ["f0", "y"]
+    tables.write_json_report(reports.limit(1), f"{location}-2", indent=2)
+    text = "\n".join(r["value"] for r in spark.read.text(f"{location}-2").collect())
+    assert text == json.dumps(json.loads(text), indent=2, sort_keys=True) and text.count("\n") == 3
+    with pytest.raises(ValueError, match="target"):
+        tables.write_raw(df, f"{location}-3", ["target"])
 
 
 def test_run_log_round_trip(spark, location):

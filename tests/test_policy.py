@@ -101,6 +101,19 @@ def test_json_and_text_forms(spark):
     assert lines[2].startswith("WARN  MISSING_SOURCE_RUN_ID: ") and lines[-1].startswith("context={'model_name': 'm', ")
 
 
+def test_text_and_indented_forms_of_awkward_values(spark):
+    tags = {**VALID, "gate": "it's\n\\ok", "release_status": 'say "no" and it\'s', "git_sha": 'a"b\té'}
+    decisions = decide(spark, tags, [("candidate", 1)])
+    lines = [r["line"] for r in policy.as_text(decisions).orderBy("line_no").collect()]
+    assert all("\n" not in x for x in lines)
+    gate = next(x for x in lines if "GATE_NOT_PASSED" in x)
+    status = next(x for x in lines if "INVALID_RELEASE_STATUS" in x)
+    assert gate.endswith("'actual': " + repr(tags["gate"]) + "}") and repr(tags["release_status"]) in status
+    assert repr(tags["git_sha"]) in lines[-1]
+    compact, indented = (policy.as_json(decisions, n).first()["decision"] for n in (None, 2))
+    assert indented == json.dumps(json.loads(compact), indent=2, sort_keys=True)
+
+
 def test_exit_status(spark):
     assert policy.exit_status(decide(spark, VALID, [("candidate", 1)])).first()["exit_status"] == 0
     assert policy.exit_status(decide(spark, {}, [("candidate", 1)])).first()["exit_status"] == 2

@@ -3,6 +3,7 @@
 import pytest
 
 from relyard.operators import policy, registry, release
+from relyard.sources import release_state
 from tests.test_policy import ALIASES, VALID, VERSIONS
 
 BASE = {**VALID, "source_run_id": "r"}
@@ -125,3 +126,56 @@ def test_references(spark):
         0: (1, "r", True), 1: (2, None, False), 2: (None, None, False),
         3: (None, None, False), 4: (None, "r", True), 5: (None, None, False),
     }
+
+
+def test_promotion_from_another_alias_moves_prod_too(spark, state):
+    """A decision about another target alias still takes effect, and what is prod now becomes the previous version."""
+    models, aliases, versions, runs = state
+    decided = policy.evaluate(models, aliases, versions, runs, to_alias="staging")
+    new_aliases, new_versions = release.apply_promotion(decided, aliases, versions)
+    assert as_dict(new_aliases)["a", "prod"] == 2 and as_dict(new_aliases)["b", "prod"] == 1
+    assert tags_of(new_versions)["a", 2]["previous_prod_version"] == "1"
+    same = spark.createDataFrame([("b", "candidate", 1), ("b", "prod", 1)], ALIASES)
+    decided = policy.evaluate(models, same, versions, runs, to_alias="staging")
+    _, tagged = release.apply_promotion(decided, same, versions)
+    own = tags_of(tagged)["b", 1]
+    assert tagged.count() == versions.count() and (own["release_status"], own["previous_prod_version"]) == ("previous_prod", "1")
+
+
+def test_rollback_to_a_version_that_is_gone(spark, state):
+    models, *_ = state
+    versions = spark.createDataFrame([("a", 2, {**BASE, "previous_prod_version": "99999"}), ("b", 1, {**BASE, "previous_prod_version": "x"})], VERSIONS)
+    aliases = spark.createDataFrame([("a", "prod", 2), ("b", "prod", 1)], ALIASES)
+    plan = {r["model_name"]: r["reason"] for r in release.rollback_plan(models, aliases, versions).collect()}
+    assert plan == {"a": "VERSION_NOT_FOUND", "b": "VERSION_NOT_FOUND", "c": "MISSING_PROD_ALIAS"}
+
+
+def test_registration_twice_adds_nothing(spark):
+    runs = spark.createDataFrame(
+        [("r1", "m", "train", "2024-01-01 00:00:00", {"git_sha": "s"}, "true"), ("r2", "m", "train", "2024-01-02 00:00:00", {}, "true")],
+        "run_id string, model_name string, step string, start_time string, tags map<string,string>, gate_ok string",
+    ).selectExpr("run_id", "model_name", "step", "CAST(start_time AS TIMESTAMP_NTZ) AS start_time", "tags", "gate_ok")
+    none = spark.createDataFrame([], "model_name string, version bigint, source_run_id string, tags map<string,string>, created_at timestamp_ntz")
+    first = registry.register_versions(runs, none)
+    assert sorted((r["version"], r["source_run_id"]) for r in first.collect()) == [(1, "r1"), (2, "r2")]
+    assert registry.register_versions(runs, first.select(*none.columns)).count() == 0
+
+
+def test_stored_state_changes_as_a_pair(spark, state, location):
+    models, aliases, versions, runs = state
+    with pytest.raises(ValueError, match="no release state"):
+        release_state.read(spark, location)
+    assert release_state.write(aliases, versions, location) == 1
+
+    def step(a, v):
+        return release.apply_promotion(policy.evaluate(models, a, v, runs), a, v)
+
+    release_state.change(spark, location, step, dry_run=True)
+    assert release_state.current(spark, location) == 1
+    new_aliases, _ = release_state.change(spark, location, step)
+    assert release_state.current(spark, location) == 2 and as_dict(new_aliases)["a", "prod"] == 2
+    assert as_dict(release_state.read(spark, location, 1)[0])["a", "prod"] == 1
+    # A writer that died before its marker leaves no trace a reader could see.
+    aliases.write.parquet(f"{location}/snapshots/3/aliases")
+    assert release_state.current(spark, location) == 2
+    assert release_state.write(*release_state.read(spark, location), location) == 3
