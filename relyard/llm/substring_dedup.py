@@ -1,9 +1,10 @@
 """Substring de-duplication by hashed units: lines, and the sentences inside longer lines.
 
-A unit ends at a newline; inside a line a sentence ends at a space after ``. ! ?``. Units are normalised (lower case, single spaces);
-those of at least ``min_words`` words get a 128-bit digest. Globally the earliest occurrence of a digest by (doc_id, text hash, start) stays
-and every later one is removed. Lines and sentences share one digest space. An earliest sentence never lies inside a removed line, since
-the earlier copy of that line holds it earlier still; so both levels are decided at once.
+A unit ends at a newline; inside a line a sentence ends at a space after ``. ! ?``. A line of at least ``min_words`` words is a unit; so is each
+sentence of that length inside it, alone and once more together with the shorter sentences that follow it, so that a passage set into
+other text loses its short sentences too. Units are normalised (lower case, single spaces) and get a 128-bit digest. Globally the earliest occurrence of a digest by (doc_id, text hash, start) stays
+and every later one is removed. All kinds of units share one digest space and are decided at once. No sentence is lost everywhere: whatever is
+removed has an equal sentence at an earlier place, and this chain ends at one that stays.
 
 Counts are combined before the shuffle and a digest's keeper is a minimum, so a unit found in a third of all documents costs one row per
 task; the join that finds its later occurrences is left to adaptive skew handling.
@@ -35,7 +36,7 @@ UNITS = "row_key bigint, high bigint, low bigint, start int, length int, n_words
 
 
 def units(text: str, min_words: int = MIN_WORDS) -> list[tuple[int, int, int, str]]:
-    """(start, length, words, normalised text) of each unit with enough words; a line that is one sentence is listed once."""
+    """(start, length, words, normalised text) of each unit; one that is a whole line is listed once."""
     found, start = [], 0
     for line in text.split("\n"):
         words = line.lower().split()
@@ -44,16 +45,34 @@ def units(text: str, min_words: int = MIN_WORDS) -> list[tuple[int, int, int, st
             # Same length on purpose: offsets stay those of the text.
             sentences = SENTENCE_END.sub("\\1\n", line).split("\n")
             if len(sentences) > 1:
-                at = start
-                for sentence in sentences:
-                    words = sentence.lower().split()
-                    if len(words) >= min_words:
-                        found.append((at, len(sentence), len(words), " ".join(words)))
-                    at += len(sentence) + 1
+                found += _sentence_units(sentences, start, len(line), min_words)
         start += len(line) + 1
     return found
 
 
+def _sentence_units(sentences: list[str], start: int, line_length: int, min_words: int) -> list[tuple[int, int, int, str]]:
+    """Units of one line: each long sentence, and it with its short followers."""
+    found, at = [], start
+    long_at, group = None, []  # the last long sentence and the words from there on
+
+    def close(end: int, followers: bool) -> None:
+        if long_at is not None and followers and end - long_at < line_length:
+            found.append((long_at, end - long_at, len(group), " ".join(group)))
+
+    followers = False
+    for sentence in sentences:
+        words = sentence.lower().split()
+        if len(words) >= min_words:
+            close(at - 1, followers)
+            found.append((at, len(sentence), len(words), " ".join(words)))
+            long_at, group, followers = at, words, False
+        else:
+            group, followers = group + words, True
+        at += len(sentence) + 1
+    close(at - 1, followers)
+    return found
+
+
 def document_units(docs: DataFrame, min_words: int) -> DataFrame:
     """doc_id and ``UNITS`` of every document; the texts stay where they are."""
 
@@ -153,8 +172,12 @@ def oracle(min_words: int = MIN_WORDS) -> str:
     l AS (SELECT doc_id, i, unit, {before.format(key='doc_id')} AS start, {words} AS w FROM l0),
     s0 AS (SELECT doc_id, i AS line, start AS line_start, unnest(string_split({split}, chr(10))) AS unit,
                   generate_subscripts(string_split({split}, chr(10)), 1) AS i FROM l WHERE contains({split}, chr(10))),
-    s AS (SELECT doc_id, line_start + {before.format(key='doc_id, line')} AS start, unit, {words} AS w FROM s0),
-    u AS (SELECT doc_id, start, unit, w FROM l UNION ALL SELECT doc_id, start, unit, w FROM s),
+    s AS (SELECT doc_id, line, i, line_start, line_start + {before.format(key='doc_id, line')} AS start, unit, {words} AS w FROM s0),
+    g AS (SELECT s.doc_id, s.start, l.start AS line_start, l.unit AS line, coalesce(lead(s.start) OVER k - 1, l.start + length(l.unit)) AS till, s.unit
+          FROM s JOIN l ON l.doc_id = s.doc_id AND l.i = s.line WHERE len(s.w) >= {min_words} WINDOW k AS (PARTITION BY s.doc_id, s.line ORDER BY s.i)),
+    c AS (SELECT doc_id, start, substr(line, (start - line_start)::int + 1, (till - start)::int) AS unit
+          FROM g WHERE till - start > length(unit) AND till - start < length(line)),
+    u AS (SELECT doc_id, start, unit, w FROM l UNION ALL SELECT doc_id, start, unit, w FROM s UNION ALL SELECT doc_id, start, unit, {words} AS w FROM c),
     n AS (SELECT doc_id, start::int AS start, length(unit)::int AS length, len(w)::int AS n_words, array_to_string(w, ' ') AS normal
           FROM u WHERE len(w) >= {min_words}),
     f AS (SELECT *, first_value(doc_id) OVER k AS kept_doc_id, first_value(start) OVER k AS kept_start

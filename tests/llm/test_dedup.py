@@ -171,6 +171,25 @@ def test_spans_and_cut(spark):
     assert left[9] == [("short line\nshort line", 21)] and left[10] == [(None, None)] and left[11] == [("", 0)]
 
 
+def test_units_of_a_line():
+    text = "short one\nIntro. A b c d. E f! G. H i j k l? M n\nA b c d."
+    got = substring_dedup.units(text, 4)
+    line = "Intro. A b c d. E f! G. H i j k l? M n"
+    want = [line, "A b c d.", "A b c d. E f! G.", "H i j k l?", "H i j k l? M n", "A b c d."]
+    assert [text[s : s + n] for s, n, _, _ in got] == [line, "A b c d.", "A b c d. E f! G.", "H i j k l?", "H i j k l? M n", "A b c d."]
+    assert [x[3] for x in got] == [w.lower() for w in want] and [x[2] for x in got] == [len(w.split()) for w in want]
+    assert [x[:3] for x in substring_dedup.units("A b c d. E", 4)] == [(0, 10, 5), (0, 8, 4)]
+
+
+def test_passage_inside_other_text_is_cut(spark):
+    passage = "Le premier mot de la phrase est ici. Oui. La seconde phrase du passage est un peu plus longue. Non. Fin de la troisième phrase de ce passage."
+    texts = [(1, f"host words before {passage} and after it"), (2, f"other host text. {passage} Then more."), (3, prose(1, 40))]
+    left = {r.doc_id: r.text for r in substring_dedup.remove_spans(doc_table(spark, texts)).collect()}
+    assert left[1] == texts[0][1] and left[3] == texts[2][1]
+    # The sentence that has other words before it in the first text differs; what follows is cut, short sentences too.
+    assert left[2] == "other host text. Le premier mot de la phrase est ici. Oui. Then more."
+
+
 @given(st.lists(st.sampled_from(["one two three. ", "four five! ", "six\n", " ", "seven ", "É. ", "\n\n"]), max_size=14).map("".join))
 @settings(max_examples=100, deadline=None)
 def test_units_name_places_of_the_text(text):
