@@ -9,7 +9,7 @@ from relyard.functions.text import strip_or_null, tag
 from relyard.operators import policy, registry, release
 from relyard.plans.catalog import query
 from relyard.plans.oracle_views import sql
-from relyard.session import new_location
+from relyard.session import new_location, shared_root
 from relyard.sources import release_state, views
 from relyard.sources.tables import table
 
@@ -378,12 +378,14 @@ def alias_as_of(spark: SparkSession, sf: str) -> DataFrame:
     """Which version was prod when each item shipped, counted per version."""
     shipped = table(spark, sf, "lineitem").select("l_orderkey", F.col("l_shipdate").alias("ts"))
     owner = views.orders(spark, sf).select("o_orderkey", F.concat(F.lit("m"), F.col("o_custkey")).alias("model_name"))
-    probes = shipped.join(owner, F.col("l_orderkey") == F.col("o_orderkey")).select(
-        "model_name", F.lit(c.PROD).alias("alias"), "ts"
-    )
+    # Items of one model and instant get one answer: they are counted first, and the small result is kept, as the as-of
+    # operator measures its input before it works on it.
+    shared_root(spark)
+    counted = shipped.join(owner, F.col("l_orderkey") == F.col("o_orderkey")).groupBy("model_name", "ts").agg(F.count(F.lit(1)).alias("n"))
+    probes = counted.withColumn("alias", F.lit(c.PROD)).checkpoint()
     prod_events = alias_events(spark, sf).filter(F.col("alias") == c.PROD)
     found = registry.alias_as_of(prod_events, probes)
-    return found.groupBy("model_name", F.col("as_of_version").alias("prod_version")).agg(F.count(F.lit(1)).alias("items"))
+    return found.groupBy("model_name", F.col("as_of_version").alias("prod_version")).agg(F.sum("n").alias("items"))
 
 
 @query(

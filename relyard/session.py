@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -28,11 +29,11 @@ def build_session(app: str, cores: int | str = 8, partitions: int = 8, memory: s
 def shared_root(spark: SparkSession) -> str:
     """Folder every executor can reach: the one named in ``spark.checkpoint.dir``.
 
-    A local session without that setting gets its own folder; a cluster session must name one.
+    A single-process session without that setting, as in tests, gets its own folder; any cluster must name one.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root is None:
-        if not spark.sparkContext.master.startswith("local"):
+        if re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master) is None:
             raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
         root = spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="relyard-")
     if spark.sparkContext.getCheckpointDir() is None:
