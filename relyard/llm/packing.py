@@ -152,7 +152,16 @@ def places(lengths: DataFrame, capacity: int = CAPACITY, shard_pieces: int = SHA
     return full.union(numbered(first.where(done), 1)).union(numbered(again, 2))
 
 
-def pack(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end_id: int = END_ID, shard_pieces: int = SHARD_PIECES) -> DataFrame:
-    cut = stored(pieces(docs, vocabulary, capacity, end_id), "pieces", compression="zstd")
+def stored_pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
+    """``PIECES`` written once, so that nothing is encoded twice and every uid is fixed."""
+    return stored(pieces(docs, vocabulary, capacity, end_id), "pieces", compression="zstd")
+
+
+def with_places(cut: DataFrame, capacity: int = CAPACITY, shard_pieces: int = SHARD_PIECES) -> DataFrame:
+    """Pieces with sequence_id and offset instead of their uid. Whatever columns they carry travel along."""
     placed = places(cut.select("uid", "length"), capacity, shard_pieces)
-    return cut.join(placed, "uid").select("doc_id", "piece", "start", "length", "ids", "sequence_id", "offset")
+    return cut.join(placed, "uid").drop("uid")
+
+
+def pack(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end_id: int = END_ID, shard_pieces: int = SHARD_PIECES) -> DataFrame:
+    return with_places(stored_pieces(docs, vocabulary, capacity, end_id), capacity, shard_pieces)

@@ -21,8 +21,10 @@ def op2_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def packed_pieces(docs: DataFrame) -> DataFrame:
-    packed = packing.pack(docs, tokens.vocabulary_path(tokens.WORD_FILE))
-    return packed.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
+    """Digests are taken before the places are joined, so the ids themselves are not shuffled."""
+    cut = packing.stored_pieces(docs, tokens.vocabulary_path(tokens.WORD_FILE))
+    digests = cut.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+    return packing.with_places(digests).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
 def op3_genetic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
