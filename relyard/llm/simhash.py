@@ -31,6 +31,8 @@ from relyard.llm.components import star_components
 SHINGLE_WORDS = 3
 SEED = 42
 RADIUS = 3
+#: Prints of each document where documents are removed.
+PRINTS = 8
 BITS = 64
 #: Fingerprints in one tree.
 SHARD = 32_768
@@ -40,34 +42,66 @@ TOGETHER = 65_536
 DEPTH = 4
 
 
-def fingerprint(text: str, words: int = SHINGLE_WORDS, seed: int = SEED) -> int:
-    """Bit k is 1 if more than half of the shingle hashes have it. Only A-Z are lower-cased; words end at ASCII white space."""
+def shingle_hashes(text: str, words: int = SHINGLE_WORDS, seed: int = SEED) -> np.ndarray:
+    """A hash for every shingle, repeats included. Only A-Z are lower-cased; words end at ASCII white space."""
     tokens = text.encode("utf-8", "surrogatepass").lower().split()
-    if not tokens:
-        return 0
-    if len(tokens) <= words:
-        return xxhash.xxh64_intdigest(b" ".join(tokens), seed)
     join, digest = b" ".join, xxhash.xxh64_intdigest
-    n = len(tokens) - words + 1
-    hashes = np.fromiter((digest(join(s), seed) for s in zip(*[tokens[k:] for k in range(words)])), "<u8", n)
+    if len(tokens) <= words:
+        return np.array([digest(join(tokens), seed)] if tokens else [], "<u8")
+    windows = zip(*[tokens[k:] for k in range(words)])
+    return np.fromiter((digest(join(s), seed) for s in windows), "<u8", len(tokens) - words + 1)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """Bit k is 1 if more than half of the hashes have it; zero without hashes."""
     ones = np.zeros(BITS, np.int64)
-    for first in range(0, n, 100_000):
+    for first in range(0, len(hashes), 100_000):
         part = hashes[first : first + 100_000].view(np.uint8).reshape(-1, 8)
         ones += np.unpackbits(part, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
+    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
+
+
+def fingerprint(text: str, words: int = SHINGLE_WORDS, seed: int = SEED) -> int:
+    return majority(shingle_hashes(text, words, seed))
 
 
-def fingerprints(docs: DataFrame, words: int = SHINGLE_WORDS) -> DataFrame:
-    """doc_id, row_key (names the row's id and text), fp (the 64 bits as a signed bigint) of every row."""
+def remixed(hashes: np.ndarray, number: int) -> np.ndarray:
+    """Other hashes of the same shingles, for a further print: an odd multiplier and a shift spread all bits anew."""
+    factor = np.uint64((0x9E3779B97F4A7C15 * (2 * number + 1)) % (1 << 64))
+    mixed = (hashes ^ (hashes >> np.uint64(29))) * factor
+    return mixed ^ (mixed >> np.uint64(32))
+
+
+def prints(text: str, words: int, count: int) -> list[int]:
+    hashes = shingle_hashes(text, words)
+    return [majority(hashes if k == 0 else remixed(hashes, k)) for k in range(count)]
+
+
+def fingerprints(docs: DataFrame, words: int = SHINGLE_WORDS, count: int = 1) -> DataFrame:
+    """doc_id, row_key (names the row's id and text), fp (the 64 bits as a signed bigint) and further prints fp1, fp2 ... of every row."""
+    names = ["fp", *(f"fp{k}" for k in range(1, count))]
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            values = np.array([fingerprint(t, words) for t in batch.column(2).to_pylist()], "<u8").view("<i8")
-            columns = [batch.column(0), batch.column(1), pa.array(values, pa.int64())]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "row_key", "fp"])
+            values = np.array([prints(t, words, count) for t in batch.column(2).to_pylist()], "<u8").reshape(-1, count).view("<i8")
+            columns = [batch.column(0), batch.column(1), *(pa.array(v, pa.int64()) for v in values.T)]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "row_key", *names])
 
     keyed = texts(docs).select("doc_id", row_key("doc_id", "text"), "text")
-    return keyed.mapInArrow(compute, "doc_id bigint, row_key bigint, fp bigint")
+    return keyed.mapInArrow(compute, "doc_id bigint, row_key bigint, " + ", ".join(f"{n} bigint" for n in names))
+
+
+def prints_linked(rows: DataFrame, radius: int, count: int) -> DataFrame:
+    """Links (u, v) between values of ``fp`` whose rows are near in any of their prints; one search serves all prints."""
+    every = F.array(*[F.struct(F.lit(k).alias("kind"), F.col(f"fp{k}" if k else "fp").alias("other")) for k in range(count)])
+    pairs = rows.select("fp", F.inline(every)).distinct()
+    named = stored(pairs.groupBy("kind", "other").agg(F.min("fp").alias("named")), "print-names")
+    near = near_links(named.select("kind", F.col("other").alias("fp")), radius)
+    left = named.select("kind", F.col("other").alias("u"), F.col("named").alias("a"))
+    right = named.select("kind", F.col("other").alias("v"), F.col("named").alias("b"))
+    apart = near.join(left, ["kind", "u"]).join(right, ["kind", "v"]).select(F.col("a").alias("u"), F.col("b").alias("v"))
+    equal = pairs.join(named, ["kind", "other"]).select(F.col("fp").alias("u"), F.col("named").alias("v"))
+    return apart.union(equal).where("u <> v")
 
 
 def cuts(width: int, parts: int) -> list[tuple[int, int]]:
@@ -77,29 +111,29 @@ def cuts(width: int, parts: int) -> list[tuple[int, int]]:
 
 
 def search_shards(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.RecordBatch]:
-    """(shard, fp) sorted by both; whole shards are searched as soon as enough rows are there. Gives (u, v) links."""
-    held_shard, held_fp = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    """(shard, kind, fp) sorted by shard; whole shards are searched as soon as enough rows are there. Gives (kind, u, v) links."""
+    held = [np.zeros(0, np.int64)] * 3
 
-    def links(shard, fp):
+    def links(shard, kind, fp):
         same = shard[1:] == shard[:-1]
         company = np.r_[False, same] | np.r_[same, False]
-        shard, fp = shard[company], fp[company]
+        shard, kind, fp = shard[company], kind[company], fp[company]
         if not len(fp):
             return
         numbers = np.cumsum(np.r_[True, shard[1:] != shard[:-1]])
         roots = BKForest(fp.view(np.uint64), numbers).roots(radius)
         members = np.flatnonzero(roots != np.arange(len(fp)))
-        yield pa.RecordBatch.from_arrays([pa.array(fp[members]), pa.array(fp[roots[members]])], ["u", "v"])
+        columns = [pa.array(kind[members], pa.int32()), pa.array(fp[members]), pa.array(fp[roots[members]])]
+        yield pa.RecordBatch.from_arrays(columns, ["kind", "u", "v"])
 
     for batch in batches:
-        held_shard = np.r_[held_shard, batch.column(0).to_numpy(zero_copy_only=False)]
-        held_fp = np.r_[held_fp, batch.column(1).to_numpy(zero_copy_only=False)]
-        if len(held_fp) >= TOGETHER:
-            cut = int(np.searchsorted(held_shard, held_shard[-1]))  # the last shard may go on
+        held = [np.r_[old, batch.column(k).to_numpy(zero_copy_only=False)] for k, old in enumerate(held)]
+        if len(held[0]) >= TOGETHER:
+            cut = int(np.searchsorted(held[0], held[0][-1]))  # the last shard may go on
             if cut:
-                yield from links(held_shard[:cut], held_fp[:cut])
-                held_shard, held_fp = held_shard[cut:], held_fp[cut:]
-    yield from links(held_shard, held_fp)
+                yield from links(*[x[:cut] for x in held])
+                held = [x[cut:] for x in held]
+    yield from links(*held)
 
 
 def divided(level: DataFrame, width: int, parts: int) -> list[tuple[DataFrame, int]]:
@@ -115,12 +149,12 @@ def divided(level: DataFrame, width: int, parts: int) -> list[tuple[DataFrame, i
             rest = rest.bitwiseOR(F.shiftleft(F.shiftrightunsigned("rest", shift + size), shift))
         cell = F.struct(F.xxhash64("shard", F.lit(number), bits).alias("shard"), rest.alias("rest"))
         by_width.setdefault(width - size, []).append(cell)
-    return [(level.select("fp", F.inline(F.array(*cells))), free) for free, cells in by_width.items()]
+    return [(level.select("kind", "fp", F.inline(F.array(*cells))), free) for free, cells in by_width.items()]
 
 
 def near_links(nodes: DataFrame, radius: int = RADIUS, shard_size: int = SHARD) -> DataFrame:
-    """A spanning set of links (u, v) between distinct fingerprints ``fp`` at most ``radius`` bits apart."""
-    whole = nodes.select("fp", F.lit(0).cast("bigint").alias("shard"), F.col("fp").alias("rest"))
+    """A spanning set of links (kind, u, v) between distinct fingerprints (kind, fp) of one kind at most ``radius`` bits apart."""
+    whole = nodes.select("kind", "fp", F.col("kind").cast("bigint").alias("shard"), F.col("fp").alias("rest"))
     found = []
     todo = [(table, free, 1) for table, free in divided(whole, BITS, radius + 1)]
     while todo:
@@ -132,16 +166,23 @@ def near_links(nodes: DataFrame, radius: int = RADIUS, shard_size: int = SHARD)
                 hot = stored(level.join(large, "shard", "left_semi"), "hot-shards")
                 todo += [(table, rest, depth + 1) for table, rest in divided(hot, free, radius + 1)]
                 level = level.join(large, "shard", "left_anti")
-        shards = level.select("shard", "fp").repartition("shard").sortWithinPartitions("shard", "fp")
-        found.append(shards.mapInArrow(lambda batches: search_shards(batches, radius), "u bigint, v bigint"))
+        shards = level.select("shard", "kind", "fp").repartition("shard").sortWithinPartitions("shard", "fp")
+        found.append(shards.mapInArrow(lambda batches: search_shards(batches, radius), "kind int, u bigint, v bigint"))
     return reduce(DataFrame.union, found)
 
 
-def grouped_rows(docs: DataFrame, words: int = SHINGLE_WORDS, radius: int = RADIUS) -> DataFrame:
-    """doc_id, row_key, fp, root (the smallest fingerprint of the component), component_id of every row."""
-    rows = stored(fingerprints(docs, words), "fingerprints")
+def grouped_rows(docs: DataFrame, words: int = SHINGLE_WORDS, radius: int = RADIUS, count: int = 1) -> DataFrame:
+    """doc_id, row_key, fp, root (the smallest fingerprint of the component), component_id of every row.
+
+    With more prints than one, rows are linked if any of their prints are near: a pair that one print just misses is found by another.
+    """
+    rows = stored(fingerprints(docs, words, count), "fingerprints")
     nodes = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct-fingerprints")
-    stars = stored(star_components(near_links(nodes, radius)), "fingerprint-stars")
+    if count == 1:
+        links = near_links(nodes.select(F.lit(0).alias("kind"), "fp"), radius).select("u", "v")
+    else:
+        links = prints_linked(rows, radius, count)
+    stars = stored(star_components(links), "fingerprint-stars")
     # The stars cover linked fingerprints only; every other one is a component of its own.
     grouped = nodes.join(stars, nodes["fp"] == stars["node"]).select("node", "root", "first_id")
     smallest = grouped.groupBy("root").agg(F.min("first_id").alias("component_id"))
@@ -151,7 +192,7 @@ def grouped_rows(docs: DataFrame, words: int = SHINGLE_WORDS, radius: int = RADI
         F.coalesce("root", "fp").alias("root"),
         F.when(F.col("root").isNull(), F.col("first_id")).otherwise(F.col("component_id")).alias("component_id"),
     )
-    return rows.join(named, "fp")
+    return rows.select("doc_id", "row_key", "fp").join(named, "fp")
 
 
 def near_duplicates(docs: DataFrame, words: int = SHINGLE_WORDS, radius: int = RADIUS) -> DataFrame:
@@ -159,13 +200,13 @@ def near_duplicates(docs: DataFrame, words: int = SHINGLE_WORDS, radius: int = R
     return grouped_rows(docs, words, radius).select("doc_id", fingerprint_text, "component_id")
 
 
-def keep_first(docs: DataFrame, words: int = SHINGLE_WORDS, radius: int = RADIUS) -> DataFrame:
+def keep_first(docs: DataFrame, words: int = SHINGLE_WORDS, radius: int = RADIUS, count: int = PRINTS) -> DataFrame:
     """The rows of ``docs``, all columns, that stand for their component: the smallest id of each group stays.
 
     Repeated rows of that document leave one; where several texts of a group share the smallest id, a hash of the text decides.
     A group in which every id is null keeps one row too.
     """
-    groups = stored(grouped_rows(docs, words, radius), "near-duplicate-groups")
+    groups = stored(grouped_rows(docs, words, radius, count), "near-duplicate-groups")
     rank = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_key")
     kept = groups.groupBy("root").agg(F.min(rank).alias("first")).select("first.doc_id", "first.row_key")
     doc_id = docs["doc_id"].cast("bigint")

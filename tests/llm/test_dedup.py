@@ -77,8 +77,8 @@ def test_links_keep_components(spark, shard_size):
     """Also when shards are divided down to the last level."""
     values = near_values(400, 2)
     signed = [int(np.uint64(v).astype(np.int64)) for v in values]
-    nodes = spark.createDataFrame([(v,) for v in signed], "fp bigint")
-    links = simhash.near_links(nodes, 3, shard_size)
+    nodes = spark.createDataFrame([(0, v) for v in signed] + [(1, v ^ 1) for v in signed[:9]], "kind int, fp bigint")
+    links = simhash.near_links(nodes, 3, shard_size).where("kind = 0").select("u", "v")
     stars = {r.node % (1 << 64): r.root for r in star_components(links).collect()}
     want = slow_groups(values, 3)
     members = {}
@@ -115,7 +115,7 @@ def test_near_duplicates_by_brute_force(spark):
     want = sorted((i if i is not None else -1, f"{prints[t]:016x}", smallest.get(roots[prints[t]])) for i, t in texts)
     got = sorted((r.doc_id if r.doc_id is not None else -1, r.fingerprint, r.component_id) for r in simhash.near_duplicates(docs).collect())
     assert [g[:2] for g in got] == [w[:2] for w in want] and got == want
-    kept = simhash.keep_first(docs)
+    kept = simhash.keep_first(docs, count=1)
     assert kept.columns == docs.columns
     ids = [r.doc_id for r in kept.collect()]
     assert len(ids) == len(set(roots.values())) and 0 in ids and 2 not in ids and 3 not in ids
@@ -132,6 +132,38 @@ def test_empty_and_clashing(spark):
     assert simhash.keep_first(clash).count() == simhash.keep_first(docs).count()
 
 
+def slow_rows(texts, count):
+    """Groups of row numbers linked by any print."""
+    rows = [simhash.prints(t or "", 3, count) for t in texts]
+    root = list(range(len(rows)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(rows)):
+        for j in range(i):
+            if any((a ^ b).bit_count() <= 3 for a, b in zip(rows[i], rows[j])):
+                x, y = find(i), find(j)
+                root[max(x, y)] = min(x, y)
+    return [find(i) for i in range(len(rows))]
+
+
+def test_several_prints_link_rows_near_in_any(spark):
+    base = [prose(k, 120).split() for k in range(6)]
+    texts = [" ".join(w) for w in base]
+    for k, words in enumerate(base):
+        for at in range(5, 100, 17):
+            texts.append(" ".join(words[:at] + [f"changed{k}"] + words[at + 1 :]))
+    groups = {n: slow_rows(texts, n) for n in (1, 4)}
+    assert len(set(groups[4])) < len(set(groups[1]))
+    docs = doc_table(spark, list(enumerate(texts)))
+    for n, roots in groups.items():
+        assert sorted(r.doc_id for r in simhash.keep_first(docs, count=n).collect()) == sorted(set(roots))
+    assert simhash.prints("", 3, 2) == [0, 0] and simhash.prints("a b c d", 3, 2)[0] == slow_fingerprint("a b c d")
+
+
 def slow_spans(texts, min_words):
     seen, found = {}, set()
     ranked = sorted(set(texts), key=lambda x: (x[0] is None, x[0] or 0))
