@@ -32,8 +32,8 @@ def test_query_matches_sql(spark, duck, name):
 def test_column_pruning_reaches_the_scan(spark):
     plan = QUERIES["confusion_counts"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema: struct<l_partkey:bigint,l_suppkey:bigint,l_linenumber:int,l_returnflag:string,l_linestatus:string>" in plan
-    events = QUERIES["route_requests"](spark, SF)._jdf.queryExecution().executedPlan().toString()
-    assert "value:" not in events.split("ReadSchema")[1]
+    runs = QUERIES["latest_train_run"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "o_orderpriority" in runs and "o_totalprice" not in runs
 
 
 def test_split_never_shuffles_dataset_rows(spark):
