@@ -97,10 +97,11 @@ def document_units(docs: DataFrame, min_words: int) -> DataFrame:
 
 def later_occurrences(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """Occurrences that are not the earliest of their digest, with the place of the earliest."""
-    found = stored(document_units(docs, min_words), "units").withColumn("place", _place())
-    first = found.groupBy("high", "low").agg(F.min("place").alias("first"), F.max("place").alias("last"))
-    repeated = first.where("first <> last").select("high", "low", "first")
-    return found.join(repeated, ["high", "low"]).where("place <> first").drop("high", "low", "place")
+    found = stored(document_units(docs, min_words), "units")
+    # Places are worked out on both sides of the shuffles, as they are wider than what they are made of.
+    first = found.groupBy("high", "low").agg(F.min(_place()).alias("first"), F.count(F.lit(1)).alias("n"))
+    repeated = first.where("n > 1").select("high", "low", "first")
+    return found.join(repeated, ["high", "low"]).where(_place() != F.col("first")).drop("high", "low")
 
 
 def _no_id() -> Column:
