@@ -23,7 +23,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from relyard.functions.columns import with_once
-from relyard.llm.common import free_name, row_key, same_row
+from relyard.llm.common import row_key, same_row
 
 SPLIT = r"[^\p{L}\p{N}]+"
 

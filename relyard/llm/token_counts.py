@@ -17,7 +17,7 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
-import pyarrow.compute  # noqa: F401
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from relyard.llm import tokens
@@ -60,7 +60,7 @@ def count_tokens(docs: DataFrame, path: str, limit: int = LIMIT, frequent: int =
         own = _worker_encoder(path, sent)
         for batch in batches:
             n = [own(text) for text in batch.column(1).to_pylist()]
-            size = pa.compute.binary_length(batch.column(1)).cast(pa.int64())
+            size = pc.binary_length(batch.column(1)).cast(pa.int64())
             columns = [batch.column(0), size, pa.array(n, pa.int64()), pa.array([k > limit for k in n], pa.bool_())]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
