@@ -12,6 +12,9 @@ one row per member), never its pairs.
 ``near_duplicates(docs)`` returns one row per input row: doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable over
 links, itself included). Null and empty texts and texts of white space have fingerprint zero and link like any other. A null doc_id never names
 a component unless all its members are null. Repeated rows are equal rows. An empty table gives no rows. Other columns are ignored.
+
+``keep_first(docs)`` removes rows, so there a component of prints only proposes: its distinct texts are compared by their sets of five-word
+shingles, and two texts stay linked only if a chain of pairs with Jaccard similarity ``SIMILAR`` or more joins them (``similar_groups``).
 """
 
 from __future__ import annotations
@@ -32,7 +35,10 @@ SHINGLE_WORDS = 3
 SEED = 42
 RADIUS = 3
 #: Prints of each document where documents are removed.
-PRINTS = 8
+PRINTS = 32
+#: Jaccard similarity of the sets of shingles of so many words, from which on a document counts as a near copy and is removed.
+SIMILAR = 0.8
+COMPARED_WORDS = 5
 BITS = 64
 #: Fingerprints in one tree.
 SHARD = 32_768
@@ -40,6 +46,8 @@ SHARD = 32_768
 TOGETHER = 65_536
 #: Levels of division.
 DEPTH = 4
+#: Of many prints, one member in so many is counted to find large shards. Dividing a shard never loses a link, so an estimate will do.
+SAMPLED = 16
 
 
 def shingle_hashes(text: str, words: int = SHINGLE_WORDS, seed: int = SEED) -> np.ndarray:
@@ -72,36 +80,43 @@ def remixed(hashes: np.ndarray, number: int) -> np.ndarray:
     return mixed ^ (mixed >> np.uint64(32))
 
 
+def normal_hash(text: str) -> int:
+    """Names the words of a text as shingles see them; signed."""
+    return int(np.uint64(xxhash.xxh3_64_intdigest(b" ".join(text.encode("utf-8", "surrogatepass").lower().split()))).astype(np.int64))
+
+
 def prints(text: str, words: int, count: int) -> list[int]:
     hashes = shingle_hashes(text, words)
     return [majority(hashes if k == 0 else remixed(hashes, k)) for k in range(count)]
 
 
 def fingerprints(docs: DataFrame, words: int = SHINGLE_WORDS, count: int = 1) -> DataFrame:
-    """doc_id, row_key (names the row's id and text), fp (the 64 bits as a signed bigint) and further prints fp1, fp2 ... of every row."""
+    """doc_id, row_key (names the row's id and text), node (names its words), fp (the 64 bits as a signed bigint) and further prints
+    fp1, fp2 ... of every row."""
     names = ["fp", *(f"fp{k}" for k in range(1, count))]
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            values = np.array([prints(t, words, count) for t in batch.column(2).to_pylist()], "<u8").reshape(-1, count).view("<i8")
-            columns = [batch.column(0), batch.column(1), *(pa.array(v, pa.int64()) for v in values.T)]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "row_key", *names])
+            given = batch.column(2).to_pylist()
+            values = np.array([prints(t, words, count) for t in given], "<u8").reshape(-1, count).view("<i8")
+            nodes = pa.array([normal_hash(t) for t in given], pa.int64())
+            columns = [batch.column(0), batch.column(1), nodes, *(pa.array(v, pa.int64()) for v in values.T)]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "row_key", "node", *names])
 
     keyed = texts(docs).select("doc_id", row_key("doc_id", "text"), "text")
-    return keyed.mapInArrow(compute, "doc_id bigint, row_key bigint, " + ", ".join(f"{n} bigint" for n in names))
+    return keyed.mapInArrow(compute, "doc_id bigint, row_key bigint, node bigint, " + ", ".join(f"{n} bigint" for n in names))
 
 
 def prints_linked(rows: DataFrame, radius: int, count: int) -> DataFrame:
-    """Links (u, v) between values of ``fp`` whose rows are near in any of their prints; one search serves all prints."""
-    every = F.array(*[F.struct(F.lit(k).alias("kind"), F.col(f"fp{k}" if k else "fp").alias("other")) for k in range(count)])
-    pairs = rows.select("fp", F.inline(every)).distinct()
-    named = stored(pairs.groupBy("kind", "other").agg(F.min("fp").alias("named")), "print-names")
-    near = near_links(named.select("kind", F.col("other").alias("fp")), radius)
-    left = named.select("kind", F.col("other").alias("u"), F.col("named").alias("a"))
-    right = named.select("kind", F.col("other").alias("v"), F.col("named").alias("b"))
-    apart = near.join(left, ["kind", "u"]).join(right, ["kind", "v"]).select(F.col("a").alias("u"), F.col("b").alias("v"))
-    equal = pairs.join(named, ["kind", "other"]).select(F.col("fp").alias("u"), F.col("named").alias("v"))
-    return apart.union(equal).where("u <> v")
+    """Links (u, v) between values of ``fp`` whose rows are near in any of their prints; one search serves all prints.
+
+    The name ``fp`` travels with each print, so that equal prints meet in a shard too and nothing is joined back to all the prints.
+    """
+    names = ["fp", *(f"fp{k}" for k in range(1, count))]
+    every = F.array(*[F.struct(F.lit(k).alias("kind"), F.col(n).alias("print")) for k, n in enumerate(names)])
+    distinct = stored(rows.select(*names).distinct(), "distinct-prints")
+    nodes = distinct.select(F.col("fp").alias("name"), F.inline(every)).select("kind", F.col("print").alias("fp"), "name")
+    return near_links(nodes, radius, sampled=SAMPLED).select("u", "v").where("u <> v").distinct()
 
 
 def cuts(width: int, parts: int) -> list[tuple[int, int]]:
@@ -111,19 +126,23 @@ def cuts(width: int, parts: int) -> list[tuple[int, int]]:
 
 
 def search_shards(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.RecordBatch]:
-    """(shard, kind, fp) sorted by shard; whole shards are searched as soon as enough rows are there. Gives (kind, u, v) links."""
-    held = [np.zeros(0, np.int64)] * 3
+    """(shard, kind, fp, name) sorted by shard and fp; whole shards are searched as soon as enough rows are there. Gives (kind, u, v) links
+    between names; equal fingerprints are one member of the tree."""
+    held = [np.zeros(0, np.int64)] * 4
 
-    def links(shard, kind, fp):
+    def links(shard, kind, fp, name):
         same = shard[1:] == shard[:-1]
         company = np.r_[False, same] | np.r_[same, False]
-        shard, kind, fp = shard[company], kind[company], fp[company]
+        shard, kind, fp, name = shard[company], kind[company], fp[company], name[company]
         if not len(fp):
             return
-        numbers = np.cumsum(np.r_[True, shard[1:] != shard[:-1]])
-        roots = BKForest(fp.view(np.uint64), numbers).roots(radius)
-        members = np.flatnonzero(roots != np.arange(len(fp)))
-        columns = [pa.array(kind[members], pa.int32()), pa.array(fp[members]), pa.array(fp[roots[members]])]
+        opens = np.r_[True, (shard[1:] != shard[:-1]) | (fp[1:] != fp[:-1])]
+        first = np.flatnonzero(opens)
+        numbers = np.cumsum(np.r_[True, shard[first][1:] != shard[first][:-1]])
+        roots = BKForest(fp[first].view(np.uint64), numbers).roots(radius)
+        rooted = first[roots[np.cumsum(opens) - 1]]
+        members = np.flatnonzero(rooted != np.arange(len(fp)))
+        columns = [pa.array(kind[members], pa.int32()), pa.array(name[members]), pa.array(name[rooted[members]])]
         yield pa.RecordBatch.from_arrays(columns, ["kind", "u", "v"])
 
     for batch in batches:
@@ -149,30 +168,39 @@ def divided(level: DataFrame, width: int, parts: int) -> list[tuple[DataFrame, i
             rest = rest.bitwiseOR(F.shiftleft(F.shiftrightunsigned("rest", shift + size), shift))
         cell = F.struct(F.xxhash64("shard", F.lit(number), bits).alias("shard"), rest.alias("rest"))
         by_width.setdefault(width - size, []).append(cell)
-    return [(level.select("kind", "fp", F.inline(F.array(*cells))), free) for free, cells in by_width.items()]
+    return [(level.select("kind", "fp", *(["name"] if "name" in level.columns else []), F.inline(F.array(*cells))), free) for free, cells in by_width.items()]
+
 
+def near_links(nodes: DataFrame, radius: int = RADIUS, shard_size: int = SHARD, sampled: int = 1) -> DataFrame:
+    """A spanning set of links (kind, u, v) between fingerprints (kind, fp) of one kind at most ``radius`` bits apart.
 
-def near_links(nodes: DataFrame, radius: int = RADIUS, shard_size: int = SHARD) -> DataFrame:
-    """A spanning set of links (kind, u, v) between distinct fingerprints (kind, fp) of one kind at most ``radius`` bits apart."""
-    whole = nodes.select("kind", "fp", F.col("kind").cast("bigint").alias("shard"), F.col("fp").alias("rest"))
+    Without a column ``name`` fingerprints are distinct and links name them; with it, links are between names.
+    """
+    named = "name" in nodes.columns
+    columns = ["kind", "fp", *(["name"] if named else [])]
+    whole = nodes.select(*columns, F.col("kind").cast("bigint").alias("shard"), F.col("fp").alias("rest"))
+    name = F.col("name" if named else "fp")
     found = []
     todo = [(table, free, 1) for table, free in divided(whole, BITS, radius + 1)]
     while todo:
         level, free, depth = todo.pop()
         if depth < DEPTH:
-            sizes = level.groupBy("shard").agg(F.count(F.lit(1)).alias("members"))
-            large = stored(sizes.where(F.col("members") > shard_size).select("shard"), "large-shards")
+            counted = level.where(F.pmod(F.xxhash64(name), F.lit(sampled)) == 0) if sampled > 1 else level
+            sizes = counted.groupBy("shard").agg(F.count(F.lit(1)).alias("members"))
+            large = stored(sizes.where(F.col("members") * sampled > shard_size).select("shard"), "large-shards")
             if not large.isEmpty():
                 hot = stored(level.join(large, "shard", "left_semi"), "hot-shards")
                 todo += [(table, rest, depth + 1) for table, rest in divided(hot, free, radius + 1)]
                 level = level.join(large, "shard", "left_anti")
-        shards = level.select("shard", "kind", "fp").repartition("shard").sortWithinPartitions("shard", "fp")
+        shards = level.select("shard", "kind", "fp", name.alias("name")) if named else level.select("shard", "kind", "fp")
+        shards = shards.repartition("shard").sortWithinPartitions("shard", "fp")
+        shards = shards if named else shards.withColumn("name", F.col("fp"))
         found.append(shards.mapInArrow(lambda batches: search_shards(batches, radius), "kind int, u bigint, v bigint"))
     return reduce(DataFrame.union, found)
 
 
 def grouped_rows(docs: DataFrame, words: int = SHINGLE_WORDS, radius: int = RADIUS, count: int = 1) -> DataFrame:
-    """doc_id, row_key, fp, root (the smallest fingerprint of the component), component_id of every row.
+    """doc_id, row_key, node, fp, root (the smallest fingerprint of the component), component_id of every row.
 
     With more prints than one, rows are linked if any of their prints are near: a pair that one print just misses is found by another.
     """
@@ -184,15 +212,101 @@ def grouped_rows(docs: DataFrame, words: int = SHINGLE_WORDS, radius: int = RADI
         links = prints_linked(rows, radius, count)
     stars = stored(star_components(links), "fingerprint-stars")
     # The stars cover linked fingerprints only; every other one is a component of its own.
-    grouped = nodes.join(stars, nodes["fp"] == stars["node"]).select("node", "root", "first_id")
+    grouped = nodes.join(stars, nodes["fp"] == stars["node"]).select("fp", "root", "first_id")
     smallest = grouped.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    linked = grouped.select(F.col("node").alias("fp"), "root").join(smallest, "root")
+    linked = grouped.select("fp", "root").join(smallest, "root")
     named = nodes.join(linked, "fp", "left").select(
         "fp",
         F.coalesce("root", "fp").alias("root"),
         F.when(F.col("root").isNull(), F.col("first_id")).otherwise(F.col("component_id")).alias("component_id"),
     )
-    return rows.select("doc_id", "row_key", "fp").join(named, "fp")
+    return rows.select("doc_id", "row_key", "node", "fp").join(named, "fp")
+
+
+def similar_groups(sets: list[np.ndarray], least: float = SIMILAR) -> np.ndarray:
+    """For each set of hashes the smallest index that a chain of pairs of Jaccard similarity ``least`` or more reaches.
+
+    Exact: with the rarest hashes first, two such sets share one of their first |x| - ceil(least |x|) + 1 hashes, so only sets that do are
+    compared, and none with a set that it is already joined to. Empty sets are equal.
+    """
+    sizes = np.array([len(s) for s in sets])
+    _, codes, counts = np.unique(np.concatenate([*sets, np.zeros(0, np.uint64)]), return_inverse=True, return_counts=True)
+    rank = np.empty(len(counts), np.int64)
+    rank[np.argsort(counts, kind="stable")] = np.arange(len(counts))
+    ends = np.cumsum(sizes)
+    held = [np.sort(rank[codes[e - n : e]]) for e, n in zip(ends, sizes)]
+    first = [x[: len(x) - int(np.ceil(least * len(x) - 1e-9)) + 1] for x in held]
+    owner = np.repeat(np.arange(len(sets)), [len(x) for x in first])
+    tokens = np.concatenate([*first, np.zeros(0, np.int64)])
+    order = np.argsort(tokens, kind="stable")  # inside a hash, owners ascend
+    at, members = np.empty(len(order), np.int64), owner[order]
+    at[order] = np.arange(len(order))
+    begins = np.searchsorted(tokens[order], tokens)
+    root, groups = np.arange(len(sets)), [[k] for k in range(len(sets))]
+    marked, tested = np.zeros(len(counts), bool), np.full(len(sets), -1)
+
+    def join(a: int, b: int) -> None:
+        a, b = root[a], root[b]
+        if len(groups[a]) < len(groups[b]):
+            a, b = b, a
+        root[groups[b]] = a
+        groups[a] += groups[b]
+        groups[b] = []
+
+    empty = np.flatnonzero(sizes == 0)
+    for k in empty[1:]:
+        join(empty[0], k)
+    entry = 0
+    for x, hashes in enumerate(held):
+        marked[hashes] = True
+        for e in range(entry, entry + len(first[x])):
+            near, step = members[begins[e] : at[e]], 1
+            while len(near := near[(root[near] != root[x]) & (tested[near] != x)]):
+                part, step = near[:step], step * 4 if step < 256 else step
+                tested[part] = x
+                lengths = sizes[part]
+                shared = np.add.reduceat(marked[np.concatenate([held[k] for k in part])], np.cumsum(lengths) - lengths, dtype=np.int64)
+                for k in part[shared >= least * (lengths + sizes[x] - shared) - 1e-9]:
+                    if root[k] != root[x]:
+                        join(k, x)
+        marked[hashes] = False
+        entry += len(first[x])
+    smallest = np.arange(len(sets))
+    for group in groups:
+        smallest[group] = min(group, default=0)
+    return smallest
+
+
+def confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(root, node, text) sorted by root and node; gives (node, part), the part of its component of prints that a text belongs to."""
+    root, nodes, sets = None, [], []
+
+    def parts():
+        smallest = similar_groups(sets)
+        given = np.array(nodes, np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(given), pa.array(given[smallest])], ["node", "part"])
+
+    for batch in batches:
+        for group, node, text in zip(*(batch.column(k).to_pylist() for k in range(3))):
+            if group != root:
+                if nodes:
+                    yield parts()
+                root, nodes, sets = group, [], []
+            if not nodes or nodes[-1] != node:  # a repeated row
+                nodes.append(node)
+                sets.append(np.unique(shingle_hashes(text, COMPARED_WORDS)))
+    if nodes:
+        yield parts()
+
+
+def confirmed_parts(docs: DataFrame, groups: DataFrame) -> DataFrame:
+    """(node, part) of every text in a component that holds different texts. Only one row of each such text is read and moved."""
+    mixed = groups.groupBy("root").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high").select("root")
+    chosen = groups.join(mixed, "root", "left_semi").groupBy("root", "node").agg(F.min(F.struct("row_key", "doc_id")).alias("row"))
+    chosen = chosen.select("root", "node", "row.row_key", "row.doc_id")
+    given = texts(docs).select("doc_id", row_key("doc_id", "text"), "text")
+    bodies = given.join(chosen, same_row(given, chosen)).select("root", "node", "text")
+    return bodies.repartition("root").sortWithinPartitions("root", "node").mapInArrow(confirmed, "node bigint, part bigint")
 
 
 def near_duplicates(docs: DataFrame, words: int = SHINGLE_WORDS, radius: int = RADIUS) -> DataFrame:
@@ -203,12 +317,14 @@ def near_duplicates(docs: DataFrame, words: int = SHINGLE_WORDS, radius: int = R
 def keep_first(docs: DataFrame, words: int = SHINGLE_WORDS, radius: int = RADIUS, count: int = PRINTS) -> DataFrame:
     """The rows of ``docs``, all columns, that stand for their component: the smallest id of each group stays.
 
-    Repeated rows of that document leave one; where several texts of a group share the smallest id, a hash of the text decides.
-    A group in which every id is null keeps one row too.
+    A component of prints is divided into its parts of similar texts first. Repeated rows of that document leave one; where several texts
+    of a group share the smallest id, a hash of the text decides. A group in which every id is null keeps one row too.
     """
-    groups = stored(grouped_rows(docs, words, radius, count), "near-duplicate-groups")
+    groups = stored(grouped_rows(docs, words, radius, count).select("doc_id", "row_key", "node", "root"), "near-duplicate-groups")
+    parts = stored(confirmed_parts(docs, groups), "near-duplicate-parts")
     rank = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_key")
-    kept = groups.groupBy("root").agg(F.min(rank).alias("first")).select("first.doc_id", "first.row_key")
+    ranked = groups.join(parts, "node", "left").select("root", F.coalesce("part", F.lit(0)).alias("part"), rank.alias("rank"))
+    kept = ranked.groupBy("root", "part").agg(F.min("rank").alias("first")).select("first.doc_id", "first.row_key")
     doc_id = docs["doc_id"].cast("bigint")
     packed = docs.select(doc_id.alias("doc_id"), row_key(doc_id, F.coalesce(docs["text"], F.lit(""))), F.struct("*").alias("row"))
     staying = packed.join(kept, same_row(packed, kept)).select(packed["doc_id"], packed["row_key"], "row")

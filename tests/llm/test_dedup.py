@@ -228,3 +228,41 @@ def test_units_name_places_of_the_text(text):
     for start, length, n_words, normal in substring_dedup.units(text, 2):
         piece = text[start : start + length]
         assert " ".join(piece.lower().split()) == normal and len(normal.split()) == n_words and "\n" not in piece
+
+
+def jaccard(a, b):
+    x, y = (set(zip(*[t.split()[k:] for k in range(5)])) for t in (a, b))
+    return len(x & y) / len(x | y)
+
+
+def test_similar_groups_by_brute_force():
+    rng = np.random.default_rng(3)
+    bases = [rng.integers(0, 1 << 60, n).astype(np.uint64) for n in (1, 6, 20, 40)]
+    for _ in range(20):
+        sets = [np.zeros(0, np.uint64)] * 2
+        for b in (bases[k] for k in rng.integers(0, 4, 30)):
+            sets.append(np.unique(np.where(rng.random(len(b)) < 0.1, rng.integers(0, 1 << 60, len(b)).astype(np.uint64), b)))
+        root = list(range(len(sets)))
+        for i, a in enumerate(sets):
+            for j, b in enumerate(sets[:i]):
+                both = len(np.intersect1d(a, b))
+                if both >= 0.8 * (len(a) + len(b) - both) - 1e-9:
+                    x, y = root[i], root[j]
+                    root = [min(x, y) if r in (x, y) else r for r in root]
+        assert simhash.similar_groups(sets).tolist() == root
+
+
+def test_links_of_prints_are_confirmed_and_near_copies_found(spark):
+    """Prints may link texts below the similarity; those stay. Texts at 0.8 or more go, though a few prints miss some of them."""
+    base = [prose(200 + k, 150).split() for k in range(12)]
+    texts = [" ".join(w) for w in base]
+    near = [" ".join(w[:60] + [f"new{k}"] + w[61:120] + [f"other{k}"] + w[121:]) for k, w in enumerate(base)]
+    # One word changed in every ten: the longest shared runs hold five words, most shingles differ.
+    far = [" ".join("far" if at % 10 == 5 else x for at, x in enumerate(w)) for w in base]
+    assert all(jaccard(a, b) >= 0.8 for a, b in zip(texts, near)) and all(jaccard(a, b) < 0.8 for a, b in zip(texts, far))
+    docs = doc_table(spark, list(enumerate(texts + near + far)))
+    left = {r.doc_id for r in simhash.keep_first(docs, radius=12).collect()}
+    assert left == set(range(12)) | set(range(24, 36))
+    few = slow_rows(texts + near, 8)
+    assert len(set(few)) > 12
+    assert {r.doc_id for r in simhash.keep_first(docs).collect()} == left
