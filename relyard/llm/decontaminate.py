@@ -5,20 +5,24 @@ positions of a mask and ignores the others, so a substituted word at an ignored
 ignore different positions. Training seeds are joined with benchmark seeds, and around each hit up to ``WINDOW`` aligned words of the item
 are compared with the document: the hit counts if at least ``SHARE`` of them agree.
 
+Two masks cannot meet every way of substituting words of a short item. Items of ``MIN_ITEM_WORDS`` to ``SHORT`` - 1 words are sought by
+further seeds (``short_masks``) such that every pattern of substitutions that ``SHARE`` allows leaves one of them whole, and are compared over
+all windows of the item. Where the first seeds find a pair too, n_hits, first_word, matched and compared stay those of the first seeds.
+
 The benchmark side is broadcast in blocks of at most ``BLOCK_SEEDS`` seeds (a seed row takes some 250 bytes), each block against all
 documents, so the broadcast never grows with either table; the documents are never shuffled to be searched, only verified hits are.
 
 ``contaminated(docs, benchmark)`` returns one row per (doc_id, item_id) with verified hits: n_hits, first_word (place of the first one in
 the document), matched and compared (words of the best one). ``drop_contaminated`` returns the rows of ``docs`` without such a hit.
 
-Defined cases: null or empty texts and texts without letters or digits have no words and no hits. Items shorter than a mask are sought by all
-their words in a row; items under ``MIN_ITEM_WORDS`` words say too little and are never reported. Null ids are reported as null; repeated rows
+Defined cases: null or empty texts and texts without letters or digits have no words and no hits. Items under ``MIN_ITEM_WORDS`` words say too little and are never reported. Null ids are reported as null; repeated rows
 add up their hits. Empty tables give no rows (or ``docs`` as it was). Other columns are ignored and, where rows are returned, kept.
 """
 
 from __future__ import annotations
 
 from functools import reduce
+from math import ceil
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -33,6 +37,8 @@ SPAN = 12
 WINDOW = 20
 SHARE = 0.8
 MIN_ITEM_WORDS = 5
+# Items of fewer words get the further seeds.
+SHORT = 25
 BLOCK_SEEDS = 200_000
 
 
@@ -49,7 +55,27 @@ def _seed(number: int, mask: tuple[int, ...]) -> Column:
 
 def _masks(lengths: list[int]) -> dict[int, tuple[int, ...]]:
     """Mask number to offsets: the spaced masks, and a full one for each length of an item shorter than they are."""
-    return dict(enumerate(MASKS)) | {100 + n: tuple(range(n)) for n in lengths}
+    return dict(enumerate(MASKS)) | {100 + n: tuple(range(n)) for n in lengths if n < SPAN}
+
+
+def short_masks(n: int) -> list[tuple[int, ...]]:
+    """Masks that meet an item of ``n`` words however the allowed number of words of a window is substituted.
+
+    With ``s`` substitutions two of s + 2 neighbouring blocks stay whole, so a mask for each distance of two blocks is enough. Five words have
+    no such blocks: there a mask leaves out any one word.
+    """
+    compared = min(n, WINDOW)
+    if compared == 5:
+        return [(0, 1, 2, 3), (0, 1, 2, 4), (0, 1, 3, 4), (0, 2, 3, 4)]
+    blocks = compared - ceil(compared * SHARE) + 2
+    width = 3 if 3 * blocks <= compared else 2
+    return [tuple(range(width)) + tuple(range(d * width, d * width + width)) for d in range(1, blocks)]
+
+
+def _further(lengths: list[int]) -> dict[int, tuple[tuple[int, ...], list[int]]]:
+    """Number to mask and the lengths of the items it is for."""
+    every = sorted({m for n in lengths for m in short_masks(n)})
+    return {200 + k: (m, [n for n in lengths if m in short_masks(n)]) for k, m in enumerate(every)}
 
 
 def _with_words(df: DataFrame, *keep: Column) -> DataFrame:
@@ -58,23 +84,29 @@ def _with_words(df: DataFrame, *keep: Column) -> DataFrame:
 
 
 def benchmark_seeds(benchmark: DataFrame) -> tuple[DataFrame, list[int]]:
-    """Seeds of all items with the words around them, and the lengths of items too short for a spaced mask."""
+    """Seeds of all items with the words around them, and the lengths of short items."""
     items = _with_words(benchmark, benchmark["item_id"].cast("bigint").alias("item_id")).where(F.col("n") >= MIN_ITEM_WORDS)
-    lengths = sorted(r.n for r in items.where(F.col("n") < SPAN).select("n").distinct().collect())
+    lengths = sorted(r.n for r in items.where(F.col("n") < SHORT).select("n").distinct().collect())
     seeds = F.array(*[F.when(F.lit(k < 100) | (F.col("n") == len(m)), _seed(k, m)) for k, m in _masks(lengths).items()])
+    further = F.array(*[F.when(F.col("n").isin(of), _seed(k, m)) for k, (m, of) in _further(lengths).items()])
     placed = items.select("*", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("at"))
     seeded = placed.select("*", F.explode(seeds).alias("seed")).where("seed IS NOT NULL")
     compared = F.least("n", F.lit(WINDOW))
     from_ = F.greatest(F.lit(0), F.least(F.col("at") - F.lit((WINDOW - SPAN) // 2), F.col("n") - compared))
     around = F.slice("words", from_ + 1, compared)
-    return seeded.select("seed", "item_id", (F.col("at") - from_).alias("before"), around.alias("around")), lengths
+    first = seeded.select("seed", "item_id", (F.col("at") - from_).alias("before"), around.alias("around"), F.lit(False).alias("further"))
+    if not lengths:
+        return first, lengths
+    more = placed.where(F.col("n") < SHORT).select("*", F.explode(further).alias("seed")).where("seed IS NOT NULL")
+    whole = more.select("seed", "item_id", F.col("at").alias("before"), F.col("words").alias("around"), F.lit(True).alias("further"))
+    return first.union(whole), lengths
 
 
 def verified_hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """doc_id, row_key, item_id, at, matched, compared of every hit that stands the comparison."""
+    """doc_id, row_key, item_id, at, further, matched, compared of every hit that stands the comparison."""
     seeds, lengths = benchmark_seeds(benchmark)
     n_blocks = max(1, -(-seeds.count() // BLOCK_SEEDS))
-    masks = _masks(lengths)
+    masks = _masks(lengths) | {k: m for k, (m, _) in _further(lengths).items()}
     doc_id = docs["doc_id"].cast("bigint")
     read = _with_words(docs, doc_id.alias("doc_id"), row_key(doc_id, docs["text"]), docs["text"])
     read = read.drop("text").where(F.col("n") >= min(m[-1] + 1 for m in masks.values()))
@@ -83,22 +115,33 @@ def verified_hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     skipped = F.greatest(F.lit(0), F.col("before") - F.col("at"))  # words of the item that lie before the document
     length = F.size("around") - skipped
     beside = F.slice("words", F.greatest(F.lit(0), F.col("at") - F.col("before")) + 1, length)
-    same = F.zip_with(F.col("of_item"), F.col("of_document"), lambda a, b: a == b)
+    same = F.concat(F.array_repeat(F.lit(False), F.col("skipped")), F.zip_with(F.col("of_item"), F.col("of_document"), lambda a, b: a == b))
+    windows = F.sequence(F.lit(0), F.col("n_around") - F.col("compared"))  # more than one only where a short item is compared as a whole
+    agreeing = F.array_max(F.transform(windows, lambda w: F.size(F.filter(F.slice(F.col("same"), w + 1, F.col("compared")), lambda x: x))))
     found = []
     for block in range(n_blocks):
         part = seeds.where(F.pmod(F.xxhash64("item_id", "seed"), F.lit(n_blocks)) == block)
         # Up to here everything is one generated loop over the words of a document; only hits leave it, with the few words
         # to compare instead of the whole document. The comparison is unfolded apart, so that it cannot move into the join.
         sides = (F.slice("around", skipped + 1, length).alias("of_item"), beside.alias("of_document"))
-        hits = seeded.join(F.broadcast(part), "seed").select("doc_id", "row_key", "item_id", "at", F.size("around").alias("compared"), *sides)
-        checked = with_once(hits, matched=F.size(F.filter(same, lambda x: x)))
-        found.append(checked.where(F.col("matched") >= F.ceil(F.col("compared") * SHARE)).drop("of_item", "of_document"))
+        sizes = (skipped.alias("skipped"), F.size("around").alias("n_around"), F.least(F.size("around"), F.lit(WINDOW)).alias("compared"))
+        hits = seeded.join(F.broadcast(part), "seed").select("doc_id", "row_key", "item_id", "at", "further", *sizes, *sides)
+        checked = with_once(with_once(hits, same=same), matched=agreeing)
+        found.append(
+            checked.where(F.col("matched") >= F.ceil(F.col("compared") * SHARE))
+            .select("doc_id", "row_key", "item_id", "at", "further", "matched", "compared")
+        )
     return reduce(DataFrame.union, found)
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    best = F.max(F.struct("matched", "compared")).alias("best")
-    pairs = verified_hits(docs, benchmark).groupBy("doc_id", "item_id").agg(F.count(F.lit(1)).alias("n_hits"), F.min("at").alias("first_word"), best)
+    def of_first(over, value: Column) -> Column:
+        """Over the hits of the first seeds, or over all of them in a pair without."""
+        return F.coalesce(over(F.when(~F.col("further"), value)), over(value))
+
+    counted = of_first(F.sum, F.lit(1).cast("bigint")).alias("n_hits")
+    best = of_first(F.max, F.struct("matched", "compared")).alias("best")
+    pairs = verified_hits(docs, benchmark).groupBy("doc_id", "item_id").agg(counted, of_first(F.min, F.col("at")).alias("first_word"), best)
     return pairs.select("doc_id", "item_id", "n_hits", "first_word", "best.matched", "best.compared")
 
 

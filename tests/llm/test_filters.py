@@ -1,5 +1,7 @@
 """Quality votes, URL verdicts and decontamination against brute force."""
 
+import itertools
+import math
 import re
 from collections import Counter
 
@@ -183,3 +185,31 @@ def test_leaks(spark, monkeypatch):
     empty = spark.createDataFrame([], "item_id bigint, text string")
     assert decontaminate.contaminated(docs, empty).count() == 0 and decontaminate.drop_contaminated(docs, empty).count() == len(texts)
     assert decontaminate.contaminated(spark.createDataFrame([], DOC_SCHEMA), benchmark).count() == 0
+
+
+def test_short_items_meet_a_seed_in_every_pattern():
+    for n in range(decontaminate.MIN_ITEM_WORDS, decontaminate.SHORT):
+        size = min(n, decontaminate.WINDOW)
+        allowed = size - math.ceil(size * decontaminate.SHARE)
+        places = [{q + o for o in m} for m in decontaminate.short_masks(n) for q in range(size - m[-1])]
+        for pattern in itertools.combinations(range(size), allowed):
+            assert any(place.isdisjoint(pattern) for place in places), (n, pattern)
+
+
+def test_short_items_with_substituted_words(spark):
+    """Also where the two spaced masks, or all words in a row, are hidden by the substitutions."""
+    cases = [(5, [1]), (7, [3]), (10, [2, 7]), (12, [5, 8]), (14, [4, 9]), (15, [3, 7, 11]), (20, [3, 7, 11, 15]), (24, [0, 1, 5, 9, 13, 17, 22, 23])]
+    items = [(k, prose(100 + k, n)) for k, (n, _) in enumerate(cases)]
+    texts = []
+    for k, (n, at) in enumerate(cases):
+        words = items[k][1].split()
+        texts.append((k, " ".join([prose(200 + k, 9), *("other" if p in at else w for p, w in enumerate(words)), prose(300 + k, 9)])))
+        over = [*at, next(p for p in range(2, n) if p not in at)]
+        texts.append((50 + k, " ".join([prose(400 + k, 9), *("other" if p in over else w for p, w in enumerate(words)), prose(500 + k, 9)])))
+    docs, benchmark = doc_table(spark, texts), spark.createDataFrame(items, "item_id bigint, text string")
+    got = {(r.doc_id, r.item_id): (r.matched, r.compared) for r in decontaminate.contaminated(docs, benchmark).collect()}
+    sizes = [min(n, decontaminate.WINDOW) for n, _ in cases]
+    # One more substituted word is one too many.
+    assert got == {(k, k): (math.ceil(n * decontaminate.SHARE), n) for k, n in enumerate(sizes)}
+    left = {r.doc_id for r in decontaminate.drop_contaminated(docs, benchmark).collect()}
+    assert left == {i for i, _ in texts} - {k[0] for k in got}
