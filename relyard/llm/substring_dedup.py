@@ -6,6 +6,10 @@ other text loses its short sentences too. Units are normalised (lower case, sing
 and every later one is removed. All kinds of units share one digest space and are decided at once. No sentence is lost everywhere: whatever is
 removed has an equal sentence at an earlier place, and this chain ends at one that stays.
 
+With ``runs`` the pipeline's stage also takes runs of clauses as units (``clause_runs``): a clause ends at a newline, a sentence end or a space after
+``, ; :``, and from each clause on and back from each clause the shortest run of clauses of ``min_words`` words is a unit, across newlines too. What such
+a run is depends on its own words only, so a repeated passage loses all but the first and last clauses that share words with their host.
+
 Counts are combined before the shuffle and a digest's keeper is a minimum, so a unit found in a third of all documents costs one row per
 task; the join that finds its later occurrences is left to adaptive skew handling.
 
@@ -32,6 +36,7 @@ from relyard.llm.common import row_key, same_row, stored
 
 MIN_WORDS = 8
 SENTENCE_END = re.compile(r"([.!?]) ")
+CLAUSE_END = re.compile(r"\n|(?<=[.!?,;:]) ")
 UNITS = "row_key bigint, high bigint, low bigint, start int, length int, n_words int"
 
 
@@ -73,7 +78,43 @@ def _sentence_units(sentences: list[str], start: int, line_length: int, min_word
     return found
 
 
-def document_units(docs: DataFrame, min_words: int) -> DataFrame:
+def clause_runs(text: str, min_words: int = MIN_WORDS) -> list[tuple[int, int, int, str]]:
+    """(start, length, words, normalised text) of the shortest run of clauses from each clause on, and back from each, each run once."""
+    clauses, at = [], 0
+    for end, following in [*((m.start(), m.end()) for m in CLAUSE_END.finditer(text)), (len(text), 0)]:
+        if words := text[at:end].lower().split():
+            clauses.append((at, end, words))
+        at = following
+    runs, first, n = set(), 0, 0
+    for last, (_, _, words) in enumerate(clauses):
+        n += len(words)
+        while n >= min_words:  # the shortest from ``first`` on ends here
+            runs.add((first, last))
+            n -= len(clauses[first][2])
+            first += 1
+    last, n = len(clauses) - 1, 0
+    for first in range(len(clauses) - 1, -1, -1):
+        n += len(clauses[first][2])
+        while n >= min_words:
+            runs.add((first, last))
+            n -= len(clauses[last][2])
+            last -= 1
+    found = []
+    for first, last in sorted(runs):
+        words = [w for _, _, part in clauses[first : last + 1] for w in part]
+        found.append((clauses[first][0], clauses[last][1] - clauses[first][0], len(words), " ".join(words)))
+    return found
+
+
+def all_units(text: str, min_words: int, runs: bool) -> list[tuple[int, int, int, str]]:
+    found = units(text, min_words)
+    if runs:
+        there = {x[:2] for x in found}
+        found += [x for x in clause_runs(text, min_words) if x[:2] not in there]
+    return found
+
+
+def document_units(docs: DataFrame, min_words: int, runs: bool = False) -> DataFrame:
     """doc_id and ``UNITS`` of every document; the texts stay where they are."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -81,7 +122,7 @@ def document_units(docs: DataFrame, min_words: int) -> DataFrame:
         for batch in batches:
             rows = []
             for doc_id, key, text in zip(*(batch.column(k).to_pylist() for k in range(3))):
-                for start, length, n_words, normal in units(text, min_words):
+                for start, length, n_words, normal in all_units(text, min_words, runs):
                     d = digest(normal.encode("utf-8", "surrogatepass"))
                     high, low = int.from_bytes(d[:8], "big", signed=True), int.from_bytes(d[8:], "big", signed=True)
                     rows.append((doc_id, key, high, low, start, length, n_words))
@@ -95,9 +136,9 @@ def document_units(docs: DataFrame, min_words: int) -> DataFrame:
     return given.mapInArrow(cut, f"doc_id bigint, {UNITS}")
 
 
-def later_occurrences(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+def later_occurrences(docs: DataFrame, min_words: int = MIN_WORDS, runs: bool = False) -> DataFrame:
     """Occurrences that are not the earliest of their digest, with the place of the earliest."""
-    found = stored(document_units(docs, min_words), "units")
+    found = stored(document_units(docs, min_words, runs), "units")
     # Places are worked out on both sides of the shuffles, as they are wider than what they are made of.
     first = found.groupBy("high", "low").agg(F.min(_place()).alias("first"), F.count(F.lit(1)).alias("n"))
     repeated = first.where("n > 1").select("high", "low", "first")
@@ -142,9 +183,9 @@ def cut_out(text: str, spans: list[tuple[int, int]]) -> str:
     return "".join(kept).rstrip("\n ") if at >= len(text) else "".join(kept)
 
 
-def remove_spans(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+def remove_spans(docs: DataFrame, min_words: int = MIN_WORDS, runs: bool = False) -> DataFrame:
     spans = F.collect_set(F.struct("start", "length")).alias("spans")  # of one document, so bounded by its length
-    found = later_occurrences(docs, min_words).groupBy("row_key", "doc_id").agg(spans)
+    found = later_occurrences(docs, min_words, runs).groupBy("row_key", "doc_id").agg(spans)
     doc_id = docs["doc_id"].cast("bigint")
     packed = docs.select(doc_id.alias("doc_id"), row_key(doc_id, docs["text"]), docs["text"].alias("body"), F.struct("*").alias("row"))
     marked = packed.join(found, same_row(packed, found), "left").select("row", "body", "spans")

@@ -266,3 +266,26 @@ def test_links_of_prints_are_confirmed_and_near_copies_found(spark):
     few = slow_rows(texts + near, 8)
     assert len(set(few)) > 12
     assert {r.doc_id for r in simhash.keep_first(docs).collect()} == left
+
+
+def test_runs_of_clauses_are_cut(spark):
+    """Host words on both sides, no sentence end, and lines too short to be units."""
+    clauses = [prose(600 + k, 5) for k in range(8)]
+    verse = "\n".join(prose(700 + k, 4) for k in range(10))
+    passage = ", ".join(clauses)
+    texts = [(1, f"one host before {passage}, and after"), (2, f"another host, {passage}, then more"), (3, f"Poem\n{verse}\nend"), (4, f"Other words\n{verse}\nlast line")]
+    docs = doc_table(spark, texts)
+    left = {r.doc_id: r.text for r in substring_dedup.remove_spans(docs, runs=True).collect()}
+    assert left[1] == texts[0][1] and left[3] == texts[2][1]
+    # The first clause has host words before it in the first text.
+    assert left[2] == f"another host, {clauses[0]}, then more"
+    assert left[4] == "Other words\nlast line"
+    # Op6 has the units of its SQL.
+    assert substring_dedup.repeated_spans(docs).count() == 0
+
+
+@given(st.lists(st.sampled_from(["one two three. ", "four, five! ", "six\n", " ", "seven ", "É; ", "\n\n"]), max_size=14).map("".join))
+@settings(max_examples=100, deadline=None)
+def test_runs_name_places_of_the_text(text):
+    for start, length, n_words, normal in substring_dedup.clause_runs(text, 3):
+        assert " ".join(text[start : start + length].lower().split()) == normal and len(normal.split()) == n_words >= 3
