@@ -1,10 +1,10 @@
-"""Corpus queries op1 to op10: each applies its operator to a whole table. The pipeline is registered beside them."""
+"""Corpus queries op1 to op13: each applies its operator to a whole table. The pipeline is registered beside them."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from relyard.llm import decontaminate, language_id, packing, quality_rules, rule_ensemble, simhash, substring_dedup, token_counts, token_store, tokens, url_filter
+from relyard.llm import decontaminate, language_id, packing, piece_bpe, quality_rules, rule_ensemble, simhash, substring_dedup, token_counts, token_store, tokens, url_filter
 from relyard.llm.common import read_table
 from relyard.plans.catalog import Query
 from relyard.session import new_location
@@ -61,6 +61,10 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(read_table(spark, sf_dir, "documents"), tokens.vocabulary_path(tokens.BYTE_FILE))
 
 
+def op13_piece_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_bpe.digests(piece_bpe.decode(piece_bpe.encode(read_table(spark, sf_dir, "documents"))))
+
+
 QUERIES = {
     "op1_rule_ensemble": Query(op1_rule_ensemble, None),
     "op2_token_store": Query(op2_token_store, None),
@@ -72,4 +76,5 @@ QUERIES = {
     "op8_url_verdicts": Query(op8_url_verdicts, url_filter.oracle()),
     "op9_language": Query(op9_language, None),
     "op10_token_counts": Query(op10_token_counts, None),
+    "op13_piece_ids": Query(op13_piece_ids, None),
 }
