@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from relyard.llm import decontaminate, language_id, packing, piece_bpe, prefix_trie, quality_rules, rule_ensemble, simhash, substring_dedup, token_counts, token_store, tokens, url_filter
+from relyard.llm import decontaminate, language_id, lexical_search, packing, piece_bpe, prefix_trie, quality_rules, rule_ensemble, simhash, substring_dedup, token_counts, token_store, tokens, url_filter
 from relyard.llm.common import read_table
 from relyard.plans.catalog import Query
 from relyard.session import new_location
@@ -61,6 +61,10 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(read_table(spark, sf_dir, "documents"), tokens.vocabulary_path(tokens.BYTE_FILE))
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes = prefix_trie.prefix_trie(prefix_trie.spliced(read_table(spark, sf_dir, "conversations")))
     return nodes.select(prefix_trie.NODE_COLUMNS)
@@ -81,6 +85,7 @@ QUERIES = {
     "op8_url_verdicts": Query(op8_url_verdicts, url_filter.oracle()),
     "op9_language": Query(op9_language, None),
     "op10_token_counts": Query(op10_token_counts, None),
+    "op11_ranked_search": Query(op11_ranked_search, lexical_search.oracle()),
     "op12_prefix_trie": Query(op12_prefix_trie, prefix_trie.oracle()),
     "op13_piece_ids": Query(op13_piece_ids, None),
 }
