@@ -40,6 +40,8 @@ MARK = "▁"
 
 #: Bounds of what one worker keeps; what lies beyond is worked out again each time.
 CACHED_PAIRS, CACHED_CHARS = 400_000, 64
+#: Rows handed on at a time.
+ROWS = 256
 
 
 def located(name: str) -> str:
@@ -150,9 +152,6 @@ class PieceModel:
         kept = self.kept
         return b"".join([kept.get(unit) or self.unit_ids(unit) for unit in self.units.findall(self.library.normalize(text))])
 
-    def decode(self, ids: list[int]) -> str:
-        return self.library.decode(ids)
-
 
 @lru_cache(maxsize=2)
 def model(path: str) -> PieceModel:
@@ -160,13 +159,19 @@ def model(path: str) -> PieceModel:
     return PieceModel(path)
 
 
+@lru_cache(maxsize=2)
+def library(path: str) -> sentencepiece.SentencePieceProcessor:
+    """All that decoding needs."""
+    return sentencepiece.SentencePieceProcessor(model_file=path)
+
+
 def encode(docs: DataFrame, name: str = PIECE_FILE) -> DataFrame:
     """(doc_id, ids); the file is found on the machine of each worker."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = model(located(name))
-        for batch in batches:
-            packed = [own.encode(text) for text in batch.column(1).to_pylist()]
+        for batch in _small(batches):
+            packed = [own.encode(text.as_py()) for text in batch.column(1)]
             ends = np.cumsum([0] + [len(ids) // 4 for ids in packed]).astype("int32")
             ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(packed), "i4")))
             yield pa.RecordBatch.from_arrays([batch.column(0), ids], ["doc_id", "ids"])
@@ -178,15 +183,22 @@ def decode(encoded: DataFrame, name: str = PIECE_FILE) -> DataFrame:
     """(doc_id, ids, text) of a table with doc_id and ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = model(located(name))
-        for batch in batches:
-            text = [None if ids is None else own.decode(ids) for ids in batch.column(1).to_pylist()]
+        own = library(located(name))
+        for batch in _small(batches):
+            text = [own.decode(ids.values.to_numpy().tolist()) if ids.is_valid else None for ids in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(text, pa.string())], ["doc_id", "ids", "text"])
 
     rows = encoded.select(encoded["doc_id"].cast("bigint").alias("doc_id"), encoded["ids"].cast("array<int>").alias("ids"))
     return rows.mapInArrow(run, "doc_id bigint, ids array<int>, text string")
 
 
+def _small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows, few at a time: what one document needs as Python values is gone before the next few come."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, ROWS):
+            yield batch.slice(at, ROWS)
+
+
 def digests(decoded: DataFrame) -> DataFrame:
     """One row per document: number of ids, and digests of ids and decoded text."""
     ids_text = F.array_join(F.col("ids").cast("array<string>"), ",")
