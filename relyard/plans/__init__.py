@@ -6,7 +6,7 @@ from importlib import import_module
 
 from relyard.plans.catalog import CATALOG, Query
 
-MODULES = ("policy_plans", "serving_plans", "data_plans", "streaming_plans")
+MODULES = ("policy_plans", "serving_plans", "data_plans", "state_plans", "streaming_plans")
 
 
 def all_queries() -> dict[str, Query]:
