@@ -9,8 +9,8 @@ from relyard.functions.text import strip_or_null, tag
 from relyard.operators import policy, registry, release
 from relyard.plans.catalog import query
 from relyard.plans.oracle_views import sql
-from relyard.session import new_location, shared_root
-from relyard.sources import release_state, views
+from relyard.session import shared_root
+from relyard.sources import release_table, views
 from relyard.sources.tables import table
 
 
@@ -440,18 +440,22 @@ def _state(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFram
     return views.models(spark, sf).select("model_name"), views.aliases(spark, sf), versions
 
 
-def promoted_state(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Models, aliases and versions after promotion; stored once, as later steps read them several times."""
+def promoted(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Models, aliases and versions after promotion."""
     models, aliases, versions = _state(spark, sf)
     decided = policy.evaluate(models, aliases, versions, views.runs(spark, sf))
-    root = new_location(spark, "release-state")
-    release_state.write(*release.apply_promotion(decided, aliases, versions), root)
-    return models, *release_state.read(spark, root)
+    return models, *release.apply_promotion(decided, aliases, versions)
+
+
+def stored_promoted(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The same, stored once: steps that follow read it several times."""
+    models, aliases, versions = promoted(spark, sf)
+    return models, *release_table.read(spark, release_table.store(aliases, versions))
 
 
 @query("apply_promotion_aliases", sql("SELECT * FROM pr", "pr"))
 def apply_promotion_aliases(spark: SparkSession, sf: str) -> DataFrame:
-    return promoted_state(spark, sf)[1]
+    return promoted(spark, sf)[1]
 
 
 @query(
@@ -466,7 +470,7 @@ def apply_promotion_aliases(spark: SparkSession, sf: str) -> DataFrame:
 )
 def apply_promotion_tags(spark: SparkSession, sf: str) -> DataFrame:
     keys = ("release_status", "promoted_from_alias", "previous_prod_version")
-    return promoted_state(spark, sf)[2].select("model_name", "version", *[tag(F.col("tags"), k).alias(k) for k in keys])
+    return promoted(spark, sf)[2].select("model_name", "version", *[tag(F.col("tags"), k).alias(k) for k in keys])
 
 
 @query(
@@ -478,7 +482,7 @@ def apply_promotion_tags(spark: SparkSession, sf: str) -> DataFrame:
     ),
 )
 def rollback_aliases(spark: SparkSession, sf: str) -> DataFrame:
-    return release.rollback(*promoted_state(spark, sf))[0]
+    return release.rollback(*stored_promoted(spark, sf))[0]
 
 
 @query(
@@ -491,7 +495,7 @@ def rollback_aliases(spark: SparkSession, sf: str) -> DataFrame:
     ),
 )
 def rollback_blocked(spark: SparkSession, sf: str) -> DataFrame:
-    return release.rollback(*promoted_state(spark, sf))[2].select("model_name", "current_version", "reason")
+    return release.rollback(*stored_promoted(spark, sf))[2].select("model_name", "current_version", "reason")
 
 
 @query(
@@ -504,10 +508,8 @@ def rollback_blocked(spark: SparkSession, sf: str) -> DataFrame:
 )
 def rollback_undo(spark: SparkSession, sf: str) -> DataFrame:
     """Prod version after promotion, after rollback, and after rolling back again."""
-    models, promoted, versions = promoted_state(spark, sf)
-    root = new_location(spark, "release-state")
-    release_state.write(*release.rollback(models, promoted, versions)[:2], root)
-    once, versions_once = release_state.read(spark, root)
+    models, promoted, versions = stored_promoted(spark, sf)
+    once, versions_once = release_table.read(spark, release_table.store(*release.rollback(models, promoted, versions)[:2]))
     twice, _, _ = release.rollback(models, once, versions_once)
 
     def prod(df: DataFrame, name: str) -> DataFrame:

@@ -1,9 +1,10 @@
 """Promotion, rollback and undo on a small registry."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from relyard.operators import policy, registry, release
-from relyard.sources import release_state
+from relyard.sources import release_table
 from tests.test_policy import ALIASES, VALID, VERSIONS
 
 BASE = {**VALID, "source_run_id": "r"}
@@ -161,21 +162,32 @@ def test_registration_twice_adds_nothing(spark):
     assert registry.register_versions(runs, first.select(*none.columns)).count() == 0
 
 
-def test_stored_state_changes_as_a_pair(spark, state, location):
+def test_stored_state_changes_as_one(spark, state, location):
+    """Aliases and tags are one write; a path that holds a state is refused and stays as it was."""
     models, aliases, versions, runs = state
-    with pytest.raises(ValueError, match="no release state"):
-        release_state.read(spark, location)
-    assert release_state.write(aliases, versions, location) == 1
-
-    def step(a, v):
-        return release.apply_promotion(policy.evaluate(models, a, v, runs), a, v)
-
-    release_state.change(spark, location, step, dry_run=True)
-    assert release_state.current(spark, location) == 1
-    new_aliases, _ = release_state.change(spark, location, step)
-    assert release_state.current(spark, location) == 2 and as_dict(new_aliases)["a", "prod"] == 2
-    assert as_dict(release_state.read(spark, location, 1)[0])["a", "prod"] == 1
-    # A writer that died before its marker leaves no trace a reader could see.
-    aliases.write.parquet(f"{location}/snapshots/3/aliases")
-    assert release_state.current(spark, location) == 2
-    assert release_state.write(*release_state.read(spark, location), location) == 3
+    first = release_table.store(aliases, versions, f"{location}/first")
+    a, v = release_table.read(spark, first)
+    assert as_dict(a) == as_dict(aliases) and tags_of(v) == tags_of(versions)
+    changed = release.apply_promotion(policy.evaluate(models, a, v, runs), a, v)
+    second = release_table.store(*changed)
+    assert as_dict(release_table.read(spark, second)[0])["a", "prod"] == 2
+    with pytest.raises(Exception, match="(?i)exists"):
+        release_table.store(*changed, first)
+    assert as_dict(release_table.read(spark, first)[0]) == as_dict(aliases)
+
+
+def test_two_writers_from_one_state(spark, state, location):
+    """Both start before either has stored; each leaves its own state whole, and a failed one leaves the other's as it is."""
+    models, aliases, versions, runs = state
+    first = release_table.store(aliases, versions, f"{location}/first")
+    mine, theirs = release_table.read(spark, first), release_table.read(spark, first)
+    promoted = release.apply_promotion(policy.evaluate(models, *mine, runs), *mine)
+    retagged = theirs[0], theirs[1].withColumn("tags", F.map_concat(F.map_filter("tags", lambda k, _: k != "owner"), F.create_map(F.lit("owner"), F.lit("them"))))
+    a, b = release_table.store(*promoted), release_table.store(*retagged)
+    broken = retagged[0].withColumn("version", F.raise_error(F.lit("lost"))), retagged[1]
+    with pytest.raises(Exception, match="lost"):
+        release_table.store(*broken, f"{location}/broken")
+    assert as_dict(release_table.read(spark, a)[0])["a", "prod"] == 2
+    assert as_dict(release_table.read(spark, b)[0]) == as_dict(aliases)
+    assert all(t["owner"] == "them" for t in tags_of(release_table.read(spark, b)[1]).values())
+    assert all("owner" not in t for t in tags_of(release_table.read(spark, a)[1]).values())
