@@ -147,15 +147,16 @@ def lookup_join(
     how: str = "left",
     max_broadcast_bytes: int | None = None,
     rows_per_salt: int | None = None,
+    lookup_bytes: int | None = None,
 ) -> DataFrame:
     """Equi-join facts to a table with unique keys when single keys may hold much of the facts.
 
-    The lookup is measured first. Up to ``MAX_BROADCAST_BYTES`` it is broadcast and the facts do not move at all. Beyond that
+    The lookup is measured first, unless the caller knows its size (``lookup_bytes``). Up to ``MAX_BROADCAST_BYTES`` it is broadcast and the facts do not move at all. Beyond that
     the facts are counted by key, and only keys with more than ``ROWS_PER_SALT`` rows are spread, each over as many
     partitions as its rows ask for; their lookup rows are repeated that often.
     """
     limit = MAX_BROADCAST_BYTES if max_broadcast_bytes is None else max_broadcast_bytes
-    if estimated_bytes(lookup) <= limit:
+    if (estimated_bytes(lookup) if lookup_bytes is None else lookup_bytes) <= limit:
         return facts.join(F.broadcast(lookup), list(on), how)
     per_salt = ROWS_PER_SALT if rows_per_salt is None else rows_per_salt
     if facts.isStreaming:  # a stream cannot be counted beforehand; a micro-batch is small

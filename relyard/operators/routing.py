@@ -122,15 +122,15 @@ def serving_models(aliases: DataFrame, coefficients: DataFrame) -> DataFrame:
     )
 
 
-def serve(requests: DataFrame, serving: DataFrame, canary_pct: int = c.CANARY_PCT) -> DataFrame:
+def serve(requests: DataFrame, serving: DataFrame, canary_pct: int = c.CANARY_PCT, serving_bytes: int | None = None) -> DataFrame:
     """Score every prediction request with its chosen model and, where asked, with the other one.
 
     Both scores are computed on the same row, so the log is read once and never joined to itself. The
     model lookup moves no request while the table of served models is small, and spreads hot models
-    otherwise.
+    otherwise; ``serving_bytes`` is its size where that has been measured before.
     """
     prepared = prepare(requests, canary_pct)
-    joined = lookup_join(prepared, serving, ["model_name"], ["event_id"])
+    joined = lookup_join(prepared, serving, ["model_name"], ["event_id"], lookup_bytes=serving_bytes)
     is_prod = F.col("chosen") == c.PROD
     valid = F.col("body_error").isNull() & F.col("route_error").isNull()
     primary = F.when(is_prod, F.col("prod_model")).otherwise(F.col("candidate_model"))

@@ -12,7 +12,7 @@ from relyard.plans.serving_plans import BOUNDS_SQL, PREDICT_LOG_SQL
 from relyard.session import new_location
 from relyard.sources import views
 from relyard.sources.tables import table
-from relyard.streaming import jobs
+from relyard.streaming import as_of, jobs
 
 _LABELS = """endpoint, CASE WHEN endpoint <> '/predict' THEN '' WHEN mode IN ('prod', 'candidate', 'shadow', 'canary') THEN mode ELSE 'invalid' END AS mode, status"""
 
@@ -32,7 +32,7 @@ def served_stream(spark: SparkSession, sf: str) -> DataFrame:
 )
 def stream_requests_total(spark: SparkSession, sf: str) -> DataFrame:
     counts = jobs.windowed_requests(jobs.request_stream(spark, sf), "1 day")
-    return jobs.merge_to(counts, new_location(spark, "stream-requests"), ["window_start", "endpoint", "mode", "status"])
+    return jobs.started(jobs.windows_to(counts, new_location(spark, "stream-requests")))
 
 
 @query(
@@ -46,7 +46,7 @@ def stream_requests_total(spark: SparkSession, sf: str) -> DataFrame:
 )
 def stream_requests_sliding(spark: SparkSession, sf: str) -> DataFrame:
     counts = jobs.windowed_requests(jobs.request_stream(spark, sf), "24 hours", "12 hours")
-    return jobs.merge_to(counts, new_location(spark, "stream-requests"), ["window_start", "endpoint", "mode", "status"])
+    return jobs.started(jobs.windows_to(counts, new_location(spark, "stream-requests")))
 
 
 @query(
@@ -60,8 +60,7 @@ def stream_requests_sliding(spark: SparkSession, sf: str) -> DataFrame:
 def stream_latency_histogram(spark: SparkSession, sf: str) -> DataFrame:
     cells = jobs.windowed_latency(served_stream(spark, sf), "1 day")
     keys = ["window_start", "mode", "status", "chosen"]
-    stored = jobs.merge_to(cells, new_location(spark, "stream-latency"), [*keys, "bucket"])
-    return serving_log.accumulate(stored, keys)
+    return serving_log.accumulate(jobs.started(jobs.windows_to(cells, new_location(spark, "stream-latency"))), keys)
 
 
 @query(
@@ -73,8 +72,8 @@ def stream_latency_histogram(spark: SparkSession, sf: str) -> DataFrame:
     ),
 )
 def stream_shadow_mae(spark: SparkSession, sf: str) -> DataFrame:
-    compared = jobs.windowed_shadow_mae(served_stream(spark, sf), "1 day", 0.3)
-    return jobs.merge_to(compared, new_location(spark, "stream-mae"), ["window_start", "mode"])
+    compared = jobs.windowed_shadow_mae(served_stream(spark, sf), "1 day")
+    return jobs.shadow_alert(jobs.started(jobs.windows_to(compared, new_location(spark, "stream-mae"))), 0.3)
 
 
 @query("stream_dedup_requests", sql("SELECT DISTINCT request_id FROM rp WHERE client_provided", "rp"))
@@ -112,22 +111,63 @@ def stream_alias_refresh(spark: SparkSession, sf: str) -> DataFrame:
     return log.groupBy("mode", "chosen", version.alias("version")).agg(F.count(F.lit(1)).alias("requests"))
 
 
-@query(
-    "stream_alias_state",
-    """SELECT concat('m', o_custkey) AS model_name, 'candidate' AS alias, max_by(o_orderkey, (o_orderdate, o_orderkey)) AS version FROM orders GROUP BY o_custkey
-    UNION ALL SELECT concat('m', o_custkey), 'prod', max_by(o_orderkey, (o_orderdate, o_orderkey)) FROM orders WHERE o_orderstatus IN ('F', 'O') GROUP BY o_custkey""",
-)
-def stream_alias_state(spark: SparkSession, sf: str) -> DataFrame:
-    """Alias table kept up to date from a stream of alias events; the order key stands for the version."""
+def _alias_events(orders: DataFrame) -> DataFrame:
+    """Alias events of orders as a stream or a table; the order key stands for the version."""
     names = F.array_compact(F.array(F.lit(c.CANDIDATE), F.when(F.col("o_orderstatus") != "P", F.lit(c.PROD))))
-    events = jobs.stream_table(spark, sf, "orders").select(
+    return orders.select(
         F.concat(F.lit("m"), F.col("o_custkey")).alias("model_name"),
         F.explode(names).alias("alias"),
         F.col("o_orderkey").alias("version"),
         F.col("o_orderdate").alias("ts"),
         F.col("o_orderkey").alias("seq"),
     )
-    return jobs.alias_state(events, new_location(spark, "stream-alias"))
+
+
+@query(
+    "stream_alias_state",
+    """SELECT concat('m', o_custkey) AS model_name, 'candidate' AS alias, max_by(o_orderkey, (o_orderdate, o_orderkey)) AS version FROM orders GROUP BY o_custkey
+    UNION ALL SELECT concat('m', o_custkey), 'prod', max_by(o_orderkey, (o_orderdate, o_orderkey)) FROM orders WHERE o_orderstatus IN ('F', 'O') GROUP BY o_custkey""",
+)
+def stream_alias_state(spark: SparkSession, sf: str) -> DataFrame:
+    """Alias table kept up to date from a stream of alias events."""
+    return jobs.alias_state(_alias_events(jobs.stream_table(spark, sf, "orders")), new_location(spark, "stream-alias"))
+
+
+@query(
+    "stream_alias_as_of",
+    """SELECT p.model_name, e.version, count(*) AS items
+    FROM (SELECT concat('m', o_custkey) AS model_name, l_shipdate AS ts FROM lineitem JOIN orders ON l_orderkey = o_orderkey) p
+    LEFT JOIN (SELECT concat('m', o_custkey) AS model_name, o_orderkey AS version, o_orderdate AS ts,
+        lead(o_orderdate) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS till
+      FROM orders WHERE o_orderstatus IN ('F', 'O')) e
+      ON e.model_name = p.model_name AND p.ts >= e.ts AND (p.ts < e.till OR e.till IS NULL)
+    GROUP BY ALL""",
+)
+def stream_alias_as_of(spark: SparkSession, sf: str) -> DataFrame:
+    """Which version was prod when each item shipped, from a stream of items and one of alias events.
+
+    The first run reads both tables and keeps what the watermark has not passed; the second runs on from its state with a heartbeat
+    in both streams, which answers the rest.
+    """
+    path = new_location(spark, "stream-as-of")
+    beats = f"{path}/heartbeats"
+    spark.createDataFrame([], "ts timestamp").write.parquet(beats)
+    beat = lambda names: [F.lit(None).cast(t).alias(n) for n, t in names]
+
+    def run() -> DataFrame:
+        heartbeat = spark.readStream.schema("ts timestamp").parquet(beats)
+        owner = views.orders(spark, sf).select(F.col("o_orderkey").alias("l_orderkey"), F.concat(F.lit("m"), F.col("o_custkey")).alias("model_name"))
+        items = jobs.stream_table(spark, sf, "lineitem").join(owner, "l_orderkey").select(
+            (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("request_id"), "model_name", F.lit(c.PROD).alias("alias"), jobs.event_time(F.col("l_shipdate")).alias("ts")
+        )
+        items = items.union(heartbeat.select(*beat([("request_id", "bigint"), ("model_name", "string"), ("alias", "string")]), "ts"))
+        events = _alias_events(jobs.stream_table(spark, sf, "orders")).where(F.col("alias") == c.PROD).withColumn("ts", jobs.event_time(F.col("ts")))
+        quiet = heartbeat.select(*beat([("model_name", "string"), ("alias", "string"), ("version", "bigint")]), "ts", *beat([("seq", "bigint")]))
+        return as_of.answer_to(items, events.union(quiet), path, "1 hour", salts=2)
+
+    run()
+    spark.sql("SELECT TIMESTAMP '2100-01-01 00:00:00Z' AS ts").write.mode("append").parquet(beats)
+    return run().groupBy("model_name", "version").agg(F.count(F.lit(1)).alias("items"))
 
 
 @query(
@@ -140,7 +180,7 @@ def stream_alias_state(spark: SparkSession, sf: str) -> DataFrame:
     ),
 )
 def stream_sessions(spark: SparkSession, sf: str) -> DataFrame:
-    return jobs.append_to(jobs.sessions(jobs.request_stream(spark, sf)), new_location(spark, "stream-sessions"))
+    return jobs.append_to(jobs.sessions(jobs.request_stream(spark, sf)), new_location(spark, "stream-sessions"), jobs.SESSION_SETTINGS)
 
 
 @query(
@@ -155,8 +195,8 @@ def stream_late_rows(spark: SparkSession, sf: str) -> DataFrame:
     The job runs twice from one checkpoint, as a restarted stream does. Only closed days are written.
     """
     path = new_location(spark, "stream-late")
-    events = table(spark, sf, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"))
-    recent = F.col("ts") >= F.lit("2024-01-16").cast("timestamp")
+    events = table(spark, sf, "events").select("event_id", jobs.event_time(F.col("ts")).alias("ts"))
+    recent = F.col("ts") >= F.lit("2024-01-16 00:00:00Z").cast("timestamp")
     events.filter(recent).write.parquet(f"{path}/landing")
     landing = spark.readStream.schema(events.schema).parquet(f"{path}/landing")
     daily = (

@@ -1,20 +1,25 @@
 """Structured Streaming forms: windowed counters and histograms, de-duplication, serving, alias state.
 
 Each job runs to the end of what is there (``availableNow``) and starts again from its checkpoint, so the
-same code serves a scheduled catch-up and, with another trigger, a live stream. Sinks are idempotent:
-parquet with a checkpoint in append mode, one folder per batch id otherwise. A run that finds nothing new returns what is there.
+same code serves a scheduled catch-up and, with another trigger, a live stream. Sinks are idempotent: parquet with a checkpoint in
+append mode, one folder per batch id where a batch handler writes; open windows and alias state are read from the state store. A run
+that finds nothing new returns what is there. No job leaves a changed setting in the caller's session.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+import uuid
+from collections.abc import Callable, Iterator, Mapping
+from contextlib import contextmanager
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from relyard import constants as c
 from relyard.functions.histogram import bucket_index
 from relyard.operators import routing, serving_log
+from relyard.operators.ordered import estimated_bytes
 from relyard.sources.tables import table
 from relyard.sources.views import requests_from
 
@@ -27,124 +32,119 @@ def stream_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.readStream.schema(schema).parquet(f"{sf_dir.rstrip('/')}/{{{name}}}.parquet")
 
 
-def with_event_time(df: DataFrame, ts: str = "ts") -> DataFrame:
-    """Watermarks need a timestamp with zone. Event time is UTC, so the session must be too."""
-    df.sparkSession.conf.set("spark.sql.session.timeZone", "UTC")
-    return df.withColumn(ts, F.col(ts).cast("timestamp"))
+def event_time(ts: Column) -> Column:
+    """A time without zone as the UTC instant that watermarks need, whatever the session's time zone."""
+    return F.concat(ts.cast("string"), F.lit("Z")).cast("timestamp")
 
 
-def request_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return with_event_time(requests_from(stream_table(spark, sf_dir, "events")))
+def wall_minute(ts: Column) -> Column:
+    """The UTC text of an instant up to the minute, whatever the session's time zone."""
+    return _wall_day(ts, F.format_string("%02d:%02d", _of_day(ts, 3600), _of_day(ts, 60) % 60))
 
 
-def append_to(stream: DataFrame, path: str) -> DataFrame:
-    """Run an append-mode stream into parquet and return what it has written so far."""
-    job = (
-        stream.writeStream.format("parquet")
-        .outputMode("append")
-        .option("path", f"{path}/rows")
-        .option("checkpointLocation", f"{path}/checkpoint")
-        .trigger(availableNow=True)
-        .start()
-    )
-    job.awaitTermination()
-    return stream.sparkSession.read.schema(stream.schema).parquet(f"{path}/rows")
+def wall_second(ts: Column) -> Column:
+    return _wall_day(ts, F.format_string("%02d:%02d:%02d", _of_day(ts, 3600), _of_day(ts, 60) % 60, _of_day(ts, 1) % 60))
 
 
-def run_batches(stream: DataFrame, path: str, mode: str, handle: Callable[[DataFrame, int], None]) -> None:
-    """Run a stream through a batch handler that must be idempotent per batch id."""
-    job = (
-        stream.writeStream.outputMode(mode)
-        .option("checkpointLocation", f"{path}/checkpoint")
-        .foreachBatch(handle)
-        .trigger(availableNow=True)
-        .start()
-    )
-    job.awaitTermination()
+def _of_day(ts: Column, seconds: int) -> Column:
+    return F.floor(F.pmod(F.unix_seconds(ts), F.lit(86400)) / seconds)
 
 
-def batch_path(path: str, batch_id: int) -> str:
-    return f"{path}/snapshots/batch={batch_id}"
+def _wall_day(ts: Column, clock: Column) -> Column:
+    day = F.date_add(F.lit("1970-01-01").cast("date"), F.floor(F.unix_seconds(ts) / 86400).cast("int"))
+    return F.concat_ws(" ", day.cast("string"), clock)
 
 
-def batch_ids(spark: SparkSession, path: str) -> list[int]:
-    """Batches whose folder is complete, oldest first. The store is asked, so an idle restart finds what earlier runs wrote."""
-    hadoop = spark._jvm.org.apache.hadoop.fs
-    folder = hadoop.Path(f"{path}/snapshots")
-    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not files.exists(folder):
-        return []
-    done = [s.getPath() for s in files.listStatus(folder) if files.exists(hadoop.Path(s.getPath(), "_SUCCESS"))]
-    return sorted(int(p.getName().removeprefix("batch=")) for p in done)
+def request_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return requests_from(stream_table(spark, sf_dir, "events")).withColumn("ts", event_time(F.col("ts")))
+
+
+@contextmanager
+def settings(spark: SparkSession, values: Mapping[str, str]) -> Iterator[None]:
+    """Session settings for as long as a job runs; the caller's own come back."""
+    before = {name: spark.conf.get(name, None) for name in values}
+    for name, value in values.items():
+        spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        for name, value in before.items():
+            if value is None:
+                spark.conf.unset(name)
+            else:
+                spark.conf.set(name, value)
+
+
+def append_to(stream: DataFrame, path: str, conf: Mapping[str, str] | None = None) -> DataFrame:
+    """Run an append-mode stream into parquet and return what it has written so far."""
+    with settings(stream.sparkSession, conf or {}):
+        job = (
+            stream.writeStream.format("parquet")
+            .outputMode("append")
+            .option("path", f"{path}/rows")
+            .option("checkpointLocation", f"{path}/checkpoint")
+            .trigger(availableNow=True)
+            .start()
+        )
+    job.awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{path}/rows")
 
 
-def drop_batches(spark: SparkSession, path: str, before: int) -> None:
-    """Remove superseded snapshots: those of batches below ``before``."""
-    hadoop = spark._jvm.org.apache.hadoop.fs
-    for batch_id in batch_ids(spark, path):
-        if batch_id < before:
-            folder = hadoop.Path(batch_path(path, batch_id))
-            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+def state_rows(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """What the aggregation of a checkpointed stream holds after its last batch: grouping columns, then one buffer per measure."""
+    empty = spark.createDataFrame([], schema)
+    try:
+        held = spark.read.format("statestore").load(f"{path}/checkpoint")
+    except AnalysisException as error:
+        if "NO_COMMITTED_BATCH" in (error.getCondition() or ""):
+            return empty
+        raise
+    return held.select("key.*", "value.*").toDF(*schema.names).select(*[F.col(f.name).cast(f.dataType) for f in schema])
 
 
-def merge_to(stream: DataFrame, path: str, keys: Sequence[str]) -> DataFrame:
-    """Run an update-mode aggregation and return its newest rows per key.
+def windows_to(grouped: DataFrame, path: str) -> DataFrame:
+    """Run a windowed aggregation and return its rows: closed windows from the log, open ones from the state.
 
-    Each micro-batch adds only the rows that changed, in a folder of its own; state behind the watermark is dropped by the
-    engine. A key's newest row is that of its last batch. A batch that is replayed overwrites its own folder.
+    A window is written once, when the watermark has passed it; until then it lives in the state alone. So a batch writes what it
+    closes, and what is read grows with the windows and not with the batches.
     """
-    spark = stream.sparkSession
-
-    def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(batch_path(path, batch_id))
-
-    run_batches(stream, path, "update", write)
-    names = stream.columns
-    done = [batch_path(path, i) for i in batch_ids(spark, path)]
-    if not done:
-        return spark.createDataFrame([], stream.schema)
-    schema = StructType([*stream.schema.fields, StructField("batch", LongType())])
-    every = spark.read.schema(schema).option("basePath", f"{path}/snapshots").parquet(*done)
-    values = [n for n in names if n not in keys]
-    newest = every.groupBy(*keys).agg(F.max_by(F.struct(*values), "batch").alias("last"))
-    return newest.select(*[F.col("last")[n].alias(n) if n in values else F.col(n) for n in names])
+    closed = append_to(grouped, path)
+    return closed.unionByName(state_rows(grouped.sparkSession, path, grouped.schema))
 
 
 def window_start(name: str = "window") -> Column:
-    return F.date_format(F.col(f"{name}.start"), "yyyy-MM-dd HH:mm").alias("window_start")
+    return wall_minute(F.col(f"{name}.start")).alias("window_start")
 
 
 def windowed_requests(requests: DataFrame, length: str, slide: str | None = None) -> DataFrame:
     """Request counter per event-time window; counts are combined before the shuffle."""
     counted = serving_log.counted(requests).withWatermark("ts", WATERMARK)
     window = F.window("ts", length, slide) if slide else F.window("ts", length)
-    return (
-        counted.groupBy(window.alias("window"), "endpoint", "mode", "status")
-        .agg(F.count(F.lit(1)).alias("requests"))
-        .select(window_start(), "endpoint", "mode", "status", "requests")
-    )
+    return counted.groupBy(window.alias("window"), "endpoint", "mode", "status").agg(F.count(F.lit(1)).alias("requests"))
 
 
 def windowed_latency(served: DataFrame, length: str) -> DataFrame:
     """Per-window, per-bucket counts; they are cumulated when read."""
     observed = served.filter(F.col("status") != 422).withWatermark("ts", WATERMARK)
     bucket = bucket_index(F.col("latency_s"), c.HISTOGRAM_BOUNDS).alias("bucket")
-    return (
-        observed.groupBy(F.window("ts", length).alias("window"), "mode", "status", "chosen", bucket)
-        .agg(F.count(F.lit(1)).alias("n"))
-        .select(window_start(), "mode", "status", "chosen", "bucket", "n")
-    )
+    return observed.groupBy(F.window("ts", length).alias("window"), "mode", "status", "chosen", bucket).agg(F.count(F.lit(1)).alias("n"))
 
 
-def windowed_shadow_mae(served: DataFrame, length: str, alert_above: float) -> DataFrame:
+def windowed_shadow_mae(served: DataFrame, length: str) -> DataFrame:
+    """Count and sum per window, so that windows can be added up further; ``shadow_alert`` gives the mean."""
     compared = served.filter(F.col("shadow_mae").isNotNull()).withWatermark("ts", WATERMARK)
-    return (
-        compared.groupBy(F.window("ts", length).alias("window"), "mode")
-        .agg(F.count(F.lit(1)).alias("requests"), F.avg("shadow_mae").alias("mae"))
-        .select(
-            window_start(), "mode", "requests", F.round("mae", 6).alias("shadow_mae"), (F.col("mae") > alert_above).alias("alert")
-        )
-    )
+    grouped = compared.groupBy(F.window("ts", length).alias("window"), "mode")
+    return grouped.agg(F.count(F.lit(1)).alias("requests"), F.sum("shadow_mae").alias("mae_sum"))
+
+
+def started(windows: DataFrame) -> DataFrame:
+    """Windows with their start as UTC text in place of the pair."""
+    return windows.select(window_start(), *[name for name in windows.columns if name != "window"])
+
+
+def shadow_alert(windows: DataFrame, alert_above: float) -> DataFrame:
+    mae = F.col("mae_sum") / F.col("requests")
+    return windows.select(*[n for n in windows.columns if n != "mae_sum"], F.round(mae, 6).alias("shadow_mae"), (mae > alert_above).alias("alert"))
 
 
 def deduplicated(requests: DataFrame, delay: str) -> DataFrame:
@@ -155,79 +155,79 @@ def deduplicated(requests: DataFrame, delay: str) -> DataFrame:
     return requests.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["request_id"])
 
 
-def sessions(requests: DataFrame, gap: str = "30 minutes") -> DataFrame:
-    """Closed client sessions.
+#: Rows of one client are merged to sessions before the shuffle, so a busy client does not send all its rows to one task.
+SESSION_SETTINGS = {"spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition": "true"}
 
-    Rows of one client are merged to sessions before the shuffle, so a busy client does not send all
-    its rows to one task.
-    """
-    requests.sparkSession.conf.set("spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition", "true")
+
+def sessions(requests: DataFrame, gap: str = "30 minutes") -> DataFrame:
+    """Closed client sessions; to be run with ``SESSION_SETTINGS``."""
     return (
         requests.withWatermark("ts", WATERMARK)
         .groupBy(F.session_window("ts", gap).alias("session"), "user_id")
         .agg(F.count(F.lit(1)).alias("requests"))
-        .select(
-            "user_id",
-            F.date_format("session.start", "yyyy-MM-dd HH:mm:ss").alias("session_start"),
-            F.date_format("session.end", "yyyy-MM-dd HH:mm:ss").alias("session_end"),
-            "requests",
-        )
+        .select("user_id", wall_second(F.col("session.start")).alias("session_start"), wall_second(F.col("session.end")).alias("session_end"), "requests")
     )
 
 
 def serve_with_refresh(
     requests: DataFrame, path: str, read_aliases: Callable[[], DataFrame], coefficients: DataFrame
 ) -> DataFrame:
-    """Serve a stream with the alias table re-read for every micro-batch.
+    """Serve a stream with the alias table looked at in every micro-batch.
 
-    A promotion between two batches is served from the next batch on. Replaying a batch overwrites its
-    own folder.
+    A promotion between two batches is served from the next batch on. The table of served models is built and measured only when the
+    aliases have changed. Replaying a batch overwrites its own folder, and all folders are read as one partitioned table.
     """
     spark = requests.sparkSession
-    # Once for all batches, not anew for each.
-    models = coefficients.persist()
+    log_path = f"{path}/log"
+    made: dict = {}
+
+    def serving() -> tuple[DataFrame, int]:
+        aliases = read_aliases()
+        version = aliases.agg(F.count(F.lit(1)), F.sum(F.xxhash64(*sorted(aliases.columns)).cast("decimal(38,0)"))).first()
+        if made.get("version") != version:
+            stored = f"{path}/serving-{uuid.uuid4().hex}"
+            table = routing.serving_models(aliases, coefficients)
+            table.write.parquet(stored)
+            table = spark.read.schema(table.schema).parquet(stored)
+            made.update(version=version, table=table, size=estimated_bytes(table))
+        return made["table"], made["size"]
 
     def serve(batch: DataFrame, batch_id: int) -> None:
-        serving = routing.serving_models(read_aliases(), models)
-        log = serving_log.predict_log(routing.serve(batch, serving))
-        log.write.mode("overwrite").parquet(batch_path(path, batch_id))
-
-    run_batches(requests, path, "append", serve)
-    models.unpersist()
-    done = [batch_path(path, i) for i in batch_ids(spark, path)]
-    if done:
-        return spark.read.parquet(*done)
-    nothing = spark.createDataFrame([], requests.schema)
-    return serving_log.predict_log(routing.serve(nothing, routing.serving_models(read_aliases(), coefficients)))
+        table, size = serving()
+        log = serving_log.predict_log(routing.serve(batch, table, serving_bytes=size))
+        log.write.mode("overwrite").parquet(f"{log_path}/batch={batch_id}")
+
+    # A first folder without rows, so that the log can be read before any request has come.
+    no_models = routing.serving_models(spark.createDataFrame([], "model_name string, alias string, version bigint"), coefficients)
+    nothing = serving_log.predict_log(routing.serve(spark.createDataFrame([], requests.schema), no_models, serving_bytes=0))
+    nothing.write.mode("overwrite").parquet(f"{log_path}/batch=-1")
+    job = (
+        requests.writeStream.outputMode("append")
+        .option("checkpointLocation", f"{path}/checkpoint")
+        .foreachBatch(serve)
+        .trigger(availableNow=True)
+        .start()
+    )
+    job.awaitTermination()
+    schema = StructType([*nothing.schema.fields, StructField("batch", LongType())])
+    return spark.read.schema(schema).parquet(log_path).drop("batch")
 
 
 def alias_state(events: DataFrame, path: str) -> DataFrame:
     """Latest version per (model_name, alias) from a stream of alias events, by (ts, seq).
 
-    Every batch is reduced first, then merged with the newest complete snapshot of an earlier batch, so a replayed batch starts
-    from the same state. Snapshots that two later ones have superseded are removed.
+    One value per key in the state store, kept by the built-in aggregation: a batch costs what its events cost, a late event loses
+    against a newer one, and restart and replay are the engine's. Nothing is written but the state, which is read where it lies.
     """
-    spark = events.sparkSession
-    order = F.struct("ts", "seq")
-
-    def latest(rows: DataFrame) -> DataFrame:
-        return rows.groupBy("model_name", "alias").agg(
-            F.max_by("version", order).alias("version"),
-            F.max(order).alias("_at"),
-        ).select("model_name", "alias", "version", "_at.*")
-
-    schema = latest(spark.createDataFrame([], events.schema)).schema
-
-    def merge(batch: DataFrame, batch_id: int) -> None:
-        earlier = [i for i in batch_ids(spark, path) if i < batch_id]
-        state = latest(batch)
-        if earlier:
-            previous = spark.read.schema(schema).parquet(batch_path(path, earlier[-1]))
-            state = latest(previous.unionByName(state))
-        state.write.mode("overwrite").parquet(batch_path(path, batch_id))
-        drop_batches(spark, path, batch_id - 1)
-
-    run_batches(events, path, "append", merge)
-    done = batch_ids(spark, path)
-    kept = spark.read.schema(schema).parquet(batch_path(path, done[-1])) if done else spark.createDataFrame([], schema)
-    return kept.select("model_name", "alias", "version")
+    latest = events.groupBy("model_name", "alias").agg(F.max_by("version", F.struct("ts", "seq")).alias("version"))
+    job = (
+        latest.writeStream.format("noop")
+        .outputMode("update")
+        .option("checkpointLocation", f"{path}/checkpoint")
+        .trigger(availableNow=True)
+        .start()
+    )
+    job.awaitTermination()
+    at = StructType([f for f in events.schema if f.name in ("ts", "seq")])
+    held = StructType([*latest.schema.fields, StructField("_at", StructType([at["ts"], at["seq"]]))])
+    return state_rows(events.sparkSession, path, held).drop("_at")

@@ -42,7 +42,7 @@ def test_alias_state_keeps_the_last_event(spark, location):
     for day in range(2, 6):
         arrive(spark, [("m", "prod", 10 + day, START + timedelta(days=day), 1)], schema, folder)
     assert jobs.alias_state(source(spark, schema, folder), location).count() == 2
-    assert len(jobs.batch_ids(spark, location)) == 2
+
 
 
 def test_promotion_is_served_from_the_next_batch(spark, location):
@@ -70,7 +70,7 @@ def test_sessions_merge_across_the_gap(spark, location):
     minutes = [0, 10, 35, 80]
     rows = [(1, START + timedelta(minutes=m)) for m in minutes] + [(2, START + timedelta(days=3))]
     arrive(spark, rows, schema, folder)
-    got = jobs.append_to(jobs.sessions(source(spark, schema, folder)), location).orderBy("session_start").collect()
+    got = jobs.append_to(jobs.sessions(source(spark, schema, folder)), location, jobs.SESSION_SETTINGS).orderBy("session_start").collect()
     assert [(r["user_id"], r["requests"]) for r in got] == [(1, 3), (1, 1)]
 
 
@@ -81,12 +81,56 @@ def test_windowed_counts_equal_batch(spark, location, length, slide):
     rows = [(START + timedelta(minutes=7 * i), "/predict", "prod" if i % 3 else "odd", 200) for i in range(60)]
     arrive(spark, rows[:30], schema, folder)
     arrive(spark, rows[30:], schema, folder)
-    keys = ["window_start", "endpoint", "mode", "status"]
-    streamed = jobs.merge_to(jobs.windowed_requests(source(spark, schema, folder), length, slide), location, keys)
-    batch = jobs.windowed_requests(spark.read.schema(schema).parquet(folder), length, slide)
-    assert sorted(map(tuple, streamed.collect())) == sorted(map(tuple, batch.collect()))
-    idle = jobs.merge_to(jobs.windowed_requests(source(spark, schema, folder), length, slide), location, keys)
-    assert sorted(map(tuple, idle.collect())) == sorted(map(tuple, batch.collect()))
+    run = lambda: jobs.started(jobs.windows_to(jobs.windowed_requests(source(spark, schema, folder), length, slide), location))
+    streamed = run()
+    batch = jobs.started(jobs.windowed_requests(spark.read.schema(schema).parquet(folder), length, slide))
+    assert streamed.columns == batch.columns
+    assert sorted(map(tuple, streamed.collect())) == sorted(map(tuple, batch.collect())) == sorted(map(tuple, run().collect()))
+
+
+def test_closed_windows_are_written_once_and_open_ones_not_at_all(spark, location):
+    """Twelve batches into one open window write no row; what is written later is what closes."""
+    schema, folder = "ts timestamp, endpoint string, mode string, status int", f"{location}/in"
+    row = lambda day, m: (START + timedelta(days=day, minutes=m), "/predict", "prod", 200)
+    run = lambda: jobs.windows_to(jobs.windowed_requests(source(spark, schema, folder), "1 day"), location)
+    for m in range(12):
+        arrive(spark, [row(0, m)], schema, folder)
+    assert [r.requests for r in run().collect()] == [12]
+    assert spark.read.parquet(f"{location}/rows").count() == 0
+    arrive(spark, [row(3, 0)], schema, folder)
+    assert sorted(r.requests for r in run().collect()) == [1, 12] == sorted(r.requests for r in run().collect())
+    assert spark.read.parquet(f"{location}/rows").count() == 1
+
+
+def test_windows_of_sums(spark, location):
+    schema, folder = "ts timestamp, mode string, shadow_mae double", f"{location}/in"
+    rows = [(START + timedelta(hours=h), "canary", x) for h, x in enumerate([0.5, 0.25, None, 0.75])] + [(START + timedelta(days=2), "shadow", 0.125)]
+    arrive(spark, rows, schema, folder)
+    windows = jobs.windows_to(jobs.windowed_shadow_mae(source(spark, schema, folder), "1 day"), location)
+    got = {tuple(r) for r in jobs.shadow_alert(jobs.started(windows), 0.3).collect()}
+    assert got == {("2024-01-01 00:00", "canary", 3, 0.5, True), ("2024-01-03 00:00", "shadow", 1, 0.125, False)}
+
+
+def test_empty_streams_and_other_time_zones(spark, location):
+    """Nothing has come yet; and jobs leave the session's settings as they are and don't depend on its zone."""
+    schema, folder = "ts timestamp_ntz, endpoint string, mode string, status int", f"{location}/in"
+    spark.createDataFrame([], schema).write.parquet(folder)
+    run = lambda: jobs.started(
+        jobs.windows_to(jobs.windowed_requests(source(spark, schema, folder).withColumn("ts", jobs.event_time(F.col("ts"))), "1 hour"), location)
+    )
+    assert run().collect() == []
+    arrive(spark, [(datetime(2024, 3, 10, 2, 30), "/predict", "prod", 200), (datetime(2024, 3, 12), "/predict", "prod", 200)], schema, folder)
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        before = dict(spark.conf.getAll)
+        assert {(r.window_start, r.requests) for r in run().collect()} == {("2024-03-10 02:00", 1), ("2024-03-12 00:00", 1)}
+        clock = spark.sql("SELECT TIMESTAMP '1969-12-31 23:59:58Z' AS t").select(jobs.wall_second(F.col("t")), jobs.wall_minute(F.col("t"))).first()
+        assert tuple(clock) == ("1969-12-31 23:59:58", "1969-12-31 23:59")
+        jobs.append_to(jobs.sessions(source(spark, schema, folder).select(F.lit(1).alias("user_id"), jobs.event_time(F.col("ts")).alias("ts"))), f"{location}/s", jobs.SESSION_SETTINGS)
+        assert dict(spark.conf.getAll) == before
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
 
 
 def test_window_state_shrinks_behind_the_watermark(spark, location):
