@@ -42,6 +42,15 @@ def same_row(left: DataFrame, right: DataFrame) -> Column:
     return (left["row_key"] == right["row_key"]) & left["doc_id"].eqNullSafe(right["doc_id"])
 
 
+#: Row keys that are broadcast, some 30 bytes each.
+KEYS_SENT = 1_000_000
+
+
+def within_reach(keys: DataFrame, most: int = KEYS_SENT) -> bool:
+    """Whether a stored table of row keys is small enough to be broadcast: it is counted, never guessed."""
+    return keys.count() <= most
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """``name``, made longer until no column of ``df`` has it (names compare without case)."""
     taken = {c.lower() for c in df.columns}

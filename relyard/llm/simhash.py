@@ -13,8 +13,7 @@ one row per member), never its pairs.
 links, itself included). Null and empty texts and texts of white space have fingerprint zero and link like any other. A null doc_id never names
 a component unless all its members are null. Repeated rows are equal rows. An empty table gives no rows. Other columns are ignored.
 
-``keep_first(docs)`` removes rows, so there a component of prints only proposes: its distinct texts are compared by their sets of five-word
-shingles, and two texts stay linked only if a chain of pairs with Jaccard similarity ``SIMILAR`` or more joins them (``similar_groups``).
+``keep_first(docs)`` keeps one document of each component.
 """
 
 from __future__ import annotations
@@ -28,17 +27,12 @@ import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 
 from relyard.llm.bk_trees import BKForest
-from relyard.llm.common import row_key, same_row, stored, texts
+from relyard.llm.common import KEYS_SENT, row_key, same_row, stored, texts, within_reach
 from relyard.llm.components import star_components
 
 SHINGLE_WORDS = 3
 SEED = 42
 RADIUS = 3
-#: Prints of each document where documents are removed.
-PRINTS = 32
-#: Jaccard similarity of the sets of shingles of so many words, from which on a document counts as a near copy and is removed.
-SIMILAR = 0.8
-COMPARED_WORDS = 5
 BITS = 64
 #: Fingerprints in one tree.
 SHARD = 32_768
@@ -80,31 +74,24 @@ def remixed(hashes: np.ndarray, number: int) -> np.ndarray:
     return mixed ^ (mixed >> np.uint64(32))
 
 
-def normal_hash(text: str) -> int:
-    """Names the words of a text as shingles see them; signed."""
-    return int(np.uint64(xxhash.xxh3_64_intdigest(b" ".join(text.encode("utf-8", "surrogatepass").lower().split()))).astype(np.int64))
-
-
 def prints(text: str, words: int, count: int) -> list[int]:
     hashes = shingle_hashes(text, words)
     return [majority(hashes if k == 0 else remixed(hashes, k)) for k in range(count)]
 
 
 def fingerprints(docs: DataFrame, words: int = SHINGLE_WORDS, count: int = 1) -> DataFrame:
-    """doc_id, row_key (names the row's id and text), node (names its words), fp (the 64 bits as a signed bigint) and further prints
-    fp1, fp2 ... of every row."""
+    """doc_id, row_key (names the row's id and text), fp (the 64 bits as a signed bigint) and further prints fp1, fp2 ... of every row."""
     names = ["fp", *(f"fp{k}" for k in range(1, count))]
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             given = batch.column(2).to_pylist()
             values = np.array([prints(t, words, count) for t in given], "<u8").reshape(-1, count).view("<i8")
-            nodes = pa.array([normal_hash(t) for t in given], pa.int64())
-            columns = [batch.column(0), batch.column(1), nodes, *(pa.array(v, pa.int64()) for v in values.T)]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "row_key", "node", *names])
+            columns = [batch.column(0), batch.column(1), *(pa.array(v, pa.int64()) for v in values.T)]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "row_key", *names])
 
     keyed = texts(docs).select("doc_id", row_key("doc_id", "text"), "text")
-    return keyed.mapInArrow(compute, "doc_id bigint, row_key bigint, node bigint, " + ", ".join(f"{n} bigint" for n in names))
+    return keyed.mapInArrow(compute, "doc_id bigint, row_key bigint, " + ", ".join(f"{n} bigint" for n in names))
 
 
 def prints_linked(rows: DataFrame, radius: int, count: int) -> DataFrame:
@@ -200,7 +187,7 @@ def near_links(nodes: DataFrame, radius: int = RADIUS, shard_size: int = SHARD,
 
 
 def grouped_rows(docs: DataFrame, words: int = SHINGLE_WORDS, radius: int = RADIUS, count: int = 1) -> DataFrame:
-    """doc_id, row_key, node, fp, root (the smallest fingerprint of the component), component_id of every row.
+    """doc_id, row_key, fp, root (the smallest fingerprint of the component), component_id of every row.
 
     With more prints than one, rows are linked if any of their prints are near: a pair that one print just misses is found by another.
     """
@@ -220,93 +207,7 @@ def grouped_rows(docs: DataFrame, words: int = SHINGLE_WORDS, radius: int = RADI
         F.coalesce("root", "fp").alias("root"),
         F.when(F.col("root").isNull(), F.col("first_id")).otherwise(F.col("component_id")).alias("component_id"),
     )
-    return rows.select("doc_id", "row_key", "node", "fp").join(named, "fp")
-
-
-def similar_groups(sets: list[np.ndarray], least: float = SIMILAR) -> np.ndarray:
-    """For each set of hashes the smallest index that a chain of pairs of Jaccard similarity ``least`` or more reaches.
-
-    Exact: with the rarest hashes first, two such sets share one of their first |x| - ceil(least |x|) + 1 hashes, so only sets that do are
-    compared, and none with a set that it is already joined to. Empty sets are equal.
-    """
-    sizes = np.array([len(s) for s in sets])
-    _, codes, counts = np.unique(np.concatenate([*sets, np.zeros(0, np.uint64)]), return_inverse=True, return_counts=True)
-    rank = np.empty(len(counts), np.int64)
-    rank[np.argsort(counts, kind="stable")] = np.arange(len(counts))
-    ends = np.cumsum(sizes)
-    held = [np.sort(rank[codes[e - n : e]]) for e, n in zip(ends, sizes)]
-    first = [x[: len(x) - int(np.ceil(least * len(x) - 1e-9)) + 1] for x in held]
-    owner = np.repeat(np.arange(len(sets)), [len(x) for x in first])
-    tokens = np.concatenate([*first, np.zeros(0, np.int64)])
-    order = np.argsort(tokens, kind="stable")  # inside a hash, owners ascend
-    at, members = np.empty(len(order), np.int64), owner[order]
-    at[order] = np.arange(len(order))
-    begins = np.searchsorted(tokens[order], tokens)
-    root, groups = np.arange(len(sets)), [[k] for k in range(len(sets))]
-    marked, tested = np.zeros(len(counts), bool), np.full(len(sets), -1)
-
-    def join(a: int, b: int) -> None:
-        a, b = root[a], root[b]
-        if len(groups[a]) < len(groups[b]):
-            a, b = b, a
-        root[groups[b]] = a
-        groups[a] += groups[b]
-        groups[b] = []
-
-    empty = np.flatnonzero(sizes == 0)
-    for k in empty[1:]:
-        join(empty[0], k)
-    entry = 0
-    for x, hashes in enumerate(held):
-        marked[hashes] = True
-        for e in range(entry, entry + len(first[x])):
-            near, step = members[begins[e] : at[e]], 1
-            while len(near := near[(root[near] != root[x]) & (tested[near] != x)]):
-                part, step = near[:step], step * 4 if step < 256 else step
-                tested[part] = x
-                lengths = sizes[part]
-                shared = np.add.reduceat(marked[np.concatenate([held[k] for k in part])], np.cumsum(lengths) - lengths, dtype=np.int64)
-                for k in part[shared >= least * (lengths + sizes[x] - shared) - 1e-9]:
-                    if root[k] != root[x]:
-                        join(k, x)
-        marked[hashes] = False
-        entry += len(first[x])
-    smallest = np.arange(len(sets))
-    for group in groups:
-        smallest[group] = min(group, default=0)
-    return smallest
-
-
-def confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(root, node, text) sorted by root and node; gives (node, part), the part of its component of prints that a text belongs to."""
-    root, nodes, sets = None, [], []
-
-    def parts():
-        smallest = similar_groups(sets)
-        given = np.array(nodes, np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(given), pa.array(given[smallest])], ["node", "part"])
-
-    for batch in batches:
-        for group, node, text in zip(*(batch.column(k).to_pylist() for k in range(3))):
-            if group != root:
-                if nodes:
-                    yield parts()
-                root, nodes, sets = group, [], []
-            if not nodes or nodes[-1] != node:  # a repeated row
-                nodes.append(node)
-                sets.append(np.unique(shingle_hashes(text, COMPARED_WORDS)))
-    if nodes:
-        yield parts()
-
-
-def confirmed_parts(docs: DataFrame, groups: DataFrame) -> DataFrame:
-    """(node, part) of every text in a component that holds different texts. Only one row of each such text is read and moved."""
-    mixed = groups.groupBy("root").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high").select("root")
-    chosen = groups.join(mixed, "root", "left_semi").groupBy("root", "node").agg(F.min(F.struct("row_key", "doc_id")).alias("row"))
-    chosen = chosen.select("root", "node", "row.row_key", "row.doc_id")
-    given = texts(docs).select("doc_id", row_key("doc_id", "text"), "text")
-    bodies = given.join(chosen, same_row(given, chosen)).select("root", "node", "text")
-    return bodies.repartition("root").sortWithinPartitions("root", "node").mapInArrow(confirmed, "node bigint, part bigint")
+    return rows.select("doc_id", "row_key", "fp").join(named, "fp")
 
 
 def near_duplicates(docs: DataFrame, words: int = SHINGLE_WORDS, radius: int = RADIUS) -> DataFrame:
@@ -314,19 +215,26 @@ def near_duplicates(docs: DataFrame, words: int = SHINGLE_WORDS, radius: int = R
     return grouped_rows(docs, words, radius).select("doc_id", fingerprint_text, "component_id")
 
 
-def keep_first(docs: DataFrame, words: int = SHINGLE_WORDS, radius: int = RADIUS, count: int = PRINTS) -> DataFrame:
+def keep_first(docs: DataFrame, words: int = SHINGLE_WORDS, radius: int = RADIUS, count: int = 1, sent: int = KEYS_SENT) -> DataFrame:
     """The rows of ``docs``, all columns, that stand for their component: the smallest id of each group stays.
 
-    A component of prints is divided into its parts of similar texts first. Repeated rows of that document leave one; where several texts
-    of a group share the smallest id, a hash of the text decides. A group in which every id is null keeps one row too.
+    Repeated rows of that document leave one; where several texts of a group share the smallest id, a hash of the text decides. A group in
+    which every id is null keeps one row too. Only the keys of rows that go, or that are repeated, are sent to the rows; while they are at
+    most ``sent``, rows stay where they are.
     """
-    groups = stored(grouped_rows(docs, words, radius, count).select("doc_id", "row_key", "node", "root"), "near-duplicate-groups")
-    parts = stored(confirmed_parts(docs, groups), "near-duplicate-parts")
+    groups = stored(grouped_rows(docs, words, radius, count).select("doc_id", "row_key", "root"), "near-duplicate-groups")
     rank = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_key")
-    ranked = groups.join(parts, "node", "left").select("root", F.coalesce("part", F.lit(0)).alias("part"), rank.alias("rank"))
-    kept = ranked.groupBy("root", "part").agg(F.min("rank").alias("first")).select("first.doc_id", "first.row_key")
+    first = groups.groupBy("root").agg(F.min(rank).alias("first")).select("first.doc_id", "first.row_key", F.lit(True).alias("stays"))
+    keyed = groups.groupBy("row_key", "doc_id").agg(F.count(F.lit(1)).alias("copies"))
+    judged = keyed.join(first, same_row(keyed, first), "left").select(keyed["row_key"], keyed["doc_id"], "copies", F.coalesce("stays", F.lit(False)).alias("stays"))
+    named = stored(judged.where("copies > 1 OR NOT stays"), "near-duplicate-keys")
     doc_id = docs["doc_id"].cast("bigint")
     packed = docs.select(doc_id.alias("doc_id"), row_key(doc_id, F.coalesce(docs["text"], F.lit(""))), F.struct("*").alias("row"))
-    staying = packed.join(kept, same_row(packed, kept)).select(packed["doc_id"], packed["row_key"], "row")
+    keys = F.broadcast(named) if within_reach(named, sent) else named
+    marked = packed.join(keys, same_row(packed, keys), "left").where("coalesce(stays, true)").select(packed["doc_id"], packed["row_key"], "row", "copies")
+    kept = marked.where("copies IS NULL").select("row.*")
+    if named.where("stays").isEmpty():
+        return kept
     copies = Window.partitionBy("row_key", "doc_id").orderBy(F.xxhash64("row"))
-    return staying.withColumn("copy", F.row_number().over(copies)).where("copy = 1").select("row.*")
+    once = marked.where("copies > 1").withColumn("copy", F.row_number().over(copies)).where("copy = 1")
+    return kept.union(once.select("row.*"))

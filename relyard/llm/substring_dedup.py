@@ -10,8 +10,11 @@ With ``runs`` the pipeline's stage also takes runs of clauses as units (``clause
 ``, ; :``, and from each clause on and back from each clause the shortest run of clauses of ``min_words`` words is a unit, across newlines too. What such
 a run is depends on its own words only, so a repeated passage loses all but the first and last clauses that share words with their host.
 
-Counts are combined before the shuffle and a digest's keeper is a minimum, so a unit found in a third of all documents costs one row per
-task; the join that finds its later occurrences is left to adaptive skew handling.
+Most units are found once and never travel. A first pass over the texts counts 64 bits of each digest, combined in batch and task; the digests
+counted twice or more go into a Bloom filter, and the second pass cuts the units again and hands on those in the filter. Only they are
+stored and shuffled, and all 128 bits decide. Beyond ``FILTERED`` digests (64 MB of bits) every unit is handed on. A digest's keeper is
+a minimum, so a unit found in a third of all documents costs one row per task; the join that finds its later occurrences is left to
+adaptive skew handling.
 
 ``repeated_spans(docs)`` returns one row per removed span: doc_id, start, length (code points of the original text), n_words, kept_doc_id,
 kept_start. ``remove_spans(docs)`` returns ``docs`` with text (and n_chars, where there is one) after removal, the original kept in no way
@@ -27,16 +30,20 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, functions as F
 
-from relyard.llm.common import row_key, same_row, stored
+from relyard.llm.common import KEYS_SENT, row_key, same_row, stored, within_reach
 
 MIN_WORDS = 8
 SENTENCE_END = re.compile(r"([.!?]) ")
 CLAUSE_END = re.compile(r"\n|(?<=[.!?,;:]) ")
+#: Digests in the Bloom filter at most, bits and probes for each, and rows cut at a time.
+FILTERED, BITS_EACH, PROBES, ROWS = 50_000_000, 10, 5, 512
 UNITS = "row_key bigint, high bigint, low bigint, start int, length int, n_words int"
 
 
@@ -114,31 +121,92 @@ def all_units(text: str, min_words: int, runs: bool) -> list[tuple[int, int, int
     return found
 
 
-def document_units(docs: DataFrame, min_words: int, runs: bool = False) -> DataFrame:
-    """doc_id and ``UNITS`` of every document; the texts stay where they are."""
+def _given(docs: DataFrame) -> DataFrame:
+    doc_id = docs["doc_id"].cast("bigint")
+    return docs.where(docs["text"].isNotNull()).select(doc_id.alias("doc_id"), row_key(doc_id, docs["text"]), "text")
+
+
+def _digest(normal: str) -> bytes:
+    return xxhash.xxh3_128_digest(normal.encode("utf-8", "surrogatepass"))
+
+
+def document_units(docs: DataFrame, min_words: int, runs: bool = False, wanted: Broadcast | None = None) -> DataFrame:
+    """doc_id and ``UNITS`` of every document, or of its units in the broadcast filter; the texts stay where they are."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        digest = xxhash.xxh3_128_digest
         for batch in batches:
-            rows = []
-            for doc_id, key, text in zip(*(batch.column(k).to_pylist() for k in range(3))):
-                for start, length, n_words, normal in all_units(text, min_words, runs):
-                    d = digest(normal.encode("utf-8", "surrogatepass"))
-                    high, low = int.from_bytes(d[:8], "big", signed=True), int.from_bytes(d[8:], "big", signed=True)
-                    rows.append((doc_id, key, high, low, start, length, n_words))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows) if rows else [()] * 7, schema)], schema=schema)
-
-    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32())
-    names = ("doc_id", "row_key", "high", "low", "start", "length", "n_words")
-    schema = pa.schema(list(zip(names, kinds)))
-    doc_id = docs["doc_id"].cast("bigint")
-    given = docs.where(docs["text"].isNotNull()).select(doc_id.alias("doc_id"), row_key(doc_id, docs["text"]), "text")
-    return given.mapInArrow(cut, f"doc_id bigint, {UNITS}")
+            for at in range(0, batch.num_rows, ROWS):
+                part, rows, digests = batch.slice(at, ROWS), [], []
+                for doc, text in enumerate(part.column(2)):
+                    for start, length, n_words, normal in all_units(text.as_py(), min_words, runs):
+                        rows.append((doc, start, length, n_words))
+                        digests.append(_digest(normal))
+                numbers = np.frombuffer(b"".join(digests), ">i8").astype(np.int64).reshape(-1, 2)
+                places = np.array(rows, np.int32).reshape(-1, 4)
+                if wanted is not None:
+                    there = in_filter(wanted.value, numbers[:, 1])
+                    numbers, places = numbers[there], places[there]
+                owner = pa.array(places[:, 0])
+                columns = [part.column(0).take(owner), part.column(1).take(owner), *(pa.array(np.ascontiguousarray(c)) for c in (*numbers.T, *places.T[1:]))]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "row_key", "high", "low", "start", "length", "n_words"])
+
+    return _given(docs).mapInArrow(cut, f"doc_id bigint, {UNITS}")
+
+
+def repeated_digests(docs: DataFrame, min_words: int, runs: bool = False) -> DataFrame:
+    """(low): the last 64 bits of every digest that stands for two units or more."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            low = [_digest(u[3])[8:] for text in batch.column(0) for u in all_units(text.as_py(), min_words, runs)]
+            found, n = np.unique(np.frombuffer(b"".join(low), ">i8").astype(np.int64), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(np.minimum(n, 2).astype(np.int8))], ["low", "n"])
+
+    counted = _given(docs).select("text").mapInArrow(count, "low bigint, n tinyint")
+    return counted.groupBy("low").agg(F.sum("n").alias("n")).where("n > 1").select("low")
+
+
+def _bits(low: np.ndarray, words: int) -> np.ndarray:
+    """Places of each digest in a filter of ``words`` (a power of two) times 64 bits, a row per probe."""
+    h = low.view(np.uint64)
+    step = h >> np.uint64(32) | np.uint64(1)
+    return np.stack([(h + np.uint64(k) * step) & np.uint64(64 * words - 1) for k in range(PROBES)])
+
 
+def in_filter(words: np.ndarray, low: np.ndarray) -> np.ndarray:
+    there = np.ones(len(low), bool)
+    for bits in _bits(np.ascontiguousarray(low), len(words)):
+        there &= (words[(bits >> np.uint64(6)).astype(np.int64)] >> (bits & np.uint64(63))) & np.uint64(1) == 1
+    return there
 
-def later_occurrences(docs: DataFrame, min_words: int = MIN_WORDS, runs: bool = False) -> DataFrame:
+
+def digest_filter(repeated: DataFrame, n: int) -> np.ndarray:
+    """Bloom filter of ``n`` stored digests: its words are put together by a grouped OR, and only words with a bit come to the driver."""
+    size = 1 << max(4, (n * BITS_EACH // 64).bit_length())
+
+    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bits = _bits(batch.column(0).to_numpy(), size).ravel()
+            masks = (np.uint64(1) << (bits & np.uint64(63))).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array((bits >> np.uint64(6)).astype(np.int64)), pa.array(masks)], ["word", "mask"])
+
+    found = repeated.mapInArrow(words, "word bigint, mask bigint").groupBy("word").agg(F.bit_or("mask").alias("mask")).toArrow()
+    out = np.zeros(size, np.uint64)
+    out[found.column("word").to_numpy()] = found.column("mask").to_numpy().view(np.uint64)
+    return out
+
+
+def repeated_units(docs: DataFrame, min_words: int = MIN_WORDS, runs: bool = False, filtered: int = FILTERED) -> DataFrame:
+    """The units of ``document_units`` that are found twice or more, and a few in a hundred of the others."""
+    repeated = stored(repeated_digests(docs, min_words, runs), "repeated-digests")
+    n = repeated.count()
+    wanted = docs.sparkSession.sparkContext.broadcast(digest_filter(repeated, n)) if n <= filtered else None
+    return document_units(docs, min_words, runs, wanted)
+
+
+def later_occurrences(docs: DataFrame, min_words: int = MIN_WORDS, runs: bool = False, filtered: int = FILTERED) -> DataFrame:
     """Occurrences that are not the earliest of their digest, with the place of the earliest."""
-    found = stored(document_units(docs, min_words, runs), "units")
+    found = stored(repeated_units(docs, min_words, runs, filtered), "units")
     # Places are worked out on both sides of the shuffles, as they are wider than what they are made of.
     first = found.groupBy("high", "low").agg(F.min(_place()).alias("first"), F.count(F.lit(1)).alias("n"))
     repeated = first.where("n > 1").select("high", "low", "first")
@@ -166,7 +234,7 @@ def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
         "length",
         "n_words",
         F.when(kept_doc < _no_id(), kept_doc).cast("bigint").alias("kept_doc_id"),
-        (F.col("first") % F.lit(1 << 31)).cast("int").alias("kept_start"),
+        F.pmod("first", F.lit(1 << 31)).cast("int").alias("kept_start"),
     )
     # A repeated row shows its spans once.
     return spans.distinct().drop("row_key")
@@ -183,12 +251,22 @@ def cut_out(text: str, spans: list[tuple[int, int]]) -> str:
     return "".join(kept).rstrip("\n ") if at >= len(text) else "".join(kept)
 
 
-def remove_spans(docs: DataFrame, min_words: int = MIN_WORDS, runs: bool = False) -> DataFrame:
+def remove_spans(docs: DataFrame, min_words: int = MIN_WORDS, runs: bool = False, sent: int = KEYS_SENT) -> DataFrame:
+    """While at most ``sent`` rows lose a span, only those rows are moved to meet their spans; the others stay where they are."""
     spans = F.collect_set(F.struct("start", "length")).alias("spans")  # of one document, so bounded by its length
-    found = later_occurrences(docs, min_words, runs).groupBy("row_key", "doc_id").agg(spans)
+    found = stored(later_occurrences(docs, min_words, runs).groupBy("row_key", "doc_id").agg(spans), "spans")
     doc_id = docs["doc_id"].cast("bigint")
     packed = docs.select(doc_id.alias("doc_id"), row_key(doc_id, docs["text"]), docs["text"].alias("body"), F.struct("*").alias("row"))
-    marked = packed.join(found, same_row(packed, found), "left").select("row", "body", "spans")
+    if within_reach(found, sent):
+        keys = F.broadcast(found.select("row_key", "doc_id"))
+        hit, rest = packed.join(keys, same_row(packed, keys), "left_semi"), packed.join(keys, same_row(packed, keys), "left_anti")
+        marked = hit.join(found.hint("merge"), same_row(hit, found)).select("row", "body", "spans")
+        return rest.select("row.*").union(_without_spans(docs, marked))
+    return _without_spans(docs, packed.join(found, same_row(packed, found), "left").select("row", "body", "spans"))
+
+
+def _without_spans(docs: DataFrame, marked: DataFrame) -> DataFrame:
+    """Rows (row, body, spans) with their spans cut out; those that lose all their words are dropped."""
 
     @F.pandas_udf("string")
     def without(bodies: pd.Series, spans: pd.Series) -> pd.Series:

@@ -164,11 +164,11 @@ def test_several_prints_link_rows_near_in_any(spark):
     assert simhash.prints("", 3, 2) == [0, 0] and simhash.prints("a b c d", 3, 2)[0] == slow_fingerprint("a b c d")
 
 
-def slow_spans(texts, min_words):
+def slow_spans(texts, min_words, runs=False):
     seen, found = {}, set()
     ranked = sorted(set(texts), key=lambda x: (x[0] is None, x[0] or 0))
     for doc_id, text in ranked:
-        for start, length, n_words, normal in sorted(substring_dedup.units(text or "", min_words)):
+        for start, length, n_words, normal in sorted(substring_dedup.all_units(text or "", min_words, runs)):
             if normal in seen:
                 found.add((doc_id, start, length, n_words, *seen[normal]))
             else:
@@ -230,42 +230,29 @@ def test_units_name_places_of_the_text(text):
         assert " ".join(piece.lower().split()) == normal and len(normal.split()) == n_words and "\n" not in piece
 
 
-def jaccard(a, b):
-    x, y = (set(zip(*[t.split()[k:] for k in range(5)])) for t in (a, b))
-    return len(x & y) / len(x | y)
-
-
-def test_similar_groups_by_brute_force():
-    rng = np.random.default_rng(3)
-    bases = [rng.integers(0, 1 << 60, n).astype(np.uint64) for n in (1, 6, 20, 40)]
-    for _ in range(20):
-        sets = [np.zeros(0, np.uint64)] * 2
-        for b in (bases[k] for k in rng.integers(0, 4, 30)):
-            sets.append(np.unique(np.where(rng.random(len(b)) < 0.1, rng.integers(0, 1 << 60, len(b)).astype(np.uint64), b)))
-        root = list(range(len(sets)))
-        for i, a in enumerate(sets):
-            for j, b in enumerate(sets[:i]):
-                both = len(np.intersect1d(a, b))
-                if both >= 0.8 * (len(a) + len(b) - both) - 1e-9:
-                    x, y = root[i], root[j]
-                    root = [min(x, y) if r in (x, y) else r for r in root]
-        assert simhash.similar_groups(sets).tolist() == root
-
-
-def test_links_of_prints_are_confirmed_and_near_copies_found(spark):
-    """Prints may link texts below the similarity; those stay. Texts at 0.8 or more go, though a few prints miss some of them."""
-    base = [prose(200 + k, 150).split() for k in range(12)]
-    texts = [" ".join(w) for w in base]
-    near = [" ".join(w[:60] + [f"new{k}"] + w[61:120] + [f"other{k}"] + w[121:]) for k, w in enumerate(base)]
-    # One word changed in every ten: the longest shared runs hold five words, most shingles differ.
-    far = [" ".join("far" if at % 10 == 5 else x for at, x in enumerate(w)) for w in base]
-    assert all(jaccard(a, b) >= 0.8 for a, b in zip(texts, near)) and all(jaccard(a, b) < 0.8 for a, b in zip(texts, far))
-    docs = doc_table(spark, list(enumerate(texts + near + far)))
-    left = {r.doc_id for r in simhash.keep_first(docs, radius=12).collect()}
-    assert left == set(range(12)) | set(range(24, 36))
-    few = slow_rows(texts + near, 8)
-    assert len(set(few)) > 12
-    assert {r.doc_id for r in simhash.keep_first(docs).collect()} == left
+def test_negative_ids_and_every_way_of_filtering(spark):
+    """The earliest place of a negative id; results with the filter, without it, and with rows moved or not are the same."""
+    line = prose(900, 12)
+    texts = [(-5, f"intro\n{line}"), (3, f"{line}\n{prose(901, 9)}"), (None, f"{prose(902, 9)}\n{line}"), (-9, prose(903, 12)), (-5, f"intro\n{line}")]
+    docs = doc_table(spark, texts)
+    got = {tuple(r) for r in substring_dedup.repeated_spans(docs).collect()}
+    assert got == {(3, 0, len(line), 12, -5, 6), (None, len(texts[2][1]) - len(line), len(line), 12, -5, 6)} == slow_spans(texts, 8)
+    rows = lambda df: sorted(map(str, df.collect()))
+    assert rows(substring_dedup.later_occurrences(docs, filtered=0)) == rows(substring_dedup.later_occurrences(docs))
+    assert rows(substring_dedup.remove_spans(docs, sent=0)) == rows(substring_dedup.remove_spans(docs))
+    assert rows(simhash.keep_first(docs, sent=0)) == rows(simhash.keep_first(docs))
+
+
+def test_filter_loses_no_digest(spark):
+    rng = np.random.default_rng(1)
+    low = rng.integers(-(2**63), 2**63, 5000)
+    words = substring_dedup.digest_filter(spark.createDataFrame([(int(x),) for x in low], "low bigint").repartition(3), len(low))
+    assert substring_dedup.in_filter(words, low).all()
+    assert substring_dedup.in_filter(words, rng.integers(-(2**63), 2**63, 20_000)).mean() < 0.03
+    docs = doc_table(spark, [(k, "\n".join(prose(k % 3 + j, 9) for j in range(4))) for k in range(5)] + [(9, None), (10, "")])
+    units = [u[3] for k in range(5) for u in substring_dedup.units("\n".join(prose(k % 3 + j, 9) for j in range(4)))]
+    want = {int.from_bytes(substring_dedup._digest(u)[8:], "big", signed=True) for u in units if units.count(u) > 1}
+    assert {r.low for r in substring_dedup.repeated_digests(docs, 8).collect()} == want
 
 
 def test_runs_of_clauses_are_cut(spark):

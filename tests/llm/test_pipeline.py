@@ -3,7 +3,7 @@
 import re
 
 import corpus_pipeline
-from relyard.llm import decontaminate, quality_rules, simhash, substring_dedup, text_stats, tokens
+from relyard.llm import decontaminate, quality_rules, substring_dedup, text_stats, tokens
 from relyard.llm.common import stored
 from tests.llm.helpers import AWKWARD, DOC_SCHEMA, doc_table, prose
 from tests.llm.test_dedup import slow_fingerprint, slow_rows, slow_spans
@@ -35,8 +35,8 @@ def brute_force(texts, table):
         if n >= 50 and 100 * repeated <= 50 * n and p >= 0.5:
             keep.append((i, t))
     keep.sort()
-    keep = [keep[k] for k in sorted(set(slow_rows([t for _, t in keep], simhash.PRINTS)))]
-    spans = slow_spans(keep, substring_dedup.MIN_WORDS)
+    keep = [keep[k] for k in sorted(set(slow_rows([t for _, t in keep], 1)))]
+    spans = slow_spans(keep, substring_dedup.MIN_WORDS, runs=True)
     keep = [(i, substring_dedup.cut_out(t, [(s[1], s[2]) for s in spans if s[0] == i]) if any(s[0] == i for s in spans) else t) for i, t in keep]
     dirty = {pair[0] for pair in slow_leaks(keep, BENCH)}
     return [(i, t) for i, t in keep if i not in dirty]
