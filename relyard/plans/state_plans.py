@@ -6,7 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from relyard.operators import sequence_hash, sketches
+from relyard.functions.hashing import sha256_text
+from relyard.operators import digest_tree, fingerprint, sequence_hash, sketches
 from relyard.plans.catalog import query
 from relyard.plans.data_plans import _ROW_TEXT
 from relyard.plans.oracle_views import sql
@@ -119,3 +120,60 @@ def feature_quantile_states(spark: SparkSession, sf: str) -> DataFrame:
     names = ["l_discount", "l_extendedprice", "l_quantity", "l_tax"]
     wide = table(spark, sf, "lineitem").select(F.to_date("l_shipdate").alias("day"), *[F.col(n).cast("double") for n in names])
     return _checked_quantiles(wide.unpivot(["day"], names, "feature", "x"), "x", "day", ["feature"], "feature-states")
+
+
+# --- which part of a dataset changed ----------------------------------------------------------------
+
+YEARS = (1995, 2001)
+
+
+def _yearly_versions(spark: SparkSession, sf: str) -> DataFrame:
+    """A version of the order set per year: all orders up to then, and from the next year on every 499th price corrected."""
+    orders = views.orders(spark, sf).select("o_orderkey", "o_custkey", "o_totalprice", F.year("o_orderdate").alias("_year"))
+    year = F.explode(F.sequence(F.greatest("_year", F.lit(YEARS[0])), F.lit(YEARS[1])))
+    grown = orders.where(F.col("_year") <= YEARS[1]).select("*", year.alias("year"))
+    corrected = (F.col("o_orderkey") % 499 == 0) & (F.col("year") > F.col("_year")) & (F.col("year") % 2 == 0)
+    return grown.withColumn("o_totalprice", F.col("o_totalprice") + F.when(corrected, 1).otherwise(0)).drop("_year")
+
+
+_VERSIONS_SQL = f"""WITH o AS (SELECT o_orderkey, o_custkey, o_totalprice, year(o_orderdate) AS y FROM orders WHERE year(o_orderdate) <= {YEARS[1]}),
+  v AS (SELECT o_orderkey, o_custkey, o_totalprice + CASE WHEN o_orderkey % 499 = 0 AND v > y AND v % 2 = 0 THEN 1 ELSE 0 END AS price, v
+    FROM (SELECT *, unnest(range(greatest(y, {YEARS[0]}), {YEARS[1] + 1})) AS v FROM o))"""
+
+
+def _version_table(spark: SparkSession, sf: str) -> DataFrame:
+    """Fingerprints of the yearly versions; a column is added in 1999, and the config changes every third year."""
+    rows = _yearly_versions(spark, sf)
+    hashed = fingerprint.content_hash_multiset(rows, ["year"])
+    schema = F.when(F.col("year") >= 1999, F.lit("with channel")).otherwise(F.lit(fingerprint.schema_text(rows)))
+    return hashed.select(
+        F.lit("orders").alias("dataset"), "year", "row_count", "content_hash", sha256_text(schema).alias("schema_hash"), F.floor(F.col("year") / 3).cast("string").alias("config_hash")
+    )
+
+
+@query(
+    "dataset_drift",
+    f"""{_VERSIONS_SQL}, s AS (SELECT v, count(*) AS n FROM v GROUP BY v),
+    d AS (SELECT b.v, count(*) FILTER (a.price IS DISTINCT FROM b.price) > 0 AS content FROM v b LEFT JOIN v a ON a.o_orderkey = b.o_orderkey AND a.v = b.v - 1 GROUP BY b.v),
+    f AS (SELECT 'orders' AS dataset, lag(s.v) OVER (ORDER BY s.v)::INTEGER AS previous_year, s.v::INTEGER AS year, s.v = 1999 AS schema_changed, d.content AS content_changed,
+      s.n <> lag(s.n) OVER (ORDER BY s.v) AS rows_changed, s.v // 3 <> (s.v - 1) // 3 AS config_changed FROM s JOIN d ON d.v = s.v)
+    SELECT *, concat_ws(',', CASE WHEN schema_changed THEN 'schema' END, CASE WHEN content_changed THEN 'content' END, CASE WHEN rows_changed THEN 'rows' END,
+      CASE WHEN config_changed THEN 'config' END) AS changed FROM f WHERE previous_year IS NOT NULL""",
+)
+def dataset_drift(spark: SparkSession, sf: str) -> DataFrame:
+    return digest_tree.version_drift(_version_table(spark, sf), ["dataset"], "year")
+
+
+@query(
+    "dataset_drift_prefixes",
+    f"""{_VERSIONS_SQL}, p AS (SELECT *, substr(sha256(concat('=', o_orderkey)), 1, {digest_tree.LEVELS[-1]}) AS prefix FROM v),
+    n AS (SELECT v, prefix, count(*) AS n, string_agg(concat(o_orderkey, ':', price), ',' ORDER BY o_orderkey) AS body FROM p GROUP BY v, prefix)
+    SELECT (b.v - 1)::VARCHAR AS previous_version, b.v::VARCHAR AS version, b.prefix, coalesce(a.n, 0) AS rows_before, b.n AS rows_after
+    FROM n b LEFT JOIN n a ON a.v = b.v - 1 AND a.prefix = b.prefix WHERE b.v > {YEARS[0]} AND a.body IS DISTINCT FROM b.body""",
+)
+def dataset_drift_prefixes(spark: SparkSession, sf: str) -> DataFrame:
+    """Parts of the key space in which consecutive yearly versions differ, from stored trees."""
+    path = new_location(spark, "digest-tree")
+    digest_tree.write_tree(digest_tree.tree_nodes(_yearly_versions(spark, sf), ["o_orderkey"], "year"), path)
+    pairs = spark.range(YEARS[0] + 1, YEARS[1] + 1).select((F.col("id") - 1).cast("string").alias("previous_version"), F.col("id").cast("string").alias("version"))
+    return digest_tree.differing_leaves(digest_tree.read_tree(spark, path), pairs)
