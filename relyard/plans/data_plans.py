@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from relyard import constants as c
 from relyard.functions.text import tag
-from relyard.operators import evaluation, features, fingerprint, split, training
+from relyard.operators import evaluation, features, fingerprint, segment_training, split, training
 from relyard.plans.catalog import query
 from relyard.plans.oracle_views import sql
 from relyard.session import new_location
@@ -553,6 +553,29 @@ def segment_optimum(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("segment", "converged", (F.col("gradient") < 1e-7).alias("at_optimum"))
 
 
+@query(
+    "model_training_optimum",
+    sql(
+        """SELECT concat('m', o_custkey) AS model_name, CASE WHEN min(ds.target) = max(ds.target) THEN 'one class' END AS reason,
+          min(ds.target) <> max(ds.target) AS converged, CASE WHEN min(ds.target) <> max(ds.target) THEN true END AS at_optimum
+        FROM ds JOIN orders ON o_orderkey = row_id GROUP BY o_custkey""",
+        "ds",
+    ),
+)
+def model_training_optimum(spark: SparkSession, sf: str) -> DataFrame:
+    """A regression per model, thousands at once; where one was fitted its gradient, summed over the rows again, is zero."""
+    rows = views.owned_dataset(spark, sf)
+    fitted = segment_training.train_segments(rows, "model_name", DATASET_FEATURES, "target")
+    moments = [x for f in DATASET_FEATURES for x in (F.avg(f).alias(f"mean_{f}"), F.stddev_pop(f).alias(f"std_{f}"))]
+    known = rows.groupBy("model_name").agg(F.count(F.lit(1)).alias("n"), F.sum("target").alias("n1"), *moments)
+    joined = rows.join(known, "model_name").join(fitted.select("model_name", "intercept", "coefs", "converged", "reason"), "model_name")
+    scaled = {f: (F.col(f) - F.col(f"mean_{f}")) / F.when(F.col(f"std_{f}") == 0, 1.0).otherwise(F.col(f"std_{f}")) for f in DATASET_FEATURES}
+    weight = F.col("n") / (2.0 * F.when(F.col("target") == 1, F.col("n1")).otherwise(F.col("n") - F.col("n1")))
+    coefs = {f: F.col("coefs")[i] for i, f in enumerate(DATASET_FEATURES)}
+    found = _gradient(joined, ["model_name", "converged", "reason"], "target", scaled, coefs, F.col("intercept"), weight)
+    return found.select("model_name", "reason", "converged", F.when(F.col("converged"), F.col("gradient") < 1e-7).alias("at_optimum"))
+
+
 @query("feature_quantile_ranks", " UNION ALL ".join(f"SELECT '{f}' AS feature, {q} AS quantile, true AS within_bound" for f in DATASET_FEATURES for q in ("0.25e0", "0.5e0", "0.75e0")))
 def feature_quantile_ranks(spark: SparkSession, sf: str) -> DataFrame:
     """Each approximate quantile lies among values whose exact rank is off by at most a thousandth of the rows."""
