@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from relyard import constants as c
 from relyard.functions.columns import with_once
 from relyard.functions.scoring import label_of
-from relyard.operators.ordered import lookup_join, running_sums, score_band
+from relyard.operators.ordered import lookup_join, previous_values, running_sums, score_band
 
 
 def confusion(scored: DataFrame, group: Sequence[str], threshold: float = c.DECISION_THRESHOLD) -> DataFrame:
@@ -100,13 +100,30 @@ def roc_points(scored: DataFrame, group: Sequence[str]) -> DataFrame:
 
     A curve is drawn over usable rows; :func:`confusion` counts the others.
     """
-    collapsed = collapse(scored.filter(usable()), group)
+    return _points_of(collapse(scored.filter(usable()), group), group)
+
+
+def roc_corners(scored: DataFrame, group: Sequence[str]) -> DataFrame:
+    """The points of :func:`roc_points` at which the curve turns, and both its ends: the same curve, with no three points on a line.
+
+    A score's own counts are the step to its point and those of the next lower score the step away from it, so one look at the neighbour
+    decides, before anything is summed up.
+    """
+    collapsed = collapse(scored.filter(usable()), group).withColumns({"_pos": F.col("counts.pos"), "_neg": F.col("counts.neg")})
+    onward = previous_values(_banded(collapsed, 1), group, list(BANDS), ["score"], {"_next_pos": "_pos", "_next_neg": "_neg"})
+    wide = lambda name: F.col(name).cast("decimal(19,0)")
+    turns = F.col("_next_pos").isNull() | (wide("_pos") * wide("_next_neg") != wide("_next_pos") * wide("_neg"))
+    return _points_of(onward.withColumn("_turns", turns).drop(*BANDS), group, F.col("_turns"))
+
+
+def _points_of(collapsed: DataFrame, group: Sequence[str], kept: Column | None = None) -> DataFrame:
     pos, neg = F.col("counts.pos"), F.col("counts.neg")
     points = running_sums(
         _banded(collapsed, -1), group, list(BANDS), [F.col("score").desc()], {"tp_above": pos, "fp_above": neg}
     )
     totals = collapsed.groupBy(*group).agg(F.sum(pos).alias("positives"), F.sum(neg).alias("negatives"))
     zero = F.lit(0).cast("bigint")
+    points = points if kept is None else points.where(kept)
     start = totals.select(*group, F.lit(float("inf")).alias("threshold"), zero.alias("tp"), zero.alias("fp"))
     counted = points.select(
         *group,

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from relyard import constants as c
 from relyard.functions.histogram import bound_label, bucket_index, cumulative_counts
@@ -12,9 +12,10 @@ from relyard.functions.scoring import finite
 from relyard.operators.routing import MODES
 
 
-def predict_log(served: DataFrame) -> DataFrame:
-    """The twelve log fields of each answered request."""
+def predict_log(served: DataFrame, *more: Column) -> DataFrame:
+    """The twelve log fields of each answered request, after the ``more`` columns asked for, such as its day."""
     return served.filter(F.col("status") == 200).select(
+        *more,
         F.lit("predict").alias("event"),
         "request_id",
         "mode",
@@ -156,6 +157,30 @@ def canary_share(served: DataFrame) -> DataFrame:
     return daily.withColumn("share", F.round(F.col("to_candidate") / F.col("requests"), 6))
 
 
+#: The 0.999 quantile of chi-squared with 99 degrees of freedom, in tenths; a day's 100 bucket counts are tested against it.
+UNEVEN_TENTHS = 1482
+
+
+def canary_buckets(served: DataFrame) -> DataFrame:
+    """Canary requests per day and bucket: how many went to the candidate, whether all went where the bucket says, and whether the day's
+    buckets are uneven.
+
+    The day's test is exact: 100 * sum(n^2) - N^2 > 148.2 * N in whole numbers. Only 100 counts a day leave the first aggregation.
+    """
+    canary = served.filter((F.col("mode") == c.CANARY) & F.col("chosen").isNotNull())
+    to_candidate = F.col("chosen") == c.CANDIDATE
+    counts = canary.groupBy(F.date_format("ts", "yyyy-MM-dd").alias("day"), "bucket").agg(
+        F.count(F.lit(1)).alias("requests"),
+        F.count_if(to_candidate).alias("to_candidate"),
+        F.bool_and(to_candidate == (F.col("bucket") < F.col("canary_pct"))).alias("as_routed"),
+    )
+    day = Window.partitionBy("day")
+    n = F.sum("requests").over(day).cast("decimal(18,0)")
+    squares = F.sum(F.col("requests").cast("decimal(18,0)") * F.col("requests").cast("decimal(18,0)")).over(day)
+    uneven = (squares * 100 - n * n) * 10 > n * UNEVEN_TENTHS
+    return counts.withColumn("uneven_day", uneven)
+
+
 def canary_stickiness(served: DataFrame) -> DataFrame:
     """Per client id: retries and whether all of them fell into one bucket and one choice."""
     return (

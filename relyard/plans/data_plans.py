@@ -6,6 +6,7 @@ from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from relyard import constants as c
 from relyard.functions.text import tag
@@ -63,6 +64,17 @@ def run_log_long(spark: SparkSession, sf: str) -> DataFrame:
     return stored
 
 
+@query("run_log_repeated", sql(_RUN_LOG_SQL, "rn"))
+def run_log_repeated(spark: SparkSession, sf: str) -> DataFrame:
+    """Two jobs write the log and one of them runs again: every row is there once."""
+    path = new_location(spark, "run-log")
+    runs = views.runs(spark, sf)
+    for job in ("train", "evaluate", "train"):
+        tables.log_batch(tables.run_log_long(runs.where(F.col("step") == job)), path, "experiment", job)
+    schema = tables.run_log_long(runs).schema
+    return spark.read.schema(StructType([*schema.fields, StructField("batch", StringType())])).parquet(path).drop("batch")
+
+
 @query(
     "run_log_maps",
     sql(
@@ -694,6 +706,24 @@ def roc_curve_points(spark: SparkSession, sf: str) -> DataFrame:
     return evaluation.roc_points(views.scores_big(spark, sf), ["slice"])
 
 
+@query(
+    "roc_curve_corners",
+    sql(
+        """SELECT slice, threshold, round(fp / sum_neg, 6) AS fpr, round(tp / sum_pos, 6) AS tpr FROM (
+          SELECT slice, score AS threshold, sum(neg) OVER w AS fp, sum(pos) OVER w AS tp, sum(neg) OVER g AS sum_neg, sum(pos) OVER g AS sum_pos,
+            score = 'inf'::DOUBLE OR lead(pos) OVER w IS NULL OR pos * lead(neg) OVER w <> lead(pos) OVER w * neg AS turns
+          FROM (SELECT slice, score, count(*) FILTER (label = 1) AS pos, count(*) FILTER (label <> 1) AS neg FROM sb
+                WHERE score IS NOT NULL AND label IS NOT NULL GROUP BY slice, score
+                UNION ALL SELECT slice, CAST('inf' AS DOUBLE), 0, 0 FROM sb GROUP BY slice)
+          WINDOW w AS (PARTITION BY slice ORDER BY score DESC), g AS (PARTITION BY slice)) WHERE turns""",
+        "sb",
+    ),
+)
+def roc_curve_corners(spark: SparkSession, sf: str) -> DataFrame:
+    """The curve as it is drawn: points on a line between their neighbours are left out."""
+    return evaluation.roc_corners(views.scores_big(spark, sf), ["slice"])
+
+
 _REPORT = """SELECT c.model_name, CASE WHEN c.invalid = 0 THEN round((tp + tn) / (tp + fp + tn + fn), 6) END AS {p}accuracy,
  CASE WHEN c.invalid = 0 THEN round(CASE WHEN 2 * tp + fp + fn = 0 THEN 0 ELSE 2 * tp / (2 * tp + fp + fn) END, 6) END AS {p}f1, round(auc, 6) AS {p}roc_auc,
  CASE WHEN coalesce(auc >= 0.95, false) THEN 'true' ELSE 'false' END AS gate_ok

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from relyard import constants as c
 from relyard.functions.hashing import bucket_of, canonical_json
@@ -12,7 +13,8 @@ from relyard.operators.ordered import lookup_join
 from relyard.plans.catalog import query
 from relyard.plans.oracle_views import sql
 from relyard.plans.policy_plans import decisions
-from relyard.sources import views
+from relyard.session import new_location
+from relyard.sources import tables, views
 
 _BUCKET = """CAST((76 * (('0x' || substr(h, 1, 4))::BIGINT % 100 + ('0x' || substr(h, 5, 15))::BIGINT % 100
  + ('0x' || substr(h, 20, 15))::BIGINT % 100 + ('0x' || substr(h, 35, 15))::BIGINT % 100) + ('0x' || substr(h, 50, 15))::BIGINT % 100) % 100 AS INTEGER)"""
@@ -112,6 +114,19 @@ def canary_share(spark: SparkSession, sf: str) -> DataFrame:
     return serving_log.canary_share(routing.prepare(views.requests(spark, sf)))
 
 
+@query(
+    "canary_buckets",
+    sql(
+        """SELECT *, (100 * sum(requests * requests) OVER d - (sum(requests) OVER d) * (sum(requests) OVER d)) * 10 > 1482 * sum(requests) OVER d AS uneven_day
+        FROM (SELECT strftime(ts, '%Y-%m-%d') AS day, bucket, count(*) AS requests, count(*) FILTER (chosen = 'candidate') AS to_candidate,
+          bool_and((chosen = 'candidate') = (bucket < 10)) AS as_routed FROM rt WHERE mode = 'canary' GROUP BY 1, 2) WINDOW d AS (PARTITION BY day)""",
+        "rt",
+    ),
+)
+def canary_buckets(spark: SparkSession, sf: str) -> DataFrame:
+    return serving_log.canary_buckets(routing.prepare(views.requests(spark, sf)))
+
+
 @query(
     "canary_stickiness",
     sql(
@@ -158,6 +173,20 @@ def predict_log(spark: SparkSession, sf: str) -> DataFrame:
     return serving_log.predict_log(served(spark, sf)).withColumn("shadow_mae", F.round("shadow_mae", 6))
 
 
+@query("predict_log_by_day", PREDICT_LOG_SQL.replace("'predict' AS event,", "'predict' AS event, strftime(ts, '%Y-%m-%d') AS day,"))
+def predict_log_by_day(spark: SparkSession, sf: str) -> DataFrame:
+    """The log appended in two batches, one of which came twice, in folders by day."""
+    path = new_location(spark, "predict-log")
+    both = served(spark, sf)
+    log = serving_log.predict_log(both, F.date_format("ts", "yyyy-MM-dd").alias("day"))
+    parts = {"odd": F.col("event_id") % 2 == 1, "even": F.col("event_id") % 2 == 0}
+    for batch in ("odd", "even", "odd"):
+        part = serving_log.predict_log(both.where(parts[batch]), F.date_format("ts", "yyyy-MM-dd").alias("day"))
+        tables.log_batch(part, path, "day", batch)
+    stored = spark.read.schema(StructType([*log.schema.fields, StructField("batch", StringType())])).parquet(path)
+    return stored.drop("batch").withColumn("shadow_mae", F.round("shadow_mae", 6))
+
+
 @query(
     "predict_response",
     sql(

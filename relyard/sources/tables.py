@@ -70,6 +70,16 @@ def append_run_log(long_runs: DataFrame, path: str) -> None:
     long_runs.hint("rebalance", "experiment").write.mode("append").partitionBy("experiment").parquet(path)
 
 
+def log_batch(rows: DataFrame, path: str, by: str, batch: str) -> None:
+    """Append one batch of a log, in folders by a column and the batch. A repeated batch takes the place of its own rows and of no others.
+
+    Folders of the batch are swapped when the job commits, so a reader finds the old rows or the new ones. A batch is repeated
+    whole: a folder it no longer fills would keep what it had. A lookup by the column reads its folders only; a large one is split.
+    """
+    marked = rows.withColumn("batch", F.lit(batch))
+    marked.hint("rebalance", by).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by, "batch").parquet(path)
+
+
 def run_log_maps(long_runs: DataFrame) -> DataFrame:
     """The long table back to one row per run. Of a key that was logged more than once the last value stands.
 
