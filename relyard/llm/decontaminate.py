@@ -1,22 +1,25 @@
 """Benchmark decontamination by spaced seeds, with built-in functions only.
 
-Words are maximal runs of letters and digits, lower-cased and hashed to 64 bits. A seed hashes the words of a window at the fixed
-positions of a mask and ignores the others, so a substituted word at an ignored position does not hide a copied passage; two masks
-ignore different positions. Training seeds are joined with benchmark seeds, and around each hit up to ``WINDOW`` aligned words of the item
-are compared with the document: the hit counts if at least ``SHARE`` of them agree.
-
-Two masks cannot meet every way of substituting words of a short item. Items of ``MIN_ITEM_WORDS`` to ``SHORT`` - 1 words are sought by
-further seeds (``short_masks``) such that every pattern of substitutions that ``SHARE`` allows leaves one of them whole, and are compared over
-all windows of the item. Where the first seeds find a pair too, n_hits, first_word, matched and compared stay those of the first seeds.
-
-The benchmark side is broadcast in blocks of at most ``BLOCK_SEEDS`` seeds (a seed row takes some 250 bytes), each block against all
-documents, so the broadcast never grows with either table; the documents are never shuffled to be searched, only verified hits are.
-
-``contaminated(docs, benchmark)`` returns one row per (doc_id, item_id) with verified hits: n_hits, first_word (place of the first one in
-the document), matched and compared (words of the best one). ``drop_contaminated`` returns the rows of ``docs`` without such a hit.
-
-Defined cases: null or empty texts and texts without letters or digits have no words and no hits. Items under ``MIN_ITEM_WORDS`` words say too little and are never reported. Null ids are reported as null; repeated rows
-add up their hits. Empty tables give no rows (or ``docs`` as it was). Other columns are ignored and, where rows are returned, kept.
+Words are maximal runs of letters and digits, lower-cased and hashed to 64 bits. **The rule:** a document holds a passage of an item if, at
+some alignment, a window of the item's words agrees with the document in at least ``SHARE`` of them; a window is ``WINDOW`` words, or the
+whole item where that is shorter. Items under ``LEAST_WORDS`` words are no passages: a document holds one if it has these words and no others.
+
+A seed hashes the words of a window at the fixed positions of a mask and ignores the others, so a substituted word at an ignored
+position does not hide a passage. The masks of a window (``masks_of``) are chosen so that every pattern of substitutions which ``SHARE``
+allows leaves one of them whole: with s substitutions two of s + 2 neighbouring blocks stay whole, so a mask for each distance of two
+blocks is enough. Training seeds are joined with benchmark seeds, and around each hit all windows that hold the seed are compared word by word.
+So what is reported follows from the rule alone; masks only find it.
+
+Of the benchmark only distinct seeds (8 bytes each) are broadcast, in blocks of at most ``BLOCK_SEEDS``, each block a pass over the documents; hits
+then meet the items' words by a shuffle of the hits. The documents themselves are never shuffled to be searched.
+
+``contaminated(docs, benchmark)`` returns one row per (doc_id, item_id): n_hits (distinct windows that agree, over all alignments), first_word
+(place in the document of the first one; below 0 where its own first words lie before the document), matched and compared (words of the
+best one). ``drop_contaminated`` returns the rows of ``docs`` without such a window.
+
+Defined cases: null or empty texts and texts without letters or digits have no words and no hits. Null ids are reported as null; a repeated row
+counts once, different texts under one id add up. Empty tables give no rows (or ``docs`` as it was). Other columns are ignored and,
+where rows are returned, kept.
 """
 
 from __future__ import annotations
@@ -27,19 +30,15 @@ from math import ceil
 from pyspark.sql import Column, DataFrame, functions as F
 
 from relyard.functions.columns import with_once
-from relyard.llm.common import row_key, same_row
+from relyard.llm.common import KEYS_SENT, row_key, same_row, stored, within_reach
 
 SPLIT = r"[^\p{L}\p{N}]+"
 
-# Masks, fixed values: the word offsets that a seed hashes. Both span 12 words and read 8 of them.
-MASKS = ((0, 1, 2, 4, 7, 8, 10, 11), (0, 1, 3, 5, 6, 8, 9, 11))
-SPAN = 12
 WINDOW = 20
 SHARE = 0.8
-MIN_ITEM_WORDS = 5
-# Items of fewer words get the further seeds.
-SHORT = 25
-BLOCK_SEEDS = 200_000
+#: Shortest item that is sought as a passage inside longer text.
+LEAST_WORDS = 5
+BLOCK_SEEDS = 1_000_000
 
 
 def word_hashes(text: Column) -> Column:
@@ -53,29 +52,25 @@ def _seed(number: int, mask: tuple[int, ...]) -> Column:
     return F.when(F.col("at") + mask[-1] < F.col("n"), here)
 
 
-def _masks(lengths: list[int]) -> dict[int, tuple[int, ...]]:
-    """Mask number to offsets: the spaced masks, and a full one for each length of an item shorter than they are."""
-    return dict(enumerate(MASKS)) | {100 + n: tuple(range(n)) for n in lengths if n < SPAN}
+def masks_of(size: int) -> list[tuple[int, ...]]:
+    """Word offsets of the masks for a window of ``size`` words, one of which is whole in every pattern that ``SHARE`` allows.
 
-
-def short_masks(n: int) -> list[tuple[int, ...]]:
-    """Masks that meet an item of ``n`` words however the allowed number of words of a window is substituted.
-
-    With ``s`` substitutions two of s + 2 neighbouring blocks stay whole, so a mask for each distance of two blocks is enough. Five words have
-    no such blocks: there a mask leaves out any one word.
+    Five words have no blocks that would do: there a mask leaves out any one word. Shorter items are taken as a whole.
     """
-    compared = min(n, WINDOW)
-    if compared == 5:
+    if size < LEAST_WORDS:
+        return [tuple(range(size))]
+    if size == 5:
         return [(0, 1, 2, 3), (0, 1, 2, 4), (0, 1, 3, 4), (0, 2, 3, 4)]
-    blocks = compared - ceil(compared * SHARE) + 2
-    width = 3 if 3 * blocks <= compared else 2
+    blocks = size - ceil(size * SHARE) + 2
+    width = 3 if 3 * blocks <= size else 2
     return [tuple(range(width)) + tuple(range(d * width, d * width + width)) for d in range(1, blocks)]
 
 
-def _further(lengths: list[int]) -> dict[int, tuple[tuple[int, ...], list[int]]]:
-    """Number to mask and the lengths of the items it is for."""
-    every = sorted({m for n in lengths for m in short_masks(n)})
-    return {200 + k: (m, [n for n in lengths if m in short_masks(n)]) for k, m in enumerate(every)}
+def _masks(sizes: list[int]) -> dict[int, tuple[tuple[int, ...], list[int]]]:
+    """Number to mask and the window sizes it is for. Whole short items have masks of their own, numbered below zero."""
+    every = sorted({m for n in sizes if n >= LEAST_WORDS for m in masks_of(n)})
+    short = {-n: (masks_of(n)[0], [n]) for n in sizes if n < LEAST_WORDS}
+    return short | {k: (m, [n for n in sizes if n >= LEAST_WORDS and m in masks_of(n)]) for k, m in enumerate(every)}
 
 
 def _with_words(df: DataFrame, *keep: Column) -> DataFrame:
@@ -83,98 +78,93 @@ def _with_words(df: DataFrame, *keep: Column) -> DataFrame:
     return counted.withColumn("n", F.size("words"))
 
 
-def benchmark_seeds(benchmark: DataFrame) -> tuple[DataFrame, list[int]]:
-    """Seeds of all items with the words around them, and the lengths of short items."""
-    items = _with_words(benchmark, benchmark["item_id"].cast("bigint").alias("item_id")).where(F.col("n") >= MIN_ITEM_WORDS)
-    lengths = sorted(r.n for r in items.where(F.col("n") < SHORT).select("n").distinct().collect())
-    seeds = F.array(*[F.when(F.lit(k < 100) | (F.col("n") == len(m)), _seed(k, m)) for k, m in _masks(lengths).items()])
-    further = F.array(*[F.when(F.col("n").isin(of), _seed(k, m)) for k, (m, of) in _further(lengths).items()])
+def benchmark_seeds(benchmark: DataFrame) -> tuple[DataFrame, dict[int, tuple[tuple[int, ...], list[int]]]]:
+    """(seed, item_id, item_key, q, span, item): every seed of every item with its place and the item's words; and the masks in use."""
+    items = _with_words(benchmark, benchmark["item_id"].cast("bigint").alias("item_id")).where("n > 0").withColumn("size", F.least("n", F.lit(WINDOW)))
+    items = items.withColumn("item_key", F.xxhash64("words"))
+    masks = _masks(sorted(r.size for r in items.select("size").distinct().collect()))
+    seeds = [F.struct(F.when(F.col("size").isin(of), _seed(k, m)).alias("seed"), F.lit(m[-1] + 1).alias("span")) for k, (m, of) in masks.items()]
     placed = items.select("*", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("at"))
-    seeded = placed.select("*", F.explode(seeds).alias("seed")).where("seed IS NOT NULL")
-    compared = F.least("n", F.lit(WINDOW))
-    from_ = F.greatest(F.lit(0), F.least(F.col("at") - F.lit((WINDOW - SPAN) // 2), F.col("n") - compared))
-    around = F.slice("words", from_ + 1, compared)
-    first = seeded.select("seed", "item_id", (F.col("at") - from_).alias("before"), around.alias("around"), F.lit(False).alias("further"))
-    if not lengths:
-        return first, lengths
-    more = placed.where(F.col("n") < SHORT).select("*", F.explode(further).alias("seed")).where("seed IS NOT NULL")
-    whole = more.select("seed", "item_id", F.col("at").alias("before"), F.col("words").alias("around"), F.lit(True).alias("further"))
-    return first.union(whole), lengths
-
-
-def verified_hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """doc_id, row_key, item_id, at, further, matched, compared of every hit that stands the comparison."""
-    seeds, lengths = benchmark_seeds(benchmark)
-    n_blocks = max(1, -(-seeds.count() // BLOCK_SEEDS))
-    masks = _masks(lengths) | {k: m for k, (m, _) in _further(lengths).items()}
+    if not seeds:
+        return placed.select(F.lit(0).cast("bigint").alias("seed"), "item_id", "item_key", F.col("at").alias("q"), F.lit(0).alias("span"), F.col("words").alias("item")), masks
+    seeded = placed.select("*", F.inline(F.array(*seeds))).where("seed IS NOT NULL")
+    return seeded.select("seed", "item_id", "item_key", F.col("at").alias("q"), "span", F.col("words").alias("item")).distinct(), masks
+
+
+def agreeing_windows(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """doc_id, row_key, item_id, item_key, diagonal (place of the item's first word in the document), start (of the window in the item), matched,
+    compared: every distinct window that agrees."""
+    seeds, masks = benchmark_seeds(benchmark)
+    seeds = stored(seeds, "benchmark-seeds")
+    distinct = stored(seeds.select("seed").distinct(), "distinct-seeds")
+    n_blocks = max(1, -(-distinct.count() // BLOCK_SEEDS))
     doc_id = docs["doc_id"].cast("bigint")
-    read = _with_words(docs, doc_id.alias("doc_id"), row_key(doc_id, docs["text"]), docs["text"])
-    read = read.drop("text").where(F.col("n") >= min(m[-1] + 1 for m in masks.values()))
+    read = _with_words(docs, doc_id.alias("doc_id"), row_key(doc_id, docs["text"]), docs["text"]).drop("text").where("n > 0")
     placed = read.select("*", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("at"))
-    seeded = placed.select("*", F.explode(F.array(*[_seed(k, m) for k, m in masks.items()])).alias("seed")).where("seed IS NOT NULL")
-    skipped = F.greatest(F.lit(0), F.col("before") - F.col("at"))  # words of the item that lie before the document
-    length = F.size("around") - skipped
-    beside = F.slice("words", F.greatest(F.lit(0), F.col("at") - F.col("before")) + 1, length)
-    same = F.concat(F.array_repeat(F.lit(False), F.col("skipped")), F.zip_with(F.col("of_item"), F.col("of_document"), lambda a, b: a == b))
-    windows = F.sequence(F.lit(0), F.col("n_around") - F.col("compared"))  # more than one only where a short item is compared as a whole
-    agreeing = F.array_max(F.transform(windows, lambda w: F.size(F.filter(F.slice(F.col("same"), w + 1, F.col("compared")), lambda x: x))))
+    # A short item must be all there is.
+    of_document = [_seed(k, m) if k >= 0 else F.when((F.col("at") == 0) & (F.col("n") == -k), _seed(k, m)) for k, (m, _) in masks.items()]
+    seeded = placed.select("*", F.explode(F.array(*of_document, F.lit(None).cast("bigint"))).alias("seed")).where("seed IS NOT NULL")
+    # Words that a window with the seed can reach: the seed lies inside it.
+    reach_from = F.greatest(F.lit(0), F.col("at") - F.lit(WINDOW))
+    around = F.slice("words", reach_from + 1, F.lit(2 * WINDOW)).alias("around")
     found = []
     for block in range(n_blocks):
-        part = seeds.where(F.pmod(F.xxhash64("item_id", "seed"), F.lit(n_blocks)) == block)
-        # Up to here everything is one generated loop over the words of a document; only hits leave it, with the few words
-        # to compare instead of the whole document. The comparison is unfolded apart, so that it cannot move into the join.
-        sides = (F.slice("around", skipped + 1, length).alias("of_item"), beside.alias("of_document"))
-        sizes = (skipped.alias("skipped"), F.size("around").alias("n_around"), F.least(F.size("around"), F.lit(WINDOW)).alias("compared"))
-        hits = seeded.join(F.broadcast(part), "seed").select("doc_id", "row_key", "item_id", "at", "further", *sizes, *sides)
-        checked = with_once(with_once(hits, same=same), matched=agreeing)
-        found.append(
-            checked.where(F.col("matched") >= F.ceil(F.col("compared") * SHARE))
-            .select("doc_id", "row_key", "item_id", "at", "further", "matched", "compared")
-        )
-    return reduce(DataFrame.union, found)
+        # Up to here everything is one generated loop over the words of a document; only hits leave it, with the words around them.
+        part = distinct.where(F.pmod(F.xxhash64("seed"), F.lit(n_blocks)) == block)
+        found.append(seeded.join(F.broadcast(part), "seed").select("doc_id", "row_key", "seed", "at", reach_from.alias("reach_from"), around))
+    hits = stored(reduce(DataFrame.union, found), "seed-hits")
+    size = F.least(F.size("item"), F.lit(WINDOW))
+    met = hits.join(seeds, "seed").withColumns({"size": size, "diagonal": F.col("at") - F.col("q")})
+    first, last = F.greatest(F.lit(0), F.col("q") + F.col("span") - F.col("size")), F.least(F.col("q"), F.size("item") - F.col("size"))
+    met = met.select("*", first.alias("first"), F.sequence(first, last).alias("starts"))
+    # Agreement of the item's words from the first window's start to the last one's end, in one array.
+    length = F.element_at("starts", -1) + F.col("size") - F.col("first")
+    same = F.transform(
+        F.sequence(F.col("first"), F.col("first") + length - 1),
+        lambda j: F.coalesce(F.when(j + F.col("diagonal") >= F.col("reach_from"), F.get("around", j + F.col("diagonal") - F.col("reach_from"))) == F.get("item", j), F.lit(False)),
+    )
+    compared = with_once(met, same=same)
+    windows = F.transform(
+        "starts",
+        lambda s: F.struct(s.alias("start"), F.size(F.filter(F.slice("same", s - F.col("first") + 1, F.col("size")), lambda x: x)).alias("matched")),
+    )
+    least = F.ceil(F.col("size") * SHARE)
+    agreed = compared.select("doc_id", "row_key", "item_id", "item_key", "diagonal", "size", F.inline(windows)).where(F.col("matched") >= least)
+    return agreed.select("doc_id", "row_key", "item_id", "item_key", "diagonal", "start", "matched", F.col("size").alias("compared")).distinct()
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    def of_first(over, value: Column) -> Column:
-        """Over the hits of the first seeds, or over all of them in a pair without."""
-        return F.coalesce(over(F.when(~F.col("further"), value)), over(value))
-
-    counted = of_first(F.sum, F.lit(1).cast("bigint")).alias("n_hits")
-    best = of_first(F.max, F.struct("matched", "compared")).alias("best")
-    pairs = verified_hits(docs, benchmark).groupBy("doc_id", "item_id").agg(counted, of_first(F.min, F.col("at")).alias("first_word"), best)
+    best = F.max(F.struct("matched", "compared")).alias("best")
+    place = F.col("diagonal") + F.col("start")
+    pairs = agreeing_windows(docs, benchmark).groupBy("doc_id", "item_id").agg(F.count(F.lit(1)).alias("n_hits"), F.min(place).alias("first_word"), best)
     return pairs.select("doc_id", "item_id", "n_hits", "first_word", "best.matched", "best.compared")
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    dirty = verified_hits(docs, benchmark).select("row_key", "doc_id").distinct()
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, sent: int = KEYS_SENT) -> DataFrame:
+    """Keys of rows that go are sent to the rows while they are at most ``sent``; beyond that they meet by a shuffle."""
+    dirty = stored(agreeing_windows(docs, benchmark).select("row_key", "doc_id").distinct(), "contaminated-keys")
     doc_id = docs["doc_id"].cast("bigint")
     packed = docs.select(doc_id.alias("doc_id"), row_key(doc_id, docs["text"]), F.struct("*").alias("row"))
-    return packed.join(dirty, same_row(packed, dirty), "left_anti").select("row.*")
+    keys = F.broadcast(dirty) if within_reach(dirty, sent) else dirty
+    return packed.join(keys, same_row(packed, keys), "left_anti").select("row.*")
 
 
 def oracle() -> str:
-    """The same pairs by joining the words themselves."""
+    """The rule itself: equal words by alignment, and every window of the item counted over them."""
 
     def words(text: str) -> str:
         return rf"list_filter(string_split_regex(lower(coalesce({text}, '')), '[^\p{{L}}\p{{N}}]+'), lambda w: w <> '')"
 
-    def keys() -> str:
-        each = (
-            f"CASE WHEN p + {m[-1]} < n THEN '{k}:' || " + " || ' ' || ".join(f"w[p + {o + 1}]" for o in m) + " END" for k, m in enumerate(MASKS)
-        )
-        return f"[{', '.join(each)}]"
-
     return f"""
-    WITH b0 AS (SELECT item_id, {words('text')} AS w FROM benchmark),
-    b1 AS (SELECT item_id, w, len(w) AS n, unnest(range(len(w))) AS p FROM b0 WHERE len(w) >= {SPAN}),
-    b2 AS (SELECT item_id, w AS iw, p AS q, least(n, {WINDOW}) AS compared,
-                  greatest(0, least(p - {(WINDOW - SPAN) // 2}, n - least(n, {WINDOW}))) AS s, unnest({keys()}) AS seed FROM b1),
-    d0 AS (SELECT doc_id, {words('text')} AS w FROM documents),
-    d1 AS (SELECT doc_id, w, len(w) AS n, unnest(range(len(w))) AS p FROM d0 WHERE len(w) >= {SPAN}),
-    d2 AS (SELECT doc_id, w AS dw, p, unnest({keys()}) AS seed FROM d1),
-    hits AS (SELECT doc_id, item_id, p, compared,
-                    len(list_filter(range(1, compared + 1), lambda j: p - q + s + j >= 1 AND dw[p - q + s + j] = iw[s + j])) AS matched
-             FROM d2 JOIN b2 USING (seed))
-    SELECT doc_id, item_id, count(*) AS n_hits, min(p)::int AS first_word,
-           max(matched * 1000 + compared)::int // 1000 AS matched, (max(matched * 1000 + compared) % 1000)::int AS compared
-    FROM hits WHERE matched >= ceil(compared * {SHARE}) GROUP BY ALL"""
+    WITH b AS (SELECT DISTINCT item_id, {words('text')} AS iw FROM benchmark),
+    i AS (SELECT item_id, iw, len(iw) AS n, least(len(iw), {WINDOW}) AS size, ceil(least(len(iw), {WINDOW}) * {SHARE}) AS least_same FROM b WHERE len(iw) > 0),
+    iw AS (SELECT *, unnest(iw) AS word, generate_subscripts(iw, 1) - 1 AS j FROM i),
+    d AS (SELECT row_number() OVER () AS row, doc_id, dw FROM (SELECT DISTINCT doc_id, text, {words('text')} AS dw FROM documents)),
+    dw AS (SELECT row, doc_id, len(dw) AS dn, unnest(dw) AS word, generate_subscripts(dw, 1) - 1 AS p FROM d),
+    met AS (SELECT row, doc_id, dn, item_id, iw, n, size, least_same, j, p - j AS diagonal FROM dw JOIN iw USING (word)),
+    same AS (SELECT row, doc_id, dn, item_id, iw, n, size, least_same, diagonal, list(j) AS js FROM met GROUP BY row, doc_id, dn, item_id, iw, n, size, least_same, diagonal),
+    windows AS (SELECT *, unnest(range(n - size + 1)) AS s FROM same WHERE len(js) >= least_same AND (n >= {LEAST_WORDS} OR (dn = n AND diagonal = 0))),
+    agreed AS (SELECT doc_id, item_id, diagonal + s AS place, size, least_same, len(list_filter(js, lambda j: j >= s AND j < s + size)) AS matched FROM windows)
+    SELECT doc_id, item_id, count(*) AS n_hits, min(place)::int AS first_word, max(matched * 1000 + size)::int // 1000 AS matched,
+      (max(matched * 1000 + size) % 1000)::int AS compared
+    FROM agreed WHERE matched >= least_same GROUP BY ALL"""
