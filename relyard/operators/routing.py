@@ -81,8 +81,8 @@ def route(requests: DataFrame, canary_pct: int | Column = c.CANARY_PCT) -> DataF
     pct = F.least(F.lit(100), F.greatest(F.lit(0), pct))
     mode, bucket = F.col("mode"), F.coalesce("bucket", F.lit(0))
     error = (
-        F.when(~bucket.between(0, 99), F.concat(F.lit("bucket must be in [0, 99], got "), bucket))
-        .when(mode.isNull() | ~mode.isin(*MODES), F.concat(F.lit("Unknown mode: "), F.coalesce(mode, F.lit(""))))
+        F.when(~bucket.between(0, 99), F.concat(F.lit("no bucket from 0 to 99: "), bucket))
+        .when(mode.isNull() | ~mode.isin(*MODES), F.concat(F.lit("no route for mode "), F.coalesce(mode, F.lit(""))))
     )
     to_candidate = (mode == c.CANDIDATE) | ((mode == c.CANARY) & (bucket < pct))
     return (

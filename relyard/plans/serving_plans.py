@@ -93,7 +93,7 @@ def request_validation(spark: SparkSession, sf: str) -> DataFrame:
     "route_requests",
     sql(
         """SELECT event_id, mode, bucket, seed_source, chosen, run_shadow,
-        CASE WHEN chosen IS NULL THEN concat('Unknown mode: ', mode) END AS route_error FROM rt""",
+        CASE WHEN chosen IS NULL THEN concat('no route for mode ', mode) END AS route_error FROM rt""",
         "rt",
     ),
 )
