@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 
 from relyard.llm.bk_trees import BKForest
-from relyard.llm.common import KEYS_SENT, row_key, same_row, stored, texts, within_reach
+from relyard.llm.common import KEYS_SENT, few_rows, row_key, same_row, stored, texts, within_reach
 from relyard.llm.components import star_components
 
 SHINGLE_WORDS = 3
@@ -84,7 +84,7 @@ def fingerprints(docs: DataFrame, words: int = SHINGLE_WORDS, count: int = 1) ->
     names = ["fp", *(f"fp{k}" for k in range(1, count))]
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in few_rows(batches):
             given = batch.column(2).to_pylist()
             values = np.array([prints(t, words, count) for t in given], "<u8").reshape(-1, count).view("<i8")
             columns = [batch.column(0), batch.column(1), *(pa.array(v, pa.int64()) for v in values.T)]

@@ -10,7 +10,7 @@ With ``runs`` the pipeline's stage also takes runs of clauses as units (``clause
 ``, ; :``, and from each clause on and back from each clause the shortest run of clauses of ``min_words`` words is a unit, across newlines too. What such
 a run is depends on its own words only, so a repeated passage loses all but the first and last clauses that share words with their host.
 
-Most units are found once and never travel. A first pass over the texts counts 64 bits of each digest, combined in batch and task; the digests
+Most units are found once and never travel. A first pass over the texts counts 64 bits of each digest, combined in a few rows and in the task; the digests
 counted twice or more go into a Bloom filter, and the second pass cuts the units again and hands on those in the filter. Only they are
 stored and shuffled, and all 128 bits decide. Beyond ``FILTERED`` digests (64 MB of bits) every unit is handed on. A digest's keeper is
 a minimum, so a unit found in a third of all documents costs one row per task; the join that finds its later occurrences is left to
@@ -37,13 +37,13 @@ import xxhash
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, functions as F
 
-from relyard.llm.common import KEYS_SENT, row_key, same_row, stored, within_reach
+from relyard.llm.common import KEYS_SENT, few_rows, row_key, same_row, stored, within_reach
 
 MIN_WORDS = 8
 SENTENCE_END = re.compile(r"([.!?]) ")
 CLAUSE_END = re.compile(r"\n|(?<=[.!?,;:]) ")
-#: Digests in the Bloom filter at most, bits and probes for each, and rows cut at a time.
-FILTERED, BITS_EACH, PROBES, ROWS = 50_000_000, 10, 5, 512
+#: Digests in the Bloom filter at most, bits and probes for each.
+FILTERED, BITS_EACH, PROBES = 50_000_000, 10, 5
 UNITS = "row_key bigint, high bigint, low bigint, start int, length int, n_words int"
 
 
@@ -134,35 +134,35 @@ def document_units(docs: DataFrame, min_words: int, runs: bool = False, wanted:
     """doc_id and ``UNITS`` of every document, or of its units in the broadcast filter; the texts stay where they are."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, ROWS):
-                part, rows, digests = batch.slice(at, ROWS), [], []
-                for doc, text in enumerate(part.column(2)):
-                    for start, length, n_words, normal in all_units(text.as_py(), min_words, runs):
-                        rows.append((doc, start, length, n_words))
-                        digests.append(_digest(normal))
-                numbers = np.frombuffer(b"".join(digests), ">i8").astype(np.int64).reshape(-1, 2)
-                places = np.array(rows, np.int32).reshape(-1, 4)
-                if wanted is not None:
-                    there = in_filter(wanted.value, numbers[:, 1])
-                    numbers, places = numbers[there], places[there]
-                owner = pa.array(places[:, 0])
-                columns = [part.column(0).take(owner), part.column(1).take(owner), *(pa.array(np.ascontiguousarray(c)) for c in (*numbers.T, *places.T[1:]))]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "row_key", "high", "low", "start", "length", "n_words"])
+        for part in few_rows(batches):
+            rows, digests = [], []
+            for doc, text in enumerate(part.column(2)):
+                for start, length, n_words, normal in all_units(text.as_py(), min_words, runs):
+                    rows.append((doc, start, length, n_words))
+                    digests.append(_digest(normal))
+            numbers = np.frombuffer(b"".join(digests), ">i8").astype(np.int64).reshape(-1, 2)
+            places = np.array(rows, np.int32).reshape(-1, 4)
+            if wanted is not None:
+                there = in_filter(wanted.value, numbers[:, 1])
+                numbers, places = numbers[there], places[there]
+            owner = pa.array(places[:, 0])
+            columns = [part.column(0).take(owner), part.column(1).take(owner), *(pa.array(np.ascontiguousarray(c)) for c in (*numbers.T, *places.T[1:]))]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "row_key", "high", "low", "start", "length", "n_words"])
 
     return _given(docs).mapInArrow(cut, f"doc_id bigint, {UNITS}")
 
 
-def repeated_digests(docs: DataFrame, min_words: int, runs: bool = False) -> DataFrame:
-    """(low): the last 64 bits of every digest that stands for two units or more."""
+def digest_counts(batches: Iterator[pa.RecordBatch], min_words: int, runs: bool) -> Iterator[pa.RecordBatch]:
+    """(low, n) for the digests in each few rows of (text); n is 2 for more."""
+    for part in few_rows(batches):
+        low = [_digest(u[3])[8:] for text in part.column(0) for u in all_units(text.as_py(), min_words, runs)]
+        found, n = np.unique(np.frombuffer(b"".join(low), ">i8").astype(np.int64), return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(np.minimum(n, 2).astype(np.int8))], ["low", "n"])
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            low = [_digest(u[3])[8:] for text in batch.column(0) for u in all_units(text.as_py(), min_words, runs)]
-            found, n = np.unique(np.frombuffer(b"".join(low), ">i8").astype(np.int64), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(np.minimum(n, 2).astype(np.int8))], ["low", "n"])
 
-    counted = _given(docs).select("text").mapInArrow(count, "low bigint, n tinyint")
+def repeated_digests(docs: DataFrame, min_words: int, runs: bool = False) -> DataFrame:
+    """(low): the last 64 bits of every digest that stands for two units or more."""
+    counted = _given(docs).select("text").mapInArrow(lambda batches: digest_counts(batches, min_words, runs), "low bigint, n tinyint")
     return counted.groupBy("low").agg(F.sum("n").alias("n")).where("n > 1").select("low")
 
 

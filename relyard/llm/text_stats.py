@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.types import LongType, StructField, StructType
 
-from relyard.llm.common import texts
+from relyard.llm.common import few_rows, texts
 
 SPACES = " \t\n\v\f\r"
 SYMBOLS = "#*$%&|<>"
@@ -54,7 +54,7 @@ def text_counts(text: str) -> tuple[int, ...]:
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in few_rows(batches):
         yield pa.RecordBatch.from_arrays([batch.column(0), *count_arrays(batch.column(1))], ["doc_id", *COUNTS])
 
 
@@ -72,7 +72,7 @@ def with_counts(docs: DataFrame, name: str) -> DataFrame:
     """``docs`` with one more column, a struct of ``COUNTS``, under a name that is free."""
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in few_rows(batches):
             text = batch.column(place)
             counts = count_arrays(text.fill_null("") if text.null_count else text)
             struct = pa.StructArray.from_arrays(counts, names=list(COUNTS))

@@ -1,6 +1,9 @@
 """SimHash groups, BK-trees, components and substring spans against brute force."""
 
+import tracemalloc
+
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from hypothesis import given, settings, strategies as st
@@ -276,3 +279,17 @@ def test_runs_of_clauses_are_cut(spark):
 def test_runs_name_places_of_the_text(text):
     for start, length, n_words, normal in substring_dedup.clause_runs(text, 3):
         assert " ".join(text[start : start + length].lower().split()) == normal and len(normal.split()) == n_words >= 3
+
+
+def test_counting_digests_holds_few_rows_at_a_time():
+    def most(rows):
+        batch = pa.record_batch({"text": [prose(k, 60).replace(" ", ", ") for k in range(rows)]})
+        tracemalloc.start()
+        found = sum(out.num_rows for out in substring_dedup.digest_counts(iter([batch]), 8, True))
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        return found, peak
+
+    (small, _), (few, little), (many, much) = most(10), most(500), most(4000)
+    assert few == 50 * small and many == 400 * small
+    assert much < 2 * little
