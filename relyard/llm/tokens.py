@@ -25,6 +25,8 @@ CACHED_UNITS = 400_000
 LETTERS = "A-Za-zÀ-ÖØ-öø-įĲ-ɏ"
 MARKS = "¡«»¿–—‘’“”…€"
 SAFE = re.compile(rf"[\t\n\r\x20-\x7e{LETTERS}{MARKS}]*")
+# A vocabulary that lower-cases leaves out capitals whose small letter lies outside these classes (Ə, Ɓ and 21 more).
+WORD_SAFE = re.compile("[" + "".join(re.escape(c) for c in map(chr, range(0x2100)) if SAFE.fullmatch(c) and SAFE.fullmatch(c.lower())) + "]*")
 
 # Patterns by which the two vocabulary files split a text, as fixed values restricted to the classes above.
 WORD_PATTERN = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[0-9]|[^\s{LETTERS}0-9]+")
@@ -64,6 +66,8 @@ class _Kept(dict):
 
 
 class _Encoder:
+    safe = SAFE
+
     def __init__(self, path: str):
         self.library = Tokenizer.from_file(path)
         self.library.no_padding()
@@ -75,7 +79,7 @@ class _Encoder:
         self.layout = json.dumps([layout["normalizer"], layout["pre_tokenizer"], layout["post_processor"]])
 
     def plain(self, text: str) -> bool:
-        return SAFE.fullmatch(text) is not None and not any(s in text for s in self.specials)
+        return self.safe.fullmatch(text) is not None and not any(s in text for s in self.specials)
 
     def merged(self, piece: str) -> list[int]:
         """Ids of one pre-token by the library's merge model."""
@@ -89,6 +93,8 @@ class _Encoder:
 class WordIds(_Encoder):
     """Ids of whole texts as little-endian unsigned 32-bit bytes; the vocabulary drops white space, so units are words."""
 
+    safe = WORD_SAFE
+
     def __init__(self, path: str):
         super().__init__(path)
         self.units = "Lowercase" in self.layout and '"Removed"' in self.layout

@@ -40,6 +40,13 @@ def test_cached_tokens_are_those_of_the_library(text):
     assert CACHED[BYTE](text) == len(ids(BYTE, text))
 
 
+def test_every_character_of_the_short_cut():
+    for c in filter(tokens.SAFE.fullmatch, map(chr, range(0x3000))):
+        text = f"a{c}b {c} {c}'s{c}{c}1"
+        assert np.frombuffer(CACHED[WORD](text), "<u4").tolist() == ids(WORD, text), c
+        assert CACHED[BYTE](text) == len(ids(BYTE, text)), c
+
+
 def test_full_cache_changes_nothing():
     encoder = tokens.WordIds(WORD)
     encoder.kept.most = 3
