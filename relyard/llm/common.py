@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import pairwise
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from relyard.session import new_location
@@ -37,6 +40,19 @@ def few_rows(batches: Iterator[pa.RecordBatch], rows: int = ROWS) -> Iterator[pa
             yield batch.slice(at, rows)
 
 
+#: Text of a batch that is worked on at a time.
+TEXT_BYTES = 6 << 20
+
+
+def few_bytes(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = TEXT_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of rows that start within the same ``most`` bytes of text, none left out."""
+    for batch in batches:
+        sizes = pc.binary_length(batch.column(column)).to_numpy().astype(np.int64)
+        cuts = np.flatnonzero(np.diff((np.cumsum(sizes) - sizes) // most)) + 1
+        for first, end in pairwise([0, *cuts.tolist(), batch.num_rows]):
+            yield batch.slice(first, end - first)
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 

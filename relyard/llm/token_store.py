@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from relyard.llm import tokens
-from relyard.llm.common import texts
+from relyard.llm.common import few_bytes, texts
 from relyard.llm.wavelet import WaveletMatrix
 
 SHARD_TOKENS = 1_000_000
@@ -46,9 +46,9 @@ def write_tokens(docs: DataFrame, vocabulary: str, path: str, end_id: int = END_
             row = ([part], [shard], [doc_ids[0]], [written], [len(sequence)], [payload])
             return pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(row, STORE_ARROW)], schema=STORE_ARROW)
 
-        for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                ids.append(encode(text) + end)
+        for batch in few_bytes(batches):
+            for doc_id, own in zip(batch.column(0).to_pylist(), encode.many(batch.column(1))):
+                ids.append(own + end)
                 doc_ids.append(doc_id)
                 held += len(ids[-1]) // 4
                 if held >= shard_tokens:

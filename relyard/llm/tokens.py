@@ -8,12 +8,17 @@ in the library (``SAFE``) and that hold no special token; every other text goes
 
 from __future__ import annotations
 
+import codecs
 import json
 import re
 from functools import lru_cache
+from itertools import pairwise
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from tokenizers import Tokenizer
+from tokenizers.pre_tokenizers import WhitespaceSplit
 
 WORD_FILE = "word_bpe_49k.json"
 BYTE_FILE = "byte_bpe_50k.json"
@@ -21,6 +26,9 @@ BYTE_FILE = "byte_bpe_50k.json"
 #: Units kept by one Python worker (some 60 to 100 MB); beyond it units are encoded again each time.
 CACHED_UNITS = 400_000
 
+#: Pieces that one call of the merge model takes.
+MERGED_PIECES = 256
+
 # Character classes on which Python and the library agree, as fixed values.
 LETTERS = "A-Za-zÀ-ÖØ-öø-įĲ-ɏ"
 MARKS = "¡«»¿–—‘’“”…€"
@@ -31,6 +39,8 @@ WORD_SAFE = re.compile("[" + "".join(re.escape(c) for c in map(chr, range(0x2100
 # Patterns by which the two vocabulary files split a text, as fixed values restricted to the classes above.
 WORD_PATTERN = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[0-9]|[^\s{LETTERS}0-9]+")
 BYTE_PATTERN = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTERS}]+| ?[0-9]+| ?[^\s{LETTERS}0-9]+|\s+(?!\S)|\s+")
+# ``WORD_PATTERN`` as Arrow's RE2 reads it: with spaces around all pieces but runs of letters, a text splits into the same pieces.
+WORD_CUTS = rf"('s|'t|'re|'ve|'m|'ll|'d|[0-9]|[^\s{LETTERS}0-9]+)"
 ODD_SPACES = re.compile(r"[ \n]{2}|[\t\r]|[ \n]$")
 
 
@@ -49,6 +59,8 @@ def byte_letters() -> dict[int, str]:
 
 
 ALPHABET = str.maketrans({chr(b): c for b, c in byte_letters().items()})
+# The same by byte, but a space stays: it parts pieces.
+BYTES_BUT_SPACE = "".join(" " if b == 0x20 else c for b, c in sorted(byte_letters().items()))
 
 
 class _Kept(dict):
@@ -99,6 +111,13 @@ class WordIds(_Encoder):
         super().__init__(path)
         self.units = "Lowercase" in self.layout and '"Removed"' in self.layout
         self.kept = _Kept(self._unit)
+        self.merger = Tokenizer(self.model)
+        self.merger.pre_tokenizer = WhitespaceSplit()
+        vocabulary, suffix = self.merger.get_vocab(with_added_tokens=False), self.model.end_of_word_suffix
+        # Every byte has a letter with and one without the suffix, so a piece's last id, and no other, has it.
+        self.marked = bool(suffix) and all(c in vocabulary and c + suffix in vocabulary for c in byte_letters().values())
+        self.last = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.last[[i for t, i in vocabulary.items() if suffix and t.endswith(suffix)]] = True
 
     def _unit(self, unit: str) -> bytes:
         ids = [i for piece in WORD_PATTERN.findall(unit) for i in self.merged(piece)]
@@ -109,6 +128,49 @@ class WordIds(_Encoder):
             return b"".join(map(self.kept.__getitem__, text.lower().split()))
         return np.array(self.library_ids(text), "<u4").tobytes()
 
+    def many(self, texts: pa.Array) -> list[bytes]:
+        """Ids of each text, as one by one. Arrow numbers the pieces of all texts, so a piece is looked up, and merged if it is not kept, once a call."""
+        values = texts.to_pylist()
+        if not (self.units and self.marked):
+            return list(map(self, values))
+        plain = list(map(self.plain, values))
+        together = iter(self._together(texts.filter(pa.array(plain, pa.bool_()))))
+        return [next(together) if p else self(text) for p, text in zip(plain, values)]
+
+    def _together(self, texts: pa.Array) -> list[bytes]:
+        """Ids of plain texts."""
+        spaced = pc.replace_substring_regex(pc.utf8_lower(texts), pattern=WORD_CUTS, replacement=r" \1 ")
+        pieces = pc.utf8_split_whitespace(spaced)
+        numbered = pieces.flatten().dictionary_encode()
+        ids, codes = self._pieces(numbered.dictionary.to_pylist()), numbered.indices.to_numpy()
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        counts, starts = sizes[codes], (np.cumsum(sizes) - sizes)[codes]
+        ends = np.cumsum(counts)
+        places = np.repeat(starts - (ends - counts), counts)
+        places += np.arange(len(places))
+        flat = np.frombuffer(b"".join(ids), "<u4")[places].tobytes()
+        bounds = 4 * np.concatenate([np.zeros(1, np.int64), ends])[pieces.offsets.to_numpy()]
+        return [flat[a:b] for a, b in pairwise(bounds.tolist())]
+
+    def _pieces(self, pieces: list[str]) -> list[bytes]:
+        """Ids of different pieces. A piece is a unit too, so the cache and its bound are those of ``kept``."""
+        ids = [self.kept.get(p) if p else b"" for p in pieces]
+        new = [k for k, i in enumerate(ids) if i is None]
+        for first in range(0, len(new), MERGED_PIECES):
+            some = new[first : first + MERGED_PIECES]
+            for k, i in zip(some, self._merged([pieces[k] for k in some]), strict=True):
+                ids[k] = i
+                if len(self.kept) < self.kept.most:
+                    self.kept[pieces[k]] = i
+        return ids
+
+    def _merged(self, pieces: list[str]) -> list[bytes]:
+        """Ids of pieces by one call of the library's merge model."""
+        letters, _ = codecs.charmap_decode(" ".join(pieces).encode(), "strict", BYTES_BUT_SPACE)
+        ids = np.array(self.merger.encode_batch_fast([letters], add_special_tokens=False)[0].ids, "<u4")
+        flat, ends = ids.tobytes(), 4 * (np.flatnonzero(self.last[ids]) + 1)
+        return [flat[a:b] for a, b in pairwise([0, *ends.tolist()])]
+
 
 class ByteLengths(_Encoder):
     """Token counts of whole texts; a unit is a word with the space or the newline before it."""

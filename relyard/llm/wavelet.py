@@ -71,10 +71,10 @@ class WaveletMatrix:
         for shift in range(max(1, top.bit_length()) - 1, -1, -1):
             bit = (now >> shift & 1).astype(bool)
             planes.append(Plane(np.packbits(bit, bitorder="little"), n))
-            low = now[~bit]
+            low = now.compress(~bit)
             zeros.append(len(low))
             if shift:
-                now = np.concatenate([low, now[bit]])
+                now = np.concatenate([low, now.compress(bit)])
         return cls(planes, zeros, n, doc_ids, np.asarray(lengths, np.int64))
 
     def decode(self) -> np.ndarray:
@@ -84,8 +84,8 @@ class WaveletMatrix:
         for shift, (plane, zeros) in enumerate(zip(reversed(self.planes), reversed(self.zeros))):
             bit = plane.bits()
             before = np.empty_like(now)
-            before[~bit] = now[:zeros]
-            before[bit] = now[zeros:] | kind(1 << shift)
+            before[np.flatnonzero(~bit)] = now[:zeros]
+            before[np.flatnonzero(bit)] = now[zeros:] | kind(1 << shift)
             now = before
         return now.astype("<u4")
 

@@ -4,11 +4,13 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings, strategies as st
 from tokenizers import Tokenizer
 
 from relyard.llm import bin_packing, packing, token_counts, token_store, tokens
+from relyard.llm.common import few_bytes
 from relyard.llm.queries import QUERIES
 from relyard.llm.wavelet import WaveletMatrix
 from relyard.session import new_location
@@ -47,6 +49,36 @@ def test_every_character_of_the_short_cut():
         assert CACHED[BYTE](text) == len(ids(BYTE, text)), c
 
 
+@given(st.lists(st.lists(pieces, max_size=12).map("".join) | st.text(max_size=40), max_size=6))
+@settings(max_examples=300, deadline=None)
+def test_many_texts_are_as_one_by_one(texts):
+    every = [f"a{c}b {c}'s{c}1" for c in filter(tokens.SAFE.fullmatch, map(chr, range(0x3000)))]
+    for some in (texts, texts + every):
+        got = CACHED[WORD].many(pa.array(["x", *some], pa.string()).slice(1))
+        assert [np.frombuffer(i, "<u4").tolist() for i in got] == [ids(WORD, t) for t in some]
+
+
+@pytest.mark.parametrize("most", [0, 3, 1000])
+def test_many_merges_a_piece_once_however_full_the_cache(monkeypatch, most):
+    encoder, merged = tokens.WordIds(WORD), []
+    encoder.kept.most = most
+    one = encoder._merged
+    monkeypatch.setattr(encoder, "_merged", lambda pieces: merged.extend(pieces) or one(pieces))
+    texts = [f"{w}, {w}... ({w}) l'{w} {w.title()}" for w in prose(3, 300).split()] * 2
+    got = encoder.many(pa.array(texts))
+    assert [np.frombuffer(i, "<u4").tolist() for i in got] == [ids(WORD, t) for t in texts]
+    assert len(merged) == len(set(merged)) and set(merged) == {p for t in texts for p in tokens.WORD_PATTERN.findall(t.lower())}
+    assert len(encoder.kept) == min(most, len(merged))
+
+
+def test_slices_by_bytes_leave_no_row_out():
+    texts = ["a" * n for n in (0, 3, 4, 0, 50, 0, 1, 1, 9, 2)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(10)), pa.array(texts)], ["doc_id", "text"])
+    parts = list(few_bytes(iter([batch, batch.slice(2, 0), batch.slice(4, 1)]), most=8))
+    assert [d for p in parts for d in p.column(0).to_pylist()] == [*range(10), 4]
+    assert all(sum(map(len, p.column(1).to_pylist()[:-1])) < 8 for p in parts) and len(parts) > 4
+
+
 def test_full_cache_changes_nothing():
     encoder = tokens.WordIds(WORD)
     encoder.kept.most = 3
