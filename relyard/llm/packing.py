@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from relyard.llm import bin_packing as ga, tokens
-from relyard.llm.common import stored, texts
+from relyard.llm.common import few_bytes, stored, texts
 
 CAPACITY = 4096
 END_ID = 1
@@ -46,10 +46,10 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end_id: i
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, uid = tokens.word_ids(vocabulary), TaskContext.get().partitionId() << 36
-        for batch in batches:
+        for batch in few_bytes(batches):
             rows = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                ids = encode(text) + end
+            for doc_id, own in zip(batch.column(0).to_pylist(), encode.many(batch.column(1))):
+                ids = own + end
                 for k, first in enumerate(range(0, len(ids), size)):
                     part = ids[first : first + size]
                     rows.append((uid, doc_id, k, first // 4, len(part) // 4, part))

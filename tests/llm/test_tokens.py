@@ -2,6 +2,7 @@
 
 import random
 import zlib
+from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
@@ -184,6 +185,26 @@ def test_packing(spark):
     assert packing.pack(spark.createDataFrame([], DOC_SCHEMA), WORD).count() == 0
 
 
+def test_packing_merges_a_piece_once_however_full_the_cache(monkeypatch):
+    encoder, merged = tokens.WordIds(WORD), []
+    encoder.kept.most = 0
+    one, some = encoder.merged, encoder._merged
+    monkeypatch.setattr(encoder, "merged", lambda piece: merged.append(piece) or one(piece))
+    monkeypatch.setattr(encoder, "_merged", lambda pieces: merged.extend(pieces) or some(pieces))
+    monkeypatch.setattr(tokens, "word_ids", lambda path: encoder)
+    monkeypatch.setattr(packing, "texts", lambda docs: SimpleNamespace(mapInArrow=lambda cut, schema: cut))
+    monkeypatch.setattr(packing, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 3)))
+    texts = [prose(3, 90), "", "日本 " + prose(4, 5), prose(3, 90).title()] * 2
+    batch = pa.RecordBatch.from_arrays([pa.array([*range(7), None]), pa.array(texts)], ["doc_id", "text"])
+    rows = pa.Table.from_batches(packing.pieces(None, WORD, capacity=64)(iter([batch]))).to_pylist()
+    want = []
+    for doc_id, text in zip([*range(7), None], texts):
+        own = np.array(ids(WORD, text) + [1], "<u4")
+        want += [(doc_id, k // 64, k, len(own[k : k + 64]), own[k : k + 64].tobytes()) for k in range(0, len(own), 64)]
+    assert [tuple(r.values()) for r in rows] == [((3 << 36) + k, *w) for k, w in enumerate(want)]
+    assert set(merged) == set(tokens.WORD_PATTERN.findall(prose(3, 90).lower())) and len(merged) == len(set(merged))
+
+
 def test_packing_query_is_dense(spark):
     rows = QUERIES["op3_genetic_packing"].build(spark, "/root/testdata/sf0.01").collect()
     used = sound(rows, 4096)
