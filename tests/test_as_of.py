@@ -3,10 +3,11 @@
 import random
 from datetime import datetime, timedelta
 
+import pyarrow as pa
 from hypothesis import given, settings, strategies as st
 
 from relyard.operators import registry
-from relyard.streaming import as_of
+from relyard.streaming import as_of, jobs
 
 START = datetime(2024, 1, 1)
 REQUESTS = "request_id bigint, model_name string, alias string, ts timestamp"
@@ -95,3 +96,37 @@ def test_answers_in_steps_equal_answers_at_once(events, requests, steps):
         base, out, left_events, left = as_of.answer(base, left_events, left, upto)
         got |= {(r, ts): v for r, ts, v in out}
     assert got == want and not left and not left_events
+
+
+def test_many_models_share_few_state_keys(spark, location):
+    """Rows of thousands of models wait in a few buckets; a row is late also where its model had none before, and a null version is an answer."""
+    rnd = random.Random(8)
+    events = [(f"m{rnd.randint(0, 2000)}", rnd.choice(["prod", "candidate", None]), rnd.choice([None, v]), at(rnd.randint(0, 9)), v) for v in range(3000)]
+    requests = [(i, f"m{rnd.randint(0, 2000)}", rnd.choice(["prod", "candidate", None]), at(rnd.randint(0, 9))) for i in range(6000)]
+
+    def answers():
+        streams = [spark.readStream.schema(s).option("maxFilesPerTrigger", 1).parquet(f"{location}/{n}") for n, s in (("requests", REQUESTS), ("events", EVENTS))]
+        return as_of.answer_to(*streams, location, "10 minutes", 2, buckets=8).collect()
+
+    arrive(spark, location, "events", EVENTS, events)
+    arrive(spark, location, "requests", REQUESTS, requests)
+    beat(spark, location, 100)
+    assert {r.request_id: r.version for r in answers()} == brute(events, requests)
+    held = {}
+    with jobs.settings(spark, as_of.STATE_SETTINGS):
+        for name in ("passed", "requests"):
+            held[name] = spark.read.format("statestore").option("path", f"{location}/checkpoint").option("stateVarName", name).load().count()
+    assert held == {"passed": 8, "requests": 0}
+    arrive(spark, location, "requests", REQUESTS, [(6000, "new", "prod", at(5)), (6001, "new", "prod", at(95)), (6002, "m1", None, at(90))])
+    arrive(spark, location, "events", EVENTS, [("new", "prod", 7, at(91), 1), ("new", "prod", 8, at(89), 2)])  # the later one is late
+    beat(spark, location, 1000)
+    got = {r.request_id: r.version for r in answers()}
+    assert got == brute([*events, ("new", "prod", 7, at(91), 1)], [*requests, (6001, "new", "prod", at(95))])
+
+
+def test_nulls_among_equal_instants_come_first():
+    known = pa.table([["m"] * 4, [None] * 4, [5, 5, 5, 9], [None, 1, 1, 2], [7, None, 3, 1]], as_of.ROWS[as_of.EVENT])
+    asked = pa.table([["m", "m", "n", "m", "m"], [None, None, None, "prod", None], [4, 5, 6, 6, 10], [1, 2, 3, 4, None]], as_of.ROWS[as_of.REQUEST])
+    versions, newest = as_of.resolved(known, asked)
+    assert versions.to_pylist() == [None, 3, None, None, 1]
+    assert newest.to_pylist() == [{"model_name": "m", "alias": None, "at": 9, "seq": 2, "version": 1}]
