@@ -1,6 +1,7 @@
 """Segment training by packed vectors against a numpy solve of each segment."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from relyard.operators import segment_training as seg, training
@@ -89,3 +90,77 @@ def test_a_step_that_makes_it_worse_is_halved():
     new = seg._step(state, sums, 1.0, 1e-9)
     assert new["candidate"].tolist() == [4.0, -2.0] and new["beta"] == [0.0, 0.0] and new["halvings"] == 1 and new["reason"] is None
     assert seg._step({**state, "halvings": seg.HALVINGS}, sums, 1.0, 1e-9)["reason"] == "no descent"
+
+
+@pytest.mark.parametrize(("gathered", "sent"), [(0, seg.SENT_BYTES), (0, 0), (10_000, seg.SENT_BYTES), (seg.GATHERED_BYTES, seg.SENT_BYTES)])
+def test_gathered_and_spread_segments_are_the_same(spark, gathered, sent):
+    """All spread, with states sent and joined; one large segment among gathered ones; all gathered."""
+    groups = groups_of(np.random.default_rng(5), 3, [40, 900, 12, 60])
+    groups["s2"][0][:, 2] = 7.0
+    rng = np.random.default_rng(6)
+    groups |= {"one": (rng.normal(size=(9, 3)), np.zeros(9)), "unlabelled": (rng.normal(size=(4, 3)), [0, 1, None, 1]), "gap": (np.full((4, 3), np.nan), [0, 1, 0, 1])}
+    df = table(spark, groups, ["a", "b", "c"]).selectExpr("s", "nanvl(a, NULL) AS a", "b", "c", "y")
+    got = {r.s: r for r in seg.train_segments(df, "s", ["a", "b", "c"], "y", sent_bytes=sent, gathered_bytes=gathered).collect()}
+    reasons = {"one": "one class", "unlabelled": "null label", "gap": "null feature"}
+    assert {s: r.reason for s, r in got.items()} == {s: reasons.get(s) for s in groups}
+    for name, (x, y) in groups.items():
+        assert got[name].converged == (name not in reasons)
+        if name not in reasons:
+            np.testing.assert_allclose([got[name].intercept, *got[name].coefs], solve(x, y), atol=1e-7)
+        else:
+            assert got[name].coefs is None and got[name].intercept is None and got[name].steps == 0
+    few = {r.s: r.reason for r in seg.train_segments(df, "s", ["a", "b", "c"], "y", max_steps=2, sent_bytes=sent, gathered_bytes=gathered).collect()}
+    assert few == {s: reasons.get(s, "not converged") for s in groups}
+
+
+def test_small_segments_take_no_pass_per_step(spark, monkeypatch):
+    """Thousands of small segments are fitted in one pass; each Newton step was a pass over all rows that paid for every segment."""
+    rng = np.random.default_rng(7)
+    groups = {f"s{k}": (rng.normal(size=(5, 2)), [0, 1, *rng.integers(0, 2, 3)]) for k in range(2000)}
+    df, stored = table(spark, groups, ["a", "b"]).cache(), []
+    real = seg._stored
+    monkeypatch.setattr(seg, "_stored", lambda df, name: stored.append(name) or real(df, name))
+    got = {r.s: r for r in seg.train_segments(df, "s", ["a", "b"], "y").collect()}
+    df.unpersist()
+    assert len(stored) <= 4 and got.keys() == groups.keys()
+    for name in [*groups][:200]:
+        x, y = groups[name]
+        np.testing.assert_allclose([got[name].intercept, *got[name].coefs], solve(x, np.array(y)), atol=1e-7)
+
+
+def test_segments_stay_whole_over_batches(monkeypatch):
+    """Batches end where the bytes say; a segment that goes over an end waits for its rest."""
+    sizes = [1, 7, 30, 2, 2, 55, 3]
+    keys = np.repeat([f"k{i}" for i in range(len(sizes))], sizes).tolist()
+    rows = pa.RecordBatch.from_pydict({"key": keys, "at": list(range(len(keys)))})
+    for held in (0, 40, 300, 1 << 20):
+        monkeypatch.setattr(seg, "TAKEN_BYTES", held)
+        for step in (1, 4, 100):
+            found = [(b, s) for b, s in seg._whole(rows.slice(k, step) for k in range(0, len(keys), step))]
+            assert [t for b, _ in found for t in b["at"].to_pylist()] == list(range(len(keys)))
+            cut = [b.slice(a, e - a)["key"].to_pylist() for b, s in found for a, e in zip(s, [*s[1:], b.num_rows])]
+            assert cut == [[f"k{i}"] * n for i, n in enumerate(sizes)]
+
+
+def test_steps_of_many_segments_are_those_of_each():
+    """Without a ridge, with a segment that has no solution and one that is halved among them; and more coefficients than are paired."""
+    rng = np.random.default_rng(9)
+    x = np.vstack((rng.normal(size=(20, 2)), np.repeat(rng.normal(size=(20, 1)), 2, axis=1), np.array([[-3.0, 0], [3, 0]] * 5) + rng.normal(size=(10, 2)) / 2, rng.normal(size=(30, 2))))
+    y = np.concatenate((rng.integers(0, 2, 40), [0, 1] * 5, rng.integers(0, 2, 30))).astype(float)
+    together = seg._fitted(x, y, np.array([0, 20, 40, 50]), 200, 0.0, 1e-9)
+    assert together["reason"].tolist() == [None, "singular", "separable", None]
+    for k, (a, e) in enumerate(((0, 20), (20, 40), (40, 50), (50, 80))):
+        alone = seg._fitted(x[a:e], y[a:e], np.array([0]), 200, 0.0, 1e-9)
+        assert alone["reason"][0] == together["reason"][k] and alone["steps"][0] == together["steps"][k]
+        if alone["reason"][0] is None:
+            np.testing.assert_allclose(alone["beta"][0], together["beta"][k], atol=1e-8)
+            np.testing.assert_allclose(alone["beta"][0], solve(x[a:e], y[a:e], 0.0), atol=1e-6)
+    columns, candidate = np.vstack((np.ones(80), x.T)), rng.normal(size=(4, 3))
+    args = (columns, y == 1, rng.uniform(size=80), candidate, np.array([20, 20, 10, 30]), np.array([0, 20, 40, 50]))
+    paired = seg._newton_sums(*args)
+    seg.PAIRED, kept = 0, seg.PAIRED
+    try:
+        for one, other in zip(paired, seg._newton_sums(*args)):
+            np.testing.assert_allclose(one, other, rtol=1e-12)
+    finally:
+        seg.PAIRED = kept
