@@ -24,17 +24,20 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from relyard.streaming.jobs import append_to
 
-#: Python state lives in RocksDB; set while the job starts.
-STATE_SETTINGS = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
+#: Python state lives in RocksDB, whose stores share a bound of memory in each executor; set while the job starts.
+STATE_SETTINGS = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
+    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "200",
+}
 ANSWER = "request_id bigint, model_name string, alias string, ts timestamp, version bigint"
 
 EVENT, REQUEST = 0, 1
 _OWNER = [("model_name", pa.string()), ("alias", pa.string()), ("at", pa.int64())]
 #: Columns of packed rows; times in microseconds.
 ROWS = {EVENT: pa.schema([*_OWNER, ("seq", pa.int64()), ("version", pa.int64())]), REQUEST: pa.schema([*_OWNER, ("request_id", pa.int64())])}
-FOUND = pa.schema([*ROWS[REQUEST], ("version", pa.int64())])
 #: Bytes of rows that a task packs at once, and rows of a packed batch in the state.
-HELD_BYTES, PACKED_ROWS = 32 << 20, 65_536
+HELD_BYTES, PACKED_ROWS = 8 << 20, 65_536
 
 
 def _codes(values: pa.ChunkedArray) -> tuple[np.ndarray, int]:
@@ -99,10 +102,11 @@ def _packer(kind: int):
 
     def flush(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = pa.Table.from_batches(held)
-        table = table.filter(pc.and_(table["model_name"].is_valid(), table["at"].is_valid())).combine_chunks()
-        if not table.num_rows:
+        known = pc.and_(table["model_name"].is_valid(), table["at"].is_valid()).to_numpy()
+        order = np.argsort(np.where(known, table["bucket"].to_numpy(), -1), kind="stable")[len(known) - known.sum() :]
+        if not len(order):
             return
-        table = table.take(np.argsort(table["bucket"].to_numpy(), kind="stable")).combine_chunks()
+        table = table.take(order).combine_chunks()
         bucket, at = table["bucket"].to_numpy(), table["at"].to_numpy()
         starts = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
         rows = table.select(schema.names).cast(schema).to_batches()[0]
@@ -120,16 +124,12 @@ def _packer(kind: int):
                 held, size = [], 0
         if held:
             yield from flush(held)
+        held.clear()
+        pa.default_memory_pool().release_unused()
 
     return pack
 
 
-def _unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for rows in batch.column(0):
-            yield pa.ipc.read_record_batch(rows.as_buffer(), FOUND)
-
-
 class AsOf(StatefulProcessor):
     """State of one bucket: the last watermark, the base event of each key, later events, and waiting requests."""
 
@@ -146,14 +146,12 @@ class AsOf(StatefulProcessor):
         late = self.passed.get()[0] * 1000
         for batch in rows:
             for kind, state in self.waiting.items():
-                own, kept = batch[batch["kind"] == kind], []
-                for low, packed in zip(own["low"], own["rows"]):
-                    if low > late:
-                        kept.append((int(low), bytes(packed)))
-                        continue
-                    some = _unpacked([packed], ROWS[kind])
-                    kept += _packed(some.filter(pc.greater(some["at"], late)))
-                if kept:
+                own = batch[batch["kind"] == kind]
+                given = _unpacked([*own["rows"]], ROWS[kind])
+                if len(own) and own["low"].min() <= late:
+                    given = given.filter(pc.greater(given["at"], late))
+                # The store reads a list again with every value that is appended, so values are few.
+                if kept := [*_packed(given)]:
                     state.appendList(kept)
         return iter(())
 
@@ -167,8 +165,8 @@ class AsOf(StatefulProcessor):
         versions, newest = resolved(pa.concat_tables([base, events]), requests)
         if events.num_rows:
             self.base.put([*_packed(newest)])
-        for _, found in _packed(requests.append_column("version", versions)):
-            yield pd.DataFrame({"rows": [found]})
+        for found in requests.append_column("version", versions).combine_chunks().to_batches(max_chunksize=PACKED_ROWS):
+            yield found.to_pandas(types_mapper=pd.ArrowDtype)
 
     def close(self) -> None:
         pass
@@ -208,8 +206,9 @@ def answered(requests: DataFrame, events: DataFrame, delay: str, salts: int = 1,
     )
     both = asked.mapInArrow(_packer(REQUEST), packed).union(changed.mapInArrow(_packer(EVENT), packed))
     first = requests.sparkSession.range(buckets).select(F.col("id").cast("int").alias("bucket")).groupBy("bucket")
-    found = both.groupBy("bucket").transformWithStateInPandas(AsOf(), "rows binary", "Append", "EventTime", first)
-    found = found.mapInArrow(_unpack, "model_name string, alias string, at bigint, request_id bigint, version bigint")
+    found = both.groupBy("bucket").transformWithStateInPandas(
+        AsOf(), "model_name string, alias string, at bigint, request_id bigint, version bigint", "Append", "EventTime", first
+    )
     return found.select("request_id", "model_name", "alias", F.timestamp_micros("at").alias("ts"), "version")
 
 
